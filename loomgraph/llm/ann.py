@@ -30,7 +30,7 @@ EPSILON = 2.1
 #: Rows of a list, and queries on a list, that one group holds about.
 CHUNK = 4096
 #: A query probes on until the lists hold so many vectors.
-LEAST_PROBED = 64
+LEAST_PROBED = 1024
 
 
 @dataclass

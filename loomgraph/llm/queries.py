@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES and may have ORACLE_SQL.
-MODULES = ("op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 
 def _modules():
