@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.language_id import identify, train
+from loomgraph.llm.language_id import PpmTables, identify, train
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def learned_tables(docs: DataFrame) -> PpmTables | None:
+    """Statistics of the labelled documents that are not held out."""
+    return train(docs.where(~held_out()))
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte); learns from labelled documents that are not held out."""
-    tables = train(docs.where(~held_out()))
-    return identify(docs, tables).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return identify(docs, learned_tables(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
