@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of loomgraph.plans with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("q_graph",)
+MODULES: tuple[str, ...] = ("q_graph", "q_temporal")
 
 
 def _modules():
