@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import materialize
+from loomgraph.runtime import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     shared folder, so a lost executor costs one round at most.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
+    given = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = given.where("u <> v")
+    for k in range(max_rounds):
         # large star: every larger neighbour of u points to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,6 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         new = materialize(small.where("u <> v").distinct(), "edges")
         if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
             break
+        if k:
+            discard(e)
         e = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -32,7 +32,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
+    env["MALLOC_ARENA_MAX"] = "1"  # workers give back what they freed
+    env["ARROW_DEFAULT_MEMORY_POOL"] = "system"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table needs no shuffle files
     return spark
 
 
@@ -52,3 +56,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
