@@ -5,14 +5,13 @@ The code length of a byte is read from the longest context that the tree holds;
 there, an escape is paid (method C: of n + d chances, d distinct followers go to the escape) and the next shorter
 context is asked, down to the uniform code. The statistics are frozen after training, so the cost of a byte
 depends on the ``ORDER`` bytes before it alone, and a whole text is scored by table look-ups: costs of the
-contexts of order 0 to 2 are dense tables or direct-mapped rows, those of order 3 a hash table.
+contexts of order 0 to 2 are dense tables or pages of rows, those of order 3 a hash table.
 
 Training counts are taken on Spark from a bounded sample (``docs_per_language``); the tables are bounded with it.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,22 +26,24 @@ from loomgraph.runtime import prepare
 
 ORDER = 3
 UNDETERMINED = "und"
-#: Defaults of the sample: so many documents of each language, and so many bytes from the start of each.
+#: Default of the sample: so many whole documents of each language.
 DOCS_PER_LANGUAGE = 250
-TRAIN_BYTES = 20_000
+#: Texts are counted and scored in pieces of so many bytes, each with the context before it.
+PIECE = 1 << 16
 #: Hash slots that are tried for a context of order 3.
 PROBES = 24
 
 
-def _grams(text: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order k the (k + 1)-byte strings of the text, packed into integers, with counts."""
-    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
-    out, packed = {}, raw
-    for k in range(ORDER + 1):
-        if len(packed):
-            out[k] = np.unique(packed, return_counts=True)
-        packed = (packed[:-1] << 8) | raw[k + 1 :]
-    return out
+def _grams(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, the (k + 1)-byte strings packed into integers, counts) for each order k and piece of the text."""
+    for a in range(0, len(text), PIECE):
+        for k in range(ORDER + 1):
+            raw = np.frombuffer(text[max(0, a - k) : a + PIECE], np.uint8).astype(np.uint32)
+            packed = raw[: len(raw) - k]
+            for i in range(1, k + 1):
+                packed = packed << 8 | raw[i : len(raw) - k + i]
+            if len(packed):
+                yield k, *np.unique(packed, return_counts=True)
 
 
 def training_counts(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -50,13 +51,30 @@ def training_counts(labelled: DataFrame, lang_col: str, text_col: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (gram, n) in _grams((text or "").encode()[:TRAIN_BYTES]).items():
+                for k, gram, n in _grams((text or "").encode()):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
 
     rows = labelled.select(lang_col, text_col).mapInArrow(run, "lang string, k int, gram bigint, n bigint")
     return rows.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
+class Rows:
+    """Row numbers of 3-byte strings, -1 for others: a page of 256 numbers for each prefix of two bytes that occurs."""
+
+    def __init__(self, strings: np.ndarray):
+        prefixes = np.unique(strings >> np.uint32(8))
+        self.page = np.zeros(65536, np.uint32)  # page 0 is empty
+        self.page[prefixes] = np.arange(1, len(prefixes) + 1, dtype=np.uint32)
+        self.rows = np.full((len(prefixes) + 1) * 256, -1, np.int32)
+        self.rows[self._place(strings)] = np.arange(len(strings), dtype=np.int32)
+
+    def _place(self, strings: np.ndarray) -> np.ndarray:
+        return self.page[strings >> np.uint32(8)] << np.uint32(8) | strings & np.uint32(0xFF)
+
+    def __getitem__(self, strings: np.ndarray) -> np.ndarray:
+        return self.rows[self._place(strings)]
+
+
 @dataclass
 class PpmTables:
     """Code lengths in bits of every language, side by side in the last axis."""
@@ -65,10 +83,10 @@ class PpmTables:
     cost0: np.ndarray  # [256, L]
     cost1: np.ndarray  # [65536, L]: order 1 or below
     escape2: np.ndarray  # [65536, L]
-    row2: np.ndarray  # [2^24] int32: row of cost2, or -1
+    row2: Rows  # row of cost2
     cost2: np.ndarray  # [rows, L]
     escape3: np.ndarray  # [rows of 3-byte contexts, L]
-    context3: np.ndarray  # [2^24] int32: row of escape3, or -1
+    context3: Rows  # row of escape3
     key3: np.ndarray  # hash table of 4-byte strings
     slot3: np.ndarray  # row of cost3
     cost3: np.ndarray
@@ -131,11 +149,6 @@ def build_tables(languages: list[str], lang: np.ndarray, k: np.ndarray, gram: np
             seen = np.log2((total + kinds)[context_at]) - np.log2(counts)
         return strings, np.where(counts > 0, seen, np.inf).astype(np.float32), contexts, escape
 
-    def padded(strings: np.ndarray, size: int) -> np.ndarray:
-        rows = np.full(size, -1, np.int32)
-        rows[strings] = np.arange(len(strings), dtype=np.int32)
-        return rows
-
     strings, seen, _, escape = dense(0)
     cost0 = np.tile(escape[0] + 8.0 if len(escape) else np.float32(8), (256, 1)).astype(np.float32)
     cost0[strings] = np.where(np.isfinite(seen), seen, escape[0] + 8.0)
@@ -150,7 +163,7 @@ def build_tables(languages: list[str], lang: np.ndarray, k: np.ndarray, gram: np
     escape2 = np.zeros((65536, L), np.float32)
     escape2[contexts] = escape
     cost2 = np.where(np.isfinite(seen), seen, escape2[strings >> np.uint32(8)] + cost1[strings & np.uint32(0xFFFF)])
-    row2 = padded(strings, 1 << 24)
+    row2 = Rows(strings)
 
     strings3, seen, contexts3, escape3 = dense(3)
     tail = strings3 & np.uint32(0xFFFFFF)
@@ -171,38 +184,13 @@ def build_tables(languages: list[str], lang: np.ndarray, k: np.ndarray, gram: np
         if not len(left):
             break
         size *= 2
-    return PpmTables(languages, cost0, cost1, escape2, row2, cost2.astype(np.float32), escape3, padded(contexts3, 1 << 24), key3, slot3, cost3.astype(np.float32))
-
-
-def _pack(tables: PpmTables) -> dict:
-    """The tables without the direct-mapped ones, which each worker lays out again: a few MB."""
-    packed = dict(vars(tables))
-    for name in ("row2", "context3"):
-        strings = np.flatnonzero(packed[name] >= 0).astype(np.uint32)
-        packed[name] = (strings, packed[name][strings])
-    return packed
-
-
-_UNPACKED: dict[str, PpmTables] = {}
-
-
-def _unpack(packed: dict, key: str) -> PpmTables:
-    if key not in _UNPACKED:
-        _UNPACKED.clear()
-        tables = dict(packed)
-        for name in ("row2", "context3"):
-            strings, rows = tables[name]
-            full = np.full(1 << 24, -1, np.int32)
-            full[strings] = rows
-            tables[name] = full
-        _UNPACKED[key] = PpmTables(**tables)
-    return _UNPACKED[key]
+    return PpmTables(languages, cost0, cost1, escape2, row2, cost2.astype(np.float32), escape3, Rows(contexts3), key3, slot3, cost3.astype(np.float32))
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> PpmTables | None:
     """Frozen statistics from a bounded sample of the labelled rows: of each language the ``docs_per_language``
-    rows whose id has the smallest hash, and of each the first ``TRAIN_BYTES`` bytes. Rows without a label or text
-    are left out; without any row there are no tables (None).
+    rows whose id has the smallest hash, with their whole texts. Rows without a label or text are left out; without
+    any row there are no tables (None).
 
     What comes to the driver are the counts of distinct byte strings of at most 4 bytes in that sample."""
     prepare(labelled.sparkSession)
@@ -228,9 +216,9 @@ def score_texts(texts: list[str | None], tables: PpmTables) -> list[tuple[str, f
             continue
         raw = np.frombuffer(text.encode(), np.uint8)
         bits = np.zeros(len(tables.languages))
-        for a in range(0, len(raw), 1 << 16):  # in bounded pieces, each with the context before it
+        for a in range(0, len(raw), PIECE):
             before = min(a, ORDER)
-            bits += tables.costs(raw[a - before : a + (1 << 16)])[before:].sum(axis=0, dtype=np.float64)
+            bits += tables.costs(raw[a - before : a + PIECE])[before:].sum(axis=0, dtype=np.float64)
         best = int(bits.argmin())
         rest = np.exp2(-np.minimum(bits - bits[best], 1000)).sum()
         out.append((tables.languages[best], float(1 / rest), float(bits[best] / len(raw))))
@@ -251,11 +239,11 @@ def identify(docs: DataFrame, tables: PpmTables | None, id_col: str = "doc_id",
     schema = T.StructType([*[docs.schema[c] for c in columns], *result])
     if tables is None:
         return docs.select(*columns, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(_pack(tables))
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _unpack(shared.value, key)
+        ready = shared.value
         for batch in batches:
             found = score_texts(batch.column(width).to_pylist(), ready)
             lang, score, bits = zip(*found, strict=True) if found else ((), (), ())
