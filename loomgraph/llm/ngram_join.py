@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import materialize, prepare
+from loomgraph.runtime import discard, materialize, prepare
 
 DIMENSIONS = 64
 CHUNK = 2048
 LEAF = 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Fixed odd multipliers of the 64-bit hash finaliser.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -181,96 +181,98 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, doc): the group contents of every document; of equal sets within a task only the first."""
+    """(sig, key): the group contents of every document's set; of equal sets within a task only the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(num, den), set()
         for batch in batches:
-            ids, sigs = [], []
+            keys, sigs = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, width)
                 key = set_key(s)
                 if doc is None or key in seen:
                     continue
-                if len(seen) >= 1_000_000:  # it only saves work
+                if len(seen) >= 200_000:  # it only saves work
                     seen.clear()
                 seen.add(key)
-                ids.append(doc)
+                keys.append(key)
                 sigs.append(classes.signatures(s))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in sigs]))], ["sig", "doc"])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(keys, np.int64), [len(s) for s in sigs]))], ["sig", "key"])
 
-    return docs.mapInArrow(run, "sig bigint, doc bigint")
+    return docs.mapInArrow(run, "sig bigint, key bigint")
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
-    """The rows of ``signatures`` whose sig stands at two documents or more. The rows come sorted by sig; of a sig no
-    more is kept in memory than its first document, however many it has."""
+    """The distinct rows of ``signatures`` whose sig stands at two keys or more. The rows come sorted by sig and key;
+    no more than the last row is kept in memory, however many keys a sig has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_doc = None
-        live = False  # whether the last sig has two documents already
+        waiting = np.zeros((2, 0), np.int64)  # the last row, if its sig has no other key so far
+        last = None  # the last row
         for batch in batches:
-            if not batch.num_rows:
+            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            if last is not None and len(fresh):
+                fresh[0] = (rows[:, 0] != last).any()
+            rows = rows[:, fresh]
+            if not rows.shape[1]:
                 continue
-            sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            lengths = np.diff(np.append(starts, len(sig)))
-            first = doc[starts]
-            goes_on = last_sig is not None and sig[0] == last_sig
-            if goes_on:
-                first[0] = last_doc
-            several = np.logical_or.reduceat(doc != np.repeat(first, lengths), starts)
-            was_live = goes_on and live
-            out_sig, out_doc = [], []
-            if goes_on and several[0] and not was_live:
-                out_sig.append(sig[:1])
-                out_doc.append(first[:1])
-            if was_live:
-                several[0] = True
-            keep = np.repeat(several, lengths)
-            out_sig.append(sig[keep])
-            out_doc.append(doc[keep])
-            last_sig, last_doc, live = sig[-1], first[-1], bool(several[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sig)), pa.array(np.concatenate(out_doc))], ["sig", "doc"])
-
-    return signatures.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig bigint, doc bigint")
+            goes_on = last is not None and not waiting.shape[1] and rows[0, 0] == last[0]
+            rows = np.concatenate([waiting, rows], axis=1)
+            last = rows[:, -1]
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.append(goes_on, same) | np.append(same, False)
+            if goes_on:  # the sig was found at two keys before
+                keep[: np.argmin(np.append(same, False)) + 1] = True
+            waiting = rows[:, -1:] if not keep[-1] else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[1, keep])], ["sig", "key"])
+
+    return signatures.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig bigint, key bigint")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, n, counts, shingles)."""
+    """(key, node, n, counts, shingles); repeated rows may be given once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "counts", "shingles"])
+            rows = []
+            for doc, s in zip(batch.column(0).to_pylist(), sets, strict=True):
+                if len(s) and (set_key(s), doc) != last:
+                    last = (set_key(s), doc)
+                    rows.append((*last, len(s), count_vector(s), s.view(np.int64)))
+            key, node, n, counts, shingles = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(shingles, pa.list_(pa.int64()))], ["key", "node", "n", "counts", "shingles"])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, counts array<int>, shingles array<bigint>")
+    return docs.mapInArrow(run, "key bigint, node bigint, n bigint, counts array<int>, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: first by the bound of the count vectors, then by the sets themselves."""
-    light = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"c_{end}"))
+    """(a, b): nodes of the pairs of keys (a, b) that link, first by the bound of the count vectors, then by the sets."""
+    light = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"c_{end}"))
     bound = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     left = pairs.join(light("a"), "a").join(light("b"), "b").where((den + num) * bound >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
-    whole = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}"))
+    whole = lambda end: sets.select(F.col("key").alias(end), F.col("node").alias(f"node_{end}"), F.col("shingles").alias(f"s_{end}"))
     both = left.join(whole("a"), "a").join(whole("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.where((den + num) * common >= num * (F.size("s_a") + F.size("s_b"))).select("a", "b")
+    return both.where((den + num) * common >= num * (F.size("s_a") + F.size("s_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _crossing_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of one block, but of different components, that the R-tree's bound leaves. ``blocks``: sig, m,
-    node, component, n, counts, where m is the size of the block."""
+    """(a, b): pairs of keys of one block, but of different components, that the R-tree's bound leaves. ``blocks``: sig,
+    m, key, component, n, counts, where m is the size of the block."""
     pieces = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    own = F.pmod(F.xxhash64("key"), pieces).cast("int")
     rows = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n", "counts")
+    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "component", "n", "counts")
 
-    def pairs_of(own, node, component, n, counts, low, high):
+    def pairs_of(own, keys, component, n, counts, low, high):
         at_low, at_high = np.flatnonzero(own == low), np.flatnonzero(own == high)
         tree = CountTree(counts[at_high], n[at_high], num, den)
         q, p = tree.query(counts[at_low], n[at_low])
         i, j = at_low[q], at_high[p]
         keep = component[i] != component[j]
-        a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
+        a, b = np.minimum(keys[i], keys[j])[keep], np.maximum(keys[i], keys[j])[keep]
         return np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,34 +318,36 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     features = materialize(_features(rows, width), "features")
     named = features.where("n > 0 AND doc IS NOT NULL")
     nodes = materialize(named.groupBy("key").agg(F.min("doc").alias("node")), "nodes")
-    member = named.select("doc", "key").join(nodes, "key").select("doc", "node").distinct()
 
-    shared = _shared(_signatures(rows, width, num, den))
-    in_block = materialize(shared.join(member, "doc").select("sig", "node").distinct(), "blocks")
-    sizes = in_block.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    in_block = materialize(in_block.join(sizes, "sig"), "blocks")
+    shared = materialize(_shared(_signatures(rows, width, num, den)), "shared")
+    in_block = materialize(shared.join(shared.groupBy("sig").agg(F.count("*").alias("m")), "sig"), "blocks")
+    discard(shared)
 
-    active = in_block.select("node").distinct()
+    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select("node").distinct()
     sets = materialize(_sets(rows.join(active, F.col("doc") == F.col("node"), "left_semi"), width), "sets")
 
-    weight = in_block.groupBy("node").agg(F.sum("m").alias("weight"))
-    centre = in_block.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("sig", (-F.col("best.minus")).alias("centre"))
-    star = in_block.join(centre, "sig").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    weight = in_block.groupBy("key").agg(F.sum("m").alias("weight"))
+    centre = in_block.join(weight, "key").groupBy("sig").agg(F.max(F.struct("weight", "key")).alias("best")).select("sig", F.col("best.key").alias("centre"))
+    star = in_block.join(centre, "sig").where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     star = materialize(star, "star")
     links = materialize(_verified(star, sets, num, den), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
+    discard(links)
 
-    placed = in_block.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_set = sets.select("key", "node").join(component, "node", "left").groupBy("key").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    placed = in_block.join(of_set, "key")
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    open_blocks = placed.join(mixed, "sig", "left_semi").join(sets.select("node", "n", "counts"), "node")
+    open_blocks = placed.join(mixed, "sig", "left_semi").join(sets.select("key", "n", "counts"), "key")
     crossing = _crossing_pairs(open_blocks, num, den).join(star, ["a", "b"], "left_anti")
-    more = _verified(crossing, sets, num, den)
+    more = materialize(_verified(crossing, sets, num, den), "links")
+    discard(in_block, sets, star)
 
     # an id with several texts is one vertex
+    member = named.join(nodes, "key").select("doc", "node").distinct()
     twice = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
     same_id = member.join(twice, "doc").where("a < node").select("a", F.col("node").alias("b"))
     edges = component.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(same_id)
-    component = connected_components(edges, "a", "b")
+    component = materialize(connected_components(edges, "a", "b"), "components")
 
     of_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = features.withColumn("_key", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))).join(of_key.withColumnRenamed("key", "_key"), "_key", "left")
