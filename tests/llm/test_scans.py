@@ -1,0 +1,202 @@
+"""License and secret scans, URL filters and language identification against brute force and held-out labels."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from helpers import documents, empty, rows_of
+from pyspark.sql import functions as F
+
+from loomgraph.llm.language_id import score_texts, train
+from loomgraph.llm.license_scan import BASE, all_templates, scan_licenses, template_idf
+from loomgraph.llm.q_op2 import ORACLE_SQL, license_report
+from loomgraph.llm.q_op7 import held_out, predict_languages
+from loomgraph.llm.q_op9 import secret_report
+from loomgraph.llm.secrets import find_secrets, redact, train_pair_ratios, training_samples
+from loomgraph.llm.url_filter import RULES, filter_urls, labelled_urls, train_url_model
+
+
+# licences
+
+def phrase_places(text: str | None, phrase: str) -> list[int]:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    want = phrase.split()
+    return [i for i in range(len(words)) if words[i : i + len(want)] == want]
+
+
+def test_base_phrases_by_brute_force(spark, sf_dir):
+    docs = documents(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    want = []
+    for i, t in rows_of(docs.select("doc_id", "text")):
+        found = {label: phrase_places(t, phrase) for phrase, label in BASE}
+        every = sum(found.values(), [])
+        want.append((i, len(every), min(every, default=None), max(every, default=None), ",".join(sorted(k for k, v in found.items() if v))))
+    got = license_report(docs).select("doc_id", "n_base", "first_word", "last_word", "base_labels")
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_all_templates_by_brute_force(spark):
+    docs = documents(spark)
+    templates = all_templates()
+    found = scan_licenses(docs, templates, template_idf(docs, templates))
+    for r in found.collect():
+        assert r["places"] == [phrase_places(r["text"], " ".join(t.words)) for t in templates]
+        assert 0 <= r["score"] <= 1
+
+
+def test_license_sql_holds_on_awkward_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    r = con.execute(ORACLE_SQL["op2_license_scan"])
+    names = [d[0] for d in r.description]
+    assert sorted(map(tuple, r.fetchall()), key=repr) == rows_of(license_report(docs).select(names))
+
+
+# secrets
+
+def brute_spans(text: str | None) -> list[tuple[int, int, int]]:
+    kinds = [(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]
+    return sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least)
+
+
+@pytest.fixture(scope="module")
+def ratios(spark):
+    return train_pair_ratios(training_samples(spark))
+
+
+def test_base_spans_by_brute_force(spark, sf_dir, ratios):
+    docs = documents(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    want = []
+    for i, t in rows_of(docs.select("doc_id", "text")):
+        spans = brute_spans(t)
+        n = Counter(k for _, k, _ in spans)
+        digest = hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        want.append((i, n[0], n[1], n[2], digest))
+    got = secret_report(docs, ratios)
+    assert rows_of(got.drop("spans")) == sorted(want, key=repr)
+
+
+def test_models_tell_random_strings_from_identifiers(spark, ratios):
+    random = [hashlib.sha512(str(i).encode()).hexdigest().upper()[:30] for i in range(100)]
+    import base64
+    random += [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:30] for i in range(100)]
+    plain = [f"{a}{b.title()}{c.title()}Of{d.title()}" for a in ("update", "remove", "compute") for b in ("customer", "invoice", "weather") for c in ("history", "address") for d in ("region", "landscape")]
+    rows = [(i, t) for i, t in enumerate(random + plain)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id int, text string"), ratios).select("doc_id", F.size("added_spans") > 0).collect()
+    hit = dict(map(tuple, found))
+    assert sum(hit[i] for i in range(len(random))) >= 0.95 * len(random)
+    assert sum(hit[i] for i in range(len(random), len(rows))) <= 0.05 * len(plain)
+
+
+def test_added_spans_do_not_overlap_base_spans_and_are_redacted(spark, ratios):
+    found = find_secrets(documents(spark), ratios)
+    for r in found.withColumn("clean", redact(F.col("text"), F.concat("base_spans", "added_spans"))).collect():
+        base, added = ([(s["start"], s["end"]) for s in r[c]] for c in ("base_spans", "added_spans"))
+        assert not any(a < y and x < b for a, b in base for x, y in added)
+        text, out, at = r["text"], [], 0
+        for a, b in sorted(base + added):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r["clean"] == ("".join(out) + text[at:] if out else text)
+
+
+# URLs
+
+def test_rules_by_brute_force(spark):
+    urls = [None, "", "no scheme", "://", "http://", "http://net", "http://net/", "HTTP://A.NET/x", "http://example.net/en/a", "http://x.example.net/en/", "http://example.net/enx", "http://notexample.net/en/", "https://example.com/de/1?x=/fr/", "http://b.example.com/de/", "http://example.com/DE/", "http://a.org/fr/#y", "http://org/fr/", "http://org?/fr/", "http://a.org#/fr/", "ftp://é.org/fr/ü", "http://a.b.c/?u=http://net/", "a://b://c/d"]
+    model, rates = train_url_model(labelled_urls(spark, 300))
+    got = {r["page_id"]: r for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model, rates).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match("[^/?#]*", rest)[0])
+        path = re.match("[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (got[i]["host"], got[i]["path"]) == (host, path), url
+        assert got[i]["rule"] == (max(fits)[1] if fits else None), url
+        assert got[i]["verdict"] == max(fits)[2] if fits else got[i]["verdict"] in ("allow", "block")
+
+
+def test_trees_on_held_out_urls(spark):
+    labelled = labelled_urls(spark, 1500).withColumn("page_id", F.monotonically_increasing_id())
+    part = F.pmod(F.xxhash64("url"), F.lit(3)) == 0
+    model, rates = train_url_model(labelled.where(~part))
+    scored = filter_urls(labelled.where(part), model, rates, rules=()).join(labelled, "page_id")
+    assert scored.select(F.avg(((F.col("score") > 0.5) == F.col("bad")).cast("double"))).first()[0] > 0.9
+
+
+def test_urls_empty_table_and_clash(spark):
+    model, rates = train_url_model(labelled_urls(spark, 200))
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string"), model, rates).collect() == []
+    pages = spark.createDataFrame([(1, "http://a.com/x", "q"), (None, None, "q"), (1, "http://a.com/x", "q")], "page_id long, url string, host string")
+    plain = filter_urls(pages.drop("host"), model, rates)
+    clash = filter_urls(pages.withColumns({"path": F.lit(1), "features": F.lit(2), "entropy": F.lit("z"), "probability": F.lit(3)}), model, rates)
+    assert rows_of(clash) == rows_of(plain) and plain.count() == 3
+
+
+# languages
+
+def test_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = predict_languages(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    n, right = scored.select(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 20 and right / n > 0.85
+
+
+def test_code_lengths_by_definition():
+    """Costs equal those of a plain reading of counts in dictionaries."""
+    from loomgraph.llm.language_id import ORDER, _grams, build_tables
+
+    samples = {"a": "the cat sat on the mat and the dog".encode() * 3, "b": "der hund und die katze".encode() * 3}
+    rows = [(i, k, int(g), int(c)) for i, t in enumerate(samples.values()) for k, gram, n in _grams(t) for g, c in zip(gram, n, strict=True)]
+    tables = build_tables(list(samples), *(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+    counts = defaultdict(Counter)
+    for i, k, g, c in rows:
+        raw = g.to_bytes(k + 1, "big")
+        counts[i, raw[:-1]][raw[-1]] += c
+
+    def cost(i: int, context: bytes, b: int) -> float:
+        seen = counts.get((i, context))
+        lower = (lambda: cost(i, context[1:], b)) if context else (lambda: 8.0)
+        if not seen:
+            return lower()
+        total = sum(seen.values()) + len(seen)
+        return -math.log2(seen[b] / total) if b in seen else -math.log2(len(seen) / total) + lower()
+
+    for text in (b"the hund sat", b"zzz", b"d", b"und the", "né".encode()):
+        got = tables.costs(np.frombuffer(text, np.uint8))
+        for i in range(2):
+            want = [cost(i, text[max(0, p - ORDER) : p], text[p]) for p in range(len(text))]
+            assert np.allclose(got[:, i], want, atol=1e-3), text
+    assert score_texts(["the cat and the dog", None, "123 !!"], tables)[0][0] == "a"
+    assert [x[0] for x in score_texts([None, "", "12 ..."], tables)] == ["und"] * 3
+
+
+def test_language_edge_cases(spark):
+    assert predict_languages(empty(spark)).collect() == []
+    docs = documents(spark)
+    rows = {r["doc_id"]: r for r in predict_languages(docs).where("doc_id is not null").collect()}
+    assert rows[0]["lang_pred"] == rows[1]["lang_pred"] == rows[14]["lang_pred"] == "und"
+    assert rows[5]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in rows.values())
+    assert predict_languages(docs).count() == docs.count()
+    clash = docs.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "_rank", "_scored_text", "held_out")})
+    assert rows_of(predict_languages(clash)) == rows_of(predict_languages(docs))
+    assert train(docs.where("lang is null")) is None
+    assert {r["lang_pred"] for r in predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert docs.where(held_out()).count() == sum(__import__("zlib").crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs.where("doc_id is not null").collect())
+
+
+def test_scans_on_empty_tables_and_clashing_columns(spark, ratios):
+    assert license_report(empty(spark)).collect() == [] and secret_report(empty(spark), ratios).collect() == []
+    docs = documents(spark)
+    clash = docs.withColumns({c: F.lit("x") for c in ("places", "_words", "_rare", "n_words", "score", "base_spans", "added_spans", "word")})
+    assert rows_of(license_report(clash)) == rows_of(license_report(docs))
+    assert rows_of(secret_report(clash, ratios)) == rows_of(secret_report(docs, ratios))
