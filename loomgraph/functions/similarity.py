@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _norm(c: Column) -> Column:
@@ -58,7 +59,7 @@ def _jaro(s: str, t: str) -> float:
     return (m / len(s) + m / len(t) + (m - swapped) / m) / 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity raised by a tenth of its distance to 1 for each of up to four equal first characters."""
     out = []

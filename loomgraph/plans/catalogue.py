@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of loomgraph.plans with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("q_graph", "q_temporal", "q_quality")
+MODULES: tuple[str, ...] = ("q_graph", "q_temporal", "q_quality", "q_context")
 
 
 def _modules():
@@ -21,3 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: sql for m in _modules() for k, sql in m.ORACLE_SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved entities: duplicate names of one brand found, grouped and merged."""
+    return queries()["merged_entities"](spark, sf_dir)

@@ -35,7 +35,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     env["MALLOC_ARENA_MAX"] = "1"  # workers give back what they freed
     env["ARROW_DEFAULT_MEMORY_POOL"] = "system"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table needs no shuffle files
     return spark
 
