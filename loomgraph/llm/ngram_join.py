@@ -12,12 +12,13 @@ exact:
 3. Count vectors. The shingles are hashed once more into ``DIMENSIONS`` groups whose counts are a point. The sum of
    the smaller coordinates of two points bounds the overlap of the sets from above. In a block the points are
    packed into an R-tree; a node's upper corner bounds the overlap with all points below it.
-4. Pairs that the bound leaves are verified on the shingle sets.
+4. Pairs that the bound leaves are verified, first by 16 bits of each shingle, which bound the overlap more closely,
+   then on the shingle sets.
 
-A block of m nodes has no need for all its pairs, as only components are asked for: first every node is tried
-against the block's most central node (the one that shares most with others). Only blocks that this leaves in
-several components go through the R-tree, and only pairs of different components come out of it. Blocks of
-over ``CHUNK`` nodes are cut into pieces, every two of which meet in a task of their own.
+A block of m nodes has no need for all its pairs, as only components are asked for: every block has a centre (the
+node that shares most with others), and first every node is tried against the weightiest of its blocks' centres.
+Only blocks that this leaves in several components go through the R-tree, and only pairs of different components come
+out of it. Blocks of over ``CHUNK`` nodes are cut into pieces, every two of which meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from loomgraph.runtime import discard, materialize, prepare
 DIMENSIONS = 64
 CHUNK = 2048
 LEAF = 16
-CACHED_WORDS = 100_000
+CACHED_WORDS = 60_000
 #: Fixed odd multipliers of the 64-bit hash finaliser.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -130,6 +131,12 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Distinct 16-bit pieces of the shingles. Sets overlap in no more shingles than their sketches share pieces, plus
+    what either set has more shingles than pieces."""
+    return np.unique((shingles >> np.uint64(40)).astype(np.uint16)).view(np.int16)
+
+
 class CountTree:
     """An R-tree packed over count vectors; nodes keep their upper corner and least size."""
 
@@ -231,7 +238,7 @@ def _shared(signatures: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, node, n, counts, shingles); repeated rows may be given once."""
+    """(key, node, n, counts, sketch, shingles); repeated rows may be given once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -240,22 +247,29 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for doc, s in zip(batch.column(0).to_pylist(), sets, strict=True):
                 if len(s) and (set_key(s), doc) != last:
                     last = (set_key(s), doc)
-                    rows.append((*last, len(s), count_vector(s), s.view(np.int64)))
-            key, node, n, counts, shingles = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(shingles, pa.list_(pa.int64()))], ["key", "node", "n", "counts", "shingles"])
+                    rows.append((*last, len(s), count_vector(s), sketch(s), s.view(np.int64)))
+            key, node, n, counts, pieces, shingles = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.int16())), pa.array(shingles, pa.list_(pa.int64()))], ["key", "node", "n", "counts", "sketch", "shingles"])
 
-    return docs.mapInArrow(run, "key bigint, node bigint, n bigint, counts array<int>, shingles array<bigint>")
+    return docs.mapInArrow(run, "key bigint, node bigint, n bigint, counts array<int>, sketch array<smallint>, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): nodes of the pairs of keys (a, b) that link, first by the bound of the count vectors, then by the sets."""
-    light = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"c_{end}"))
-    bound = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    left = pairs.join(light("a"), "a").join(light("b"), "b").where((den + num) * bound >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
-    whole = lambda end: sets.select(F.col("key").alias(end), F.col("node").alias(f"node_{end}"), F.col("shingles").alias(f"s_{end}"))
-    both = left.join(whole("a"), "a").join(whole("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.where((den + num) * common >= num * (F.size("s_a") + F.size("s_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    """(a, b), a written table: nodes of the pairs of keys (a, b) that link, first by the sketches, then by the sets."""
+    side = lambda end, *columns: sets.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    joined = lambda df, *columns: df.join(side("a", *columns), "a").join(side("b", *columns), "b")
+    enough = lambda overlap, sizes: (den + num) * overlap.cast("long") >= num * sizes
+
+    pairs = materialize(pairs, "pairs")
+    shared = F.size(F.array_intersect("sketch_a", "sketch_b"))
+    spare = F.least(F.col("n_a") - F.size("sketch_a"), F.col("n_b") - F.size("sketch_b"))
+    near = materialize(joined(pairs, "n", "sketch").where(enough(shared + spare, F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "pairs")
+    discard(pairs)
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    exact = joined(near, "node", "shingles").where(enough(common, F.size("shingles_a") + F.size("shingles_b")))
+    links = materialize(exact.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
+    discard(near)
+    return links
 
 
 def _crossing_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -327,10 +341,11 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     sets = materialize(_sets(rows.join(active, F.col("doc") == F.col("node"), "left_semi"), width), "sets")
 
     weight = in_block.groupBy("key").agg(F.sum("m").alias("weight"))
-    centre = in_block.join(weight, "key").groupBy("sig").agg(F.max(F.struct("weight", "key")).alias("best")).select("sig", F.col("best.key").alias("centre"))
-    star = in_block.join(centre, "sig").where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    centre = in_block.join(weight, "key").groupBy("sig").agg(F.max(F.struct("weight", F.col("key").alias("centre"))).alias("best")).select("sig", "best.*")
+    best = in_block.join(centre, "sig").where("key <> centre").groupBy("key").agg(F.max_by("centre", F.struct("weight", "centre")).alias("centre"))
+    star = best.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     star = materialize(star, "star")
-    links = materialize(_verified(star, sets, num, den), "links")
+    links = _verified(star, sets, num, den)
     component = materialize(connected_components(links, "a", "b"), "components")
     discard(links)
 
@@ -339,7 +354,7 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     open_blocks = placed.join(mixed, "sig", "left_semi").join(sets.select("key", "n", "counts"), "key")
     crossing = _crossing_pairs(open_blocks, num, den).join(star, ["a", "b"], "left_anti")
-    more = materialize(_verified(crossing, sets, num, den), "links")
+    more = _verified(crossing, sets, num, den)
     discard(in_block, sets, star)
 
     # an id with several texts is one vertex
