@@ -40,7 +40,7 @@ NONE, IN_L, IN_N, IN_O, JOIN, IN_W, LONE, NEED1, NEED2, DONE = range(10)
 STATES, SYMBOLS = 10, 8
 BLOCK = 256
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 LONGEST_CACHED = 64
 
 
@@ -195,9 +195,14 @@ def encode_texts(texts: list[str | None], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = True) -> DataFrame:
-    """(id, ids array<int>[, offsets array<int>]) for every row; offsets are where each token starts in the
-    text's UTF-8 bytes. A null or empty text has no ids. Strings that look like special tokens are ordinary
+def decode_ids(ids: list[list[int] | None], ranks: Ranks) -> list[bytes]:
+    """The bytes of each list of ids; an unknown id fails."""
+    return [b"".join(map(ranks.pieces.__getitem__, x or ())) for x in ids]
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = True, decode: bool = False) -> DataFrame:
+    """(id, ids array<int>[, offsets array<int>][, bytes]) for every row; offsets are where each token starts in the
+    text's UTF-8 bytes, bytes what the ids decode to. A null or empty text has no ids. Strings that look like special tokens are ordinary
     text. Repeated rows stay repeated; other columns are not read."""
     prepare(docs.sparkSession)
 
@@ -214,11 +219,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                 if keep_offsets:
                     columns.append(pa.array([np.cumsum(size[x], dtype=np.int32) - size[x] for x in ids], pa.list_(pa.int32())))
                     names.append("offsets")
+                if decode:
+                    columns.append(pa.array(decode_ids([x.tolist() for x in ids], ranks), pa.binary()))
+                    names.append("bytes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = [docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if keep_offsets:
         fields.append(T.StructField("offsets", T.ArrayType(T.IntegerType())))
+    if decode:
+        fields.append(T.StructField("bytes", T.BinaryType()))
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
@@ -227,11 +237,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ranks_of(ranks_path).pieces
+        ranks = ranks_of(ranks_path)
         for batch in batches:
             ids = batch.column(1)
-            joined = [b"".join(map(pieces.__getitem__, x or ())) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(joined, pa.binary())], [id_col, ids_col, "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decode_ids(ids.to_pylist(), ranks), pa.binary())], [id_col, ids_col, "bytes"])
 
     schema = T.StructType([encoded.schema[id_col], encoded.schema[ids_col], T.StructField("bytes", T.BinaryType())])
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)

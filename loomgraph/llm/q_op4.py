@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.byte_bpe import decode_documents, encode_documents
+from loomgraph.llm.byte_bpe import encode_documents
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    decoded = decode_documents(encode_documents(docs, ranks_path, keep_offsets=False), ranks_path)
+    decoded = encode_documents(docs, ranks_path, keep_offsets=False, decode=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
