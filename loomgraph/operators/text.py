@@ -39,7 +39,7 @@ def fixed_windows(n: Column, size: int, overlap: int) -> Column:
     """Starts of windows of ``size`` over n units, each ``overlap`` units before the end of the one before; the last one
     ends at n."""
     step = size - overlap
-    count = F.when(n <= 0, 0).otherwise(F.ceil(F.greatest(n - size, F.lit(0)) / step) + 1).cast("int")
+    count = F.when(n > 0, F.ceil(F.greatest(n - size, F.lit(0)) / step) + 1).otherwise(0).cast("int")
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
