@@ -137,6 +137,20 @@ class PrefixCounter:
         first[0] += all_steps[0]
         return first
 
+    def word_count(self, word: str) -> int:
+        """The count at a word's last prefix."""
+        if len(word) > LONGEST_CACHED:
+            return self.counts(word)[-1]
+        self.steps(word)
+        return self.state[word][1]
+
+    def text_count(self, text: str) -> int:
+        """The count at the text's last prefix: words are counted apart, so the sum over their last prefixes."""
+        if not text:
+            return 0
+        get, count = self.state.get, self.word_count
+        return sum([s[1] if (s := get(w)) else count(w) for w in WORDS.findall(SPACE + text.replace(" ", SPACE))])
+
 
 @lru_cache(maxsize=4)
 def counter(model_path: str) -> PrefixCounter:
@@ -157,11 +171,12 @@ def token_prefix_steps(docs: DataFrame, model_path: str, id_col: str = "doc_id",
         for batch in batches:
             n_bytes, n_tokens, all_steps = [], [], []
             for text in batch.column(1).to_pylist():
-                steps = prefix.text_steps(text or "")
                 n_bytes.append(len((text or "").encode()))
-                n_tokens.append(int(steps.sum(dtype=np.int64)))
                 if keep_steps:
-                    all_steps.append(steps)
+                    all_steps.append(prefix.text_steps(text or ""))
+                    n_tokens.append(int(all_steps[-1].sum(dtype=np.int64)))
+                else:
+                    n_tokens.append(prefix.text_count(text or ""))
             out = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
             names = [id_col, "n_bytes", "n_tokens"]
             if keep_steps:
