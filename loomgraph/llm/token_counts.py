@@ -42,6 +42,11 @@ class PrefixCounter:
         special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)}
         self.longest = max(map(len, self.score))
+        ends: dict[str, set[int]] = {}
+        for piece in self.score:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        #: lengths of the pieces that end in these two characters, longest first
+        self.lengths = {e: tuple(sorted(n | ({1} if e[-1] in self.score else set()), reverse=True)) for e, n in ends.items()}
         self.reachable: dict[str, bool] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.state: dict[str, tuple[bytes, int, str | None]] = {"": (b"", 0, None)}
@@ -99,7 +104,7 @@ class PrefixCounter:
         if len(word) > LONGEST_CACHED:
             counts = np.array(self.counts(word), np.int64)
             return np.diff(counts, prepend=0).astype("<i2").tobytes()
-        state, score, longest, fits = self.state, self.score, self.longest, self.fits
+        state, score, lengths, fits = self.state, self.score, self.lengths, self.fits
         if len(state) >= CACHED_PREFIXES:
             state.clear()
             state[""] = (b"", 0, None)
@@ -108,9 +113,10 @@ class PrefixCounter:
             k -= 1
         steps, count, t = state[word[:k]]
         for i in range(k + 1, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            for n in lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or lengths.get(word[i - 1], ()):
+                j = i - n
                 t = word[j:i]
-                if t in score:
+                if j >= 0 and t in score:
                     _, before, p = state[word[:j]]
                     ok = fits.get((p, t))
                     if ok is None:
