@@ -14,7 +14,7 @@ are cached.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,24 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct word prefixes whose state one worker keeps; beyond it the cache starts anew (results do not change).
 CACHED_PREFIXES = 600_000
 LONGEST_CACHED = 64
+#: Distinct words whose count one worker keeps, likewise.
+CACHED_WORDS = 1_000_000
+NEVER = float("-inf")
+
+
+class Memo(dict):
+    """A dict that fills its gaps by ``make`` and starts anew once it holds ``most`` entries."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        if len(key) <= LONGEST_CACHED:
+            self[key] = value
+        return value
 
 
 class PrefixCounter:
@@ -47,36 +65,57 @@ class PrefixCounter:
             ends.setdefault(piece[-2:], set()).add(len(piece))
         #: lengths of the pieces that end in these two characters, longest first
         self.lengths = {e: tuple(sorted(n | ({1} if e[-1] in self.score else set()), reverse=True)) for e, n in ends.items()}
-        self.reachable: dict[str, bool] = {}
+        by_end: dict[str, list[int]] = {}
+        for piece in self.score:
+            if len(piece) > 2:
+                by_end.setdefault(piece[-3:], []).append(len(piece))
+        self.by_end = {e: tuple(sorted(set(n))) for e, n in by_end.items()}
+        #: lengths of the pieces that can end a text whose last characters, three at most, are these
+        self.ends = Memo(self.end_lengths, CACHED_WORDS)
+        #: for every piece: which last tokens before it hold (None: it is the first)
+        self.after: dict[str, dict[str | None, bool]] = {p: {} for p in self.score}
+        self.by_word = Memo(self.word_count, CACHED_WORDS)
+        self.history = Memo(self.merges, CACHED_WORDS)
         self.fits: dict[tuple[str, str], bool] = {}
         self.state: dict[str, tuple[bytes, int, str | None]] = {"": (b"", 0, None)}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece continues past a word start; words can't be counted apart")
 
-    def merge(self, text: str) -> list[str]:
-        """Merging by the best score, leftmost first among equals; for short strings."""
-        parts = list(text)
+    def merges(self, text: str) -> list[tuple[float, str, str]]:
+        """Merging by the best score, leftmost first among equals: (score, first part, last part) after every merge."""
+        parts, score, found = list(text), self.score, []
         while True:
-            best, at = None, -1
+            best, at = NEVER, -1
             for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
+                s = score.get(parts[i] + parts[i + 1], NEVER)
+                if s > best:
                     best, at = s, i
             if at < 0:
-                return parts
+                return found
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found.append((best, parts[0], parts[-1]))
 
     def pair_holds(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            found = self.fits[left, right] = self.merge(left + right) == [left, right]
-        return found
+        """Whether two tokens side by side stay as they are: their own merges take turns by score (the left one first
+        among equals), and the parts that touch must never be the best to merge."""
+        score, own_left, own_right = self.score, self.history[left], self.history[right]
+        i, j, a, b = 0, 0, left[-1], right[0]
+        while True:
+            s_left = own_left[i][0] if i < len(own_left) else NEVER
+            s_right = own_right[j][0] if j < len(own_right) else NEVER
+            across = score.get(a + b, NEVER)
+            if across > s_left and across >= s_right and across > NEVER:
+                return False
+            if s_left == s_right == NEVER:
+                return True
+            if s_left >= s_right:
+                a, i = own_left[i][2], i + 1
+            else:
+                b, j = own_right[j][1], j + 1
 
     def is_token(self, piece: str) -> bool:
-        found = self.reachable.get(piece)
-        if found is None:
-            found = self.reachable[piece] = self.merge(piece) == [piece]
-        return found
+        found = self.history[piece]
+        return len(piece) == 1 or bool(found) and found[-1][1] == piece
 
     def counts(self, word: str) -> list[int]:
         """Token count of word[:1], word[:2], ...; a character outside the vocabulary counts its UTF-8 bytes."""
@@ -143,19 +182,36 @@ class PrefixCounter:
         first[0] += all_steps[0]
         return first
 
+    def end_lengths(self, end: str) -> tuple[int, ...]:
+        short = tuple(n for n in (1, 2) if n <= len(end) and end[-n:] in self.score)
+        return short + (self.by_end.get(end, ()) if len(end) == 3 else ())
+
     def word_count(self, word: str) -> int:
         """The count at a word's last prefix."""
-        if len(word) > LONGEST_CACHED:
-            return self.counts(word)[-1]
-        self.steps(word)
-        return self.state[word][1]
+        after, ends = self.after, self.ends
+        count, last = [0], [None]
+        for i in range(1, len(word) + 1):
+            for n in ends[word[i - 3 : i] if i > 3 else word[:i]]:
+                known = after.get(t := word[i - n : i]) if n <= i else None
+                if known is not None:
+                    p = last[i - n]
+                    ok = known.get(p)
+                    if ok is None:
+                        ok = known[p] = self.is_token(t) and (p is None or self.pair_holds(p, t))
+                    if ok:
+                        count.append(count[i - n] + 1)
+                        last.append(t)
+                        break
+            else:  # byte fallback: nothing merges across it
+                count.append(count[-1] + len(word[i - 1].encode()))
+                last.append(None)
+        return count[-1]
 
     def text_count(self, text: str) -> int:
         """The count at the text's last prefix: words are counted apart, so the sum over their last prefixes."""
         if not text:
             return 0
-        get, count = self.state.get, self.word_count
-        return sum([s[1] if (s := get(w)) else count(w) for w in WORDS.findall(SPACE + text.replace(" ", SPACE))])
+        return sum(map(self.by_word.__getitem__, WORDS.findall(SPACE + text.replace(" ", SPACE))))
 
 
 @lru_cache(maxsize=4)
