@@ -4,13 +4,15 @@ Spark's regular expressions give matches but no positions. Splitting a text at t
 stretches between the matches, so a running sum over the lengths of both gives every start and end.
 
 The models: first-order Markov chains over the characters of random strings and of ordinary identifiers, trained
-by counting character pairs of labelled samples. A long run of token characters is reported when the mean
-log-likelihood ratio of its pairs says "random".
+by counting character pairs of labelled samples. A long run of token characters, without the fixed patterns' spans in
+it, is reported when its best contiguous stretch says "random": ordinary text beside a key in one run takes nothing
+from the key's score.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,12 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r
 #: Where none of these occurs, the pattern can't match; they only save work.
 QUICK = {"assign": ASSIGN, "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 MARKOV = "markov"
-#: What the models judge: whole runs of token characters of at least 20.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: What the models judge: runs of token characters of at least LEAST_STRETCH.
+LEAST_STRETCH = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_STRETCH},}}+"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: A span with the range that is judged.
+PIECE = "array<struct<start:bigint,kind:int,end:bigint,low:bigint,high:bigint>>"
 
 #: Words that the identifier samples are made of.
 IDENTIFIER_WORDS = """get set add list item user name value index count total input output result buffer request response
@@ -43,13 +48,19 @@ the and that this with from have which their there would about other into than t
 
 def training_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     """(text, random): labelled strings. Random ones are digests written in base 64, base 36 style capitals and
-    hexadecimal; identifiers join ordinary words in the usual ways."""
+    hexadecimal; identifiers join ordinary words in the usual ways, in paths and assignments with numbers and dates too,
+    and separator lines repeat one or two characters."""
     ids = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     base64 = F.translate(F.base64(F.unhex("digest")), "=", "")
     words = F.array(*map(F.lit, IDENTIFIER_WORDS))
     word = lambda k: F.get(words, F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
     title = lambda k: F.initcap(word(k))
-    random = F.array(base64, F.upper(F.regexp_replace(base64, "[+/]", "")), F.col("digest"), F.substring(base64, 3, 24))
+    upper = lambda k: F.upper(word(k))
+    number, digit = F.col("id").cast("string"), lambda m: F.lpad((F.col("id") % m + 1).cast("string"), 2, "0")
+    date = F.concat_ws("-", (1990 + F.col("id") % 40).cast("string"), digit(12), digit(28))
+    rule = lambda n, chars: F.get(F.array(*map(F.lit, chars)), F.pmod(n, F.lit(len(chars))).cast("int"))
+    repeated = lambda text, n: F.repeat(text, n.cast("int"))
+    random = F.array(base64, F.upper(F.regexp_replace(base64, "[+/]", "")), F.col("digest"), F.substring(base64, 3, 24), F.translate(base64, "+/", "-_"))
     ordinary = F.array(
         F.concat(word(1), word(2), word(3)),
         F.concat_ws("_", word(4), word(5), word(6), word(7)),
@@ -57,13 +68,18 @@ def training_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
         F.upper(F.concat_ws("_", word(12), word(13), word(14))),
         F.concat_ws("/", word(15), word(16), word(17), F.concat(word(18), F.pmod("id", F.lit(100)).cast("string"))),
         F.concat_ws("-", word(19), word(20), word(21)),
+        F.concat_ws("/", word(22), F.concat(word(23), title(24)), F.concat_ws("_", upper(25), upper(26)), F.concat(word(27), number), date, F.concat_ws("-", word(28), word(29))),
+        F.concat(word(30), F.lit("="), F.concat_ws("/", F.concat(title(31), title(32), F.lit("-"), number, F.lit("_"), word(33)), title(34), F.translate(date, "-", "/"), F.concat_ws("=", upper(35), word(36)))),
+        repeated(rule(F.col("id"), "-_=+/xX0"), 20 + F.col("id") % 60),
+        repeated(F.concat(rule(F.col("id"), "-_=+/"), rule(F.floor(F.col("id") / 5), "-_=+/")), 10 + F.col("id") % 30),
     )
     one = lambda texts, label: ids.select(F.explode(texts).alias("text"), F.lit(label).alias("random"))
     return one(random, True).unionByName(one(ordinary, False))
 
 
 def train_pair_ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """log2 P(b | a, random) - log2 P(b | a, ordinary) for all pairs of ASCII characters, at index 128 a + b.
+    """log2 P(b | a, random) - log2 P(b | a, ordinary) for all pairs of ASCII characters, at index 128 a + b;
+    0 for pairs that neither has.
 
     What comes to the driver is at most 2 x 128 x 128 counts, however many samples there are."""
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
@@ -72,7 +88,8 @@ def train_pair_ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]
     alphabet = 66
     total = {(label, a): sum(counts.get((label, a, b), 0) for b in range(128)) for label in (True, False) for a in range(128)}
     score = lambda label, a, b: math.log2((counts.get((label, a, b), 0) + smoothing) / (total[label, a] + smoothing * alphabet))
-    return [score(True, a, b) - score(False, a, b) for a in range(128) for b in range(128)]
+    seen = lambda a, b: (True, a, b) in counts or (False, a, b) in counts
+    return [score(True, a, b) - score(False, a, b) if seen(a, b) else 0.0 for a in range(128) for b in range(128)]
 
 
 def _all_matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
@@ -92,11 +109,39 @@ def _all_matches(text: Column, pattern: str, kind: int, group: int, least: int)
     return F.aggregate(rows, zero, step, lambda acc: acc["spans"])
 
 
-def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", least_mean: float = 0.6) -> DataFrame:
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(run: Column, base: Column) -> Column:
+    """What is left of a run after cutting out the base spans, with the stretch to judge: a piece also has the
+    characters of the run next to it."""
+    piece = lambda start, end: F.struct(
+        start.alias("start"), run["kind"].alias("kind"), end.alias("end"),
+        F.greatest(run["start"], start - 1).alias("low"), F.least(run["end"], end + 1).alias("high"),
+    )
+    zero = F.struct(run["start"].alias("at"), F.array().cast(PIECE).alias("pieces"))
+
+    def step(acc: Column, b: Column) -> Column:
+        more = F.when(b["start"] > acc["at"], F.concat(acc["pieces"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["pieces"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more.alias("pieces"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["at"] < run["end"], F.concat(acc["pieces"], F.array(piece(acc["at"], run["end"])))).otherwise(acc["pieces"])
+
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(inside, zero, step, finish)
+
+
+def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", least_mean: float = 0.6, least_bits: float = 25.0) -> DataFrame:
     """``docs`` with ``base_spans`` and ``added_spans``: array<struct<start, kind, end>> in code points, end
     exclusive, kind an index into the listed kinds (3: found by the models), in order.
 
-    A null or empty text has no spans. A span found by the models that overlaps a base span is not added.
+    A null or empty text has no spans. The models judge what is left of a run without the base spans in it, so no span
+    of theirs overlaps one. A piece is added whole if any stretch of at least LEAST_STRETCH characters in it has
+    log-likelihood ratios that sum to ``least_bits`` over ``least_mean`` a pair. A shorter piece lies beside a base
+    span; it is the rest of a longer key, and added, if the mean of its pairs reaches ``least_mean``.
     Existing columns of the two names are replaced; all other columns stay as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -104,17 +149,33 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", l
     found = [F.when(text.rlike(QUICK[kind]), _all_matches(text, pattern, k, group, least)).otherwise(none) for k, (kind, pattern, group, least) in enumerate(BASE)]
     docs = docs.withColumn("base_spans", F.array_sort(F.concat(*found)))
 
-    table = F.lit(ratios)
-    code = lambda run, i: F.ascii(run.substr(i, F.lit(1)))
-
-    def looks_random(span: Column) -> Column:
-        run = text.substr((span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(run, i) * 128 + code(run, i + 1)))
-        return total / (F.length(run) - 1) >= least_mean
-
-    runs = F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), _all_matches(text, CANDIDATE, len(BASE), 0, 20)).otherwise(none)
-    apart = lambda span: ~F.exists("base_spans", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    return docs.withColumn("added_spans", F.filter(F.filter(runs, apart), looks_random))
+    table, pairs = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>"), LEAST_STRETCH - 1
+    zero = F.struct(*[F.lit(x).cast("double").alias(name) for name, x in (("sum", 0), ("late", 0), ("low", 0), ("best", -1e18))])
+
+    def best_stretch(gains: Column) -> Column:
+        """(sum, best) of the gains: of all, and of the best stretch of enough pairs. ``late`` is the running sum where
+        the shortest stretch that ends here begins, ``low`` the least of those up to here."""
+
+        def step(acc: Column, i: Column) -> Column:
+            total = acc["sum"] + F.get(gains, i)
+            late = acc["late"] + F.when(i >= pairs, F.get(gains, i - pairs)).otherwise(0.0)
+            low = F.least(acc["low"], late)
+            best = F.when(i >= pairs - 1, F.greatest(acc["best"], total - low)).otherwise(acc["best"])
+            return F.struct(total.alias("sum"), late.alias("late"), low.alias("low"), best.alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(gains) - 1), zero, step)
+
+    def looks_random(piece: Column) -> Column:
+        whole = piece["end"] - piece["start"] >= LEAST_STRETCH
+        low, high = F.when(whole, piece["start"]).otherwise(piece["low"]), F.when(whole, piece["end"]).otherwise(piece["high"])
+        run = text.substr((low + 1).cast("int"), (high - low).cast("int"))
+        gain = lambda codes, i: F.get(table, F.get(codes, i) * 128 + F.get(codes, i + 1)) - least_mean
+        gains = _bound(F.transform(F.split(run, ""), F.ascii), lambda codes: F.transform(F.sequence(F.lit(0), (high - low - 2).cast("int")), lambda i: gain(codes, i)))
+        return _bound(_bound(gains, best_stretch), lambda found: F.when(whole, found["best"] >= least_bits).otherwise(found["sum"] >= 0))
+
+    runs = F.when(text.rlike(rf"[A-Za-z0-9+/_=-]{{{LEAST_STRETCH}}}"), _all_matches(text, CANDIDATE, len(BASE), 0, LEAST_STRETCH)).otherwise(none)
+    pieces = F.flatten(F.transform(runs, lambda run: _pieces(run, F.col("base_spans"))))
+    return docs.withColumn("added_spans", F.transform(F.filter(pieces, looks_random), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))))
 
 
 def spans_text(spans: Column) -> Column:

@@ -109,6 +109,63 @@ def test_added_spans_do_not_overlap_base_spans_and_are_redacted(spark, ratios):
         assert r["clean"] == ("".join(out) + text[at:] if out else text)
 
 
+def key(seed: object, n: int) -> str:
+    """Random alphanumerics."""
+    import random
+    import string
+
+    return "".join(random.Random(str(seed)).choices(string.ascii_letters + string.digits, k=n))
+
+
+def added(spark, ratios, texts: list[str]) -> list[list[tuple[int, int]]]:
+    found = find_secrets(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ratios).orderBy("id").collect()
+    return [[(s["start"], s["end"]) for s in r["added_spans"]] for r in found]
+
+
+def test_keys_beside_ordinary_text_in_one_run_are_found(spark, ratios):
+    path = "/home/service/backup/customer/archive/weather/report"
+    made = {
+        "name": [f"PAYMENT_SERVICE_CLIENT_CREDENTIAL_VALUE={key(i, 32)}" for i in range(50)],
+        **{f"path {n}": [f"{path}/{key((n, i), n)}" for i in range(50)] for n in (24, 32, 40)},
+        "between": [f"{path}/{key(('b', i), 24)}{path}" for i in range(50)],
+        "alone": [key(("a", i), 20) for i in range(50)],
+    }
+    for name, texts in made.items():
+        assert sum(spans == [(0, len(t))] for t, spans in zip(texts, added(spark, ratios, texts), strict=True)) >= 48, name
+    assert sum(map(len, added(spark, ratios, [path, path * 4, "PAYMENT_SERVICE_CLIENT_CREDENTIAL_VALUE=customer_archive_weather_report"]))) == 0
+
+
+def test_rest_of_a_run_with_a_base_span_is_judged(spark, ratios):
+    digest = "0123456789abcdef01234567"
+    texts = [f"{key(('l', i), n)}Z{digest}Y{key(('r', i), n)}" for n in (8, 30) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    clean = find_secrets(docs, ratios).select(redact(F.col("text"), F.concat("base_spans", "added_spans"))).collect()
+    assert sum(r[0].replace("[SECRET]", "") == "" for r in clean) >= 48
+    ordinary = f"customer/archive/weather/report/{digest}/index/history"
+    assert added(spark, ratios, [ordinary, "PAYMENT_SERVICE_CLIENT_token=hunter22", f"commit/{digest}"]) == [[], [], []]
+
+
+def test_url_safe_base64_is_random_and_separator_lines_are_not(spark, ratios):
+    import base64
+
+    texts = [base64.urlsafe_b64encode(hashlib.sha256(f"u{i}".encode()).digest()[:24]).decode() for i in range(50)]
+    assert sum(map(bool, added(spark, ratios, texts))) >= 48
+    lines = [c * n for c in "-_=+/" for n in (20, 41, 120)] + ["+" + "-" * 30 + "+", "-=" * 20, "x" * 40]
+    assert added(spark, ratios, lines) == [[] for _ in lines]
+    both, never = (sum(ratios[128 * ord(a) + ord(b)] == 0.0 for a in chars for b in chars) for chars in ("abc", "\x01\x02"))
+    assert both == 0 and never == 4
+
+
+def test_best_stretch_by_brute_force(spark, ratios):
+    texts = [key(i, 8) + "customerarchive" * (i % 3) + key(("z", i), i) + "_report" * (i % 4) for i in range(12, 40)]
+    for bits in (10.0, 25.0, 60.0):
+        found = find_secrets(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ratios, least_bits=bits).orderBy("id").collect()
+        for t, r in zip(texts, found, strict=True):
+            gains = [ratios[128 * ord(a) + ord(b)] - 0.6 for a, b in zip(t, t[1:])]
+            best = max((sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 19, len(gains) + 1)), default=-1)
+            assert bool(r["added_spans"]) == (not r["base_spans"] and best >= bits), t
+
+
 # URLs
 
 def test_rules_by_brute_force(spark):
