@@ -1,7 +1,8 @@
 """URL filters: block and allow rules, and gradient-boosted trees on lexical features for the rest.
 
 The trees (Spark ML) see the length, depth, digit ratio, entropy, parameters, hyphens and suffix statistics of a
-URL and are trained from labelled URLs; ``labelled_urls`` builds a set of fixed size by a rule.
+URL and are trained from labelled URLs; ``labelled_urls`` builds a set of fixed size by a rule. The trees see no
+words: they judge the shape of a URL, not what its host is called.
 """
 
 from __future__ import annotations
@@ -21,6 +22,19 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Words that the hosts and paths of the labelled URLs are made of.
 UNWANTED = "spam farm cheap pills casino bonus win free viagra loan credit fast cash poker bet adult xxx hot deal replica watch crypto prize click".split()
 WANTED = "news blog docs wiki school library museum city weather science music garden travel history research open data health sport kitchen".split()
+#: How URLs of either class (is it bad?) are made: values that are drawn alike, and shares in percent.
+SHAPES = {
+    False: {
+        "words": (1, 1, 2, 2, 2, 3), "hyphens": 45, "code_label": 4, "word_label": 35, "host_digits": (0,) * 9 + (2,),
+        "suffixes": ("org",) * 6 + ("com",) * 6 + ("net",) * 3 + ("edu",) * 3 + ("info", "site"),
+        "code_segment": 8, "depths": (0, 1, 1, 2, 2, 2, 3, 4), "parameters": (0,) * 7 + (1, 1, 2), "code_value": 10,
+    },
+    True: {
+        "words": (1, 2, 2, 3, 3, 4), "hyphens": 60, "code_label": 40, "word_label": 20, "host_digits": (0, 0, 0, 1, 2, 2, 3, 4),
+        "suffixes": ("com",) * 5 + ("org", "net") + ("info",) * 4 + ("site",) * 5 + ("biz",) * 4,
+        "code_segment": 40, "depths": (0, 1, 2, 3, 3, 4, 5, 6), "parameters": (0, 0, 1, 2, 2, 3, 3, 4), "code_value": 60,
+    },
+}
 FEATURES = ("url_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels_in_host", "suffix_rate")
 
 
@@ -76,30 +90,42 @@ def lexical_features(urls: DataFrame, url_col: str, suffix_rates: dict[str, floa
 
 
 def labelled_urls(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """(url, bad): n URLs of each class, put together from word lists by the hash of their number."""
-    pick = lambda words, k: F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(words))).cast("int"))
-    number = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m)).cast("string")
-    chance = lambda k, share: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(100)) < share
-    tail = F.concat(F.when(chance(40, 30), F.concat(F.lit("?page="), number(41, 9), F.lit("&ref=x"))).when(chance(42, 30), "?utm_source=feed").otherwise(""), F.when(chance(43, 10), "#top").otherwise(""))
-    start = F.concat(pick(["http://", "https://"], 1), pick(["", "www.", "m.", "blog."], 2))
-    end = F.concat(F.lit("/"), pick(["en", "de", "fr", "es", "item", "p"], 3), F.lit("/"), number(4, 1000), pick(["", "/", ".html"], 5), tail)
-    suffix = pick(["com", "org", "net", "com", "org"], 6)
-    bad = F.concat(pick(UNWANTED, 10), F.lit("-"), pick(UNWANTED, 11), F.when(chance(12, 30), F.concat(F.lit("-"), pick(UNWANTED, 13))).otherwise(""), F.when(chance(14, 20), number(15, 100)).otherwise(""))
-    good = F.concat(pick(WANTED, 20), F.when(chance(21, 50), pick(WANTED, 22)).otherwise(""))
-    host = lambda name: F.concat(name, F.when(chance(30, 60), ".example").otherwise(""), F.lit("."), suffix)
-    ids = spark.range(n)
-    one = lambda name, label: ids.select(F.concat(start, host(name), end).alias("url"), F.lit(label).alias("bad"))
-    return one(bad, True).unionByName(one(good, False))
+    """(url, bad): n URLs of each class, put together from word lists by the hash of their number.
 
+    Every part has each of its forms in both classes, at the rates of SHAPES: no single feature separates them."""
+    ids = spark.range(n)
 
-def train_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "bad", max_rows: int = 20_000, max_suffixes: int = 200) -> tuple[PipelineModel, dict[str, float]]:
+    def one(bad: bool) -> DataFrame:
+        shape, words = SHAPES[bad], UNWANTED if bad else WANTED
+        draw = lambda k, m: F.pmod(F.xxhash64(F.lit(k), F.lit(bad), "id"), F.lit(m)).cast("int")
+        pick = lambda values, k: F.get(F.array(*map(F.lit, values)), draw(k, len(values)))
+        code = lambda k, length: F.substring(F.sha2(F.concat_ws(":", F.lit(k), F.lit(bad), "id"), 256), F.lit(1), length)
+        digits = lambda k, length: F.substring(F.translate(code(k, F.lit(64)), "abcdef", ""), F.lit(1), length)
+        chance = lambda k, share: draw(k, 100) < share
+
+        name = F.slice(F.array(*[pick(words, 10 + i) for i in range(4)]), F.lit(1), pick(shape["words"], 1))
+        name = F.when(chance(2, shape["hyphens"]), F.array_join(name, "-")).otherwise(F.array_join(name, ""))
+        below = F.when(chance(3, shape["code_label"]), F.concat(code(4, 3 + draw(5, 6)), F.lit("."))).when(chance(6, shape["word_label"]), F.concat(pick(words, 7), F.lit("."))).otherwise("")
+        host = F.concat(below, name, digits(8, pick(shape["host_digits"], 9)), F.lit("."), pick(shape["suffixes"], 20))
+        segment = lambda k: F.when(chance(k, shape["code_segment"]), code(k + 1, 4 + draw(k + 2, 9))).otherwise(pick(words, k + 3))
+        path = F.array_join(F.slice(F.array(*[segment(30 + 10 * i) for i in range(6)]), F.lit(1), pick(shape["depths"], 21)), "/")
+        parameter = lambda k: F.concat(pick(("q", "v", "key", "sort", "cat", "c"), k), F.lit("="), F.when(chance(k + 1, shape["code_value"]), code(k + 2, 6 + draw(k + 3, 11))).otherwise(pick(words, k + 4)))
+        parameters = F.array_join(F.slice(F.array(*[parameter(100 + 10 * i) for i in range(4)]), F.lit(1), pick(shape["parameters"], 22)), "&")
+        tail = F.when(parameters == "", "").otherwise(F.concat(F.lit("?"), parameters))
+        return ids.select(F.concat(pick(["http://", "https://"], 23), host, F.lit("/"), path, tail).alias("url"), F.lit(bad).alias("bad"))
+
+    return one(True).unionByName(one(False))
+
+
+def train_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "bad", max_rows: int = 20_000, max_suffixes: int = 200, features: tuple[str, ...] = FEATURES) -> tuple[PipelineModel, dict[str, float]]:
     """The trees and the share of bad URLs by suffix, smoothed, from at most ``max_rows`` labelled rows (those
-    whose URL has the smallest hash); of the suffixes the ``max_suffixes`` most frequent count."""
+    whose URL has the smallest hash); of the suffixes the ``max_suffixes`` most frequent count.
+    The trees see ``features`` only."""
     sample = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
     rates = sample.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix")).agg(F.count("*").alias("n"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("rate")).orderBy(F.desc("n"), "suffix").limit(max_suffixes)
     suffix_rates = {r["suffix"]: r["rate"] for r in rates.collect()}
     rows = lexical_features(sample, "url", suffix_rates).coalesce(1)
-    stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(maxIter=10, maxDepth=3, seed=7)]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), GBTClassifier(maxIter=10, maxDepth=3, seed=7)]
     return Pipeline(stages=stages).fit(rows), suffix_rates
 
 

@@ -18,7 +18,7 @@ from loomgraph.llm.q_op2 import ORACLE_SQL, license_report
 from loomgraph.llm.q_op7 import held_out, predict_languages
 from loomgraph.llm.q_op9 import secret_report
 from loomgraph.llm.secrets import find_secrets, redact, train_pair_ratios, training_samples
-from loomgraph.llm.url_filter import RULES, filter_urls, labelled_urls, train_url_model
+from loomgraph.llm.url_filter import FEATURES, RULES, filter_urls, labelled_urls, train_url_model
 
 
 # licences
@@ -190,6 +190,25 @@ def test_trees_on_held_out_urls(spark):
     assert scored.select(F.avg(((F.col("score") > 0.5) == F.col("bad")).cast("double"))).first()[0] > 0.9
 
 
+def test_no_single_feature_is_the_url_model(spark):
+    """Classes overlap in hyphens and suffixes, and the trees work without either and without any one feature."""
+    labelled = labelled_urls(spark, 1500)
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    seen = {(r["bad"], r["h"]): r["count"] for r in labelled.groupBy("bad", host.contains("-").alias("h")).count().collect()}
+    assert all(seen.get((bad, h), 0) > 150 for bad in (True, False) for h in (True, False))
+    rows = labelled.withColumn("page_id", F.xxhash64("url")).dropDuplicates(["page_id"]).localCheckpoint()
+    part = F.pmod(F.col("page_id"), F.lit(3)) == 0
+    for left_out in (("hyphens",), ("suffix_rate", "hyphens"), ("digit_ratio",)):
+        model, rates = train_url_model(rows.where(~part), features=tuple(f for f in FEATURES if f not in left_out))
+        scored = filter_urls(rows.where(part), model, rates, rules=()).join(rows, "page_id")
+        assert scored.select(F.avg(((F.col("score") > 0.5) == F.col("bad")).cast("double"))).first()[0] > 0.85, left_out
+    model, rates = train_url_model(rows)
+    assert all(abs(rate - 0.5) > 0.1 for suffix, rate in rates.items() if suffix in ("org", "edu", "site", "biz"))
+    urls = ["http://city-library.org/music/week", "http://citylibrary.org/music/week", "http://casinobonus77.site/a81f/b2/c93d0/win?v=81fa02bc&key=0a91", "http://casino-bonus77.site/a81f/b2/c93d0/win?v=81fa02bc&key=0a91"]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model, rates, rules=()).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["allow", "allow", "block", "block"]
+
+
 def test_urls_empty_table_and_clash(spark):
     model, rates = train_url_model(labelled_urls(spark, 200))
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), model, rates).collect() == []
