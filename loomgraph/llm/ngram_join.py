@@ -4,25 +4,26 @@ Documents are sets of hashed word shingles; two link when their Jaccard similari
 exact:
 
 1. Documents with equal sets are one node.
-2. Candidates. Linked sets A, B differ in at most d = (den - num) / (den + num) * (|A| + |B|) shingles. The shingles
-   are hashed into more than d groups, so at least one group is the same in both: nodes that share the content
-   of a group stand in one block. The number of groups depends on the size class of the smaller set, so a set takes
-   part in its own class and the one below. A group's content counts only if it is not empty, unless so many
-   groups are empty that the others may all differ.
-3. Count vectors. The shingles are hashed once more into ``DIMENSIONS`` groups whose counts are a point. The sum of
-   the smaller coordinates of two points bounds the overlap of the sets from above. In a block the points are
-   packed into an R-tree; a node's upper corner bounds the overlap with all points below it.
-4. Pairs that the bound leaves are verified, first by 16 bits of each shingle, which bound the overlap more closely,
-   then on the shingle sets.
-
-A block of m nodes has no need for all its pairs, as only components are asked for: every block has a centre (the
-node that shares most with others), and first every node is tried against the weightiest of its blocks' centres.
-Only blocks that this leaves in several components go through the R-tree, and only pairs of different components come
-out of it. Blocks of over ``CHUNK`` nodes are cut into pieces, every two of which meet in a task of their own.
+2. Candidates. All shingles are brought into one order, roughly from rare to common. Linked sets must share
+   ceil(num / den * |A|) shingles, so they share one of the first |A| - ceil(num / den * |A|) + 1 shingles of either
+   (its prefix), whatever the order is: nodes with a shingle of their prefixes in common stand in one block. The
+   order decides only how large blocks are. It comes from counts of all documents' shingles in ``BUCKETS`` buckets:
+   a passage that many documents share stands last and stays out of prefixes.
+3. Count vectors. Shingles are hashed into groups whose counts are a point. The sum of the smaller coordinates of two
+   points bounds the overlap of the sets from above. In a block the points of ``DIMENSIONS`` groups are packed into an
+   R-tree; a tree node's upper corner bounds the overlap with all points below it. What this leaves is bounded once
+   more by the same points at 65,536 groups, which hardly overestimates.
+4. A block gives out a spanning forest of the pairs that the bounds leave, at most one pair fewer than it has nodes,
+   and these pairs are verified on the shingle sets. Where a pair of a forest turns out not to link, its block
+   is gone through once more without that short cut: all its pairs between different components are verified.
+
+Blocks of over ``CHUNK`` nodes or ``ELEMENTS`` shingles are cut into pieces, every two of which meet in a task of their
+own.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import discard, materialize, prepare
 
 DIMENSIONS = 64
-CHUNK = 2048
+#: Buckets in which shingles are counted for their order, and the rows in which a task hands its counts on.
+BUCKETS, SLICES, SHIFT = 1 << 20, 256, np.uint64(44)
+#: Nodes of a block, and shingles of its nodes, that meet in one piece.
+CHUNK, ELEMENTS = 2048, 4_000_000
 LEAF = 16
 CACHED_WORDS = 60_000
 #: Fixed odd multipliers of the 64-bit hash finaliser.
@@ -90,51 +93,26 @@ def set_key(shingles: np.ndarray) -> int:
     return int(_mix(total + _salt(len(shingles), M1)).view(np.int64)[0])
 
 
-class Classes:
-    """Size classes of a threshold: their bounds, and the number of groups of each."""
+def prefix_length(size: int, num: int, den: int) -> int:
+    """How many of a set's first shingles hold one in common with every set that it links with."""
+    return size - -(-num * size // den) + 1
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 31):
-        self.num, self.den = num, den
-        low = [1]
-        while low[-1] <= largest:
-            low.append(max(low[-1] + 1, -(-low[-1] * den // num)))
-        self.low = np.array(low)
-        top = self.low[1:] - 1  # the largest size in each class
-        self.differ = (den - num) * (top + top * den // num) // (den + num)
-        self.groups = np.where(self.differ > 0, self.differ + 1 + self.differ // 20, 0)
-
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash for the content of every group, in the set's own class and the one below."""
-        if not len(shingles):
-            return np.zeros(0, np.int64)
-        own = int(np.searchsorted(self.low, len(shingles), side="right")) - 1
-        found = []
-        for c in {own, max(own - 1, 0)}:
-            groups = int(self.groups[c])
-            if not groups:  # only equal sets link in this class
-                continue
-            salted = _mix(shingles + _salt(c + 1, M2))
-            group = (salted >> np.uint64(32)) % np.uint64(groups)
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            content, filled = np.add.reduceat(salted[order], first), group[first]
-            if len(filled) <= self.differ[c]:  # all of these may differ: empty groups count too
-                empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), filled)
-                content, filled = np.append(content, np.zeros(len(empty), np.uint64)), np.append(filled, empty)
-            found.append(_mix(_mix(content + filled * M1) + _salt(c, M2)))
-        return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+
+def count_vector(pieces: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of ``DIMENSIONS`` groups, from their 16-bit groups."""
+    return np.bincount(pieces >> 10, minlength=DIMENSIONS).astype(np.int32)
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of ``DIMENSIONS`` groups."""
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+def sketch(shingles: np.ndarray) -> bytes:
+    """The sorted 16-bit groups of all shingles, repeats included: a count vector of 65,536 groups, laid out sparsely."""
+    return np.sort((shingles >> np.uint64(40)).astype("<u2")).tobytes()
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Distinct 16-bit pieces of the shingles. Sets overlap in no more shingles than their sketches share pieces, plus
-    what either set has more shingles than pieces."""
-    return np.unique((shingles >> np.uint64(40)).astype(np.uint16)).view(np.int16)
+def numbered(pieces: np.ndarray) -> np.ndarray:
+    """Sorted 16-bit groups, each with its number among equals above it: the k-th shingle of a group matches the k-th."""
+    new = np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1]))
+    at = np.arange(len(pieces)) - np.repeat(new, np.diff(np.append(new, len(pieces))))
+    return pieces.astype(np.int32) | (at.astype(np.int32) << 16)
 
 
 class CountTree:
@@ -177,32 +155,75 @@ class CountTree:
         return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, int),) * 2
 
 
+def _distinct_sets(batch: pa.RecordBatch, width: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, set) of the rows with an id and words whose set the task has not seen; it only saves work."""
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        s = shingle_set(text, width)
+        key = set_key(s)
+        if doc is None or not len(s) or key in seen:
+            continue
+        if len(seen) >= 200_000:
+            seen.clear()
+        seen.add(key)
+        yield key, s
+
+
 def _features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n, key) of every row."""
+    """(doc, n, key) of every row, and from each task ``SLICES`` rows (slice, counts): its distinct sets' shingles by
+    bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(BUCKETS, np.int64), set()
+        names = ["doc", "n", "key", "slice", "counts"]
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc", "n", "key"])
+            keys, fresh = [set_key(s) for s in sets], []
+            for key, s in zip(keys, sets, strict=True):
+                if key not in seen and len(seen) < 200_000:
+                    seen.add(key)
+                    fresh.append(s)
+            if fresh:
+                bucket, times = np.unique((np.concatenate(fresh) >> SHIFT).astype(np.int32), return_counts=True)
+                counts[bucket] += times
+            none = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        if seen:
+            none = pa.nulls(SLICES, pa.int64())
+            packed = [zlib.compress(c.tobytes(), 1) for c in counts.astype("<u4").reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
+
+    return docs.mapInArrow(run, "doc bigint, n bigint, key bigint, slice int, counts binary")
+
+
+def _levels(counted: DataFrame) -> np.ndarray:
+    """A level for every bucket, four to each doubling of its count over all tasks: ``BUCKETS`` bytes on the driver,
+    whatever the input."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+        levels = [np.floor(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
+
+    found = counted.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, levels binary").collect()
+    levels = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
+    for r in found:
+        levels[r[0]] = np.frombuffer(r[1], np.uint8)
+    return levels.ravel()
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, key bigint")
 
+def _signatures(docs: DataFrame, width: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """(sig, key): the shingles of the prefix of every document's set; of equal sets within a task only the first."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, key): the group contents of every document's set; of equal sets within a task only the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(num, den), set()
+        order, seen = shared.value, set()
         for batch in batches:
             keys, sigs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, width)
-                key = set_key(s)
-                if doc is None or key in seen:
-                    continue
-                if len(seen) >= 200_000:  # it only saves work
-                    seen.clear()
-                seen.add(key)
+            for key, s in _distinct_sets(batch, width, seen):
+                length = prefix_length(len(s), num, den)
                 keys.append(key)
-                sigs.append(classes.signatures(s))
+                sigs.append(s[np.argsort(order[(s >> SHIFT).astype(np.int64)], kind="stable")[:length]].view(np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(keys, np.int64), [len(s) for s in sigs]))], ["sig", "key"])
 
@@ -238,85 +259,135 @@ def _shared(signatures: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, node, n, counts, sketch, shingles); repeated rows may be given once."""
+    """(key, n, sketch, shingles); of equal sets within a task only the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            rows = []
-            for doc, s in zip(batch.column(0).to_pylist(), sets, strict=True):
-                if len(s) and (set_key(s), doc) != last:
-                    last = (set_key(s), doc)
-                    rows.append((*last, len(s), count_vector(s), sketch(s), s.view(np.int64)))
-            key, node, n, counts, pieces, shingles = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.int16())), pa.array(shingles, pa.list_(pa.int64()))], ["key", "node", "n", "counts", "sketch", "shingles"])
+            rows = [(key, len(s), sketch(s), s.view(np.int64)) for key, s in _distinct_sets(batch, width, seen)]
+            key, n, pieces, shingles = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(pieces, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["key", "n", "sketch", "shingles"])
 
-    return docs.mapInArrow(run, "key bigint, node bigint, n bigint, counts array<int>, sketch array<smallint>, shingles array<bigint>")
+    return docs.mapInArrow(run, "key bigint, n bigint, sketch binary, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a written table: nodes of the pairs of keys (a, b) that link, first by the sketches, then by the sets."""
-    side = lambda end, *columns: sets.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-    joined = lambda df, *columns: df.join(side("a", *columns), "a").join(side("b", *columns), "b")
-    enough = lambda overlap, sizes: (den + num) * overlap.cast("long") >= num * sizes
-
-    pairs = materialize(pairs, "pairs")
-    shared = F.size(F.array_intersect("sketch_a", "sketch_b"))
-    spare = F.least(F.col("n_a") - F.size("sketch_a"), F.col("n_b") - F.size("sketch_b"))
-    near = materialize(joined(pairs, "n", "sketch").where(enough(shared + spare, F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "pairs")
-    discard(pairs)
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    exact = joined(near, "node", "shingles").where(enough(common, F.size("shingles_a") + F.size("shingles_b")))
-    links = materialize(exact.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
-    discard(near)
-    return links
-
-
-def _crossing_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of keys of one block, but of different components, that the R-tree's bound leaves. ``blocks``: sig,
-    m, key, component, n, counts, where m is the size of the block."""
-    pieces = F.ceil(F.col("m") / CHUNK).cast("int")
+    """(a, b): the pairs of keys whose shingle sets link."""
+    side = lambda end: sets.select(F.col("key").alias(end), F.col("shingles").alias(f"s_{end}"))
+    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    exact = (den + num) * common >= num * (F.size("s_a") + F.size("s_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(exact).select("a", "b").distinct()
+
+
+class Block:
+    """The nodes of one piece of a block, in which pairs are looked for between its two sides."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, sketches: list[bytes], component: np.ndarray, num: int, den: int):
+        self.keys, self.sizes, self.num, self.den = keys, sizes, num, den
+        self.component = np.unique(component, return_inverse=True)[1]
+        pieces = [np.frombuffer(s, "<u2") for s in sketches]
+        self.points = np.stack([count_vector(p) for p in pieces])
+        self.codes = [numbered(p) for p in pieces]
+
+    def linked_by_pieces(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` the bound of 65,536 groups leaves as partners of ``one``."""
+        mine = self.codes[one]
+        table = np.zeros(int(mine.max()) + 1, bool)
+        table[mine] = True
+        found = np.zeros(len(others), bool)
+        for start in range(0, len(others), 256):
+            some = [self.codes[k] for k in others[start : start + 256]]
+            flat = np.concatenate(some)
+            hit = table[np.minimum(flat, len(table) - 1)] & (flat < len(table))
+            edges = np.append(0, np.cumsum([len(s) for s in some]))
+            overlap = np.diff(np.append(0, np.cumsum(hit))[edges])
+            at = others[start : start + 256]
+            found[start : start + 256] = (self.den + self.num) * overlap >= self.num * (self.sizes[one] + self.sizes[at])
+        return found
+
+    def pairs(self, low: np.ndarray, high: np.ndarray, forest: bool) -> list[tuple[int, int]]:
+        """Pairs (one of ``low``, one of ``high``) of different components that both bounds leave. In a forest, what is
+        found counts as linked at once, so no two ways lead from node to node."""
+        tree, component, found = CountTree(self.points[high], self.sizes[high], self.num, self.den), self.component, []
+        same_side = len(low) == len(high) and (low == high).all()
+        start, step = 0, 1
+        while start < len(low):
+            batch = low[start : start + step]
+            start, step = start + step, min(2 * step, 64)
+            for c in np.unique(component[batch]):
+                asked = batch[component[batch] == c]
+                rest = np.flatnonzero(component[high] != c)
+                if not len(rest):
+                    continue
+                if 4 * len(rest) < len(high):
+                    q, p = (x.ravel() for x in np.meshgrid(np.arange(len(asked)), rest, indexing="ij"))
+                    keep = tree.may_link(self.points[asked[q]], self.sizes[asked[q]], self.points[high[p]], self.sizes[high[p]])
+                    q, p = q[keep], p[keep]
+                else:
+                    q, p = tree.query(self.points[asked], self.sizes[asked])
+                order = np.argsort(q, kind="stable")
+                q, p = q[order], p[order]
+                for k in np.unique(q):
+                    one = asked[k]
+                    others = high[p[np.searchsorted(q, k) : np.searchsorted(q, k, side="right")]]
+                    others = others[component[others] != component[one]]
+                    if same_side and not forest:
+                        others = others[others > one]
+                    for other in others[self.linked_by_pieces(one, others)] if len(others) else ():
+                        if component[other] != component[one]:
+                            found.append((one, other))
+                            if forest:
+                                component[component == component[other]] = component[one]
+        return found
+
+
+def _block_pairs(blocks: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b, sig): pairs of keys of one block, but of different components, that the bounds leave; see ``Block.pairs``.
+    ``blocks``: sig, m (nodes in the block), total (their shingles), key, component, n, sketch."""
+    pieces = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("total") / ELEMENTS)).cast("int")
     own = F.pmod(F.xxhash64("key"), pieces).cast("int")
     rows = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "component", "n", "counts")
+    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "component", "n", "sketch")
+    names = ["a", "b", "sig"]
 
-    def pairs_of(own, keys, component, n, counts, low, high):
+    def finish(parts: list[pa.RecordBatch]) -> list[tuple[int, int, int]]:
+        table = pa.Table.from_batches(parts)
+        column = lambda k: table.column(k).to_numpy()
+        own, keys, low, high, sig = column(3), column(4), table.column(1)[0].as_py(), table.column(2)[0].as_py(), table.column(0)[0].as_py()
         at_low, at_high = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        tree = CountTree(counts[at_high], n[at_high], num, den)
-        q, p = tree.query(counts[at_low], n[at_low])
-        i, j = at_low[q], at_high[p]
-        keep = component[i] != component[j]
-        a, b = np.minimum(keys[i], keys[j])[keep], np.maximum(keys[i], keys[j])[keep]
-        return np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        if not len(at_low) or not len(at_high) or len(keys) < 2:
+            return []
+        block = Block(keys, column(6), table.column(7).to_pylist(), column(5), num, den)
+        # the same keys come first in every block of a cluster, so its blocks agree on pairs
+        at_low = at_low[np.argsort(keys[at_low])]
+        found = block.pairs(at_low, at_low if low == high else at_high, forest)
+        return [(int(min(keys[i], keys[j])), int(max(keys[i], keys[j])), sig) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def finish(group: pa.RecordBatch) -> np.ndarray:
-            column = lambda k: group.column(k).to_numpy(zero_copy_only=False)
-            counts = np.stack(column(7)) if group.num_rows else np.zeros((0, DIMENSIONS), np.int32)
-            return pairs_of(column(3), column(4), column(5), column(6), counts, group.column(1)[0].as_py(), group.column(2)[0].as_py())
+        parts: list[pa.RecordBatch] = []
+        now = None
 
-        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            both = np.unique(both, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        def emit(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((),) * 3)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            whole = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
-            key = [whole.column(k).to_numpy() for k in range(3)]
+            key, found = [batch.column(k).to_numpy() for k in range(3)], []
             change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
-            edges = [0, *change.tolist()]
-            found = [finish(whole.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False)]
-            waiting = [whole.slice(edges[-1])]
+            edges = [0, *change.tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                this = tuple(int(k[a]) for k in key)
+                if parts and this != now:
+                    found += finish(parts)
+                    parts = []
+                now = this
+                parts.append(batch.slice(a, b - a))
             yield emit(found)
-        for rest in waiting:
-            yield emit([finish(rest)])
+        if parts:
+            yield emit(finish(parts))
 
     keys = ["sig", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, sig bigint")
 
 
 def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,40 +400,41 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    features = materialize(_features(rows, width), "features")
+    counted = materialize(_features(rows, width), "features")
+    features = counted.where("slice IS NULL").select("doc", "n", "key")
     named = features.where("n > 0 AND doc IS NOT NULL")
-    nodes = materialize(named.groupBy("key").agg(F.min("doc").alias("node")), "nodes")
+    nodes = materialize(named.groupBy("key").agg(F.min("doc").alias("node"), F.min("n").alias("n")), "nodes")
 
-    shared = materialize(_shared(_signatures(rows, width, num, den)), "shared")
-    in_block = materialize(shared.join(shared.groupBy("sig").agg(F.count("*").alias("m")), "sig"), "blocks")
+    shared = materialize(_shared(_signatures(rows, width, num, den, _levels(counted))), "shared")
+    # blocks of the same nodes are one block
+    block = shared.join(nodes.select("key", "n"), "key").groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    block = block.groupBy("m", "total", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", "total")
+    in_block = materialize(shared.join(block, "sig"), "blocks")
     discard(shared)
 
-    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select("node").distinct()
-    sets = materialize(_sets(rows.join(active, F.col("doc") == F.col("node"), "left_semi"), width), "sets")
-
-    weight = in_block.groupBy("key").agg(F.sum("m").alias("weight"))
-    centre = in_block.join(weight, "key").groupBy("sig").agg(F.max(F.struct("weight", F.col("key").alias("centre"))).alias("best")).select("sig", "best.*")
-    best = in_block.join(centre, "sig").where("key <> centre").groupBy("key").agg(F.max_by("centre", F.struct("weight", "centre")).alias("centre"))
-    star = best.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-    star = materialize(star, "star")
-    links = _verified(star, sets, num, den)
-    component = materialize(connected_components(links, "a", "b"), "components")
-    discard(links)
-
-    of_set = sets.select("key", "node").join(component, "node", "left").groupBy("key").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    placed = in_block.join(of_set, "key")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    open_blocks = placed.join(mixed, "sig", "left_semi").join(sets.select("key", "n", "counts"), "key")
-    crossing = _crossing_pairs(open_blocks, num, den).join(star, ["a", "b"], "left_anti")
-    more = _verified(crossing, sets, num, den)
-    discard(in_block, sets, star)
+    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select(F.col("node").alias("doc")).distinct()
+    sets = materialize(_sets(rows.join(active, "doc", "left_semi"), width), "sets")
+
+    placed = in_block.join(sets.select("key", "n", "sketch"), "key")
+    tried = materialize(_block_pairs(placed.withColumn("component", F.col("key")), num, den, forest=True), "pairs")
+    links = materialize(_verified(tried.select("a", "b").distinct(), sets, num, den), "links")
+    failed = tried.join(links, ["a", "b"], "left_anti").select("sig").distinct()
+    if not failed.isEmpty():
+        known = materialize(connected_components(links, "a", "b"), "components")
+        again = placed.join(failed, "sig", "left_semi").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        rest = _block_pairs(again, num, den, forest=False).select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        more = materialize(_verified(rest, sets, num, den), "links")
+        links = links.unionByName(more)
+        discard(known)
+    of = nodes.select("key", "node")
+    links = links.join(of.toDF("a", "node_a"), "a").join(of.toDF("b", "node_b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     # an id with several texts is one vertex
     member = named.join(nodes, "key").select("doc", "node").distinct()
     twice = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
     same_id = member.join(twice, "doc").where("a < node").select("a", F.col("node").alias("b"))
-    edges = component.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(same_id)
-    component = materialize(connected_components(edges, "a", "b"), "components")
+    component = materialize(connected_components(links.unionByName(same_id), "a", "b"), "components")
+    discard(in_block, sets, tried)
 
     of_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = features.withColumn("_key", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))).join(of_key.withColumnRenamed("key", "_key"), "_key", "left")
