@@ -6,9 +6,10 @@ exact:
 1. Documents with equal sets are one node.
 2. Candidates. All shingles are brought into one order, roughly from rare to common. Linked sets must share
    ceil(num / den * |A|) shingles, so they share one of the first |A| - ceil(num / den * |A|) + 1 shingles of either
-   (its prefix), whatever the order is: nodes with a shingle of their prefixes in common stand in one block. The
-   order decides only how large blocks are. It comes from counts of all documents' shingles in ``BUCKETS`` buckets:
-   a passage that many documents share stands last and stays out of prefixes.
+   (its prefix), whatever the order is: nodes with a shingle of their prefixes in common and sizes that allow a link (of
+   one size class or two neighbouring ones) stand in one block. The order decides only how large blocks are. It comes
+   from counts of all documents' shingles in ``BUCKETS`` buckets: a passage that many documents share stands last and
+   stays out of prefixes.
 3. Count vectors. Shingles are hashed into groups whose counts are a point. The sum of the smaller coordinates of two
    points bounds the overlap of the sets from above. In a block the points of ``DIMENSIONS`` groups are packed into an
    R-tree; a tree node's upper corner bounds the overlap with all points below it. What this leaves is bounded once
@@ -30,7 +31,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
@@ -42,6 +44,8 @@ BUCKETS, SLICES, SHIFT = 1 << 20, 256, np.uint64(44)
 #: Nodes of a block, and shingles of its nodes, that meet in one piece.
 CHUNK, ELEMENTS = 2048, 4_000_000
 LEAF = 16
+#: Bits of the filter that tells which documents are worth shingling once more: 8 MB on every worker.
+FILTER = 1 << 26
 CACHED_WORDS = 60_000
 #: Fixed odd multipliers of the 64-bit hash finaliser.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -98,6 +102,14 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
+def size_classes(num: int, den: int, largest: int = 1 << 40) -> np.ndarray:
+    """The least size of each class. Sets that link are in one class or in two neighbouring ones."""
+    low = [1]
+    while low[-1] <= largest:
+        low.append(max(low[-1] + 1, -(-low[-1] * den // num)))
+    return np.array(low)
+
+
 def count_vector(pieces: np.ndarray) -> np.ndarray:
     """How many shingles fall into each of ``DIMENSIONS`` groups, from their 16-bit groups."""
     return np.bincount(pieces >> 10, minlength=DIMENSIONS).astype(np.int32)
@@ -168,12 +180,12 @@ def _distinct_sets(batch: pa.RecordBatch, width: int, seen: set[int]) -> Iterato
         yield key, s
 
 
-def _features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n, key) of every row, and from each task ``SLICES`` rows (slice, counts): its distinct sets' shingles by
-    bucket."""
+def _features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc, n, key, class) of every row, and from each task ``SLICES`` rows (slice, counts): its distinct sets' shingles
+    by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(BUCKETS, np.int64), set()
-        names = ["doc", "n", "key", "slice", "counts"]
+        counts, seen, low = np.zeros(BUCKETS, np.int64), set(), size_classes(num, den)
+        names = ["doc", "n", "key", "class", "slice", "counts"]
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             keys, fresh = [set_key(s) for s in sets], []
@@ -182,16 +194,15 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(key)
                     fresh.append(s)
             if fresh:
-                bucket, times = np.unique((np.concatenate(fresh) >> SHIFT).astype(np.int32), return_counts=True)
-                counts[bucket] += times
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                counts += np.bincount((np.concatenate(fresh) >> SHIFT).astype(np.int64), minlength=BUCKETS)
+            none, n = pa.nulls(batch.num_rows), np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(np.searchsorted(low, n, side="right").astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if seen:
             none = pa.nulls(SLICES, pa.int64())
             packed = [zlib.compress(c.tobytes(), 1) for c in counts.astype("<u4").reshape(SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, key bigint, slice int, counts binary")
+    return docs.mapInArrow(run, "doc bigint, n bigint, key bigint, class int, slice int, counts binary")
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
@@ -258,24 +269,45 @@ def _shared(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig bigint, key bigint")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, n, sketch, shingles); of equal sets within a task only the first."""
+def _bits_of(ids: DataFrame, spark: SparkSession) -> Broadcast:
+    """A Bloom filter of one hash over a column of ids: at most ``FILTER`` bits, whatever their number."""
+    bucket = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER))
+    words = ids.select(F.floor(bucket / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bits)
+
+
+def _sets(docs: DataFrame, width: int, ids: DataFrame, column: str, kind: str, made) -> DataFrame:
+    """(key, n, column) of the documents named by ``ids``, and of some more: their texts stay where they are, and a filter
+    tells which are worth the work. ``made`` gives the column from a set; of equal sets within a task only the first."""
+    shared = _bits_of(ids, docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = [(key, len(s), sketch(s), s.view(np.int64)) for key, s in _distinct_sets(batch, width, seen)]
-            key, n, pieces, shingles = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(pieces, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["key", "n", "sketch", "shingles"])
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            wanted = np.flatnonzero(shared.value[at // 64] >> (at % 64) & 1)
+            if not len(wanted):
+                continue
+            rows = [(key, len(s), made(s)) for key, s in _distinct_sets(batch.take(pa.array(wanted)), width, seen)]
+            key, n, values = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], ["key", "n", column])
 
-    return docs.mapInArrow(run, "key bigint, n bigint, sketch binary, shingles array<bigint>")
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(FILTER))).mapInArrow(run, f"key bigint, n bigint, {column} {kind}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of keys whose shingle sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b), a written table: the pairs of keys whose shingle sets link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = nodes.join(ends, "key", "left_semi").select("node")
+    sets = materialize(_sets(docs, width, ids, "shingles", "array<bigint>", lambda s: s.view(np.int64)), "sets")
     side = lambda end: sets.select(F.col("key").alias(end), F.col("shingles").alias(f"s_{end}"))
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     exact = (den + num) * common >= num * (F.size("s_a") + F.size("s_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(exact).select("a", "b").distinct()
+    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(exact).select("a", "b").distinct(), "links")
+    discard(sets)
+    return links
 
 
 class Block:
@@ -284,23 +316,27 @@ class Block:
     def __init__(self, keys: np.ndarray, sizes: np.ndarray, sketches: list[bytes], component: np.ndarray, num: int, den: int):
         self.keys, self.sizes, self.num, self.den = keys, sizes, num, den
         self.component = np.unique(component, return_inverse=True)[1]
-        pieces = [np.frombuffer(s, "<u2") for s in sketches]
-        self.points = np.stack([count_vector(p) for p in pieces])
-        self.codes = [numbered(p) for p in pieces]
+        self.pieces = [np.frombuffer(s, "<u2") for s in sketches]
+        self.points = np.stack([count_vector(p) for p in self.pieces])
+        self.codes: dict[int, np.ndarray] = {}
+
+    def code(self, k: int) -> np.ndarray:
+        if k not in self.codes:
+            self.codes[k] = numbered(self.pieces[k])
+        return self.codes[k]
 
     def linked_by_pieces(self, one: int, others: np.ndarray) -> np.ndarray:
         """Which of ``others`` the bound of 65,536 groups leaves as partners of ``one``."""
-        mine = self.codes[one]
+        mine = self.code(one)
         table = np.zeros(int(mine.max()) + 1, bool)
         table[mine] = True
         found = np.zeros(len(others), bool)
         for start in range(0, len(others), 256):
-            some = [self.codes[k] for k in others[start : start + 256]]
+            at = others[start : start + 256]
+            some = [self.code(int(k)) for k in at]
             flat = np.concatenate(some)
             hit = table[np.minimum(flat, len(table) - 1)] & (flat < len(table))
-            edges = np.append(0, np.cumsum([len(s) for s in some]))
-            overlap = np.diff(np.append(0, np.cumsum(hit))[edges])
-            at = others[start : start + 256]
+            overlap = np.add.reduceat(hit, np.append(0, np.cumsum([len(s) for s in some[:-1]], dtype=np.int64)), dtype=np.int64)
             found[start : start + 256] = (self.den + self.num) * overlap >= self.num * (self.sizes[one] + self.sizes[at])
         return found
 
@@ -318,7 +354,7 @@ class Block:
                 rest = np.flatnonzero(component[high] != c)
                 if not len(rest):
                     continue
-                if 4 * len(rest) < len(high):
+                if len(high) <= LEAF or 4 * len(rest) < len(high):
                     q, p = (x.ravel() for x in np.meshgrid(np.arange(len(asked)), rest, indexing="ij"))
                     keep = tree.may_link(self.points[asked[q]], self.sizes[asked[q]], self.points[high[p]], self.sizes[high[p]])
                     q, p = q[keep], p[keep]
@@ -354,9 +390,10 @@ def _block_pairs(blocks: DataFrame, num: int, den: int, forest: bool) -> DataFra
         column = lambda k: table.column(k).to_numpy()
         own, keys, low, high, sig = column(3), column(4), table.column(1)[0].as_py(), table.column(2)[0].as_py(), table.column(0)[0].as_py()
         at_low, at_high = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        if not len(at_low) or not len(at_high) or len(keys) < 2:
+        sizes = column(6)
+        if not len(at_low) or not len(at_high) or len(keys) == 2 and num * sizes.max() > den * sizes.min():
             return []
-        block = Block(keys, column(6), table.column(7).to_pylist(), column(5), num, den)
+        block = Block(keys, sizes, table.column(7).to_pylist(), column(5), num, den)
         # the same keys come first in every block of a cluster, so its blocks agree on pairs
         at_low = at_low[np.argsort(keys[at_low])]
         found = block.pairs(at_low, at_low if low == high else at_high, forest)
@@ -400,41 +437,42 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    counted = materialize(_features(rows, width), "features")
+    counted = materialize(_features(rows, width, num, den), "features")
     features = counted.where("slice IS NULL").select("doc", "n", "key")
-    named = features.where("n > 0 AND doc IS NOT NULL")
-    nodes = materialize(named.groupBy("key").agg(F.min("doc").alias("node"), F.min("n").alias("n")), "nodes")
+    named = counted.where("n > 0 AND doc IS NOT NULL")
+    nodes = materialize(named.groupBy("key").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("class").alias("class")), "nodes")
 
     shared = materialize(_shared(_signatures(rows, width, num, den, _levels(counted))), "shared")
+    # a node stands in the blocks of its own size class and, as a guest, in those of the next one
+    own = F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")
+    dealt = shared.join(nodes.select("key", "n", "class"), "key").select("sig", "key", "n", "class", own).select(F.xxhash64("sig", F.col("class") + F.col("guest")).alias("sig"), "key", "n", "guest")
+    block = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.sum("guest").alias("guests"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # blocks of the same nodes are one block
-    block = shared.join(nodes.select("key", "n"), "key").groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    block = block.groupBy("m", "total", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", "total")
-    in_block = materialize(shared.join(block, "sig"), "blocks")
+    block = block.where("m > 1 AND guests < m").groupBy("m", "total", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", "total")
+    in_block = materialize(dealt.select("sig", "key").join(block, "sig"), "blocks")
     discard(shared)
 
-    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select(F.col("node").alias("doc")).distinct()
-    sets = materialize(_sets(rows.join(active, "doc", "left_semi"), width), "sets")
-
-    placed = in_block.join(sets.select("key", "n", "sketch"), "key")
+    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select("node")
+    sketches = materialize(_sets(rows, width, active, "sketch", "binary", sketch), "sketches")
+    placed = in_block.join(sketches, "key")
     tried = materialize(_block_pairs(placed.withColumn("component", F.col("key")), num, den, forest=True), "pairs")
-    links = materialize(_verified(tried.select("a", "b").distinct(), sets, num, den), "links")
+    links = _verified(tried.select("a", "b").distinct(), rows, nodes, width, num, den)
     failed = tried.join(links, ["a", "b"], "left_anti").select("sig").distinct()
     if not failed.isEmpty():
         known = materialize(connected_components(links, "a", "b"), "components")
         again = placed.join(failed, "sig", "left_semi").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        rest = _block_pairs(again, num, den, forest=False).select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        more = materialize(_verified(rest, sets, num, den), "links")
-        links = links.unionByName(more)
-        discard(known)
+        rest = materialize(_block_pairs(again, num, den, forest=False).select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(rest, rows, nodes, width, num, den))
+        discard(known, rest)
     of = nodes.select("key", "node")
     links = links.join(of.toDF("a", "node_a"), "a").join(of.toDF("b", "node_b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     # an id with several texts is one vertex
-    member = named.join(nodes, "key").select("doc", "node").distinct()
+    member = named.select("doc", "key").join(nodes, "key").select("doc", "node").distinct()
     twice = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
     same_id = member.join(twice, "doc").where("a < node").select("a", F.col("node").alias("b"))
     component = materialize(connected_components(links.unionByName(same_id), "a", "b"), "components")
-    discard(in_block, sets, tried)
+    discard(in_block, sketches, tried)
 
     of_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = features.withColumn("_key", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))).join(of_key.withColumnRenamed("key", "_key"), "_key", "left")
