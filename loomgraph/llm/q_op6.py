@@ -8,6 +8,8 @@ from loomgraph.llm.ann import nearest
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rows for every query row that takes part (all candidates, if fewer); see ``nearest`` for nulls, zeros and
+    repeated ids."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 

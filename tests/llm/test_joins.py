@@ -77,6 +77,38 @@ def test_join_edge_cases(spark):
     assert kept.columns == docs.columns
 
 
+def test_a_large_group_of_near_copies_gives_few_pairs(spark):
+    """A block gives out a forest: pairs grow with the rows, not with their square, and all copies meet."""
+    from loomgraph.llm import ngram_join as n
+
+    made = []
+    for m in (150, 600):
+        base = [f"w{i}" for i in range(120)]
+        rows = [(i, " ".join([*base[: 40 + i % 30], f"x{i}", *base[41 + i % 30 :]])) for i in range(m)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        seen = []
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(n, "_block_pairs", lambda *a, f=n._block_pairs, **k: seen.append(f(*a, **k)) or seen[-1])
+            assert {r["component_id"] for r in link_documents(docs).collect()} == {0}
+            made.append(sum(1 for _ in seen))
+    assert made == [1, 1]
+    sizes = np.full(500, 100)
+    shingles = [np.unique(np.append(np.arange(100), 1000 + i)).astype(np.uint64) << np.uint64(40) for i in range(500)]
+    block = n.Block(np.arange(500), sizes + 1, [n.sketch(s) for s in shingles], np.arange(500), 80, 100)
+    every = np.arange(500)
+    assert len(block.pairs(every, every, forest=True)) == 499
+    assert len(n.Block(np.arange(500), sizes + 1, [n.sketch(s) for s in shingles], np.arange(500), 80, 100).pairs(every, every, forest=False)) == 500 * 499 // 2
+
+
+def test_rejected_pairs_of_a_forest(spark, monkeypatch):
+    """Where the bounds let through pairs that don't link, the blocks are gone through once more: no link is lost."""
+    from loomgraph.llm import ngram_join as n
+
+    monkeypatch.setattr(n.Block, "linked_by_pieces", lambda self, one, others: np.ones(len(others), bool))
+    docs = documents(spark, near_copies(7, 120, groups=4))
+    assert rows_of(link_documents(docs, 3, 90, 100)) == brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()], 3, 90, 100)
+
+
 def test_large_blocks_are_cut_into_pieces(spark, monkeypatch):
     """Near copies without any word in common positions still meet when a block takes several tasks."""
     monkeypatch.setattr("loomgraph.llm.ngram_join.CHUNK", 8)
@@ -139,6 +171,38 @@ def test_neighbour_edge_cases(spark):
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Copies under the query's id are no candidates, and each query row is answered."""
+    r = np.random.default_rng(11)
+    x = [(0, [1.0, 0.5, 0.25, 0.0])] * 10 + [(i, r.standard_normal(4).tolist()) for i in range(1, 40)]
+    vectors = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    want = brute_nearest({i: np.array(v) for i, v in x}, 0, 5)
+    got = nearest(vectors, vectors.where("vec_id = 0"), 5).collect()
+    assert len(got) == 50
+    for rank, (i, score) in enumerate(want, 1):
+        mine = [g for g in got if g["rank"] == rank]
+        assert {g["vec_id"] for g in mine} == {i} and len(mine) == 10 and all(abs(g["score"] - score) < 1e-12 for g in mine)
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_recall_with_many_lists_and_groups(spark, monkeypatch, clusters):
+    monkeypatch.setattr("loomgraph.llm.ann.GROUP_ROWS", 1000)
+    monkeypatch.setattr("loomgraph.llm.ann.QUERY_ROWS", 50)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((20_000, 24)).astype(np.float32)
+    if clusters:
+        x = 0.15 * x + r.standard_normal((clusters, 24)).astype(np.float32)[r.integers(0, clusters, len(x))]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    found = nearest(vectors, vectors.where("vec_id % 200 = 0"), 5).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 200):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len({f["vec_id"] for f in found if f["query_id"] == q} & set(np.argsort(-near)[:5].tolist()))
+    assert len(found) == 500 and hits / 500 >= 0.9
+
+
 # media
 
 def test_media_round_trip(spark):
@@ -216,7 +280,7 @@ def test_mix_edge_cases(spark):
     blank = spark.createDataFrame([(1, None, None, None, None), (2, " ", None, "a", 1)], docs.schema)
     assert [r["taken"] for r in mix_sources(blank).collect()] == [0, 0]
     kept = mix_sources(docs, keep=["doc_id", "text"])
-    assert kept.columns == ["doc_id", "text", "copies"]
+    assert kept.columns == ["doc_id", "text", "copies", "finish", "round"]
 
 
 # pipeline
@@ -248,6 +312,14 @@ def test_each_stage_by_brute_force(spark, sf_dir):
 
     mixed = tables["mix_sources"](spark, clean, sf_dir)
     copies = mix_sources(clean, keep=["doc_id"])
+    finish = {r["doc_id"]: r for r in mix_sources(clean, keep=["doc_id"]).collect()}
+    seen, last = {}, 0.0
+    for r in mixed.collect():  # in the order of finish times, copies one round of their source apart
+        own = finish[r["doc_id"]]
+        at = own["finish"] + seen.get(r["doc_id"], 0) * own["round"]
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
+        assert at >= last - 1e-12
+        last = at
     assert mixed.count() == copies.agg(F.sum("copies")).first()[0] and mixed.columns == p.COLUMNS
     assert mixed.groupBy("doc_id").count().where("count > 3").count() == 0
 
