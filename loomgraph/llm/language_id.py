@@ -27,6 +27,8 @@ from loomgraph.runtime import prepare
 ORDER = 3
 UNDETERMINED = "und"
 #: Default of the sample: so many whole documents of each language.
+#: Parts of a language that are ranked side by side for the sample.
+SAMPLE_PARTS = 64
 DOCS_PER_LANGUAGE = 250
 #: Texts are counted and scored in pieces of so many bytes, each with the context before it.
 PIECE = 1 << 16
@@ -189,15 +191,22 @@ def build_tables(languages: list[str], lang: np.ndarray, k: np.ndarray, gram: np
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> PpmTables | None:
     """Frozen statistics from a bounded sample of the labelled rows: of each language the ``docs_per_language``
-    rows whose id has the smallest hash, with their whole texts. Rows without a label or text are left out; without
+    rows whose id has the smallest hash, with their whole texts (equal rows count once). Rows without a label or text are left out; without
     any row there are no tables (None).
 
     What comes to the driver are the counts of distinct byte strings of at most 4 bytes in that sample."""
     prepare(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)))
-    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language)
-    counts = training_counts(sample, lang_col, text_col).toArrow()
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    # hashes alone are ranked, first in parts of a language, then in what the parts leave; then the texts are fetched
+    picked = rows.select("_h", "_id", "_th", "_lang").withColumn("_part", F.pmod("_th", F.lit(SAMPLE_PARTS)))
+    for keys in (["_lang", "_part"], ["_lang"]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("_h", "_id", "_th"))
+        picked = picked.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language)
+    picked = picked.select(F.col("_h").alias("_h2"), F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), F.col("_lang").alias("_lang2")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(c + "2")) for c in ("_h", "_id", "_th", "_lang")]
+    sample = rows.join(picked, same, "left_semi").dropDuplicates(["_h", "_id", "_th", "_lang"])
+    counts = training_counts(sample, "_lang", "_text").toArrow()
     if not counts.num_rows:
         return None
     names = counts.column("lang").to_pylist()
