@@ -14,8 +14,10 @@ are cached.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,8 @@ from loomgraph.runtime import prepare
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Distinct word prefixes whose state one worker keeps; beyond it the cache starts anew (results do not change).
-CACHED_PREFIXES = 600_000
 LONGEST_CACHED = 64
-#: Distinct words whose count one worker keeps, likewise.
+#: Distinct words whose steps one worker keeps; beyond it the cache starts anew (results do not change).
 CACHED_WORDS = 1_000_000
 NEVER = float("-inf")
 
@@ -59,12 +59,6 @@ class PrefixCounter:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)}
-        self.longest = max(map(len, self.score))
-        ends: dict[str, set[int]] = {}
-        for piece in self.score:
-            ends.setdefault(piece[-2:], set()).add(len(piece))
-        #: lengths of the pieces that end in these two characters, longest first
-        self.lengths = {e: tuple(sorted(n | ({1} if e[-1] in self.score else set()), reverse=True)) for e, n in ends.items()}
         by_end: dict[str, list[int]] = {}
         for piece in self.score:
             if len(piece) > 2:
@@ -74,10 +68,8 @@ class PrefixCounter:
         self.ends = Memo(self.end_lengths, CACHED_WORDS)
         #: for every piece: which last tokens before it hold (None: it is the first)
         self.after: dict[str, dict[str | None, bool]] = {p: {} for p in self.score}
-        self.by_word = Memo(self.word_count, CACHED_WORDS)
+        self.by_word = Memo(self.word_steps, CACHED_WORDS)
         self.history = Memo(self.merges, CACHED_WORDS)
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.state: dict[str, tuple[bytes, int, str | None]] = {"": (b"", 0, None)}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece continues past a word start; words can't be counted apart")
 
@@ -117,77 +109,12 @@ class PrefixCounter:
         found = self.history[piece]
         return len(piece) == 1 or bool(found) and found[-1][1] == piece
 
-    def counts(self, word: str) -> list[int]:
-        """Token count of word[:1], word[:2], ...; a character outside the vocabulary counts its UTF-8 bytes."""
-        score, longest, fits = self.score, self.longest, self.fits
-        count, last = [0], [None]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = word[j:i]
-                if t in score:
-                    p = last[j]
-                    ok = self.is_token(t) if p is None else fits.get((p, t))
-                    if ok is None:
-                        ok = fits[p, t] = self.is_token(t) and self.pair_holds(p, t)
-                    if ok:
-                        count.append(count[j] + 1)
-                        last.append(t)
-                        break
-            else:  # byte fallback: nothing merges across it
-                count.append(count[i - 1] + len(word[i - 1].encode()))
-                last.append(None)
-        return count[1:]
-
-    def steps(self, word: str) -> bytes:
-        """Steps of a word, two bytes each; the state of every prefix is kept, so words that begin alike share work."""
-        if len(word) > LONGEST_CACHED:
-            counts = np.array(self.counts(word), np.int64)
-            return np.diff(counts, prepend=0).astype("<i2").tobytes()
-        state, score, lengths, fits = self.state, self.score, self.lengths, self.fits
-        if len(state) >= CACHED_PREFIXES:
-            state.clear()
-            state[""] = (b"", 0, None)
-        k = len(word)
-        while word[:k] not in state:
-            k -= 1
-        steps, count, t = state[word[:k]]
-        for i in range(k + 1, len(word) + 1):
-            for n in lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or lengths.get(word[i - 1], ()):
-                j = i - n
-                t = word[j:i]
-                if j >= 0 and t in score:
-                    _, before, p = state[word[:j]]
-                    ok = fits.get((p, t))
-                    if ok is None:
-                        ok = fits[p, t] = self.is_token(t) and (p is None or self.pair_holds(p, t))
-                    if ok:
-                        now = before + 1
-                        break
-            else:
-                now, t = count + len(word[i - 1].encode()), None
-            steps += (now - count).to_bytes(2, "little", signed=True)
-            count = now
-            state[word[:i]] = (steps, now, t)
-        return steps
-
-    def text_steps(self, text: str) -> np.ndarray:
-        """One step for each character of the text; their running sum is the count at every prefix. The word
-        start that the library puts before a text is part of the first step."""
-        if not text:
-            return np.zeros(0, "<i2")
-        get, steps = self.state.get, self.steps
-        found = [s[0] if (s := get(w)) else steps(w) for w in WORDS.findall(SPACE + text.replace(" ", SPACE))]
-        all_steps = np.frombuffer(b"".join(found), "<i2")
-        first = all_steps[1:].copy()
-        first[0] += all_steps[0]
-        return first
-
     def end_lengths(self, end: str) -> tuple[int, ...]:
         short = tuple(n for n in (1, 2) if n <= len(end) and end[-n:] in self.score)
         return short + (self.by_end.get(end, ()) if len(end) == 3 else ())
 
-    def word_count(self, word: str) -> int:
-        """The count at a word's last prefix."""
+    def word_steps(self, word: str) -> bytes:
+        """Steps of a word's prefixes, two bytes each."""
         after, ends = self.after, self.ends
         count, last = [0], [None]
         for i in range(1, len(word) + 1):
@@ -205,13 +132,17 @@ class PrefixCounter:
             else:  # byte fallback: nothing merges across it
                 count.append(count[-1] + len(word[i - 1].encode()))
                 last.append(None)
-        return count[-1]
+        return array("h", map(sub, count[1:], count)).tobytes()
 
-    def text_count(self, text: str) -> int:
-        """The count at the text's last prefix: words are counted apart, so the sum over their last prefixes."""
+    def text_steps(self, text: str) -> np.ndarray:
+        """One step for each character of the text; their running sum is the count at every prefix. The word
+        start that the library puts before a text is part of the first step."""
         if not text:
-            return 0
-        return sum(map(self.by_word.__getitem__, WORDS.findall(SPACE + text.replace(" ", SPACE))))
+            return np.zeros(0, np.int16)
+        all_steps = np.frombuffer(b"".join(map(self.by_word.__getitem__, WORDS.findall(SPACE + text.replace(" ", SPACE)))), np.int16)
+        first = all_steps[1:].copy()
+        first[0] += all_steps[0]
+        return first
 
 
 @lru_cache(maxsize=4)
@@ -219,37 +150,41 @@ def counter(model_path: str) -> PrefixCounter:
     return PrefixCounter(model_path)
 
 
-def token_prefix_steps(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_steps: bool = True) -> DataFrame:
-    """(id, n_bytes, n_tokens[, steps]) for every row of ``docs``.
+def token_prefix_steps(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_steps: bool = True, budgets: dict[str, int] | None = None) -> DataFrame:
+    """(id, n_bytes, n_tokens[, steps][, a column for each of ``budgets``]) for every row of ``docs``.
 
     ``steps`` is array<short>: its running sum at i is the exact token count of the first i characters (see
-    ``tokens_at`` and ``chars_within``). A null text counts as empty: 0 bytes, 0 tokens, no steps. Repeated
+    ``tokens_at`` and ``chars_within``). ``budgets`` names long columns: how many characters the longest prefix of at
+    most so many tokens has. A null text counts as empty: 0 bytes, 0 tokens, no steps, 0 characters. Repeated
     rows stay repeated; other columns are not read.
     """
     prepare(docs.sparkSession)
+    budgets = budgets or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = counter(model_path)
         for batch in batches:
-            n_bytes, n_tokens, all_steps = [], [], []
+            n_bytes, n_tokens, all_steps, within = [], [], [], {name: [] for name in budgets}
             for text in batch.column(1).to_pylist():
+                steps = prefix.text_steps(text or "")
+                counts = steps.cumsum(dtype=np.int64)
                 n_bytes.append(len((text or "").encode()))
+                n_tokens.append(int(counts[-1]) if len(counts) else 0)
+                for name, budget in budgets.items():
+                    # the count may sink from prefix to prefix, so the last one within the budget is looked for
+                    within[name].append(len(counts) if not len(counts) or n_tokens[-1] <= budget else len(counts) - int((counts[::-1] <= budget).argmax()) if counts.min() <= budget else 0)
                 if keep_steps:
-                    all_steps.append(prefix.text_steps(text or ""))
-                    n_tokens.append(int(all_steps[-1].sum(dtype=np.int64)))
-                else:
-                    n_tokens.append(prefix.text_count(text or ""))
+                    all_steps.append(steps)
             out = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
-            names = [id_col, "n_bytes", "n_tokens"]
-            if keep_steps:
-                out.append(pa.array(all_steps, pa.list_(pa.int16())))
-                names.append("steps")
-            yield pa.RecordBatch.from_arrays(out, names)
+            out += [pa.array(all_steps, pa.list_(pa.int16()))][:keep_steps] + [pa.array(x, pa.int64()) for x in within.values()]
+            yield pa.RecordBatch.from_arrays(out, fields.names)
 
-    fields = [docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
+    fields = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     if keep_steps:
-        fields.append(T.StructField("steps", T.ArrayType(T.ShortType())))
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+        fields = fields.add("steps", T.ArrayType(T.ShortType()))
+    for name in budgets:
+        fields = fields.add(name, T.LongType())
+    return docs.select(id_col, text_col).mapInArrow(run, fields)
 
 
 def tokens_at(steps: Column, n_chars: Column | int) -> Column:
@@ -270,6 +205,7 @@ def chars_within(steps: Column, budget: int) -> Column:
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit): the count at the last prefix of every whole text."""
-    counts = token_prefix_steps(docs, model_path, id_col, text_col, keep_steps=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > limit)
+    """(id, n_bytes, n_tokens, over_limit, chars_within_limit) of every whole text, all from its counts at every prefix:
+    the last one, and the longest prefix that keeps to the limit."""
+    counts = token_prefix_steps(docs, model_path, id_col, text_col, keep_steps=False, budgets={"chars_within_limit": limit})
+    return counts.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "chars_within_limit")
