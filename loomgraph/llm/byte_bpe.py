@@ -200,6 +200,33 @@ def decode_ids(ids: list[list[int] | None], ranks: Ranks) -> list[bytes]:
     return [b"".join(map(ranks.pieces.__getitem__, x or ())) for x in ids]
 
 
+class Pieces:
+    """All pieces of a vocabulary, one after the other, for decoding by offsets."""
+
+    def __init__(self, ranks: Ranks):
+        most = max(ranks.pieces) + 1
+        found = [ranks.pieces.get(i, b"") for i in range(most)]
+        self.size = np.array(list(map(len, found)), np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.bytes = np.frombuffer(b"".join(found), np.uint8)
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token starts in the bytes that all of them stand for."""
+        size = self.size[ids]
+        return np.cumsum(size, dtype=np.int32) - size
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Each token's bytes, laid at its offset."""
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - offsets, size) + np.arange(size.sum(dtype=np.int64))
+        return self.bytes[at].tobytes()
+
+
+@lru_cache(maxsize=4)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(ranks_of(path))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = True, decode: bool = False) -> DataFrame:
     """(id, ids array<int>[, offsets array<int>][, bytes]) for every row; offsets are where each token starts in the
     text's UTF-8 bytes, bytes what the ids decode to. A null or empty text has no ids. Strings that look like special tokens are ordinary
@@ -207,20 +234,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(ranks_path)
-        size = np.zeros(max(ranks.pieces) + 1, np.int32)
-        for i, piece in ranks.pieces.items():
-            size[i] = len(piece)
+        ranks, pieces = ranks_of(ranks_path), pieces_of(ranks_path)
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
                 ids = [np.array(x, np.int32) for x in encode_texts(batch.column(1).to_pylist(), ranks)]
+                offsets = [pieces.offsets(x) for x in ids]
                 columns, names = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"]
                 if keep_offsets:
-                    columns.append(pa.array([np.cumsum(size[x], dtype=np.int32) - size[x] for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array(offsets, pa.list_(pa.int32())))
                     names.append("offsets")
                 if decode:
-                    columns.append(pa.array(decode_ids([x.tolist() for x in ids], ranks), pa.binary()))
+                    columns.append(pa.array(map(pieces.decode, ids, offsets), pa.binary()))
                     names.append("bytes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -233,7 +258,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, bytes): the bytes that the ids stand for; null ids count as none, an unknown id fails."""
+    """(id, ids, bytes): the bytes that the ids stand for; null ids count as none, an unknown id fails. With stored
+    ``offsets`` use ``decode_range``, which gives any stretch of a text's bytes without decoding what stands before."""
     prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,3 +270,24 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
 
     schema = T.StructType([encoded.schema[id_col], encoded.schema[ids_col], T.StructField("bytes", T.BinaryType())])
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+
+
+def decode_range(encoded: DataFrame, ranks_path: str, start: int, end: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, bytes): bytes ``start`` to ``end`` (exclusive) of each text, from those tokens alone whose offsets lie there.
+    ``encoded`` has ids and offsets; null ids count as none, and what lies beyond a text is empty."""
+    prepare(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(ranks_path)
+        for batch in batches:
+            found = []
+            for ids, offsets in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids, offsets = np.array(ids or (), np.int32), np.array(offsets or (), np.int32)
+                a = max(int(np.searchsorted(offsets, start, side="right")) - 1, 0)
+                b = int(np.searchsorted(offsets, end))
+                part = ids[a:b]
+                first = int(offsets[a]) if len(part) else 0
+                found.append(pieces.decode(part, offsets[a:b] - first)[start - first : max(end - first, 0)] if len(part) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], [id_col, "bytes"])
+
+    return encoded.select(id_col, "ids", "offsets").mapInArrow(run, T.StructType([encoded.schema[id_col], T.StructField("bytes", T.BinaryType())]))

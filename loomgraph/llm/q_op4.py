@@ -10,13 +10,15 @@ from loomgraph.llm.byte_bpe import encode_documents
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    decoded = encode_documents(docs, ranks_path, keep_offsets=False, decode=True)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, last_offset) of every row, repeated ones included; the bytes are
+    decoded by the tokens' offsets. last_offset: where the last token starts, null for a null or empty text."""
+    decoded = encode_documents(docs, ranks_path, keep_offsets=True, decode=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.try_element_at("offsets", F.lit(-1)).cast("long").alias("last_offset"),
     )
 
 
