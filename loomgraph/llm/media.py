@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.runtime import materialize, prepare, shared_dir
@@ -109,8 +110,10 @@ class Shard:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """(id, n_bytes, digest, shard, offset, length) for every row: where the padded UTF-8 bytes of its text stand.
 
-    A null text counts as empty, which is stored as 64 zero bytes. Repeated rows stay repeated and share their
-    place within a shard; other columns are not read. Runs at once: the rows are a table in the shared folder.
+    A null text counts as empty, which is stored as 64 zero bytes. Repeated rows stay repeated, and all rows of one
+    payload point at one place: tasks write what is new to them, and of the places that a digest got the first one by
+    shard and offset counts (a payload that several tasks met stands in their shards too, unread). Other
+    columns are not read. Runs at once: the rows are a table in the shared folder.
     """
     spark = prepare(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
@@ -138,7 +141,14 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if shard:
             yield from finish()
 
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "media")
+    written = materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "media")
+    place = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_place"))
+    return written.select(F.struct(id_col).alias("_id"), "n_bytes", "digest").join(place, "digest").select("_id.*", "n_bytes", "digest", "_place.*")
+
+
+def stored(media: DataFrame) -> DataFrame:
+    """(digest, shard, offset, length): every payload once, in the order in which the shards hold them."""
+    return media.select("digest", "shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 class Ranges:
@@ -160,7 +170,7 @@ class Ranges:
 
 
 def _mapped(media: DataFrame, fields: list[T.StructField], rows_of) -> DataFrame:
-    """``media`` with the fields that ``rows_of(ranges, shard, offset, length)`` gives for each row."""
+    """``media`` with the fields that ``rows_of(ranges, shard, offset, length, digest)`` gives for each row."""
     prepare(media.sparkSession)
     taken = {f.name for f in fields}
     kept = [c for c in media.columns if c not in taken]
@@ -169,7 +179,7 @@ def _mapped(media: DataFrame, fields: list[T.StructField], rows_of) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges()
         for batch in batches:
-            place = [batch.column(kept.index(c)).to_pylist() for c in ("shard", "offset", "length")]
+            place = [batch.column(kept.index(c)).to_pylist() for c in ("shard", "offset", "length", "digest")]
             made = [rows_of(ranges, *p) for p in zip(*place, strict=True)]
             columns = zip(*made, strict=True) if made else [()] * len(fields)
             target = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in fields])
@@ -182,18 +192,26 @@ def _mapped(media: DataFrame, fields: list[T.StructField], rows_of) -> DataFrame
 def with_header(media: DataFrame) -> DataFrame:
     """``media`` with width, height and bits, from the headers alone; columns of these names are replaced."""
     fields = [T.StructField(c, T.IntegerType()) for c in ("width", "height", "bits")]
-    return _mapped(media, fields, lambda ranges, shard, offset, length: read_header(ranges.read(shard, offset, min(length, HEADER_BYTES))))
+    return _mapped(media, fields, lambda ranges, shard, offset, length, _: read_header(ranges.read(shard, offset, min(length, HEADER_BYTES))))
 
 
-def _features(ranges: Ranges, shard: str, offset: int, length: int) -> tuple:
+def _checked(ranges: Ranges, shard: str, offset: int, length: int, digest: str) -> bytes:
+    """The stored bytes; that they are those of their digest is checked."""
     image = ranges.read(shard, offset, length)
+    if hashlib.sha256(image).hexdigest() != digest:
+        raise ValueError(f"{shard} at {offset} does not hold {digest}")
+    return image
+
+
+def _features(ranges: Ranges, shard: str, offset: int, length: int, digest: str) -> tuple:
+    image = _checked(ranges, shard, offset, length, digest)
     payload = from_image(image)
     samples = np.frombuffer(payload, np.uint8)
     counts = np.bincount(samples, minlength=256)
     share = counts[counts > 0] / len(samples)
     entropy = max(0.0, float(-(share * np.log2(share)).sum()))
     feature = f"mean={samples.mean():.4f};max={samples.max()};kinds={len(share)};entropy={entropy:.4f}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), hashlib.sha256(image).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), digest, feature
 
 
 def with_features(media: DataFrame) -> DataFrame:
@@ -205,7 +223,7 @@ def with_features(media: DataFrame) -> DataFrame:
 
 def read_payloads(media: DataFrame) -> DataFrame:
     """``media`` with payload, the padded bytes read back; a column of this name is replaced."""
-    return _mapped(media, [T.StructField("payload", T.BinaryType())], lambda ranges, *place: (from_image(ranges.read(*place)),))
+    return _mapped(media, [T.StructField("payload", T.BinaryType())], lambda ranges, *place: (from_image(_checked(ranges, *place)),))
 
 
 def shard_members(data: bytes) -> list[str]:
