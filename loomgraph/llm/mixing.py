@@ -83,10 +83,12 @@ def _cut(sums: DataFrame, key: str, budget: int, before: int) -> tuple[int, int]
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """(id, size, source_size, target, taken[, copies and the columns of ``keep``]) for every row of ``docs``.
+    """(id, size, source_size, target, taken, finish) for every row of ``docs``, in the order of finish times; with ``keep``
+    (its columns, copies, finish) instead, see ``mix_order``.
 
     size: words of the whole text (null: 0); taken: words of it that the mix takes, ``copies`` times size with
-    copies from 0 to ``epochs``. Rows without words take 0. The order is that of the ids' digests (then id, then
+    copies from 0 to ``epochs``; finish: the virtual finish time of its first copy, the source's words up to it over the
+    source's target (0 without a target). Rows without words take 0. The order is that of the ids' digests (then id, then
     the text's digest), so reruns agree, and rows that are alike in all of these differ in nothing but their
     place. An empty table gives no rows; other columns are not read.
     """
@@ -131,5 +133,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = sum((taken(e).cast("long") for e in range(1, epochs)), taken(0).cast("long"))
     out = placed.withColumn("_copies", F.when(F.col("_size") > 0, n).otherwise(0).cast("long"))
     if keep:
-        return out.select("_keep.*", F.col("_copies").alias("copies"))
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+        return out.select("_keep.*", F.col("_copies").alias("copies"), _finish(0).alias("finish"), F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(0.0).alias("round"))
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"), _finish(0).alias("finish")).orderBy("finish", id_col)
+
+
+def mix_order(docs: DataFrame, keep: list[str], **options) -> DataFrame:
+    """The mix itself: the columns of ``keep`` of every copy that it takes, range-sorted by finish time over all sources
+    and cut at the budget. ``options`` are those of ``mix_sources``; rows without words are in no mix."""
+    mixed = mix_sources(docs, keep=keep, **options).where("copies > 0")
+    copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return copies.withColumn("_at", F.col("finish") + F.col("_copy") * F.col("round")).orderBy("_at", *[c for c in keep if c == options.get("id_col", "doc_id")]).select(keep)

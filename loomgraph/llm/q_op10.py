@@ -8,6 +8,7 @@ from loomgraph.llm.mixing import mix_sources
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every row of documents; null texts, ids and sources and repeated rows as in ``mix_sources``."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -32,7 +33,8 @@ c AS (SELECT d.*, t.source_size, t.target,
 e AS (SELECT c.*, x.e, (CAST(cum AS BIGINT) + x.e * source_size) / target AS f FROM c, (VALUES (0), (1), (2)) AS x(e) WHERE size > 0),
 r AS (SELECT *, sum(size) OVER (ORDER BY f, k, h, doc_id, th, e ROWS UNBOUNDED PRECEDING) AS run FROM e),
 n AS (SELECT doc_id, k, th, cum, count(*) AS copies FROM r WHERE run <= (SELECT sum(size) FROM d) GROUP BY ALL)
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * coalesce(n.copies, 0) AS BIGINT) AS taken
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * coalesce(n.copies, 0) AS BIGINT) AS taken,
+  CASE WHEN c.target > 0 THEN CAST(c.cum AS BIGINT) / c.target ELSE 0.0 END AS finish
 FROM c LEFT JOIN n ON c.doc_id IS NOT DISTINCT FROM n.doc_id AND c.k = n.k AND c.th = n.th AND c.cum = n.cum AND c.size > 0
 """
 }
