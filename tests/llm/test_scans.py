@@ -12,6 +12,7 @@ import pytest
 from helpers import documents, empty, rows_of
 from pyspark.sql import functions as F
 
+from loomgraph.runtime import materialize
 from loomgraph.llm.language_id import score_texts, train
 from loomgraph.llm.license_scan import BASE, all_templates, scan_licenses, template_idf
 from loomgraph.llm.q_op2 import ORACLE_SQL, license_report
@@ -196,7 +197,8 @@ def test_no_single_feature_is_the_url_model(spark):
     host = F.regexp_extract("url", "://([^/]*)", 1)
     seen = {(r["bad"], r["h"]): r["count"] for r in labelled.groupBy("bad", host.contains("-").alias("h")).count().collect()}
     assert all(seen.get((bad, h), 0) > 150 for bad in (True, False) for h in (True, False))
-    rows = labelled.withColumn("page_id", F.xxhash64("url")).dropDuplicates(["page_id"]).localCheckpoint()
+    rows = labelled.withColumn("page_id", F.xxhash64("url")).dropDuplicates(["page_id"])
+    rows = materialize(rows, "labelled")
     part = F.pmod(F.col("page_id"), F.lit(3)) == 0
     for left_out in (("hyphens",), ("suffix_rate", "hyphens"), ("digit_ratio",)):
         model, rates = train_url_model(rows.where(~part), features=tuple(f for f in FEATURES if f not in left_out))
