@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.language_id import UNDETERMINED, identify
-from loomgraph.llm.mixing import mix_sources
+from loomgraph.llm.mixing import mix_order
 from loomgraph.llm.ngram_join import keep_one_of_each, link_documents
 from loomgraph.llm.q_op4 import round_trip_digests
 from loomgraph.llm.q_op7 import learned_tables
@@ -45,9 +45,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, from 0 to 3 times."""
-    mixed = mix_sources(docs, keep=COLUMNS)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
+    """Every document as often as the mix takes it, from 0 to 3 times, in the order of virtual finish times."""
+    return mix_order(docs, COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
