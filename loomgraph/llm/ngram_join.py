@@ -9,7 +9,7 @@ exact:
    (its prefix), whatever the order is: nodes with a shingle of their prefixes in common and sizes that allow a link (of
    one size class or two neighbouring ones) stand in one block. The order decides only how large blocks are. It comes
    from counts of all documents' shingles in ``BUCKETS`` buckets: a passage that many documents share stands last and
-   stays out of prefixes.
+   stays out of prefixes. Blocks whose node of most blocks is the same are then taken as one.
 3. Count vectors. Shingles are hashed into groups whose counts are a point. The sum of the smaller coordinates of two
    points bounds the overlap of the sets from above. In a block the points of ``DIMENSIONS`` groups are packed into an
    R-tree; a tree node's upper corner bounds the overlap with all points below it. What this leaves is bounded once
@@ -446,11 +446,15 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     # a node stands in the blocks of its own size class and, as a guest, in those of the next one
     own = F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")
     dealt = shared.join(nodes.select("key", "n", "class"), "key").select("sig", "key", "n", "class", own).select(F.xxhash64("sig", F.col("class") + F.col("guest")).alias("sig"), "key", "n", "guest")
-    block = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.sum("guest").alias("guests"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    # blocks of the same nodes are one block
-    block = block.where("m > 1 AND guests < m").groupBy("m", "total", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m", "total")
-    in_block = materialize(dealt.select("sig", "key").join(block, "sig"), "blocks")
+    block = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.sum("guest").alias("guests")).where("m > 1 AND guests < m").select("sig")
+    stands = materialize(dealt.join(block, "sig").select("sig", "key", "n"), "blocks")
     discard(shared)
+    # blocks are bundled by their node that stands in most blocks: a sketch goes to a bundle once
+    weight = stands.groupBy("key").agg(F.count("*").alias("weight"))
+    owner = stands.join(weight, "key").groupBy("sig").agg(F.max_by("key", F.struct("weight", "key")).alias("owner"))
+    bundle = materialize(stands.join(owner, "sig").groupBy(F.col("owner").alias("sig"), "key").agg(F.min("n").alias("n")), "bundles")
+    discard(stands)
+    in_block = bundle.select("sig", "key").join(bundle.groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sig")
 
     active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select("node")
     sketches = materialize(_sets(rows, width, active, "sketch", "binary", sketch), "sketches")
@@ -472,7 +476,7 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     twice = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
     same_id = member.join(twice, "doc").where("a < node").select("a", F.col("node").alias("b"))
     component = materialize(connected_components(links.unionByName(same_id), "a", "b"), "components")
-    discard(in_block, sketches, tried)
+    discard(bundle, sketches, tried)
 
     of_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = features.withColumn("_key", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))).join(of_key.withColumnRenamed("key", "_key"), "_key", "left")
