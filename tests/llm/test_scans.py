@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.runtime import materialize
 from loomgraph.llm.language_id import score_texts, train
-from loomgraph.llm.license_scan import BASE, all_templates, scan_licenses, template_idf
+from loomgraph.llm.license_scan import BASE, all_templates, all_texts, scan_licenses, template_idf
+from loomgraph.llm.license_texts import LICENSES
 from loomgraph.llm.q_op2 import ORACLE_SQL, license_report
 from loomgraph.llm.q_op7 import held_out, predict_languages
 from loomgraph.llm.q_op9 import secret_report
@@ -44,7 +45,7 @@ def test_base_phrases_by_brute_force(spark, sf_dir):
 def test_all_templates_by_brute_force(spark):
     docs = documents(spark)
     templates = all_templates()
-    found = scan_licenses(docs, templates, template_idf(docs, templates))
+    found = scan_licenses(docs, templates, all_texts(), template_idf(docs, [*templates, *all_texts()]))
     for r in found.collect():
         assert r["places"] == [phrase_places(r["text"], " ".join(t.words)) for t in templates]
         assert 0 <= r["score"] <= 1
@@ -61,6 +62,48 @@ def test_license_sql_holds_on_awkward_rows(spark, tmp_path):
     assert sorted(map(tuple, r.fetchall()), key=repr) == rows_of(license_report(docs).select(names))
 
 
+def licence_files() -> list[tuple]:
+    """Whole licence texts inside other words, with words left out, added or changed, and texts that lack what they must
+    hold."""
+    import random
+
+    r = random.Random(3)
+    filler = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = []
+    for label, phrases, text in LICENSES:
+        rows.append((label, f"{filler(50)}\n{text}\n{filler(30)}", True))
+        kept = text.split()
+        edited = [w for k, w in enumerate(kept) if k % 29 != 28]  # a word in 29 goes, unless a key phrase needs it
+        whole = " ".join(edited)
+        rows.append((label, f"{filler(400)} {whole}", all(" ".join(phrase_words(p)) in " ".join(phrase_words(whole)) for p in phrases)))
+        rows.append((label, f"{phrases[0]} {filler(20)}", False))  # the phrase alone
+    return [(i, text, label, want) for i, (label, text, want) in enumerate(rows)]
+
+
+def phrase_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def test_whole_licence_texts(spark, tmp_path):
+    files = licence_files()
+    docs = documents(spark, [(1000 + i, text, "en", "s", len(text)) for i, text, _, _ in files])
+    got = {r["doc_id"]: r for r in license_report(docs).collect()}
+    for i, _, label, want in files:
+        named = [x.split("@")[0] for x in got[1000 + i]["texts"].split(",") if x]
+        assert (label in named) == want, (i, label, got[1000 + i]["texts"])
+        assert not want or label in got[1000 + i]["labels"].split(",")
+    at = {x.split("@")[0]: int(x.split("@")[1]) for x in got[1000]["texts"].split(",")}
+    assert abs(at["mit"] - 50) <= 48
+    assert all(not got[r["doc_id"]]["texts"] for r in docs.where("doc_id < 1000").collect())
+    duckdb = pytest.importorskip("duckdb")
+    docs.toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d.parquet')")
+    r = con.execute(ORACLE_SQL["op2_license_scan"])
+    names = [d[0] for d in r.description]
+    assert sorted(map(tuple, r.fetchall()), key=repr) == rows_of(license_report(docs).select(names))
+
+
 # secrets
 
 def brute_spans(text: str | None) -> list[tuple[int, int, int]]:
