@@ -12,8 +12,8 @@ exact:
    stays out of prefixes. Blocks whose node of most blocks is the same are then taken as one.
 3. Count vectors. Shingles are hashed into groups whose counts are a point. The sum of the smaller coordinates of two
    points bounds the overlap of the sets from above. In a block the points of ``DIMENSIONS`` groups are packed into an
-   R-tree; a tree node's upper corner bounds the overlap with all points below it. What this leaves is bounded once
-   more by the same points at 65,536 groups, which hardly overestimates.
+   R-tree; a tree node's upper corner bounds the overlap with all points below it. Nodes for which this leaves a partner
+   are bounded once more by the same points at 65,536 groups, which hardly overestimates.
 4. A block gives out a spanning forest of the pairs that the bounds leave, at most one pair fewer than it has nodes,
    and these pairs are verified on the shingle sets. Where a pair of a forest turns out not to link, its block
    is gone through once more without that short cut: all its pairs between different components are verified.
@@ -40,7 +40,7 @@ from loomgraph.runtime import discard, materialize, prepare
 
 DIMENSIONS = 64
 #: Buckets in which shingles are counted for their order, and the rows in which a task hands its counts on.
-BUCKETS, SLICES, SHIFT = 1 << 20, 256, np.uint64(44)
+BUCKETS, SLICES, SHIFT = 1 << 22, 1024, np.uint64(42)
 #: Nodes of a block, and shingles of its nodes, that meet in one piece.
 CHUNK, ELEMENTS = 2048, 4_000_000
 LEAF = 16
@@ -184,20 +184,23 @@ def _features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc, n, key, class) of every row, and from each task ``SLICES`` rows (slice, counts): its distinct sets' shingles
     by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, low = np.zeros(BUCKETS, np.int64), set(), size_classes(num, den)
+        counts, seen, low, fresh, held = np.zeros(BUCKETS, np.int64), set(), size_classes(num, den), [], 0
         names = ["doc", "n", "key", "class", "slice", "counts"]
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            keys, fresh = [set_key(s) for s in sets], []
+            keys = [set_key(s) for s in sets]
             for key, s in zip(keys, sets, strict=True):
                 if key not in seen and len(seen) < 200_000:
                     seen.add(key)
-                    fresh.append(s)
-            if fresh:
-                counts += np.bincount((np.concatenate(fresh) >> SHIFT).astype(np.int64), minlength=BUCKETS)
+                    fresh.append((s >> SHIFT).astype(np.int32))
+                    held += len(s)
+            if held > BUCKETS // 2:
+                counts += np.bincount(np.concatenate(fresh), minlength=BUCKETS)
+                fresh, held = [], 0
             none, n = pa.nulls(batch.num_rows), np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(np.searchsorted(low, n, side="right").astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if seen:
+            counts += np.bincount(np.concatenate(fresh), minlength=BUCKETS) if fresh else 0
             none = pa.nulls(SLICES, pa.int64())
             packed = [zlib.compress(c.tobytes(), 1) for c in counts.astype("<u4").reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
@@ -278,9 +281,13 @@ def _bits_of(ids: DataFrame, spark: SparkSession) -> Broadcast:
     return spark.sparkContext.broadcast(bits)
 
 
-def _sets(docs: DataFrame, width: int, ids: DataFrame, column: str, kind: str, made) -> DataFrame:
-    """(key, n, column) of the documents named by ``ids``, and of some more: their texts stay where they are, and a filter
-    tells which are worth the work. ``made`` gives the column from a set; of equal sets within a task only the first."""
+#: Columns made from a set: their types, and how they are made.
+MADE = {"point": ("binary", lambda s: count_vector((s >> np.uint64(40)).astype(np.uint16)).tobytes()), "sketch": ("binary", sketch), "shingles": ("array<bigint>", lambda s: s.view(np.int64))}
+
+
+def _sets(docs: DataFrame, width: int, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, n, columns of MADE) of the documents named by ``ids``, and of some more: their texts stay where they are, and a
+    filter tells which are worth the work. Of equal sets within a task only the first counts."""
     shared = _bits_of(ids, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,20 +295,22 @@ def _sets(docs: DataFrame, width: int, ids: DataFrame, column: str, kind: str, m
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero(shared.value[at // 64] >> (at % 64) & 1)
-            if not len(wanted):
+            found = list(_distinct_sets(batch.take(pa.array(wanted)), width, seen)) if len(wanted) else []
+            if not found:
                 continue
-            rows = [(key, len(s), made(s)) for key, s in _distinct_sets(batch.take(pa.array(wanted)), width, seen)]
-            key, n, values = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], ["key", "n", column])
+            arrays = [pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())]
+            arrays += [pa.array([MADE[c][1](s) for _, s in found], pa.binary() if MADE[c][0] == "binary" else pa.list_(pa.int64())) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", *columns])
 
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(FILTER))).mapInArrow(run, f"key bigint, n bigint, {column} {kind}")
+    schema = "key bigint, n bigint, " + ", ".join(f"{c} {MADE[c][0]}" for c in columns)
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(FILTER))).mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b), a written table: the pairs of keys whose shingle sets link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = nodes.join(ends, "key", "left_semi").select("node")
-    sets = materialize(_sets(docs, width, ids, "shingles", "array<bigint>", lambda s: s.view(np.int64)), "sets")
+    sets = materialize(_sets(docs, width, ids, ["shingles"]), "sets")
     side = lambda end: sets.select(F.col("key").alias(end), F.col("shingles").alias(f"s_{end}"))
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     exact = (den + num) * common >= num * (F.size("s_a") + F.size("s_b"))
@@ -376,35 +385,50 @@ class Block:
         return found
 
 
-def _block_pairs(blocks: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b, sig): pairs of keys of one block, but of different components, that the bounds leave; see ``Block.pairs``.
-    ``blocks``: sig, m (nodes in the block), total (their shingles), key, component, n, sketch."""
+def near_nodes(points: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which nodes have a partner on the other side (``low`` and ``high``, or one and the same) that the R-tree's bound
+    leaves. A node found as a partner needs no query of its own."""
+    near = np.zeros(len(sizes), bool)
+    same_side = len(low) == len(high) and (low == high).all()
+    for asked, there in ((low, high),) if same_side else ((low, high), (high, low)):
+        tree, start, step = CountTree(points[there], sizes[there], num, den), 0, 1
+        while start < len(asked):
+            batch = asked[start : start + step]
+            start, step = start + step, min(2 * step, 64)
+            batch = batch[~near[batch]]
+            if len(batch):
+                q, p = tree.query(points[batch], sizes[batch])
+                other = batch[q] != there[p]
+                near[batch[q[other]]] = near[there[p[other]]] = True
+    return near
+
+
+def _by_piece(blocks: DataFrame, columns: list[str], finish, names: list[str]) -> DataFrame:
+    """(names ..., all bigint): what ``finish`` gives of every piece of every block: it gets the block's number, the places of
+    the nodes on its low and on its high side, their keys, and the columns, and returns rows. ``blocks``: sig, m (nodes in the
+    block), total (their shingles), key and the columns; blocks of many nodes or shingles are cut into pieces."""
     pieces = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("total") / ELEMENTS)).cast("int")
     own = F.pmod(F.xxhash64("key"), pieces).cast("int")
     rows = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "component", "n", "sketch")
-    names = ["a", "b", "sig"]
+    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", *columns)
 
-    def finish(parts: list[pa.RecordBatch]) -> list[tuple[int, int, int]]:
+    def whole(parts: list[pa.RecordBatch]) -> list[tuple[int, ...]]:
         table = pa.Table.from_batches(parts)
-        column = lambda k: table.column(k).to_numpy()
-        own, keys, low, high, sig = column(3), column(4), table.column(1)[0].as_py(), table.column(2)[0].as_py(), table.column(0)[0].as_py()
+        own, keys = table.column(3).to_numpy(), table.column(4).to_numpy()
+        sig, low, high = (table.column(k)[0].as_py() for k in range(3))
         at_low, at_high = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        sizes = column(6)
-        if not len(at_low) or not len(at_high) or len(keys) == 2 and num * sizes.max() > den * sizes.min():
+        if not len(at_low) or not len(at_high) or len(keys) < 2:
             return []
-        block = Block(keys, sizes, table.column(7).to_pylist(), column(5), num, den)
         # the same keys come first in every block of a cluster, so its blocks agree on pairs
         at_low = at_low[np.argsort(keys[at_low])]
-        found = block.pairs(at_low, at_low if low == high else at_high, forest)
-        return [(int(min(keys[i], keys[j])), int(max(keys[i], keys[j])), sig) for i, j in found]
+        return finish(sig, at_low, at_low if low == high else at_high, keys, *[table.column(5 + k) for k in range(len(columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
         now = None
 
-        def emit(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((),) * 3)], names)
+        def emit(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [()] * len(names))], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -415,16 +439,41 @@ def _block_pairs(blocks: DataFrame, num: int, den: int, forest: bool) -> DataFra
             for a, b in zip(edges, edges[1:], strict=False):
                 this = tuple(int(k[a]) for k in key)
                 if parts and this != now:
-                    found += finish(parts)
+                    found += whole(parts)
                     parts = []
                 now = this
                 parts.append(batch.slice(a, b - a))
             yield emit(found)
         if parts:
-            yield emit(finish(parts))
+            yield emit(whole(parts))
 
     keys = ["sig", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, sig bigint")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def _near(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, key): the nodes of each block for which the R-tree leaves a partner in it; at most one row for each of them and
+    piece. ``blocks`` have n and point."""
+    def finish(sig, low, high, keys, n, point):
+        points = np.frombuffer(b"".join(point.to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+        return [(sig, int(k)) for k in keys[near_nodes(points, n.to_numpy(), low, high, num, den)]]
+
+    return _by_piece(blocks, ["n", "point"], finish, ["sig", "key"])
+
+
+def _block_pairs(blocks: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b, sig): pairs of keys of one block, but of different components, that the bounds leave; see ``Block.pairs``.
+    ``blocks`` have component, n and sketch."""
+    def finish(sig, low, high, keys, component, n, sketch):
+        found = Block(keys, n.to_numpy(), sketch.to_pylist(), component.to_numpy(), num, den).pairs(low, high, forest)
+        return [(int(min(keys[i], keys[j])), int(max(keys[i], keys[j])), sig) for i, j in found]
+
+    return _by_piece(blocks, ["component", "n", "sketch"], finish, ["a", "b", "sig"])
+
+
+def _sized(bundle: DataFrame) -> DataFrame:
+    """(sig, key, m, total) from (sig, key, n)."""
+    return bundle.select("sig", "key").join(bundle.groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"), "sig")
 
 
 def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,11 +503,13 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     owner = stands.join(weight, "key").groupBy("sig").agg(F.max_by("key", F.struct("weight", "key")).alias("owner"))
     bundle = materialize(stands.join(owner, "sig").groupBy(F.col("owner").alias("sig"), "key").agg(F.min("n").alias("n")), "bundles")
     discard(stands)
-    in_block = bundle.select("sig", "key").join(bundle.groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sig")
 
-    active = nodes.join(in_block.select("key").distinct(), "key", "left_semi").select("node")
-    sketches = materialize(_sets(rows, width, active, "sketch", "binary", sketch), "sketches")
-    placed = in_block.join(sketches, "key")
+    active = nodes.join(bundle.select("key").distinct(), "key", "left_semi").select("node")
+    sketches = materialize(_sets(rows, width, active, ["point", "sketch"]), "sketches")
+    # points are small: they tell which nodes of a bundle are worth a sketch
+    near = materialize(_near(_sized(bundle).join(sketches.select("key", "n", "point"), "key"), num, den).distinct(), "near")
+    kept = bundle.join(near, ["sig", "key"], "left_semi")
+    placed = _sized(kept).join(sketches.select("key", "n", "sketch"), "key")
     tried = materialize(_block_pairs(placed.withColumn("component", F.col("key")), num, den, forest=True), "pairs")
     links = _verified(tried.select("a", "b").distinct(), rows, nodes, width, num, den)
     failed = tried.join(links, ["a", "b"], "left_anti").select("sig").distinct()
@@ -476,7 +527,7 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     twice = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
     same_id = member.join(twice, "doc").where("a < node").select("a", F.col("node").alias("b"))
     component = materialize(connected_components(links.unionByName(same_id), "a", "b"), "components")
-    discard(bundle, sketches, tried)
+    discard(bundle, near, sketches, tried)
 
     of_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = features.withColumn("_key", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key"))).join(of_key.withColumnRenamed("key", "_key"), "_key", "left")

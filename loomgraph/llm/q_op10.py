@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.mixing import mix_sources
+from loomgraph.runtime import spread
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for every row of documents; null texts, ids and sources and repeated rows as in ``mix_sources``."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix_sources(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op10_mix_sources": op10_mix_sources}

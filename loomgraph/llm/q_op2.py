@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.license_scan import POSTINGS, LOOKED_UP, STRETCH, VOTES, Template, Text, all_templates, all_texts, labels_text, scan_licenses, template_idf
+from loomgraph.runtime import spread
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every row of documents."""
-    return license_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_report(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _oracle(templates: list[Template], texts: list[Text]) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.byte_bpe import encode_documents
+from loomgraph.runtime import spread
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -23,7 +24,8 @@ def round_trip_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The digests of every row of documents."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

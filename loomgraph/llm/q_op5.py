@@ -8,6 +8,7 @@ from loomgraph.llm.url_filter import filter_urls, labelled_urls, train_url_model
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict for every row of pages; null urls as in ``filter_urls``."""
     model, suffix_rates = train_url_model(labelled_urls(spark))
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model, suffix_rates)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.language_id import PpmTables, identify, train
+from loomgraph.runtime import spread
 
 
 def held_out() -> Column:
@@ -23,7 +24,8 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """One row for every row of documents; null texts and texts without a letter are und."""
+    return predict_languages(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op7_language_id": op7_language_id}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.media import store_media, stored, with_features, with_header
+from loomgraph.runtime import spread
 
 
 def media_report(docs: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def media_report(docs: DataFrame) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every row of documents."""
-    return media_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media_report(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op8_media_columns": op8_media_columns}

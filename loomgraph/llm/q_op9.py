@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.secrets import find_secrets, spans_text, train_pair_ratios, training_samples
+from loomgraph.runtime import spread
 
 
 def secret_report(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """One row of counts and spans for every document."""
+    """One row of counts and spans for every document, repeated ones included; a null text has no spans."""
     found = find_secrets(docs.select("doc_id", "text"), ratios)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
@@ -23,7 +24,8 @@ def secret_report(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The spans of every row of documents."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return secret_report(docs, train_pair_ratios(training_samples(spark)))
 
 
