@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import materialize
+from loomgraph.runtime import discard, materialize
 
 #: Other names under which records carry the ends of a relationship and an entity's name.
 ALIASES = {"source": ("source", "source_id", "subject"), "target": ("target", "target_id", "object"), "name": ("name", "text"), "id": ("id", "entity_id")}
@@ -59,16 +59,26 @@ def issues(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def in_cycles(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+#: Rounds after which a loop that should have come to rest raises, rather than give out a part of its result.
+MOST_ROUNDS = 10_000
+#: Neighbours of a wide node that one task pairs with as many others.
+HUB = 2_000
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
     """(node): nodes that stay when nodes without an incoming or without an outgoing edge are taken away until there
     are none; empty exactly if the directed graph has no cycle."""
     e = materialize(edges.select("source", "target").distinct(), "edges")
-    for _ in range(max_rounds):
+    for _ in range(MOST_ROUNDS):
         left = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
         left = materialize(left, "edges")
-        if left.count() == e.count():
-            break
+        before, after = e.count(), left.count()
+        discard(e)
         e = left
+        if before == after:
+            break
+    else:
+        raise RuntimeError(f"cycles did not settle in {MOST_ROUNDS} rounds")
     return e.select(F.col("source").alias("node")).distinct()
 
 
@@ -113,71 +123,90 @@ def distance_band(hops: Column) -> Column:
     return F.when(hops <= 1, "direct").when(hops <= 3, "near").when(hops <= 6, "mid-range").otherwise("distant")
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_rounds: int = 30, directed: bool = True) -> DataFrame:
-    """(origin, node, cost, path): least total weight from each origin, by rounds of relaxation; weights are not
-    negative. Of equally cheap paths the one that is smallest as an array stays."""
+def shortest_paths(edges: DataFrame, seeds: DataFrame, directed: bool = True) -> DataFrame:
+    """(origin, node, cost, path): least total weight from each origin, by rounds of relaxation until none is cheaper;
+    weights are not negative. Of equally cheap paths the one that is smallest as an array stays."""
     e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight")
     if not directed:
         e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     e = e.groupBy("a", "b").agg(F.min("weight").alias("weight"))
     best = materialize(seeds.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.array(F.col("node")).alias("path")).distinct(), "paths")
     changed = best
-    for _ in range(max_rounds):
+    for _ in range(MOST_ROUNDS):
         step = changed.join(e, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
         new = best.unionByName(step).groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("x")).select("origin", "node", "x.*")
         new = materialize(new, "paths")
         changed = new.join(best.select("origin", "node", F.col("cost").alias("_c")), ["origin", "node"], "left").where("_c IS NULL OR cost < _c").drop("_c")
         best = new
         if changed.isEmpty():
-            break
-    return best
-
-
-def all_shortest_paths(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
-    """(path, hops): all paths of the fewest edges, ties kept."""
-    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    frontier = e.sparkSession.createDataFrame([([source],)], "path array<string>")
-    for hops in range(1, max_hops + 1):
-        last = F.element_at("path", -1)
-        frontier = materialize(frontier.join(e, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path")), "paths")
-        hit = frontier.where(F.element_at("path", -1) == target)
-        if not hit.isEmpty():
-            return hit.withColumn("hops", F.lit(hops))
-        if frontier.isEmpty():
-            break
-    return frontier.where("false").withColumn("hops", F.lit(0))
+            return best
+    raise RuntimeError(f"paths did not settle in {MOST_ROUNDS} rounds")
+
+
+def average_path_length(edges: DataFrame) -> DataFrame:
+    """(pairs, mean_length): over the ordered pairs of different nodes that reach one another in the undirected graph."""
+    return _levels(undirected(edges)).where("d > 0").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_length"))
+
+
+def all_shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(path, hops): all paths of the fewest edges, ties kept; none if there is no path. Levels from the source are
+    found first, and paths are laid only along edges from level to level, back from the target."""
+    e = materialize(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "edges")
+    seed = e.sparkSession.createDataFrame([(source,)], "node string")
+    seen = frontier = materialize(seed.withColumn("d", F.lit(0)), "levels")
+    hops = 0
+    while seen.where(F.col("node") == target).isEmpty() and not frontier.isEmpty():
+        hops += 1
+        new = frontier.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = materialize(new.withColumn("d", F.lit(hops)), "levels")
+        seen = seen.unionByName(frontier)
+    paths = seen.where(F.col("node") == target).select(F.array("node").alias("path"), F.col("d").alias("hops"))
+    for d in range(hops - 1, -1, -1):
+        here = seen.where(F.col("d") == d).select("node")
+        paths = paths.join(e, F.col("path")[0] == F.col("b")).join(here, F.col("a") == F.col("node")).select(F.concat(F.array("a"), F.col("path")).alias("path"), "hops")
+    return paths
 
 
-def k_shortest_paths(edges: DataFrame, source: str, target: str, k: int, max_hops: int = 6) -> DataFrame:
-    """(path, cost): the k cheapest simple paths of at most ``max_hops`` edges, by cost, then path."""
-    e = edges.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.min("weight").alias("w"))
+def k_shortest_paths(edges: DataFrame, source: str, target: str, k: int) -> DataFrame:
+    """(path, cost): the k cheapest simple paths, by cost, then path; fewer if there are fewer. Weights are not negative.
+    A partial path is dropped once k whole ones cost less."""
+    e = materialize(edges.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.min("weight").alias("w")), "edges")
     frontier = e.sparkSession.createDataFrame([([source], 0.0)], "path array<string>, cost double")
-    found = None
-    for _ in range(max_hops):
+    found = frontier.where("false")
+    for _ in range(MOST_ROUNDS):
         last = F.element_at("path", -1)
-        frontier = frontier.where(last != target).join(e, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
-        frontier = materialize(frontier, "paths")
-        hit = frontier.where(F.element_at("path", -1) == target)
-        found = hit if found is None else found.unionByName(hit)
-        if frontier.isEmpty():
-            break
-    return found.orderBy("cost", "path").limit(k)
-
-
-def closeness(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(node, closeness): reachable / sum of distances, scaled by the share of nodes reachable."""
-    both = undirected(edges)
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    levels = materialize(nodes.select(F.col("node").alias("origin"), "node", F.lit(0).alias("d")), "levels")
-    frontier = levels
-    for depth in range(1, max_depth + 1):
+        step = frontier.join(e, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
+        step = materialize(step, "paths")
+        if step.isEmpty():
+            return found
+        found = materialize(found.unionByName(step.where(F.element_at("path", -1) == target)).orderBy("cost", "path").limit(k), "paths")
+        n, most = found.agg(F.count("*"), F.max("cost")).first()
+        frontier = step.where(F.element_at("path", -1) != target)
+        if n == k:
+            frontier = frontier.where(F.col("cost") <= most)
+    raise RuntimeError(f"paths did not settle in {MOST_ROUNDS} rounds")
+
+
+def _levels(both: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(origin, node, d): distances from every origin (column node; all nodes if none are given), in rounds until no node
+    is new."""
+    nodes = both.select(F.col("a").alias("node")).distinct() if origins is None else origins.select("node").distinct()
+    levels = frontier = materialize(nodes.select(F.col("node").alias("origin"), "node", F.lit(0).alias("d")), "levels")
+    for depth in range(1, MOST_ROUNDS):
         new = frontier.join(both, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct().join(levels, ["origin", "node"], "left_anti")
         frontier = materialize(new.withColumn("d", F.lit(depth)), "levels")
         if frontier.isEmpty():
-            break
+            return levels
         levels = levels.unionByName(frontier)
-    n = nodes.agg((F.count("*") - 1).alias("others"))
-    sums = levels.groupBy("origin").agg(F.sum("d").alias("total"), (F.count("*") - 1).alias("reached"))
+    raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
+
+
+def closeness(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(node, closeness): reachable / sum of distances, scaled by the share of nodes reachable. It needs the distances
+    from every node it is asked for: on a large graph give ``origins`` (column node), the nodes of interest."""
+    both = materialize(undirected(edges), "edges")
+    n = both.select("a").distinct().agg((F.count("*") - 1).alias("others"))
+    sums = _levels(both, origins).groupBy("origin").agg(F.sum("d").alias("total"), (F.count("*") - 1).alias("reached"))
     return sums.join(F.broadcast(n), F.lit(True)).select(F.col("origin").alias("node"), F.when(F.col("total") > 0, F.col("reached") / F.col("total") * F.col("reached") / F.col("others")).otherwise(0.0).alias("closeness"))
 
 
@@ -205,32 +234,38 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tole
     return ranks
 
 
-def eigenvector(edges: DataFrame, iterations: int = 30) -> DataFrame:
-    """(node, score): power iteration over the undirected graph with a shift by one, scaled to a largest score of 1."""
+def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, score): power iteration over the undirected graph with a shift by one, scaled to a largest score of 1, until
+    no score changes by more than ``tolerance``, else for ``iterations`` rounds."""
     both = materialize(undirected(edges), "edges")
     x = both.select(F.col("a").alias("node")).distinct().withColumn("score", F.lit(1.0))
     for _ in range(iterations):
         pulled = both.join(x, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum("score").alias("pull"))
-        new = materialize(x.join(pulled, "node").select("node", (F.col("score") + F.col("pull")).alias("raw")), "scores")
-        top = new.agg(F.max("raw").alias("top"))
-        x = new.join(F.broadcast(top), F.lit(True)).select("node", (F.col("raw") / F.col("top")).alias("score"))
+        new = materialize(x.join(pulled, "node").select("node", "score", (F.col("score") + F.col("pull")).alias("raw")), "scores")
+        top = new.agg(F.max("raw")).first()[0]
+        change = new.agg(F.max(F.abs(F.col("raw") / top - F.col("score")))).first()[0] if top else None
+        x = new.select("node", (F.col("raw") / top).alias("score")) if top else new.select("node", "score")
+        if change is None or change <= tolerance:
+            break
     return x
 
 
-def betweenness(edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame) -> DataFrame:
     """(node, betweenness): over all ordered pairs, the share of shortest paths that pass the node, halved (undirected),
     by levels of path counts outwards and of dependencies back, for all origins side by side."""
     both = materialize(undirected(edges), "edges")
     start = both.select(F.col("a").alias("node")).distinct().select(F.col("node").alias("origin"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     levels = [materialize(start, "levels")]
     seen = levels[0].select("origin", "node")
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, MOST_ROUNDS):
         new = levels[-1].join(both, F.col("node") == F.col("a")).groupBy("origin", F.col("b").alias("node")).agg(F.sum("paths").alias("paths")).join(seen, ["origin", "node"], "left_anti")
         new = materialize(new.select("origin", "node", F.lit(depth).alias("d"), "paths"), "levels")
         if new.isEmpty():
             break
         levels.append(new)
         seen = seen.unionByName(new.select("origin", "node"))
+    else:
+        raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
     below = levels[-1].withColumn("delta", F.lit(0.0))
     total = below
     for level in reversed(levels[:-1]):
@@ -246,14 +281,19 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "source", "target")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, community): all nodes at once take the most frequent label among their neighbours and, as one more vote,
-    themselves; ties go to the smallest label."""
+    themselves; ties go to the smallest label. It ends when no label changes, else after ``rounds``: labels that swap for
+    ever are a result too."""
     both = materialize(undirected(edges), "edges")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "community").unionByName(labels).groupBy("node", "community").agg(F.count("*").alias("n"))
-        labels = materialize(votes.groupBy("node").agg(F.max_by("community", F.struct("n")).alias("any"), F.max("n").alias("top")).select("node", "top").join(votes, "node").where("n = top").groupBy("node").agg(F.min("community").alias("community")), "labels")
+        new = materialize(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("x")).select("node", F.col("x.community").alias("community")), "labels")
+        changed = not new.join(labels.withColumnRenamed("community", "_old"), "node").where("community <> _old").isEmpty()
+        labels = new
+        if not changed:
+            break
     return labels
 
 
@@ -277,36 +317,52 @@ def community_metrics(edges: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """(a, b): edges whose removal splits a component. Only edges that close no triangle can be bridges; each of
-    those is then tested by whether its ends stay connected without it, all tests side by side as labelled
-    components of (edge, node) pairs. Meant for graphs whose such edges are few."""
-    both = undirected(edges)
-    one = materialize(both.where("a < b"), "edges")
-    nb = both.select(F.col("a").alias("a2"), F.col("b").alias("c"))
-    closed = one.join(nb, F.col("a") == F.col("a2")).join(both.select(F.col("a").alias("c"), F.col("b").alias("b2")), "c").where("b2 = b").select("a", "b").distinct()
-    suspects = materialize(one.join(closed, ["a", "b"], "left_anti"), "suspects")
-    reach = suspects.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("a").alias("node"))
-    seen = frontier = materialize(reach, "reach")
-    while True:
-        new = frontier.join(both, F.col("node") == F.col("a")).where(~((F.col("a") == F.col("s")) & (F.col("b") == F.col("t"))) & ~((F.col("a") == F.col("t")) & (F.col("b") == F.col("s"))))
-        frontier = materialize(new.select("s", "t", F.col("b").alias("node")).distinct().join(seen, ["s", "t", "node"], "left_anti"), "reach")
+    """(a, b): edges a < b whose removal splits a component.
+
+    A spanning forest is grown by levels from the smallest node of every component. Each other edge gets a random label,
+    the hash of its ends, which is XORed into both of them; the XOR over a subtree is then that of the labels of
+    the edges that leave it, and the tree edge above it is a bridge if no edge leaves it, which is when the XOR is 0 (two
+    independent hashes, so 1 in 2^128 is wrong). Two passes over the levels, whatever the number of bridges."""
+    both = materialize(undirected(edges), "edges")
+    roots = connected_components(both, "a", "b").select(F.col("component").alias("node")).distinct()
+    frontier = materialize(roots.select("node", F.lit(0).alias("d"), F.lit(None).cast(both.schema["a"].dataType).alias("parent")), "levels")
+    levels, seen = [frontier], frontier
+    for depth in range(1, MOST_ROUNDS):
+        new = frontier.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        frontier = materialize(new.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("d"), "parent"), "levels")
         if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(frontier), "reach")
-    return suspects.join(seen.where("node = t").select(F.col("s").alias("a"), F.col("t").alias("b")), ["a", "b"], "left_anti")
-
-
-def link_scores(edges: DataFrame, max_degree: int | None = None) -> DataFrame:
+        levels.append(frontier)
+        seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"levels did not settle in {MOST_ROUNDS} rounds")
+    tree = seen.where("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    other = both.where("a < b").join(tree, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").alias("x"), F.xxhash64("b", "a").alias("y"))
+    marks = materialize(other.groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "marks")
+    below, found = None, None
+    for level in reversed(levels[1:]):
+        own = level.select("node", "parent").join(marks, "node", "left").select("node", "parent", "x", "y")
+        if below is not None:
+            passed = below.select(F.col("parent").alias("node"), "x", "y")
+            own = own.select("node", "x", "y").unionByName(passed.join(level, "node", "left_semi")).groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).join(level.select("node", "parent"), "node")
+        below = materialize(own.select("node", "parent", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y")), "marks")
+        cut = below.where("x = 0 AND y = 0").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+        found = cut if found is None else found.unionByName(cut)
+    return found if found is not None else tree
+
+
+def link_scores(edges: DataFrame) -> DataFrame:
     """(a, b, common, jaccard, adamic_adar, resource_allocation, preferential): scores of pairs a < b that share a
-    neighbour and are not linked. ``max_degree`` leaves out wider neighbours, whose share in the sums is small."""
-    both = undirected(edges)
-    degree = both.groupBy("a").agg(F.count("*").alias("deg"))
-    middle = both.join(degree, "a").where(F.col("deg") > 1)
-    if max_degree:
-        middle = middle.where(F.col("deg") <= max_degree)
-    left = middle.select(F.col("a").alias("z"), F.col("b").alias("x"), "deg")
-    right = middle.select(F.col("a").alias("z"), F.col("b").alias("y"))
-    pairs = left.join(right, "z").where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("deg")).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource_allocation"))
+    neighbour and are not linked. They are as many as the two-step paths of the graph: a node of degree d makes d squared
+    of them, dealt out to several tasks."""
+    both = materialize(undirected(edges), "edges")
+    degree = materialize(both.groupBy("a").agg(F.count("*").alias("deg")), "degrees")
+    # neighbours of a wide node are dealt out: each pair of parts meets in a task of its own
+    parts = F.ceil(F.col("deg") / HUB).cast("int")
+    middle = both.join(degree, "a").where("deg > 1").select(F.col("a").alias("z"), "b", "deg", F.pmod(F.xxhash64("b"), parts).cast("int").alias("own"), F.sequence(F.lit(0), parts - 1).alias("others"))
+    left = middle.select("z", F.col("b").alias("x"), "deg", F.col("own").alias("i"), F.explode("others").alias("j"))
+    right = middle.select("z", F.col("b").alias("y"), F.explode("others").alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["z", "i", "j"]).where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("deg")).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource_allocation"))
     pairs = pairs.join(both.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
     d = lambda c: degree.select(F.col("a").alias(c), F.col("deg").alias(f"deg_{c}"))
     pairs = pairs.join(d("x"), "x").join(d("y"), "y")
@@ -314,14 +370,30 @@ def link_scores(edges: DataFrame, max_degree: int | None = None) -> DataFrame:
 
 
 def top_preferential(edges: DataFrame, k: int = 20) -> DataFrame:
-    """(a, b, score): unlinked pairs of the largest product of degrees. Such a pair lies among the highest degrees:
-    only nodes of rank up to k + 1 plus the largest degree among them can be in it, so few pairs are formed."""
-    both = undirected(edges)
+    """(a, b, score): the k unlinked pairs a < b of the largest product of degrees, ties by a and b.
+
+    The pairs among the highest degrees give a bound on the k-th score; then only degrees whose product reaches the bound
+    are paired, class by class of equal degree. The first set grows until it holds k unlinked pairs."""
+    both = materialize(undirected(edges), "edges")
     degree = materialize(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("deg")), "degrees")
-    widest = degree.agg(F.max("deg")).first()[0] or 0
-    top = degree.orderBy(F.desc("deg"), "node").limit(k + 1 + min(int(widest), 10_000))
-    x, y = (top.select(F.col("node").alias(c), F.col("deg").alias(f"d{c}")) for c in "ab")
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).join(both, ["a", "b"], "left_anti").select("a", "b", (F.col("da") * F.col("db")).alias("score")).orderBy(F.desc("score"), "a", "b").limit(k)
+    n, size, bound = degree.count(), 2 * k + 2, 0
+
+    def unlinked(x: DataFrame, y: DataFrame, on) -> DataFrame:
+        x, y = (df.select(F.col("node").alias(c), F.col("deg").alias(f"d{c}"), *[k for k in df.columns if k not in ("node", "deg")]) for df, c in ((x, "a"), (y, "b")))
+        return x.join(y, on).where("a < b").join(both, ["a", "b"], "left_anti").select("a", "b", (F.col("da") * F.col("db")).alias("score"))
+
+    while size < n:
+        top = materialize(degree.orderBy(F.desc("deg"), "node").limit(size), "top").withColumn("_one", F.lit(1))
+        best = unlinked(top, top, "_one").orderBy(F.desc("score")).limit(k).agg(F.count("*"), F.min("score")).first()
+        if best[0] == k:
+            bound = best[1]
+            break
+        size *= 4
+    classes = materialize(degree.groupBy("deg").count().select("deg"), "classes")
+    one, two = classes.withColumnsRenamed({"deg": "d1"}), classes.withColumnsRenamed({"deg": "d2"})
+    allowed = one.join(two, F.col("d1") * F.col("d2") >= bound)
+    x = degree.join(allowed, F.col("deg") == F.col("d1")).select("node", "deg", F.col("d2").alias("_d"))
+    return unlinked(x, degree.withColumn("_d", F.col("deg")), "_d").orderBy(F.desc("score"), "a", "b").limit(k)
 
 
 def connectivity_metrics(edges: DataFrame) -> DataFrame:
@@ -334,13 +406,17 @@ def connectivity_metrics(edges: DataFrame) -> DataFrame:
 
 def random_walks(edges: DataFrame, length: int = 10, walks: int = 5, seed: int = 7) -> DataFrame:
     """(walk array<string>): walks from every node; the next node is drawn by a hash of walk, step and seed, so reruns
-    agree."""
-    nb = undirected(edges).groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("next"))
-    state = nb.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("w"), F.array("a").alias("walk"))
+    agree. A step joins on the node and the place of the neighbour drawn: no node's neighbours are gathered."""
+    both = undirected(edges)
+    place = F.row_number().over(W.partitionBy("a").orderBy("b")) - 1
+    nb = materialize(both.withColumn("place", place), "neighbours")
+    degree = materialize(nb.groupBy("a").agg(F.count("*").alias("deg")), "degrees")
+    state = degree.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("w"), F.array("a").alias("walk"))
     for step in range(length - 1):
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "w", "walk"), F.size("next")).cast("int") + 1
-        state = state.join(nb, F.col("node") == F.col("a")).select(F.element_at("next", pick).alias("node"), "w", "walk")
-        state = state.withColumn("walk", F.concat("walk", F.array("node")))
+        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "w", "walk"), F.col("deg")).cast("int")
+        drawn = state.join(degree, F.col("node") == F.col("a")).select("w", "walk", F.col("a").alias("_at"), pick.alias("_place"))
+        state = drawn.join(nb, (F.col("_at") == F.col("a")) & (F.col("_place") == F.col("place"))).select(F.col("b").alias("node"), "w", F.concat("walk", F.array("b")).alias("walk"))
+        state = materialize(state, "walks")
     return state.select("walk")
 
 

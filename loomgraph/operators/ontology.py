@@ -36,17 +36,17 @@ def merge_seeds(seeds: DataFrame, extracted: DataFrame, key: str, strategy: str
     return both.select(key, *[F.when(F.col(first).isNotNull(), F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}")).alias(c) for c in values])
 
 
-def lineage(links: DataFrame, max_depth: int = 50) -> DataFrame:
+def lineage(links: DataFrame) -> DataFrame:
     """(id, ancestor, depth) over (id, parent) links: every ancestor at its smallest depth; cycles end. Each round
     joins only the pairs that the round before found."""
     links = materialize(links.where("id IS NOT NULL AND parent IS NOT NULL").select("id", "parent").distinct(), "links")
     steps = links.select(F.col("id").alias("ancestor"), F.col("parent").alias("_next"))
     known = fresh = materialize(links.where("id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "lineage")
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while not fresh.isEmpty():
+        depth += 1
         found = fresh.join(steps, "ancestor").where("id <> _next").select("id", F.col("_next").alias("ancestor")).distinct()
         fresh = materialize(found.join(known, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
-        if fresh.isEmpty():
-            break
         old, known = known, materialize(known.union(fresh), "lineage")
         if depth > 2:
             discard(old)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import similarity as S
+from loomgraph.runtime import materialize
 
 METRICS = {"cosine": S.cosine, "inner_product": S.dot, "l2": lambda x, y: 1 / (1 + S.euclidean(x, y)), "l1": lambda x, y: 1 / (1 + S.manhattan(x, y))}
 
@@ -23,30 +24,43 @@ def metadata_filter(conditions: list[tuple[str, str, object]]) -> Column:
     return keep
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score, rank) of the k best rows of those that pass ``where``; ties to the smaller id. Every task keeps its k
-    best only."""
-    rows = vectors if where is None else vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    best = rows.where(F.col(vector_col).isNotNull()).select(id_col, METRICS[metric](F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), id_col)))
+#: Queries that are compared with all rows at a time.
+QUERY_BLOCK = 1024
 
 
-def reciprocal_rank_fusion(rankings: list[DataFrame], id_col: str = "vec_id", k: int = 60) -> DataFrame:
-    """(id, fused): the sum of 1 / (k + rank) over all rankings."""
-    every = rankings[0].select(id_col, "rank")
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): for every row of ``queries`` the k best rows of those that pass ``where``, ties to the
+    smaller id; null vectors take no part, and a query may find itself. Exact: queries are numbered, and each block of
+    ``QUERY_BLOCK`` of them is broadcast and joined with all rows on the block, one block for each place of a row; only
+    the k best of a query within a task are shuffled."""
+    rows = (vectors if where is None else vectors.where(where)).where(F.col(vector_col).isNotNull())
+    asked = materialize(queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")).withColumn("_n", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    best = None
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == block).select(F.collect_list(F.struct("query_id", "_n", "_q")).alias("_all"), F.lit(0).alias("_one"))
+        pairs = rows.select(F.col(id_col).alias("_x"), F.col(vector_col).alias("_v"), F.lit(0).alias("_one")).join(F.broadcast(some), "_one").select("_x", "_v", F.explode("_all").alias("_a"))
+        scored = pairs.select(F.col("_a.query_id").alias("query_id"), F.col("_a._n").alias("_n"), "_x", METRICS[metric](F.col("_v"), F.col("_a._q")).alias("score"))
+        best = scored if best is None else best.unionByName(scored)
+    rank = F.row_number().over(W.partitionBy("_n").orderBy(F.desc("score"), "_x"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("_x").alias(id_col), "score", "rank")
+
+
+def reciprocal_rank_fusion(rankings: list[DataFrame], keys: list[str], k: int = 60) -> DataFrame:
+    """(keys, fused): the sum of 1 / (k + rank) over all rankings; keys are the row's id, or the query's and the row's."""
+    every = rankings[0].select(*keys, "rank")
     for r in rankings[1:]:
-        every = every.unionByName(r.select(id_col, "rank"))
-    return every.groupBy(id_col).agg(F.sum(1 / (k + F.col("rank"))).alias("fused"))
+        every = every.unionByName(r.select(*keys, "rank"))
+    return every.groupBy(*keys).agg(F.sum(1 / (k + F.col("rank"))).alias("fused"))
 
 
-def weighted_fusion(rankings: list[tuple[float, DataFrame]], id_col: str = "vec_id") -> DataFrame:
-    """(id, fused): the sum of weight times score over all rankings."""
+def weighted_fusion(rankings: list[tuple[float, DataFrame]], keys: list[str]) -> DataFrame:
+    """(keys, fused): the sum of weight times score over all rankings."""
     every = None
     for weight, r in rankings:
-        one = r.select(id_col, (F.col("score") * weight).alias("_s"))
+        one = r.select(*keys, (F.col("score") * weight).alias("_s"))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy(id_col).agg(F.sum("_s").alias("fused"))
+    return every.groupBy(*keys).agg(F.sum("_s").alias("fused"))
 
 
 def mean_pool(df: DataFrame, keys: list[str], vector_col: str = "embedding", how: str = "mean") -> DataFrame:

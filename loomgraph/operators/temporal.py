@@ -118,15 +118,19 @@ def at_time(entities: DataFrame, edges: DataFrame, at: Column, axis: str = "vali
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], unit_s: int = 86_400) -> DataFrame:
-    """Pairs of intervals (l_start, l_end) and (r_start, r_end) with equal keys that share time. Both are cut into
-    bins of ``unit_s`` seconds, joined on the bin, and a pair counts only in the bin where it first meets."""
+    """Pairs of intervals (l_start, l_end) and (r_start, r_end) with equal keys that share time; a null end is open, a null
+    start or key meets nothing. Closed intervals are cut into bins of ``unit_s`` seconds, joined on the bin, and a pair
+    counts only in the bin where it first meets; open ones meet by their keys alone, without bins."""
     def binned(df: DataFrame, p: str) -> DataFrame:
         low, high = (F.floor(_micros(F.col(f"{p}_{x}")) / (unit_s * 1_000_000)).cast("long") for x in ("start", "end"))
-        return df.withColumn(f"_{p}low", low).withColumn("_bin", F.explode(F.sequence(low, F.greatest(low, high))))
+        return df.where(F.col(f"{p}_end").isNotNull()).withColumn(f"_{p}low", low).withColumn("_bin", F.explode(F.sequence(low, F.greatest(low, high))))
 
+    meets = (F.col("l_start") < end_or_open("r_end")) & (F.col("r_start") < end_or_open("l_end"))
     both = binned(left, "l").join(binned(right, "r"), [*keys, "_bin"])
-    meets = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))
-    return both.where(meets & (F.col("_bin") == F.greatest("_llow", "_rlow"))).drop("_bin", "_llow", "_rlow")
+    closed = both.where(meets & (F.col("_bin") == F.greatest("_llow", "_rlow"))).drop("_bin", "_llow", "_rlow")
+    open_left = left.where("l_end IS NULL").join(right, keys).where(meets)
+    open_right = left.where("l_end IS NOT NULL").join(right.where("r_end IS NULL"), keys).where(meets)
+    return closed.unionByName(open_left).unionByName(open_right)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:

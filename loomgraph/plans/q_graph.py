@@ -36,11 +36,11 @@ def connectivity_metrics(spark, d):
 
 
 def closeness_places(spark, d):
-    return G.closeness(places(spark, d).where("source NOT LIKE 'c:%'")).select("node", F.round("closeness", 9).alias("closeness"))
+    return G.closeness(places(spark, d)).select("node", F.round("closeness", 9).alias("closeness"))
 
 
 def betweenness_places(spark, d):
-    return G.betweenness(places(spark, d).where("source NOT LIKE 'c:%'")).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return G.betweenness(places(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def components_places(spark, d):
@@ -66,26 +66,26 @@ def distance_bands(spark, d):
 def shortest_paths_weighted(spark, d):
     e = relationships(spark, d).withColumn("weight", 1 / F.col("weight"))
     seeds = spark.createDataFrame([("s:1",)], "node string")
-    return G.shortest_paths(e, seeds, max_rounds=4).select("origin", "node", F.round("cost", 9).alias("cost"), F.size("path").alias("nodes_on_path"))
+    return G.shortest_paths(e, seeds).select("origin", "node", F.round("cost", 9).alias("cost"), F.size("path").alias("nodes_on_path"))
 
 
 def shortest_paths_ties(spark, d):
     e = relationships(spark, d).where("type = 'supplies'")
     e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "type", "weight", "valid_from"))
     first, last = e.where("source LIKE 's:%'").agg(F.min("source"), F.max("source")).first()
-    return G.all_shortest_paths(e, first, last, 4).select(F.array_join("path", ">").alias("path"), "hops")
+    return G.all_shortest_paths(e, first, last).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 def pagerank_drop(spark, d):
-    return G.pagerank(places(spark, d), iterations=5, tolerance=0).select("node", F.round("rank", 12).alias("rank"))
+    return G.pagerank(places(spark, d)).select("node", F.round("rank", 12).alias("rank"))
 
 
 def eigenvector_places(spark, d):
-    return G.eigenvector(places(spark, d), 3).select("node", F.round("score", 9).alias("score"))
+    return G.eigenvector(places(spark, d), 20, 0).select("node", F.round("score", 9).alias("score"))
 
 
 def label_propagation(spark, d):
-    return G.label_propagation(places(spark, d), 2)
+    return G.label_propagation(places(spark, d), 12)
 
 
 def modularity_by_nation(spark, d):
@@ -103,17 +103,49 @@ def community_metrics(spark, d):
 
 
 def bridges_places(spark, d):
-    return G.bridges(places(spark, d).where("source NOT LIKE 'c:%'"))
+    return G.bridges(places(spark, d))
 
 
-def _suppliers(spark, d):
-    """A sparse supplier-part graph: the heaviest shipments."""
-    return relationships(spark, d).where("type = 'supplies' AND weight >= 60")
+def bridges_all(spark, d):
+    return G.bridges(relationships(spark, d))
+
+
+def average_path_length(spark, d):
+    return G.average_path_length(places(spark, d)).select("pairs", R6("mean_length"))
 
 
 def link_prediction(spark, d):
-    s = G.link_scores(_suppliers(spark, d))
-    return s.select("a", "b", "common", R6("jaccard"), R6("adamic_adar"), R6("resource_allocation"), "preferential")
+    """The five likeliest partners of every node."""
+    s = G.link_scores(relationships(spark, d)).select("a", "b", "common", R6("jaccard"), R6("adamic_adar"), R6("resource_allocation"), "preferential")
+    return G.neighbour_rank(s, "a", "adamic_adar", 5)
+
+
+def pagerank_redistribute(spark, d):
+    return G.pagerank(places(spark, d), iterations=8, tolerance=0, dangling="redistribute").select("node", F.round("rank", 12).alias("rank"))
+
+
+def nodes_in_cycles(spark, d):
+    """Suppliers and parts that ship to and fro: an edge back for every heavy shipment."""
+    e = relationships(spark, d).select("source", "target", "weight")
+    return G.in_cycles(e.unionByName(e.where("weight >= 60").select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")))
+
+
+def k_cheapest_paths(spark, d):
+    e = relationships(spark, d).withColumn("weight", 1 / F.col("weight"))
+    back = e.where("source LIKE 's:%'").select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
+    found = G.k_shortest_paths(e.where("type <> 'supplies'").select("source", "target", "weight").unionByName(back.select("source", "target", "weight")), "p:1", "r:2", 5)
+    return found.select(F.array_join("path", ">").alias("path"), F.round("cost", 9).alias("cost"))
+
+
+def graph_from_sources(spark, d):
+    """Two sources that name their columns differently as one graph."""
+    a = entities(spark, d).where("type <> 'part'").withColumnsRenamed({"id": "entity_id", "name": "text"})
+    b = entities(spark, d).where("type = 'part'")
+    e = relationships(spark, d)
+    x = e.where("type = 'supplies'").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type")
+    y = e.where("type <> 'supplies'").select(F.col("source").alias("subject"), F.col("target").alias("object"), "type")
+    nodes, edges = G.build_graph([a, b], [x, y])
+    return edges.join(nodes.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source").groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("source_name").alias("names"), F.countDistinct("target").alias("targets"))
 
 
 def link_prediction_preferential(spark, d):
@@ -128,19 +160,20 @@ def supplier_parts_by_nation(spark, d):
     return G.neighbour_rank(wide.join(home, "source"), "nation", "parts", 3)
 
 
-Q = graph_entities, graph_relationships, graph_issues, graph_stats_by_type, degree_centrality, connectivity_metrics, closeness_places, betweenness_places, components_places, bfs_from_region, neighbours_two_hops, distance_bands, shortest_paths_weighted, shortest_paths_ties, pagerank_drop, eigenvector_places, label_propagation, modularity_by_nation, community_metrics, bridges_places, link_prediction, link_prediction_preferential, supplier_parts_by_nation
+Q = graph_entities, graph_relationships, graph_issues, graph_stats_by_type, degree_centrality, connectivity_metrics, closeness_places, betweenness_places, components_places, bfs_from_region, neighbours_two_hops, distance_bands, shortest_paths_weighted, shortest_paths_ties, pagerank_drop, eigenvector_places, label_propagation, modularity_by_nation, community_metrics, bridges_places, bridges_all, average_path_length, link_prediction, link_prediction_preferential, pagerank_redistribute, nodes_in_cycles, k_cheapest_paths, graph_from_sources, supplier_parts_by_nation
 QUERIES = {f.__name__: f for f in Q}
 
 W = f"WITH RECURSIVE {SQL}"
-_SMALL = "e AS (SELECT a, b FROM pund WHERE a NOT LIKE 'c:%' AND b NOT LIKE 'c:%')"
+#: Places are a forest of diameter 4.
 _PAIRS = """reach(origin, node, d) AS (
-    SELECT a, a, 0 FROM (SELECT DISTINCT a FROM e)
-    UNION SELECT origin, b, d + 1 FROM reach JOIN e ON node = a WHERE d < 6),
+    SELECT a, a, 0 FROM (SELECT DISTINCT a FROM pund)
+    UNION SELECT origin, b, d + 1 FROM reach JOIN pund ON node = a WHERE d < 4),
   dist AS (SELECT origin, node, min(d) AS d FROM reach GROUP BY ALL)"""
 _RANK0 = "n AS (SELECT count(*) AS n FROM (SELECT source FROM places UNION SELECT target FROM places)), k0 AS (SELECT node, 1.0 / (SELECT n FROM n) AS rank FROM (SELECT source AS node FROM places UNION SELECT target FROM places)), o AS (SELECT source, count(*) AS deg FROM places GROUP BY source)"
 _RANKS = ", ".join(f"k{i + 1} AS (SELECT k0.node, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(f.flow, 0) AS rank FROM k0 LEFT JOIN (SELECT p.target AS node, sum(k.rank / o.deg) AS flow FROM places p JOIN k{i} k ON p.source = k.node JOIN o ON o.source = p.source GROUP BY p.target) f ON k0.node = f.node)" for i in range(5))
-_EIGEN = ", ".join(f"r{i + 1} AS (SELECT x.node, x.score + sum(y.score) AS raw FROM x{i} x JOIN pund ON pund.a = x.node JOIN x{i} y ON y.node = pund.b GROUP BY x.node, x.score), x{i + 1} AS (SELECT node, raw / (SELECT max(raw) FROM r{i + 1}) AS score FROM r{i + 1})" for i in range(3))
-_LPA = ", ".join(f"v{i + 1} AS (SELECT node, c, count(*) AS n FROM (SELECT p.a AS node, l.c FROM pund p JOIN l{i} l ON p.b = l.node UNION ALL SELECT node, c FROM l{i}) GROUP BY ALL), l{i + 1} AS (SELECT node, min(c) AS c FROM v{i + 1} v WHERE n = (SELECT max(n) FROM v{i + 1} x WHERE x.node = v.node) GROUP BY node)" for i in range(2))
+_EIGEN = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT x.node, x.score + sum(y.score) AS raw FROM x{i} x JOIN pund ON pund.a = x.node JOIN x{i} y ON y.node = pund.b GROUP BY x.node, x.score), x{i + 1} AS MATERIALIZED (SELECT node, raw / (SELECT max(raw) FROM r{i + 1}) AS score FROM r{i + 1})" for i in range(20))
+_LPA = ", ".join(f"v{i + 1} AS MATERIALIZED (SELECT node, c, count(*) AS n FROM (SELECT p.a AS node, l.c FROM pund p JOIN l{i} l ON p.b = l.node UNION ALL SELECT node, c FROM l{i}) GROUP BY ALL), l{i + 1} AS MATERIALIZED (SELECT node, min(c) AS c FROM (SELECT *, max(n) OVER (PARTITION BY node) AS top FROM v{i + 1}) WHERE n = top GROUP BY node)" for i in range(12))
+_LOST = ", ".join(f"q{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) / (SELECT n FROM n) AS lost FROM k{i} WHERE node NOT IN (SELECT source FROM places)), k{i + 1} AS MATERIALIZED (SELECT k0.node, 0.15 / (SELECT n FROM n) + 0.85 * (coalesce(f.flow, 0) + (SELECT lost FROM q{i})) AS rank FROM k0 LEFT JOIN (SELECT p.target AS node, sum(k.rank / o.deg) AS flow FROM places p JOIN k{i} k ON p.source = k.node JOIN o ON o.source = p.source GROUP BY p.target) f ON k0.node = f.node)" for i in range(8))
 _COMM = "comm AS (SELECT source AS node, target AS community FROM places WHERE type = 'located_in' UNION ALL SELECT id, id FROM entities WHERE type IN ('nation', 'region'))"
 ORACLE_SQL = {
     "graph_entities": f"{W} SELECT * FROM entities",
@@ -154,8 +187,16 @@ ORACLE_SQL = {
     "graph_stats_by_type": f"{W} SELECT type, count(*) AS edges, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets, round(sum(weight), 2) AS weight FROM rels GROUP BY type",
     "degree_centrality": f"{W} SELECT a AS node, count(*) AS degree, round(count(*) / (count(*) OVER () - 1), 9) AS centrality FROM und GROUP BY a",
     "connectivity_metrics": f"{W}, d AS (SELECT a, count(*) AS deg FROM und GROUP BY a), t AS (SELECT count(*) AS nodes, CAST(sum(deg) / 2 AS BIGINT) AS edges, avg(deg) AS mean_degree, max(deg) AS max_degree, min(deg) AS min_degree FROM d) SELECT nodes, edges, round(mean_degree, 6) AS mean_degree, max_degree, min_degree, round(2.0::DOUBLE * edges / (nodes * (nodes - 1)), 9) AS density, CASE WHEN 2.0 * edges / (nodes * (nodes - 1)) > 0.5 THEN 'dense' WHEN 2.0 * edges / (nodes * (nodes - 1)) > 0.1 THEN 'moderate' ELSE 'sparse' END AS structure FROM t",
-    "closeness_places": f"{W}, {_SMALL}, {_PAIRS}, n AS (SELECT count(DISTINCT a) - 1 AS others FROM e) SELECT origin AS node, round((count(*) - 1) / sum(d) * (count(*) - 1) / (SELECT others FROM n), 9) AS closeness FROM dist GROUP BY origin",
-    "betweenness_places": f"{W}, {_SMALL}, {_PAIRS}, x AS (SELECT s.node AS v, count(*) AS n FROM dist s JOIN dist t ON s.origin = t.origin JOIN dist u ON u.origin = s.node AND u.node = t.node WHERE s.node <> s.origin AND s.node <> t.node AND s.d + u.d = t.d GROUP BY s.node) SELECT v.a AS node, round(coalesce(n, 0) / 2.0::DOUBLE, 6) AS betweenness FROM (SELECT DISTINCT a FROM e) v LEFT JOIN x ON x.v = v.a",
+    "closeness_places": f"{W}, {_PAIRS}, n AS (SELECT count(DISTINCT a) - 1 AS others FROM pund) SELECT origin AS node, round((count(*) - 1) / sum(d) * (count(*) - 1) / (SELECT others FROM n), 9) AS closeness FROM dist GROUP BY origin",
+    # in a forest: of the ordered pairs of other nodes of the tree, those that lie in different branches at the node
+    "betweenness_places": f"""{W}, {_PAIRS}, sz AS (SELECT v.a AS v, v.b AS u, count(*) AS n FROM pund v JOIN dist x ON x.origin = v.a JOIN dist y ON y.origin = v.b AND y.node = x.node AND y.d = x.d - 1 GROUP BY 1, 2)
+      SELECT v AS node, round((pow(sum(n), 2) - sum(n * n)) / 2.0::DOUBLE, 6) AS betweenness FROM sz GROUP BY v""",
+    "average_path_length": f"{W}, {_PAIRS} SELECT count(*) AS pairs, round(avg(d), 6) AS mean_length FROM dist WHERE d > 0",
+    "pagerank_redistribute": f"{W}, {_RANK0}, {_LOST} SELECT node, round(rank, 12) AS rank FROM k8",
+    "nodes_in_cycles": f"{W}, h AS (SELECT source, target FROM rels WHERE type = 'supplies' AND weight >= 60) SELECT source AS node FROM h UNION SELECT target FROM h",
+    "k_cheapest_paths": f"""{W}, x AS (SELECT s.target AS p, s.source AS s, 1 / s.weight AS w FROM rels s WHERE s.type = 'supplies' AND s.target = 'p:1')
+      SELECT 'p:1>' || x.s || '>' || a.target || '>' || b.target AS path, round(x.w + 2, 9) AS cost FROM x JOIN rels a ON a.source = x.s AND a.type = 'located_in' JOIN rels b ON b.source = a.target WHERE b.target = 'r:2' ORDER BY x.w + 2, ['p:1', x.s, a.target, b.target] LIMIT 5""",
+    "graph_from_sources": f"{W} SELECT r.type, count(*) AS edges, count(DISTINCT e.name) AS names, count(DISTINCT r.target) AS targets FROM rels r JOIN entities e ON e.id = r.source GROUP BY r.type",
     "components_places": f"{W}, r(node, root) AS (SELECT DISTINCT a, a FROM pund UNION SELECT b, root FROM r JOIN pund ON a = node) SELECT node, min(root) AS component FROM r GROUP BY node",
     "bfs_from_region": f"{W}, r(node, depth) AS (SELECT 'r:0', 0 UNION SELECT source, depth + 1 FROM r JOIN places ON target = node WHERE depth < 4) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node",
     "neighbours_two_hops": f"{W} SELECT a.source AS origin, a.target AS node, 1 AS distance, 1.0::DOUBLE AS decay FROM places a WHERE a.source LIKE 's:%' UNION ALL SELECT a.source, b.target, 2, 1.0 FROM places a JOIN places b ON a.target = b.source WHERE a.source LIKE 's:%'",
@@ -163,16 +204,16 @@ ORACLE_SQL = {
     "shortest_paths_weighted": f"{W}, r(node, cost, hops) AS (SELECT 's:1', 0.0::DOUBLE, 1 UNION ALL SELECT target, cost + 1 / weight, hops + 1 FROM r JOIN rels ON source = node WHERE hops < 5) SELECT 's:1' AS origin, node, round(min(cost), 9) AS cost, arg_min(hops, cost)::INT AS nodes_on_path FROM r GROUP BY node",
     "shortest_paths_ties": f"{W}, s AS (SELECT * FROM rels WHERE type = 'supplies'), f AS (SELECT min(source) AS a, max(source) AS z FROM s) SELECT f.a || '>' || x.target || '>' || f.z AS path, 2 AS hops FROM f JOIN s x ON x.source = f.a JOIN s y ON y.source = f.z AND y.target = x.target",
     "pagerank_drop": f"{W}, {_RANK0}, {_RANKS} SELECT node, round(rank, 12) AS rank FROM k5",
-    "eigenvector_places": f"{W}, x0 AS (SELECT DISTINCT a AS node, 1.0::DOUBLE AS score FROM pund), {_EIGEN} SELECT node, round(score, 9) AS score FROM x3",
-    "label_propagation": f"{W}, l0 AS (SELECT DISTINCT a AS node, a AS c FROM pund), {_LPA} SELECT node, c AS community FROM l2",
+    "eigenvector_places": f"{W}, x0 AS (SELECT DISTINCT a AS node, 1.0::DOUBLE AS score FROM pund), {_EIGEN} SELECT node, round(score, 9) AS score FROM x20",
+    "label_propagation": f"{W}, l0 AS (SELECT DISTINCT a AS node, a AS c FROM pund), {_LPA} SELECT node, c AS community FROM l12",
     "modularity_by_nation": f"{W}, {_COMM}, m AS (SELECT count(*) AS m2 FROM pund), dg AS (SELECT c.community, count(*) AS deg FROM pund JOIN comm c ON pund.a = c.node GROUP BY 1), ins AS (SELECT c.community, count(*) AS inn FROM pund JOIN comm c ON pund.a = c.node JOIN comm x ON pund.b = x.node WHERE c.community = x.community GROUP BY 1) SELECT round(sum(coalesce(inn, 0) / m2 - pow(deg / m2, 2)), 9) AS modularity FROM dg LEFT JOIN ins USING (community), m",
     "community_metrics": f"{W}, {_COMM}, x AS (SELECT c.community, c.community = y.community AS same FROM pund JOIN comm c ON pund.a = c.node JOIN comm y ON pund.b = y.node), i AS (SELECT community, count(*) FILTER (same) AS intra, count(*) FILTER (NOT same) AS inter FROM x GROUP BY 1) SELECT c.community, count(*) AS size, coalesce(any_value(intra), 0) AS intra, coalesce(any_value(inter), 0) AS inter FROM comm c LEFT JOIN i USING (community) GROUP BY c.community",
-    "bridges_places": f"{W} SELECT a, b FROM pund WHERE a < b AND a NOT LIKE 'c:%' AND b NOT LIKE 'c:%'",
-    "link_prediction": f"""{W}, e AS (SELECT DISTINCT source AS s, target AS p FROM rels WHERE type = 'supplies' AND weight >= 60),
-      u AS (SELECT s AS a, p AS b FROM e UNION ALL SELECT p, s FROM e), dg AS (SELECT a, count(*) AS deg FROM u GROUP BY a),
-      t AS (SELECT x.b AS a, y.b AS b, count(*) AS common, sum(1 / ln(dg.deg)) AS aa, sum(1.0::DOUBLE / dg.deg) AS ra FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN dg ON dg.a = x.a WHERE dg.deg > 1 GROUP BY 1, 2)
-      SELECT t.a, t.b, common, round(common / (x.deg + y.deg - common), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, x.deg * y.deg AS preferential
-      FROM t JOIN dg x ON x.a = t.a JOIN dg y ON y.a = t.b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = t.a AND u.b = t.b)""",
-    "link_prediction_preferential": f"{W}, dg AS (SELECT a, count(*) AS deg FROM und GROUP BY a ORDER BY deg DESC, a LIMIT 800) SELECT x.a, y.a AS b, x.deg * y.deg AS score FROM dg x JOIN dg y ON x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM und WHERE und.a = x.a AND und.b = y.a) ORDER BY score DESC, 1, 2 LIMIT 20",
+    "bridges_places": f"{W} SELECT a, b FROM pund WHERE a < b",
+    "link_prediction": f"""{W}, dg AS (SELECT a, count(*) AS deg FROM und GROUP BY a),
+      t AS (SELECT x.b AS a, y.b AS b, count(*) AS common, sum(1 / ln(dg.deg)) AS aa, sum(1.0::DOUBLE / dg.deg) AS ra FROM und x JOIN und y ON x.a = y.a AND x.b < y.b JOIN dg ON dg.a = x.a WHERE dg.deg > 1 GROUP BY 1, 2),
+      z AS (SELECT t.a, t.b, common, round(common / (x.deg + y.deg - common), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, x.deg * y.deg AS preferential
+      FROM t JOIN dg x ON x.a = t.a JOIN dg y ON y.a = t.b WHERE NOT EXISTS (SELECT 1 FROM und WHERE und.a = t.a AND und.b = t.b))
+      SELECT *, row_number() OVER (PARTITION BY a ORDER BY adamic_adar DESC, b)::INT AS rank FROM z QUALIFY rank <= 5""",
+    "link_prediction_preferential": f"{W}, dg AS (SELECT a, count(*) AS deg FROM und GROUP BY a) SELECT x.a, y.a AS b, x.deg * y.deg AS score FROM dg x JOIN dg y ON x.a < y.a WHERE NOT EXISTS (SELECT 1 FROM und WHERE und.a = x.a AND und.b = y.a) ORDER BY score DESC, 1, 2 LIMIT 20",
     "supplier_parts_by_nation": f"{W}, wd AS (SELECT source, count(DISTINCT target) AS parts FROM rels WHERE type = 'supplies' AND valid_from <= TIMESTAMP '1998-06-01' GROUP BY source), j AS (SELECT wd.source, parts, p.target AS nation FROM wd JOIN places p ON p.source = wd.source) SELECT source, parts, nation, row_number() OVER (PARTITION BY nation ORDER BY parts DESC, source)::INT AS rank FROM j QUALIFY rank <= 3",
 }

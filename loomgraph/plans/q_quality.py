@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import similarity as S
 from loomgraph.operators import cleaning as C
 from loomgraph.operators import conflicts as K
 from loomgraph.operators import dedup as D
@@ -145,7 +146,91 @@ def merged_relationships(spark, d):
     return D.merge_relationships(t, {"view": "click"}).select("subject", "predicate", "object", "id", "merged")
 
 
+def impute_zero(spark, d):
+    return C.impute(_gappy(spark, d), "p_size", "zero").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+
+
+def cleaned_records(spark, d):
+    return C.clean(_gappy(spark, d), ["p_name", "p_type"], ["p_partkey"]).select("p_name", "p_type", "p_partkey")
+
+
+def resolve_first_seen(spark, d):
+    return K.resolve(_order_obs(spark, d), "first_seen").select("id", "property", "value", "confidence")
+
+
+def temporal_conflicts(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"), "o_orderpriority")
+    c = K.temporal_conflicts(K.observations(o, ["start_date"], "o_custkey", "o_orderpriority"))
+    return c.select("id", "n", F.array_join("values", ",").alias("years"), "severity")
+
+
+def logical_conflicts(spark, d):
+    kind = F.when(F.col("p_size") < 20, "Person").when(F.col("p_size") < 35, "Organization").otherwise("Location")
+    p = table(spark, d, "part").select(F.col("p_name").alias("id"), kind.alias("type"))
+    return K.logical_conflicts(p)
+
+
+def review_work(spark, d):
+    return K.manual_review(K.value_conflicts(_obs(spark, d))).select("id", "property", "question", F.array_join("sources", ",").alias("sources"), "priority")
+
+
+def best_duplicates_of_each(spark, d):
+    return D.top_k_per_entity(D.detect_duplicates(_names(spark, d), 0.7), 1).select("l_id", "r_id", F.round("similarity", 6).alias("similarity"))
+
+
+def duplicate_group_quality(spark, d):
+    c = D.detect_duplicates(_names(spark, d), 0.8)
+    return D.group_summary(c, D.groups(c)).select("group", "size", *[F.round(x, 6).alias(x) for x in ("mean_similarity", "confidence")], "quality")
+
+
+def updated_groups(spark, d):
+    """Groups at 0.9, then the candidates from 0.8 on."""
+    c = D.detect_duplicates(_names(spark, d), 0.8)
+    return D.update_groups(D.groups(c.where("similarity >= 0.9")), c.where("similarity < 0.9"))
+
+
+def merged_values(spark, d):
+    n = _names(spark, d)
+    return D.merge_all(n, D.groups(D.detect_duplicates(n, 0.8))).select("id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) for c in ("type", "name", "size")], "merged")
+
+
+def merge_gain(spark, d):
+    n = _names(spark, d)
+    after = D.merge_groups(n, D.groups(D.detect_duplicates(n, 0.8)), "keep_most_complete")
+    return D.merge_quality(n, after).select("rows_before", F.round("filled_before", 6).alias("filled_before"), "rows_after", F.round("filled_after", 6).alias("filled_after"))
+
+
+def duplicate_relationships(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("subject"), F.concat(F.lit(" Is  "), "p_type").alias("predicate"), F.col("p_name").alias("object"))
+    return D.duplicate_relationships(p, {}, 0.8).select("l_id", "r_id", F.round("similarity", 6).alias("similarity"))
+
+
+def property_similarities(spark, d):
+    """Parts of one name and brand by their other properties."""
+    p = table(spark, d, "part")
+    m = p.select("p_partkey", "p_name", "p_brand", F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("string"))).alias("m"))
+    r = m.select(F.col("p_partkey").alias("r_id"), "p_name", "p_brand", F.col("m").alias("rm"))
+    pairs = m.join(r, ["p_name", "p_brand"]).where("p_partkey < r_id")
+    return pairs.select(F.col("p_partkey").alias("l_id"), "r_id", F.round(S.property_similarity(F.col("m"), F.col("rm")), 6).alias("similarity"))
+
+
+def sounds_alike(spark, d):
+    p = table(spark, d, "part")
+    return p.groupBy(F.soundex("p_name").alias("sound")).agg(F.count("*").alias("parts"), F.countDistinct("p_name").alias("names"))
+
+
+def vector_correlations(spark, d):
+    """Pearson and Manhattan of each vector with the one before it."""
+    e = table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
+    return e.join(b, "vec_id").select("vec_id", F.round(S.pearson(F.col("embedding"), F.col("before")), 5).alias("pearson"), F.round(S.manhattan(F.col("embedding"), F.col("before")), 4).alias("manhattan"))
+
+
 QUERIES = {
+    "impute_zero": impute_zero, "cleaned_records": cleaned_records, "resolve_first_seen": resolve_first_seen, "temporal_conflicts": temporal_conflicts,
+    "logical_conflicts": logical_conflicts, "review_work": review_work, "best_duplicates_of_each": best_duplicates_of_each,
+    "duplicate_group_quality": duplicate_group_quality, "updated_groups": updated_groups, "merged_values": merged_values, "merge_gain": merge_gain,
+    "duplicate_relationships": duplicate_relationships, "property_similarities": property_similarities, "sounds_alike": sounds_alike, "vector_correlations": vector_correlations,
     "missing_profile": missing_profile, "drop_missing": drop_missing, "fill_missing": fill_missing, "impute_mean": impute_mean,
     "impute_median": impute_median, "validate_records": validate_records, "keep_first": keep_first,
     "merge_duplicate_records": merge_duplicate_records, "value_conflicts": value_conflicts, "type_conflicts": type_conflicts,
@@ -181,7 +266,33 @@ _RESOLVE = """, v AS (SELECT id, property, value, sum({w}) AS w FROM {o} GROUP B
 r AS (SELECT id, property, value, w / sum(w) OVER (PARTITION BY id, property) AS confidence, row_number() OVER (PARTITION BY id, property ORDER BY round(w, 9) DESC, value) AS k FROM v)
 """
 
+_ORDER_OBS = "WITH o AS (SELECT o_custkey AS id, 'o_orderstatus' AS property, o_orderstatus AS value, o_orderdate AS ts FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority, o_orderdate FROM orders)"
+_KIND = "CASE WHEN p_size < 20 THEN 'Person' WHEN p_size < 35 THEN 'Organization' ELSE 'Location' END"
+_CAND = ", c AS (SELECT l_id, r_id, sim FROM s WHERE sim >= 0.8 AND l_id < r_id)"
 ORACLE_SQL = {
+    "impute_zero": _GAPPY + " SELECT p_partkey, coalesce(p_size, 0)::DOUBLE AS p_size FROM g",
+    "cleaned_records": "SELECT p_name, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
+    "resolve_first_seen": _ORDER_OBS + " SELECT id, property, value, 0.7::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id, property ORDER BY ts, value) AS k FROM o) WHERE k = 1",
+    "temporal_conflicts": "SELECT o_custkey AS id, count(*) AS n, string_agg(DISTINCT strftime(o_orderdate, '%Y'), ',' ORDER BY strftime(o_orderdate, '%Y')) AS years, 'medium' AS severity FROM orders GROUP BY 1 HAVING count(DISTINCT strftime(o_orderdate, '%Y')) > 1",
+    "logical_conflicts": f"WITH k AS (SELECT DISTINCT p_name AS id, {_KIND} AS type FROM part) SELECT a.id, a.type AS first, b.type AS second FROM k a JOIN k b ON a.id = b.id WHERE (a.type, b.type) IN (('Person', 'Organization'), ('Person', 'Location'), ('Organization', 'Location'))",
+    "review_work": _OBS + """, c AS (SELECT id, property, list_sort(list_distinct(list(value))) AS vs, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN count(num) = count(*) AND max(num) - min(num) > 1000 THEN 1 ELSE 2 END AS priority FROM o GROUP BY id, property HAVING count(DISTINCT value) > 1)
+  SELECT id, property, 'Which value of ' || property || ' holds for ' || id || ': ' || array_to_string(vs, ' | ') || '?' AS question, sources, priority FROM c""",
+    "best_duplicates_of_each": _NAMES + ", c AS (SELECT l_id, r_id, sim FROM s WHERE sim >= 0.7 AND l_id < r_id), u AS (SELECT *, l_id AS e FROM c UNION ALL SELECT *, r_id FROM c) SELECT DISTINCT l_id, r_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY sim DESC, l_id, r_id) AS k FROM u) WHERE k = 1",
+    "duplicate_group_quality": _GROUPS + _CAND + """, q AS (SELECT m."group" AS g, avg(sim) AS a FROM c JOIN m ON m.id = c.l_id GROUP BY 1), z AS (SELECT "group" AS g, count(*) AS size FROM m GROUP BY 1)
+  SELECT g AS "group", size, round(a, 6) AS mean_similarity, round(a * (0.8::DOUBLE + 0.2::DOUBLE * least(1.0::DOUBLE, size / 5.0::DOUBLE)), 6) AS confidence, 'high' AS quality FROM q JOIN z USING (g)""",
+    "updated_groups": _GROUPS + " SELECT id, \"group\" FROM m",
+    "merged_values": _GROUPS + """, j AS (SELECT n.*, coalesce(m."group", n.id) AS g FROM n LEFT JOIN m USING (id))
+  SELECT g AS id, array_to_string(list_sort(list_distinct(list(type))), '|') AS type, array_to_string(list_sort(list_distinct(list(name))), '|') AS name, array_to_string(list_sort(list_distinct(list(size))), '|') AS size, count(*) AS merged FROM j GROUP BY g""",
+    "merge_gain": _GROUPS + """ SELECT (SELECT count(*) FROM n) AS rows_before, 1.0::DOUBLE AS filled_before, (SELECT count(DISTINCT coalesce(m."group", n.id)) FROM n LEFT JOIN m USING (id)) AS rows_after, 1.0::DOUBLE AS filled_after""",
+    "duplicate_relationships": """WITH t AS (SELECT p_partkey AS id, p_brand AS s, lower(p_type) AS p, lower(p_name) AS o FROM part), f AS (SELECT s, p, o, min(id) AS id FROM t GROUP BY ALL)
+  SELECT f.id AS l_id, t.id AS r_id, 1.0::DOUBLE AS similarity FROM f JOIN t USING (s, p, o) WHERE f.id < t.id
+  UNION ALL SELECT * FROM (SELECT a.id AS l_id, b.id AS r_id, round(0.6::DOUBLE + 0.4::DOUBLE * (1 - levenshtein(a.o, b.o) / greatest(length(a.o), length(b.o))::DOUBLE), 6) AS similarity FROM f a JOIN f b USING (s, p) WHERE a.id < b.id) WHERE similarity >= 0.8""",
+    "property_similarities": """WITH p AS (SELECT p_partkey AS id, p_name, p_brand, lower(p_type) AS t, CASE WHEN p_size % 7 <> 0 THEN p_size::VARCHAR END AS z FROM part),
+  x AS (SELECT a.id AS l_id, b.id AS r_id, CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE END AS u, CASE WHEN a.z IS NULL OR b.z IS NULL THEN 0.5::DOUBLE WHEN a.z = b.z THEN 1.0 ELSE 1 - levenshtein(a.z, b.z) / greatest(length(a.z), length(b.z))::DOUBLE END AS v FROM p a JOIN p b USING (p_name, p_brand) WHERE a.id < b.id)
+  SELECT l_id, r_id, round((u + v) / 2, 6) AS similarity FROM x""",
+    "vector_correlations": """WITH j AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1),
+  c AS (SELECT vec_id, x, y, list_transform(x, lambda v: v - list_avg(x)) AS cx, list_transform(y, lambda v: v - list_avg(y)) AS cy FROM j)
+  SELECT vec_id, round(list_cosine_similarity(cx, cy), 5) AS pearson, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 4) AS manhattan FROM c""",
     "missing_profile": _GAPPY + ", t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, coalesce(sum(CASE WHEN {c} IS NULL OR {c}::VARCHAR IN ('', 'N/A', 'null', 'NULL') THEN 1 ELSE 0 END), 0)::BIGINT AS missing FROM g" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + ") SELECT field, missing, round(100.0 * missing / (SELECT count(*) FROM g), 6)::DOUBLE AS percent FROM t",
     "drop_missing": _GAPPY + " SELECT p_partkey, p_size FROM g WHERE p_size IS NOT NULL AND p_brand <> 'N/A'",
     "fill_missing": _GAPPY + " SELECT p_partkey, CASE WHEN p_brand = 'N/A' THEN 'unknown' ELSE p_brand END AS p_brand, coalesce(p_size, 0)::INT AS p_size FROM g",
@@ -208,7 +319,8 @@ ORACLE_SQL = {
     "detect_duplicates": _NAMES + " SELECT l_id, r_id, round(sim, 6) AS similarity, round(least(1.0, sim + 0.05 + CASE WHEN lower(a) = lower(z) THEN 0.1 ELSE 0 END), 6) AS confidence FROM s WHERE sim >= 0.7 AND l_id < r_id",
     "detect_duplicates_bigram": _NAMES + """, g AS (SELECT *, list_distinct([lower(a)[i:i+1] FOR i IN range(1, length(a))]) AS x, list_distinct([lower(z)[i:i+1] FOR i IN range(1, length(z))]) AS y FROM f),
   j AS (SELECT l_id, r_id, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE AS sim FROM g) SELECT l_id, r_id, round(sim, 6) AS similarity FROM j WHERE sim >= 0.6 AND l_id < r_id""",
-    "detect_incremental": _NAMES + " SELECT l_id, r_id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.7 AND l_id % 10 = 3 AND r_id % 10 <> 3",
+    "detect_duplicates_jaro_winkler": _NAMES + ", z AS (SELECT l_id, r_id, lower(a) AS a, lower(z) AS z, jaro_similarity(lower(a), lower(z)) AS j FROM f), w AS (SELECT *, j + 0.1::DOUBLE * (1 - j) * (CASE WHEN a[1:4] = z[1:4] THEN 4 WHEN a[1:3] = z[1:3] THEN 3 WHEN a[1:2] = z[1:2] THEN 2 WHEN a[1] = z[1] THEN 1 ELSE 0 END) AS sim FROM z) SELECT l_id, r_id, round(sim, 6) AS similarity FROM w WHERE sim >= 0.9 AND l_id < r_id",
+    "detect_incremental": _NAMES + ", z AS (SELECT l.id AS l_id, r.id AS r_id, 1 - levenshtein(lower(l.name), lower(r.name)) / greatest(length(l.name), length(r.name))::DOUBLE AS sim FROM n l JOIN n r USING (type) WHERE l.id % 10 = 3 AND r.id % 10 <> 3) SELECT l_id, r_id, round(sim, 6) AS similarity FROM z WHERE sim >= 0.7",
     "duplicate_groups": _GROUPS + " SELECT id, \"group\" FROM m",
     "merged_entities": _GROUPS + """, j AS (SELECT n.*, coalesce(m."group", n.id) AS g FROM n LEFT JOIN m USING (id))
   SELECT min(id) AS id, arg_min(type, id) AS type, arg_min(name, id) AS name, arg_min(size, id) AS size, count(*) AS merged FROM j GROUP BY g""",

@@ -57,7 +57,7 @@ def coverage_pct(spark, d):
 
 
 def timeline_of_customer(spark, d):
-    return T.timeline(_orders(spark, d).where("cust % 50 = 1"), "cust").select("cust", text("ts"), "event")
+    return T.timeline(_orders(spark, d), "cust").select("cust", text("ts"), "event")
 
 
 def retroactive_coverage(spark, d):
@@ -76,7 +76,15 @@ def graph_at_time(spark, d):
 
 
 def range_join_orders(spark, d):
-    o = _orders(spark, d).where("cust % 10 = 1")
+    o = _orders(spark, d)
+    l = o.select("cust", F.col("id").alias("l_id"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    r = o.select("cust", F.col("id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return T.range_join(l, r, ["cust"], 30 * 86_400).where("l_id < r_id").select("cust", "l_id", "r_id")
+
+
+def range_join_open(spark, d):
+    """Orders that have not ended by 2000 are open."""
+    o = _orders(spark, d).withColumn("end", F.when(F.col("end") < ts("2000-01-01 00:00:00"), F.col("end")))
     l = o.select("cust", F.col("id").alias("l_id"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     r = o.select("cust", F.col("id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     return T.range_join(l, r, ["cust"], 30 * 86_400).where("l_id < r_id").select("cust", "l_id", "r_id")
@@ -104,7 +112,7 @@ def temporal_issues(spark, d):
 
 def revision_supersedes(spark, d):
     none = F.lit(None).cast("timestamp_ntz")
-    o = _orders(spark, d).where("id % 10 = 1").select(F.concat(F.lit("o"), "id").alias("id"), F.col("start").alias("valid_from"), F.col("end").alias("valid_until"), F.col("start").alias("recorded_at"), none.alias("superseded_at"))
+    o = _orders(spark, d).select(F.concat(F.lit("o"), "id").alias("id"), F.col("start").alias("valid_from"), F.col("end").alias("valid_until"), F.col("start").alias("recorded_at"), none.alias("superseded_at"))
     r = o.where("id LIKE '%7'").select("id", "valid_from", (F.col("valid_until") + F.expr("INTERVAL 10 DAY")).alias("valid_until"))
     out = T.apply_revision(o, r, ts("2002-01-01 00:00:00"))
     return out.select("id", *[text(c) for c in ("valid_from", "valid_until", "recorded_at", "superseded_at")])
@@ -123,7 +131,7 @@ def temporal_intents(spark, d):
     return df.select("question", T.temporal_intent("question").alias("x")).select("question", "x.*")
 
 
-Q = active_at_time, time_range_overlap, time_range_covers, allen_relations, merge_intervals_per_user, gap_analysis_per_user, coverage_pct, timeline_of_customer, retroactive_coverage, snap_to_month, graph_at_time, range_join_orders, asof_last_click, sequence_pairs, evolution_by_month, temporal_issues, revision_supersedes, period_expressions, temporal_intents
+Q = active_at_time, time_range_overlap, time_range_covers, allen_relations, merge_intervals_per_user, gap_analysis_per_user, coverage_pct, timeline_of_customer, retroactive_coverage, snap_to_month, graph_at_time, range_join_orders, range_join_open, asof_last_click, sequence_pairs, evolution_by_month, temporal_issues, revision_supersedes, period_expressions, temporal_intents
 QUERIES = {f.__name__: f for f in Q}
 
 O = 'WITH o AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderdate AS s, e FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderdate < e)'
@@ -140,16 +148,17 @@ ORACLE_SQL = {
     "merge_intervals_per_user": f'{S}, {ISL} SELECT user_id, {fmt("s")} AS start, {fmt("e")} AS "end", merged FROM m',
     "gap_analysis_per_user": f"{S}, {ISL}, g AS (SELECT user_id, e AS a, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS b FROM m) SELECT user_id, {fmt('a')} AS gap_start, {fmt('b')} AS gap_end FROM g WHERE b IS NOT NULL",
     "coverage_pct": f"WITH v AS (SELECT user_id, greatest(ts, TIMESTAMP '2024-01-05') AS s, least(ts + INTERVAL 12 HOUR, TIMESTAMP '2024-01-25') AS e FROM events WHERE greatest(ts, TIMESTAMP '2024-01-05') < least(ts + INTERVAL 12 HOUR, TIMESTAMP '2024-01-25')), {ISL} SELECT user_id, round(sum(epoch_us(e) - epoch_us(s)) / (20 * 86400e6), 6) AS coverage FROM m GROUP BY 1",
-    "timeline_of_customer": f"{O}, x AS (SELECT *, lead(s) OVER w = e AS c, lag(e) OVER w = s AS f FROM o WHERE cust % 50 = 1 WINDOW w AS (PARTITION BY cust ORDER BY s)) SELECT cust, {fmt('s')} AS ts, CASE WHEN f THEN 'modified' ELSE 'added' END AS event FROM x UNION ALL SELECT cust, {fmt('e')}, 'removed' FROM x WHERE NOT coalesce(c, false)",
+    "timeline_of_customer": f"{O}, x AS (SELECT *, lead(s) OVER w = e AS c, lag(e) OVER w = s AS f FROM o WINDOW w AS (PARTITION BY cust ORDER BY s)) SELECT cust, {fmt('s')} AS ts, CASE WHEN f THEN 'modified' ELSE 'added' END AS event FROM x UNION ALL SELECT cust, {fmt('e')}, 'removed' FROM x WHERE NOT coalesce(c, false)",
     "retroactive_coverage": f"{O} SELECT CASE WHEN s >= TIMESTAMP '1998-06-01' THEN 'affected' WHEN e > TIMESTAMP '1998-06-01' THEN 'partial' ELSE 'unaffected' END AS effect, count(*) AS n FROM o GROUP BY 1",
     "snap_to_month": f"{O} SELECT id, {fmt('date_trunc($$month$$, s)')} AS low, strftime(date_trunc('month', e) + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND, '%Y-%m-%d %H:%M:%S.%f') AS high FROM o",
     "graph_at_time": f"WITH {SQL} SELECT source, target, type FROM rels WHERE valid_from IS NULL OR (valid_from <= TIMESTAMP '1996-06-01' AND TIMESTAMP '1996-06-01' < valid_from + INTERVAL 400 DAY)",
-    "range_join_orders": f"{O} SELECT a.cust, a.id AS l_id, b.id AS r_id FROM o a JOIN o b ON a.cust = b.cust AND a.id < b.id AND a.s < b.e AND b.s < a.e WHERE a.cust % 10 = 1",
+    "range_join_orders": f"{O} SELECT a.cust, a.id AS l_id, b.id AS r_id FROM o a JOIN o b ON a.cust = b.cust AND a.id < b.id AND a.s < b.e AND b.s < a.e",
+    "range_join_open": f"{O}, v AS (SELECT id, cust, s, CASE WHEN e < TIMESTAMP '2000-01-01' THEN e ELSE TIMESTAMP '9999-12-31' END AS e FROM o) SELECT a.cust, a.id AS l_id, b.id AS r_id FROM v a JOIN v b ON a.cust = b.cust AND a.id < b.id AND a.s < b.e AND b.s < a.e",
     "asof_last_click": "WITH c AS (SELECT user_id, ts, max(event_id) AS click FROM events WHERE event_type = 'click' GROUP BY 1, 2) SELECT p.user_id, p.event_id, c.click AS asof_click FROM events p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts WHERE p.event_type = 'purchase'",
     "sequence_pairs": f"{O}, x AS (SELECT *, lead(s) OVER (PARTITION BY cust ORDER BY s, e) AS n FROM o) SELECT cust, id, {fmt('n')} AS next_start FROM x WHERE n >= e AND n <= e + INTERVAL 20 DAY",
     "evolution_by_month": f"WITH {SQL} SELECT strftime(date_trunc('month', valid_from), '%Y-%m-%d') AS period, count(*) AS edges, count(DISTINCT type) AS types, count(DISTINCT source) AS sources FROM rels WHERE valid_from IS NOT NULL GROUP BY 1",
     "temporal_issues": f"{O}, x AS (SELECT *, max(e) OVER (PARTITION BY cust ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o) SELECT issue, count(*) AS n FROM (SELECT CASE WHEN s < b THEN 'overlapping_same_edge' WHEN s > b THEN 'gap_after_restart' END AS issue FROM x) WHERE issue IS NOT NULL GROUP BY 1",
-    "revision_supersedes": f"{O}, r AS (SELECT 'o' || id AS id, s, e FROM o WHERE id % 10 = 1) SELECT id, {fmt('s')} AS valid_from, {fmt('e')} AS valid_until, {fmt('s')} AS recorded_at, CASE WHEN id LIKE '%7' THEN '2002-01-01 00:00:00' END AS superseded_at FROM r UNION ALL SELECT id || '__rev__', {fmt('s')}, {fmt('e + INTERVAL 10 DAY')}, '2002-01-01 00:00:00', NULL FROM r WHERE id LIKE '%7'",
+    "revision_supersedes": f"{O}, r AS (SELECT 'o' || id AS id, s, e FROM o) SELECT id, {fmt('s')} AS valid_from, {fmt('e')} AS valid_until, {fmt('s')} AS recorded_at, CASE WHEN id LIKE '%7' THEN '2002-01-01 00:00:00' END AS superseded_at FROM r UNION ALL SELECT id || '__rev__', {fmt('s')}, {fmt('e + INTERVAL 10 DAY')}, '2002-01-01 00:00:00', NULL FROM r WHERE id LIKE '%7'",
     "period_expressions": "SELECT * FROM (VALUES " + _VALUES([("1998", "1998-01-01", "1998-12-31"), ("1998-6", "1998-06-01", "1998-06-30"), ("1998-06-15", "1998-06-15", "1998-06-15"), ("1998 q2", "1998-04-01", "1998-06-30"), ("q3 1997", "1997-07-01", "1997-09-30"), ("last week", "1998-05-25", "1998-06-01"), ("yesterday", "1998-05-31", "1998-05-31"), ("next year", "1998-06-01", "1999-06-01"), ("03/04/1998", None, None), ("someday", None, None)]) + ") t(expression, first, last)",
     "temporal_intents": "SELECT * FROM (VALUES " + _VALUES([("orders between 1997 and 1998", "between", "1997", "1998", "orders"), ("parts shipped before 1998-06-01", "before", "1998-06-01", None, "parts shipped"), ("who supplied since 1996-03", "after", "1996-03", None, "who supplied"), ("customers during 1999", "during", "1999", None, "customers"), ("state as of 1998-06-01", "at", "1998-06-01", None, "state"), ("all nations", None, None, None, None)]) + ") t(question, intent, first, last, rest)",
 }
