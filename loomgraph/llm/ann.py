@@ -211,9 +211,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
 
         return run
 
-    base, chunks, parts = (F.array(*[F.lit(int(n)) for n in x]) for x in (dealt.base, dealt.chunks, dealt.parts))
+    base, chunks, parts = (F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>") for x in (dealt.base, dealt.chunks, dealt.parts))
     of = lambda x: F.get(x, F.col("_list"))
-    data = listed.select((of(base) + F.pmod("_n", of(chunks))).cast("long").alias("_group"), F.explode(F.sequence(F.lit(0), of(parts) - 1)).alias("_part"), "_list", F.col("_id").alias("_x"), "_v")
+    data = listed.select((of(base) + F.pmod("_n", of(chunks))).cast("long").alias("_group"), F.explode(F.sequence(F.lit(0), (of(parts) - 1).cast("int"))).alias("_part"), "_list", F.col("_id").alias("_x"), "_v")
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"_q": np.zeros(0, "int64"), "query_id": np.zeros(0, "int64"), "_x": np.zeros(0, "int64"), "score": np.zeros(0)})

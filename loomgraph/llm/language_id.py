@@ -205,7 +205,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         picked = picked.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language)
     picked = picked.select(F.col("_h").alias("_h2"), F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), F.col("_lang").alias("_lang2")).distinct()
     same = [F.col(c).eqNullSafe(F.col(c + "2")) for c in ("_h", "_id", "_th", "_lang")]
-    sample = rows.join(picked, same, "left_semi").dropDuplicates(["_h", "_id", "_th", "_lang"])
+    # docs_per_language rows a language, each of some 40 bytes: far less than the tables that are made of them
+    sample = rows.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["_h", "_id", "_th", "_lang"])
     counts = training_counts(sample, "_lang", "_text").toArrow()
     if not counts.num_rows:
         return None

@@ -31,7 +31,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: l
         F.col(id_col).alias("_id"),
         F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), source_col)).alias("_skey"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("_h"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(text))).alias("_h"),
         F.md5(text).alias("_th"),
         *[F.struct(*keep).alias("_keep")][: bool(keep)],
     )
@@ -88,8 +88,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size: words of the whole text (null: 0); taken: words of it that the mix takes, ``copies`` times size with
     copies from 0 to ``epochs``; finish: the virtual finish time of its first copy, the source's words up to it over the
-    source's target (0 without a target). Rows without words take 0. The order is that of the ids' digests (then id, then
-    the text's digest), so reruns agree, and rows that are alike in all of these differ in nothing but their
+    source's target (0 without a target). Rows without words take 0. The order is that of the digests of id and text (then
+    id, then the text's digest), so reruns agree, and rows that are alike in all of these differ in nothing but their
     place. An empty table gives no rows; other columns are not read.
     """
     keep = list(keep or ())

@@ -21,7 +21,7 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h, md5(coalesce(text, '')) AS th
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h, md5(coalesce(text, '')) AS th
   FROM documents),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS w, 3 * source_size AS cap FROM s),
