@@ -102,3 +102,18 @@ def _mean(x: Column) -> Column:
 def pearson(x: Column, y: Column) -> Column:
     centred = lambda v: F.transform(v.cast("array<double>"), lambda e: e - _mean(v))
     return cosine(centred(x), centred(y))
+
+
+def softmax(x: Column) -> Column:
+    """Positive shares of one, the larger the value the larger."""
+    v = x.cast("array<double>")
+    powers = F.transform(v, lambda e: F.exp(e - F.array_max(v)))
+    total = F.aggregate(powers, F.lit(0.0), lambda acc, e: acc + e)
+    return F.transform(powers, lambda e: e / total)
+
+
+def min_max(x: Column) -> Column:
+    """Values from 0, the least, to 1, the largest; all 0 if they are equal."""
+    v = x.cast("array<double>")
+    low, high = F.array_min(v), F.array_max(v)
+    return F.transform(v, lambda e: F.when(high > low, (e - low) / (high - low)).otherwise(0.0))

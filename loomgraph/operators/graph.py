@@ -297,6 +297,19 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return labels
 
 
+def triangle_communities(edges: DataFrame) -> DataFrame:
+    """(node, community): overlapping communities of triangles that share edges one with the next; a node may be in several,
+    one in no triangle is in none. A community is named by its smallest node, and communities of one name differ in nodes."""
+    one = materialize(undirected(edges).where("a < b"), "edges")
+    closed = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(one.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi")
+    name = lambda x, y: F.to_json(F.array(x, y))
+    triangles = materialize(closed.select("a", "b", "c", name("a", "b").alias("ab"), name("b", "c").alias("bc"), name("a", "c").alias("ac")), "triangles")
+    links = triangles.select(F.col("ab").alias("x"), F.explode(F.array("bc", "ac")).alias("y"))
+    part = connected_components(links, "x", "y").select(F.col("node").alias("ab"), F.col("component").alias("_part"))
+    members = triangles.join(part, "ab").select("_part", F.explode(F.array("a", "b", "c")).alias("node")).distinct()
+    return members.join(members.groupBy("_part").agg(F.min("node").alias("community")), "_part").select("node", "community")
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """(modularity): of (node, community) on the undirected graph."""
     both = undirected(edges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import discard, materialize
@@ -51,3 +51,43 @@ def lineage(links: DataFrame) -> DataFrame:
         if depth > 2:
             discard(old)
     return known
+
+
+def shapes(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class, property, min_count, max_count, ranges): for each class of entities and kind of edge that leaves any of them
+    the fewest and most edges of an entity, and the sorted classes at the other ends (a target that is no entity adds none).
+    """
+    typed = entities.where("type IS NOT NULL").select("id", F.col("type").alias("class"))
+    sizes = typed.groupBy("class").agg(F.count("*").alias("_members"))
+    out = edges.join(typed.withColumnRenamed("id", "source"), "source").join(typed.toDF("target", "_range"), "target", "left")
+    ranges = out.groupBy("class", F.col("type").alias("property")).agg(F.array_sort(F.collect_set("_range")).alias("ranges"))
+    each = out.groupBy("class", F.col("type").alias("property"), "source").agg(F.count("*").alias("n"))
+    counts = each.groupBy("class", "property").agg(F.min("n").alias("_least"), F.max("n").alias("max_count"), F.count("*").alias("_with")).join(sizes, "class")
+    least = F.when(F.col("_with") < F.col("_members"), 0).otherwise(F.col("_least"))
+    return counts.join(ranges, ["class", "property"]).select("class", "property", least.alias("min_count"), "max_count", "ranges")
+
+
+def shacl_lines(shapes: DataFrame) -> DataFrame:
+    """(value): a SHACL property shape for each row of ``shapes``, in Turtle with the prefixes g: and sh:."""
+    kinds = F.array_join(F.transform("ranges", lambda r: F.concat(F.lit("g:"), r)), " ")
+    text = F.concat(F.lit("g:"), "class", F.lit("Shape a sh:NodeShape ; sh:targetClass g:"), "class", F.lit(" ; sh:property [ sh:path g:"), "property", F.lit(" ; sh:minCount "), F.col("min_count").cast("string"), F.lit(" ; sh:maxCount "), F.col("max_count").cast("string"), F.lit(" ; sh:class ( "), kinds, F.lit(" ) ] ."))
+    return shapes.select(text.alias("value"))
+
+
+def shape_violations(entities: DataFrame, edges: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(id, property, issue): entities with fewer or more edges than the shape of their class allows (min_count, max_count),
+    and those with an edge to a class that is not among its ranges (class)."""
+    typed = entities.where("type IS NOT NULL").select("id", F.col("type").alias("class"))
+    n = edges.groupBy(F.col("source").alias("id"), F.col("type").alias("property")).agg(F.count("*").alias("_n"))
+    counted = typed.join(shapes, "class").join(n, ["id", "property"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    wrong = F.when(F.col("_n") < F.col("min_count"), "min_count").when(F.col("_n") > F.col("max_count"), "max_count")
+    number = counted.select("id", "property", wrong.alias("issue")).where("issue IS NOT NULL")
+    ends = edges.select(F.col("source").alias("id"), F.col("type").alias("property"), "target").join(typed, "id").join(shapes.select("class", "property", "ranges"), ["class", "property"]).join(typed.toDF("target", "_range"), "target", "left")
+    kind = ends.where(F.col("_range").isNull() | ~F.array_contains("ranges", F.col("_range"))).select("id", "property", F.lit("class").alias("issue")).distinct()
+    return number.unionByName(kind)
+
+
+def entity_uri(base: str) -> Column:
+    """A stable address of an entity: its type, and the first 16 digits of the digest of its name in lower case without outer
+    space. Null without a name."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.coalesce("type", F.lit("entity")), F.lit("/"), F.left(F.sha2(F.lower(F.trim("name")), 256), F.lit(16)))

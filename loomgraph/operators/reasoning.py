@@ -1,12 +1,12 @@
-"""Datalog over DataFrames: rules become joins, their fixpoint a semi-naive loop over written tables.
+"""Rules over DataFrames: each rule is a join of its body, their fixpoint a semi-naive loop over written tables.
 
-A program is text: ``head(X, Y) :- body(X, Z), other(Z, Y).`` Names that begin with a capital are variables, all else
-is a constant; a variable that stands twice must be equal. There is no negation and no aggregation.
+A rule is a pair (head, body) of atoms: ``(Atom("head", (X, Y)), [Atom("body", (X, Z)), Atom("other", (Z, Y))])`` with
+``X, Y, Z = variables("X Y Z")``. A term that is no variable is a constant; a variable that stands twice must be equal.
+There is no negation and no aggregation.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,19 +16,18 @@ from loomgraph.runtime import discard, materialize
 
 
 @dataclass(frozen=True)
-class Atom:
+class Variable:
     name: str
-    terms: tuple[str, ...]
 
 
-def atoms(text: str) -> list[Atom]:
-    return [Atom(n, tuple(t.strip() for t in body.split(","))) for n, body in re.findall(r"(\w+)\s*\(([^)]*)\)", text)]
+@dataclass(frozen=True)
+class Atom:
+    name: str
+    terms: tuple
 
 
-def rules(program: str) -> list[tuple[Atom, list[Atom]]]:
-    """(head, body) of every rule, one a line."""
-    parsed = [line.split(":-") for line in program.splitlines() if ":-" in line]
-    return [(atoms(head)[0], atoms(body)) for head, body in parsed]
+def variables(names: str) -> list[Variable]:
+    return [Variable(n) for n in names.split()]
 
 
 def _bound(atom: Atom, facts: DataFrame) -> DataFrame:
@@ -36,13 +35,13 @@ def _bound(atom: Atom, facts: DataFrame) -> DataFrame:
     seen, keep = {}, F.lit(True)
     for i, t in enumerate(atom.terms):
         column = F.col(f"arg{i}")
-        if not t[:1].isupper():
-            keep &= column == t
+        if not isinstance(t, Variable):
+            keep &= column == F.lit(t)
         elif t in seen:
             keep &= column == seen[t]
         else:
             seen[t] = column
-    return facts.where(keep).select(*[c.alias(v) for v, c in seen.items()])
+    return facts.where(keep).select(*[c.alias(v.name) for v, c in seen.items()])
 
 
 def match(body: list[Atom], facts: dict[str, DataFrame], delta: tuple[int, DataFrame] | None = None) -> DataFrame:
@@ -62,23 +61,22 @@ def match(body: list[Atom], facts: dict[str, DataFrame], delta: tuple[int, DataF
 
 
 def _head(atom: Atom, bindings: DataFrame) -> DataFrame:
-    return bindings.select(*[(F.col(t) if t[:1].isupper() else F.lit(t)).alias(f"arg{i}") for i, t in enumerate(atom.terms)])
+    return bindings.select(*[(F.col(t.name) if isinstance(t, Variable) else F.lit(t)).alias(f"arg{i}") for i, t in enumerate(atom.terms)])
 
 
-def fixpoint(program: str, facts: dict[str, DataFrame], max_rounds: int = 50) -> dict[str, DataFrame]:
+def fixpoint(rules: list[tuple[Atom, list[Atom]]], facts: dict[str, DataFrame], max_rounds: int = 10_000) -> dict[str, DataFrame]:
     """All facts that follow, by predicate, each once. Facts: columns arg0, arg1, ... Every round joins only what the
     round before found; rounds are written, so none is computed twice."""
-    parsed = rules(program)
-    derived = {head.name for head, _ in parsed}
+    derived = {head.name for head, _ in rules}
     facts = {k: materialize(v.distinct(), k) for k, v in facts.items()}
-    for head, _ in parsed:
+    for head, _ in rules:
         if head.name not in facts:
             empty = next(iter(facts.values())).select(*[F.lit("").alias(f"arg{i}") for i in range(len(head.terms))]).limit(0)
             facts[head.name] = materialize(empty, head.name)
     delta = dict(facts)
     for _ in range(max_rounds):
         new = {}
-        for head, body in parsed:
+        for head, body in rules:
             for i, atom in enumerate(body):
                 if atom.name in delta:
                     found = _head(head, match(body, facts, (i, delta[atom.name])))
@@ -95,7 +93,7 @@ def fixpoint(program: str, facts: dict[str, DataFrame], max_rounds: int = 50) ->
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def query(goal: str, facts: dict[str, DataFrame]) -> DataFrame:
+def query(goal: list[Atom], facts: dict[str, DataFrame]) -> DataFrame:
     """Distinct bindings of the goal's variables; of a ground goal that holds, one row."""
-    found = match(atoms(goal), facts)
+    found = match(goal, facts)
     return found.distinct() if found.columns else found.limit(1)

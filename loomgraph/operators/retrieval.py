@@ -69,6 +69,19 @@ def mean_pool(df: DataFrame, keys: list[str], vector_col: str = "embedding", how
     return parts.groupBy(*keys, "pos").agg((F.avg("_x") if how == "mean" else F.max("_x").cast("double")).alias("value"))
 
 
+def attention_pool(df: DataFrame, keys: list[str], vector_col: str = "embedding") -> DataFrame:
+    """(keys, pos, value): the mean of the vectors of a key, each weighted by the softmax of its inner product with their
+    plain mean."""
+    rows = df.where(F.col(vector_col).isNotNull()).select(*keys, F.col(vector_col).cast("array<double>").alias("_v")).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "vectors")
+    parts = rows.select(*keys, "_row", F.posexplode("_v").alias("pos", "_x"))
+    mean = parts.groupBy(*keys, "pos").agg(F.avg("_x").alias("_mean"))
+    scores = parts.join(mean, [*keys, "pos"]).groupBy(*keys, "_row").agg(F.sum(F.col("_x") * F.col("_mean")).alias("_s"))
+    top = scores.groupBy(*keys).agg(F.max("_s").alias("_top"))
+    weight = scores.join(top, keys).select("_row", F.exp(F.col("_s") - F.col("_top")).alias("_w"))
+    return parts.join(weight, "_row").groupBy(*keys, "pos").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("value"))
+
+
 def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row of the largest version of each key."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(version)))).where("_k = 1").drop("_k")

@@ -167,6 +167,22 @@ def evolution(edges: DataFrame, unit: str = "month") -> DataFrame:
     return edges.groupBy(F.date_format(F.date_trunc(unit, "valid_from"), "yyyy-MM-dd").alias("period")).agg(F.count("*").alias("edges"), F.countDistinct("type").alias("types"), F.countDistinct("source").alias("sources"))
 
 
+def evolution_metrics(edges: DataFrame, unit: str = "month") -> DataFrame:
+    """(period, edges, diversity, stability): of the distinct edges that start in each period, the entropy of their types in
+    bits, and their Jaccard similarity with those of the period before; null for the first. Null times are left out."""
+    period = F.date_format(F.date_trunc(unit, "valid_from"), "yyyy-MM-dd").alias("period")
+    e = edges.where("valid_from IS NOT NULL").select(period, "source", "target", "type").distinct()
+    kinds = e.groupBy("period", "type").agg(F.count("*").alias("_n"))
+    total = kinds.groupBy("period").agg(F.sum("_n").alias("edges"), F.sum(F.col("_n") * F.log2("_n")).alias("_nlog"))
+    spread = total.select("period", "edges", (F.log2("edges") - F.col("_nlog") / F.col("edges")).alias("diversity"))
+    order = W.orderBy("period")
+    known = spread.withColumns({"_before": F.lag("period").over(order), "_n": F.lag("edges").over(order)})
+    after = known.where("_before IS NOT NULL").select(F.col("_before").alias("period"), F.col("period").alias("_next"))
+    kept = e.join(after, "period").select(F.col("_next").alias("period"), "source", "target", "type").join(e, ["period", "source", "target", "type"], "left_semi").groupBy("period").agg(F.count("*").alias("_kept"))
+    both = F.coalesce("_kept", F.lit(0))
+    return known.join(kept, "period", "left").select("period", "edges", "diversity", F.when(F.col("_before").isNotNull(), both / (F.col("edges") + F.col("_n") - both)).alias("stability"))
+
+
 def apply_revision(rows: DataFrame, revisions: DataFrame, at: Column) -> DataFrame:
     """Bi-temporal update. ``revisions`` (id, valid_from, valid_until) supersede the current rows of their ids at the
     time ``at``: the old row stays with superseded_at set, a new one with the new valid time follows."""

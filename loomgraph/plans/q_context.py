@@ -9,7 +9,11 @@ from loomgraph.operators import retrieval as V
 from loomgraph.operators import text as X
 from loomgraph.plans.tables import SQL, places, relationships, table
 
-LOCATED = "located(X, Y) :- in(X, Y)\nlocated(X, Z) :- located(X, Y), in(Y, Z)"
+S, P, N, X_, Y, Z = R.variables("S P N X Y Z")
+LOCATED = [
+    (R.Atom("located", (X_, Y)), [R.Atom("in", (X_, Y))]),
+    (R.Atom("located", (X_, Z)), [R.Atom("located", (X_, Y)), R.Atom("in", (Y, Z))]),
+]
 
 
 def _facts(df):
@@ -23,7 +27,7 @@ def datalog_closure(spark, d):
 
 def datalog_query(spark, d):
     facts = {"in": _facts(places(spark, d)), "supplies": _facts(relationships(spark, d).where("type = 'supplies'"))}
-    return R.query("supplies(S, P), in(S, N), in(N, r:1)", facts)
+    return R.query([R.Atom("supplies", (S, P)), R.Atom("in", (S, N)), R.Atom("in", (N, "r:1"))], facts)
 
 
 def _asked(spark, d):

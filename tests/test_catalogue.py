@@ -63,13 +63,22 @@ def test_similarities(spark):
     assert abs(lev[0] - (1 - 2 / 6)) < 1e-9 and lev[1] == 0 and lev[2] == 1
 
 
-def test_datalog_constants_and_repeated_variables(spark):
+def test_rules_with_constants_and_repeated_variables(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), ("d", "a")], "arg0 string, arg1 string")
-    got = R.fixpoint("path(X, Y) :- edge(X, Y).\npath(X, Z) :- path(X, Y), edge(Y, Z).\nloop(X) :- path(X, X).\nfrom_a(Y) :- path(a, Y).", {"edge": e})
+    x, y, z = R.variables("X Y Z")
+    rules = [
+        (R.Atom("path", (x, y)), [R.Atom("edge", (x, y))]),
+        (R.Atom("path", (x, z)), [R.Atom("path", (x, y)), R.Atom("edge", (y, z))]),
+        (R.Atom("loop", (x,)), [R.Atom("path", (x, x))]),
+        (R.Atom("from_a", (y,)), [R.Atom("path", ("a", y))]),
+    ]
+    got = R.fixpoint(rules, {"edge": e})
     assert {tuple(r) for r in got["path"].collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "c"), ("d", "a"), ("d", "b"), ("d", "c")}
     assert [r[0] for r in got["loop"].collect()] == ["c"]
     assert {r[0] for r in got["from_a"].collect()} == {"b", "c"}
-    assert R.query("path(d, c)", got).count() == 1 and R.query("path(c, d)", got).count() == 0
+    assert R.query([R.Atom("path", ("d", "c"))], got).count() == 1 and R.query([R.Atom("path", ("c", "d"))], got).count() == 0
+    comma = spark.createDataFrame([("a, b)", "c")], "arg0 string, arg1 string")
+    assert R.query([R.Atom("edge", ("a, b)", x))], {"edge": comma}).count() == 1
 
 
 def test_text_columns(spark):

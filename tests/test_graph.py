@@ -198,3 +198,23 @@ def test_chunks_cover_their_texts():
         windows = X.slide(text, 40, 10)
         assert (not text and not windows) or (windows[0][0] == 0 and windows[-1][1] == len(text))
         assert all(b - a <= 40 and c <= b and c > a for (a, b), (c, _) in zip(windows, windows[1:], strict=False))
+
+
+def test_triangle_communities(spark):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "f"), ("e", "g"), ("f", "g"), ("x", "y"), ("a", "a")]
+    got = {}
+    for r in G.triangle_communities(spark.createDataFrame(edges, "source string, target string")).collect():
+        got.setdefault(r["community"], set()).add(r["node"])
+    assert got == {"a": {"a", "b", "c", "d"}, "e": {"e", "f", "g"}}
+
+
+def test_shapes_and_their_violations(spark):
+    entities = spark.createDataFrame([("1", "T", "n"), ("2", "T", None), ("3", "U", " N "), (None, None, "x")], "id string, type string, name string")
+    edges = spark.createDataFrame([("1", "3", "likes"), ("1", "3", "likes"), ("1", "9", "knows"), ("2", "3", "likes"), (None, "3", "likes")], "source string, target string, type string")
+    shapes = O.shapes(entities, edges)
+    assert {(r["class"], r["property"], r["min_count"], r["max_count"], tuple(r["ranges"])) for r in shapes.collect()} == {("T", "likes", 1, 2, ("U",)), ("T", "knows", 0, 1, ())}
+    less = edges.where("source <> '2'").unionByName(spark.createDataFrame([("1", "1", "likes")], "source string, target string, type string"))
+    found = {tuple(r) for r in O.shape_violations(entities, less, shapes).collect()}
+    assert found == {("2", "likes", "min_count"), ("1", "likes", "max_count"), ("1", "likes", "class"), ("1", "knows", "class")}
+    uris = [r[0] for r in entities.select(O.entity_uri("http://x")).collect()]
+    assert uris[0].startswith("http://x/T/") and uris[1] is None and uris[0][-16:] == uris[2][-16:] and uris[3].startswith("http://x/entity/")
