@@ -44,11 +44,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if it is small: a file of ``SMALL`` bytes may be a single row group, which one
-    task would read alone. Larger tables are left as their files are cut."""
-    spark = df.sparkSession
+    """``df``, read from files, dealt out to all cores if it is small and has fewer files than there are cores: a file of
+    ``SMALL`` bytes may be a single row group, which one task would read alone. Larger tables are left as their files
+    are cut."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL else df
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
