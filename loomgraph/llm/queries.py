@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES and may have ORACLE_SQL.
-MODULES = tuple(f"op{n}" for n in range(1, 11)) + ("op12", "op13")
+MODULES = tuple(f"op{n}" for n in range(1, 14))
 
 
 def _modules():
