@@ -7,17 +7,16 @@ both sides share none, ends a group; a group holds the tokens between two such g
 Neither tokenizer joins what stands before a space that follows a sign to what comes after it (``Tokenizers`` makes sure of it), so
 texts are cut there into chunks, chunks repeat, and each distinct one is encoded and aligned once while a task remembers it.
 
-The number of documents that hold an id pair linked is counted by Spark from each document's distinct pairs. Scoring
-needs these counts again for every link: the pairs with at least a ``FREQUENT``-th of all (pair, document) rows, which
-are no more than ``FREQUENT`` by that very definition, are broadcast and applied inside the tasks; the others, none of
-which has many rows, leave as rows and meet their counts in a join.
+One pass over the texts writes each document's numbers and its distinct id pairs; the rest are joins and sums over that
+table. How many documents hold a pair linked is a count over it. Every pair then meets its count again: the pairs with
+at least a ``FREQUENT``-th of all (pair, document) rows, which are no more than ``FREQUENT`` by that very definition, are
+broadcast; the others, none of which has many rows, meet their counts in a shuffled join.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,17 +141,20 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Chunks:
     """Distinct chunks with their tokens' numbers, groups and linked id pairs (code: A id times B's vocabulary plus B id)."""
 
-    def __init__(self, tokenizers: Tokenizers, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, keep_groups: bool = False):
-        self.tokenizers, self.known, self.keep_groups = tokenizers, known, keep_groups
+    def __init__(self, tokenizers: Tokenizers, keep_groups: bool = False):
+        self.tokenizers, self.keep_groups = tokenizers, keep_groups
         self.pairs_of_vocabulary = tokenizers.a_ids * tokenizers.b_ids
+        # tokens as they stand in the listing: within a group, at the end of its A tokens, at its end
+        self.a_text, self.a_last = (np.array([f"{i}{sign}" for i in range(tokenizers.a_ids)], object) for sign in ",|")
+        self.b_text, self.b_last = (np.array([f"{i}{sign}" for i in range(tokenizers.b_ids)], object) for sign in ",;")
         self.start_anew()
 
     def start_anew(self) -> None:
         self.number: dict[str, int] = {}
         self.listing: list[str] = []
         self.groups: list[list[dict]] = []
-        #: n_a, n_b, n_groups, n_links (-1 for chunks whose bytes differ), n_best and count_sum of known pairs
-        self.numbers = [Grown(np.int64) for _ in range(6)]
+        #: n_a, n_b, n_groups, n_links (-1 for chunks whose bytes differ)
+        self.numbers = [Grown(np.int64) for _ in range(4)]
         self.first, self.size = Grown(np.int64), Grown(np.int64)  # where the chunk's pairs stand
         self.code, self.times = Grown(np.int64), Grown(np.int64)
 
@@ -197,15 +199,7 @@ class Chunks:
         key = np.concatenate(owners) * self.pairs_of_vocabulary + np.concatenate(codes)
         key, n = sums_by_key(key, np.concatenate(times))
         owner, code = np.divmod(key, self.pairs_of_vocabulary)
-        found = [a_n, b_n, np.bincount(chunk, minlength=len(chunks)), sums_at(chunk, links, len(chunks))]
-        if self.known:
-            at, hit = self.look_up(code)
-            _, count, best = self.known
-            found += [sums_at(owner[hit], n[hit] * best[at[hit]], len(chunks)), sums_at(owner[hit], n[hit] * count[at[hit]], len(chunks))]
-            owner, code, n = owner[~hit], code[~hit], n[~hit]
-        else:
-            found += [np.zeros(len(chunks), np.int64)] * 2
-        found[3] = np.where(good, found[3], -1)
+        found = [a_n, b_n, np.bincount(chunk, minlength=len(chunks)), np.where(good, sums_at(chunk, links, len(chunks)), -1)]
         size = np.bincount(owner, minlength=len(chunks))
         self.first.extend(self.code.n + np.cumsum(size) - size)
         self.size.extend(size)
@@ -215,29 +209,23 @@ class Chunks:
             column.extend(values)
         self.write_down(chunks, a, b, a_end, b_end, chunk)
 
-    def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each code stands among the known ones, and whether it does."""
-        codes = self.known[0]
-        if not len(codes):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        return at, codes[at] == code
-
     def write_down(self, chunks: list[str], a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, chunk: np.ndarray) -> None:
         """Number the chunks, and list their groups as text (and as they are)."""
-        held: list[list[str]] = [[] for _ in chunks]
-        kept: list[list[dict]] = [[] for _ in chunks]
-        a_list, b_list = a.tolist(), b.tolist()
-        a_text, b_text = list(map(str, a_list)), list(map(str, b_list))
-        i = j = 0
-        for c, x, y in zip(chunk.tolist(), a_end.tolist(), b_end.tolist(), strict=True):
-            held[c].append(",".join(a_text[i:x]) + "|" + ",".join(b_text[j:y]))
-            if self.keep_groups:
-                kept[c].append({"a": a_list[i:x], "b": b_list[j:y]})
-            i, j = x, y
+        a_in, b_in = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+        a_part, b_part = self.a_text[a], self.b_text[b]
+        a_part[a_end - 1], b_part[b_end - 1] = self.a_last[a[a_end - 1]], self.b_last[b[b_end - 1]]
+        before = np.cumsum(a_in + b_in) - a_in - b_in  # of both, the A tokens of a group first
+        listed = np.empty(len(a) + len(b), object)
+        listed[spans(before, a_in)], listed[spans(before + a_in, b_in)] = a_part, b_part
+        parts, n = listed.tolist(), sums_at(chunk, a_in + b_in, len(chunks))
+        cuts = [0, *np.cumsum(n).tolist()]
         self.number.update(zip(chunks, range(len(self.listing), len(self.listing) + len(chunks)), strict=True))
-        self.listing += map(";".join, held)
-        self.groups += kept if self.keep_groups else []
+        self.listing += ["".join(parts[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        if self.keep_groups:
+            kept: list[list[dict]] = [[] for _ in chunks]
+            for c, x, i, y, j in zip(chunk.tolist(), a_end.tolist(), a_in.tolist(), b_end.tolist(), b_in.tolist(), strict=True):
+                kept[c].append({"a": a[x - i : x].tolist(), "b": b[y - j : y].tolist()})
+            self.groups += kept
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chunk numbers of all texts, text of each, which texts have tokens). What is not UTF-8 has none."""
@@ -287,64 +275,19 @@ def sums_at(place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("binary").alias("text"))
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """(pair, a_id, b_id, n, best): in how many rows of ``docs`` an A token and a B token with these ids share a group, and whether
-    no other pair with that A id stands in more. Rows without tokens count for nothing."""
+def aligned_texts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
+    """(row, id, n_a, n_b, n_groups, n_links, pairs, times, groups_sha256[, groups]) for every row of ``docs``: the distinct
+    linked id pairs (A id times B's vocabulary plus B id) in order, and how many links have each. ``row`` is unique
+    once the table is written."""
     prepare(docs.sparkSession)
-    b_ids = tokenizers_of(a_path, b_path).b_ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizers_of(a_path, b_path))
-        for batch in batches:
-            number, text, _ = chunks.texts(batch.column(0).to_pylist())
-            number, text, _ = chunks.distinct(number, text)
-            size = chunks.size.data[number]
-            key = np.repeat(text, size) * chunks.pairs_of_vocabulary + chunks.code.data[spans(chunks.first.data[number], size)]
-            key.sort()
-            code = key[np.append(True, key[1:] != key[:-1])[: len(key)]] % chunks.pairs_of_vocabulary
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64())], ["pair"])
-
-    pairs = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "pair long").groupBy("pair").agg(F.count("*").alias("n"))
-    pairs = materialize(pairs.withColumn("a_id", F.expr(f"pair div {b_ids}").cast("int")), "pairs")
-    most = pairs.groupBy("a_id").agg(F.max("n").alias("most"))
-    return pairs.join(most, "a_id").select("pair", "a_id", (F.col("pair") % b_ids).cast("int").alias("b_id"), "n", (F.col("n") == F.col("most")).alias("best"))
-
-
-def frequent_pairs(counts: DataFrame, share: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes in order, counts, best) of the pairs that have at least one ``share``-th of all rows: at most ``share`` pairs."""
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = counts.where(F.col("n") >= -(-total // share)).select("pair", "n", "best").toArrow()
-    code, n, best = (found.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(3))
-    order = np.argsort(code)
-    return code[order].astype(np.int64), n[order].astype(np.int64), best[order].astype(np.int64)
-
-
-def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, share: int = FREQUENT) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) for every row of ``docs``; with
-    ``keep_groups`` also the groups themselves, each the A ids and the B ids that it holds.
-
-    A reads a space and the text, B the text, which puts the space there itself. ``n_links`` counts pairs of an A and a B token of one
-    group, ``n_best`` those whose id pair stands in as many documents as any of that A id, ``count_sum`` sums these
-    documents over the links. Null and empty texts, those that are not UTF-8 and those whose tokens do not give back
-    their bytes have no tokens: zeros, an empty digest, no groups. Each row is a document of its own, repeated rows
-    and null ids too. Other columns are not read, so their names cannot clash.
-    """
-    spark = prepare(docs.sparkSession)
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    counts = materialize(pair_counts(docs, a_path, b_path, text_col), "paircounts")
-    known = spark.sparkContext.broadcast(frequent_pairs(counts, share))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     listed = [("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("groups_sha256", pa.string())]
     listed += [("groups", pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))][:keep_groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizers_of(a_path, b_path), known.value, keep_groups)
+        chunks = Chunks(tokenizers_of(a_path, b_path), keep_groups)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             n = batch.num_rows
@@ -354,26 +297,58 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             for column in chunks.numbers:
                 running = np.append(0, np.cumsum(column.data[number]))
                 found.append(running[cuts[1:]] - running[cuts[:-1]])
-            listing, order = chunks.listing, number.tolist()
-            digests = [hashlib.sha256(";".join([listing[i] for i in order[a:b]]).encode()).hexdigest() if ok else "" for a, b, ok in zip(cuts.tolist(), cuts[1:].tolist(), full.tolist(), strict=False)]
-            rare = chunks.size.data[number] > 0
-            some, where, times = chunks.pairs(*chunks.distinct(number[rare], text[rare]))
-            at = np.searchsorted(some, np.arange(n + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, pa.int64())) for x in (where, times)]
-            out = [pa.array(np.arange(row, row + n)), batch.column(0), *map(pa.array, found), *lists, pa.array(digests, pa.string())]
+            listing, order, edges = chunks.listing, number.tolist(), cuts.tolist()
+            digests = [hashlib.sha256("".join([listing[i] for i in order[a:b]])[:-1].encode()).hexdigest() if ok else "" for a, b, ok in zip(edges, edges[1:], full.tolist(), strict=False)]
+            some, code, times = chunks.pairs(*chunks.distinct(number, text))
+            at = pa.array(np.searchsorted(some, np.arange(n + 1)).astype(np.int32))
+            out = [pa.array(np.arange(row, row + n)), batch.column(0), *map(pa.array, found), *(pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (code, times)), pa.array(digests, pa.string())]
             if keep_groups:
-                out.append(pa.array([list(chain.from_iterable(chunks.groups[i] for i in order[a:b])) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], listed[-1][1]))
+                out.append(pa.array([list(chain.from_iterable(chunks.groups[i] for i in order[a:b])) for a, b in zip(edges, edges[1:], strict=False)], listed[-1][1]))
             row += n
-            yield pa.RecordBatch.from_arrays(out, ["row", id_col, *numbers, *(name for name, _ in listed)])
+            yield pa.RecordBatch.from_arrays(out, ["row", id_col, *NUMBERS, *(name for name, _ in listed)])
 
     fields = T.StructType([T.StructField("row", T.LongType(), False), T.StructField(id_col, docs.schema[id_col].dataType)])
-    for name in numbers:
+    for name in NUMBERS:
         fields = fields.add(name, T.LongType())
-    for name, kind in listed:
+    for name, _ in listed:
         fields = fields.add(name, T._parse_datatype_string({"groups_sha256": "string", "groups": "array<struct<a: array<int>, b: array<int>>>"}.get(name, "array<bigint>")))
-    aligned = materialize(_texts(docs, id_col, text_col).mapInArrow(run, fields), "aligned")
-    rare = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    met = rare.join(counts.select("pair", "n", "best"), "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more"))
-    out = aligned.join(met, "row", "left")
-    out = out.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more", F.lit(0)))
-    return out.select(id_col, *numbers, "groups_sha256", *["groups"][:keep_groups])
+    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, fields)
+
+
+def pair_counts(aligned: DataFrame, b_ids: int) -> DataFrame:
+    """(pair, a_id, b_id, n, best): in how many rows of ``aligned`` an A and a B token with these ids share a group, and
+    whether no other pair with that A id stands in more."""
+    pairs = aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs.withColumn("a_id", F.expr(f"pair div {b_ids}").cast("int")), "paircounts")
+    most = pairs.groupBy("a_id").agg(F.max("n").alias("most"))  # an A id has at most b_ids pairs
+    return pairs.join(most, "a_id").select("pair", "a_id", (F.col("pair") % b_ids).cast("int").alias("b_id"), "n", (F.col("n") == F.col("most")).alias("best"))
+
+
+def score_links(aligned: DataFrame, counts: DataFrame, share: int = FREQUENT) -> DataFrame:
+    """(row, n_best, count_sum) of every row with links: how many have an id pair that is the best of its A id, and
+    the sum of the counts of all their pairs."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= -(-total // share)  # so at most ``share`` pairs
+    held = counts.select("pair", "n", "best")
+    links = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")]
+    frequent = F.broadcast(held.where(often))
+    one = links.join(frequent, "pair").groupBy("row").agg(*sums)
+    other = links.join(frequent.select("pair"), "pair", "left_anti").join(held.where(~often), "pair").groupBy("row").agg(*sums)
+    return one.unionByName(other).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+
+
+def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, share: int = FREQUENT) -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) for every row of ``docs``; with
+    ``keep_groups`` also the groups themselves, each the A ids and the B ids that it holds.
+
+    A reads a space and the text, B the text, which puts the space there itself. ``n_links`` counts pairs of an A and a B token of one
+    group, ``n_best`` those whose id pair stands in as many documents as any of that A id, ``count_sum`` sums these
+    documents over the links. Null and empty texts, those that are not UTF-8 and those whose tokens do not give back
+    their bytes have no tokens: zeros, an empty digest, no groups. Each row is a document of its own, repeated rows
+    and null ids too. Other columns are not read, so their names cannot clash.
+    """
+    aligned = materialize(aligned_texts(docs, a_path, b_path, id_col, text_col, keep_groups), "aligned")
+    counts = materialize(pair_counts(aligned, tokenizers_of(a_path, b_path).b_ids), "counts")
+    out = aligned.join(score_links(aligned, counts, share), "row", "left")
+    return out.select(id_col, *NUMBERS, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), "groups_sha256", *["groups"][:keep_groups])
