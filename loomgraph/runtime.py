@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which ``spread`` deals a table out anew.
 SMALL = 64 << 20
@@ -43,6 +44,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def valid(text: Column | str) -> Column:
+    """A string column with each byte sequence that is not UTF-8 replaced by U+FFFD, so that Python workers can read it."""
+    return F.make_valid_utf8(F.col(text) if isinstance(text, str) else text)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, read from files, dealt out to all cores if it is small and has fewer files than there are cores: a file of
     ``SMALL`` bytes may be a single row group, which one task would read alone. Larger tables are left as their files
@@ -69,17 +75,32 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this application. Results are lazy and read such tables:
-    call it once they are written or collected."""
+def remember(spark: SparkSession, folder: str) -> None:
+    """Let ``sweep`` delete a folder that was not written by ``materialize``."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+
+
+def written(spark: SparkSession) -> int:
+    """How many folders ``sweep`` would delete now."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete every table that ``materialize`` wrote in this application (after the first ``since`` ones, and without
+    those that ``keep`` was read from). Results are lazy and read such tables: call it once they are written or collected."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    kept = {os.path.basename(os.path.dirname(f)) for df in keep for f in df.inputFiles()}
+    folders = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    left = folders[:since] + [f for f in folders[since:] if os.path.basename(f) in kept]
+    for folder in folders[since:]:
+        if folder not in left:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[spark.sparkContext.applicationId] = left
 
 
 def discard(*tables: DataFrame) -> None:
