@@ -26,7 +26,7 @@ def secret_report(docs: DataFrame, ratios: list[float]) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of every row of documents."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return secret_report(docs, train_pair_ratios(training_samples(spark)))
+    return secret_report(docs, train_pair_ratios(training_samples(spark, docs=docs)))
 
 
 QUERIES = {"op9_secret_scan": op9_secret_scan}

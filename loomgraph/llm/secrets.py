@@ -3,8 +3,10 @@
 Spark's regular expressions give matches but no positions. Splitting a text at the same pattern gives the
 stretches between the matches, so a running sum over the lengths of both gives every start and end.
 
-The models: first-order Markov chains over the characters of random strings and of ordinary identifiers, trained
-by counting character pairs of labelled samples. A long run of token characters, without the fixed patterns' spans in
+The models: first-order Markov chains over the characters of random strings and of ordinary identifiers and words,
+trained by counting character pairs of labelled samples. Pairs that a sample lacks are judged by their characters' kinds
+(``train_pair_ratios``), so a rare pair of letters does not make a word of any language look random. Ordinary samples are
+joined from word lists of four languages and taken from the documents themselves (``ordinary_words``). A long run of token characters, without the fixed patterns' spans in
 it, is reported when its best contiguous stretch says "random": ordinary text beside a key in one run takes nothing
 from the key's score.
 """
@@ -28,6 +30,8 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r
 #: Where none of these occurs, the pattern can't match; they only save work.
 QUICK = {"assign": ASSIGN, "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 MARKOV = "markov"
+#: Spans that are put together in one array before it is joined to others.
+BLOCK = 512
 #: What the models judge: runs of token characters of at least LEAST_STRETCH.
 LEAST_STRETCH = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_STRETCH},}}+"
@@ -44,10 +48,48 @@ next previous current parent child node edge graph tree path file folder directo
 connection transaction message event listener callback thread process queue stack cache memory storage database
 server client network protocol address internet information international representation responsibility
 the and that this with from have which their there would about other into than then them these""".split()
-
-
-def training_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """(text, random): labelled strings. Random ones are digests written in base 64, base 36 style capitals and
+#: Frequent words of German, French and Spanish in ASCII, joined to the long words that German likes.
+COMMON_WORDS = {
+    "de": """haupt stadt bahn hof strasse versicherung gesellschaft wirtschaft arbeit geber nehmer schutz gesetz recht kraft fahrzeug
+haft pflicht schiff fahrt donau dampf kapitaen rind fleisch etikett ueberwachung aufgaben uebertragung leben mittel
+geschwindigkeit begrenzung kranken haus schwester geschichte wissen schaft jahr hundert grund stueck verkehr genehmigung
+zustaendig keit verantwortung freund lich selbst verstaendnis entwicklung zusammen hang unter nehmen ver waltung""".split(),
+    "fr": """anticonstitutionnellement gouvernement developpement responsabilite environnement intergouvernemental representation
+particulierement connaissance apprentissage bibliotheque quelque chose toujours beaucoup aujourd maintenant travail
+entreprise internationale electrique psychologique extraordinairement photographie""".split(),
+    "es": """desarrollo responsabilidad internacionalmente electroencefalografista gobierno ayuntamiento conocimiento
+independientemente caracteristicas administracion otorrinolaringologo universidad trabajador extraordinariamente
+aprendizaje comunicaciones transformacion desafortunadamente ciudad""".split(),
+}
+
+
+def ordinary_words(docs: DataFrame, max_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, random = false): the words, of four ASCII letters or more, of the ``max_docs`` documents whose id and text have
+    the smallest hash; equal rows count once. What the fixed patterns find is cut out first, and so is what has a digit."""
+    key = F.xxhash64(id_col, text_col)
+    picked = docs.select(key.alias("_key")).orderBy("_key").limit(max_docs).distinct()  # max_docs numbers of 8 bytes
+    texts = docs.select(key.alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), "_key", "left_semi")
+    text = F.first("_text")
+    for _, pattern, _, _ in BASE:
+        text = F.regexp_replace(text, pattern, " 0 ")
+    words = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}+(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    return texts.groupBy("_key").agg(words.alias("words")).select(F.explode("words").alias("text"), F.lit(False).alias("random"))
+
+
+def compound_words(spark: SparkSession, n: int) -> DataFrame:
+    """(text, random = false): n words of each language, each joined of one to four of COMMON_WORDS, in small letters, with
+    a capital first or in capitals alone."""
+    ids, parts = spark.range(n), []
+    for lang, listed in sorted(COMMON_WORDS.items()):
+        words = F.array(*map(F.lit, listed))
+        draw = lambda k, m, lang=lang: F.pmod(F.xxhash64(F.lit(lang), F.lit(k), "id"), F.lit(m)).cast("int")
+        joined = F.array_join(F.slice(F.array(*[F.get(words, draw(k, len(listed))) for k in range(4)]), F.lit(1), 1 + draw(9, 4)), "")
+        parts.append(ids.select(F.when(draw(8, 8) == 0, F.upper(joined)).when(draw(8, 8) < 4, F.initcap(joined)).otherwise(joined).alias("text"), F.lit(False).alias("random")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def training_samples(spark: SparkSession, n: int = 3000, docs: DataFrame | None = None) -> DataFrame:
+    """(text, random): labelled strings, to which ``docs`` add their ``ordinary_words``. Random ones are digests written in base 64, base 36 style capitals and
     hexadecimal; identifiers join ordinary words in the usual ways, in paths and assignments with numbers and dates too,
     and separator lines repeat one or two characters."""
     ids = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
@@ -74,22 +116,63 @@ def training_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
         repeated(F.concat(rule(F.col("id"), "-_=+/"), rule(F.floor(F.col("id") / 5), "-_=+/")), 10 + F.col("id") % 30),
     )
     one = lambda texts, label: ids.select(F.explode(texts).alias("text"), F.lit(label).alias("random"))
-    return one(random, True).unionByName(one(ordinary, False))
+    samples = one(random, True).unionByName(one(ordinary, False)).unionByName(compound_words(spark, n))
+    return samples.unionByName(ordinary_words(docs)) if docs is not None else samples
+
+
+#: Characters of token runs by kind.
+KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")
 
 
-def train_pair_ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """log2 P(b | a, random) - log2 P(b | a, ordinary) for all pairs of ASCII characters, at index 128 a + b;
-    0 for pairs that neither has.
+def train_pair_ratios(samples: DataFrame, weight: float = 30.0) -> list[float]:
+    """log2 P(b | a, random) - log2 P(b | a, ordinary) for all pairs of characters of token runs, at index 128 a + b, and
+    0 for all others.
+
+    P(b | a) of a label is its share among the pairs that start with a, with ``weight`` further pairs shared out by kind: the
+    share of b's kind after a's kind, each character of a kind alike. So a pair of small letters that no ordinary sample
+    has is still likelier than one that changes kind.
 
     What comes to the driver is at most 2 x 128 x 128 counts, however many samples there are."""
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
     pairs = samples.where(F.length("text") > 1).select("random", "text", at.alias("i")).select("random", F.ascii(F.col("text").substr(F.col("i"), F.lit(1))).alias("a"), F.ascii(F.col("text").substr(F.col("i") + 1, F.lit(1))).alias("b"))
     counts = {(r["random"], r["a"], r["b"]): r["count"] for r in pairs.where("a < 128 AND b < 128").groupBy("random", "a", "b").count().collect()}
-    alphabet = 66
-    total = {(label, a): sum(counts.get((label, a, b), 0) for b in range(128)) for label in (True, False) for a in range(128)}
-    score = lambda label, a, b: math.log2((counts.get((label, a, b), 0) + smoothing) / (total[label, a] + smoothing * alphabet))
-    seen = lambda a, b: (True, a, b) in counts or (False, a, b) in counts
-    return [score(True, a, b) - score(False, a, b) if seen(a, b) else 0.0 for a in range(128) for b in range(128)]
+    kind = {ord(c): k for k, chars in enumerate(KINDS) for c in chars}
+    after, changes, total = {}, {}, {}
+    for (label, a, b), n in counts.items():
+        if a in kind and b in kind:
+            total[label, a] = total.get((label, a), 0) + n
+            after[label, kind[a]] = after.get((label, kind[a]), 0) + n
+            changes[label, kind[a], kind[b]] = changes.get((label, kind[a], kind[b]), 0) + n
+
+    def score(label: bool, a: int, b: int) -> float:
+        share = (changes.get((label, kind[a], kind[b]), 0) + 1) / (after.get((label, kind[a]), 0) + len(KINDS))
+        guess = share / len(KINDS[kind[b]])
+        return math.log2((counts.get((label, a, b), 0) + weight * guess) / (total.get((label, a), 0) + weight))
+
+    return [score(True, a, b) - score(False, a, b) if a in kind and b in kind else 0.0 for a in range(128) for b in range(128)]
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(rows: Column) -> Column:
+    """An array cut into arrays of BLOCK elements; an empty one gives one empty array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.slice(rows, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _in_blocks(rows: Column, total: Callable[[Column], Column], add: Callable[[Column, Column], Column], use: Callable[[Column, Column], Column]) -> Column:
+    """All that ``use(block, start)`` gives for the blocks of an array, one after the other. ``start`` is ``add`` over the totals of the
+    blocks before. An array that grows by one element is copied whole each time; blocks keep that short."""
+
+    def with_starts(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        step = lambda acc, n: F.struct(add(acc["at"], n).cast("bigint").alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        starts = F.aggregate(F.transform(blocks, total), zero, step, lambda acc: acc["starts"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("start")), lambda x: use(x["block"], x["start"])))
+
+    return _bound(_blocks(rows), with_starts)
 
 
 def _all_matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
@@ -97,21 +180,19 @@ def _all_matches(text: Column, pattern: str, kind: int, group: int, least: int)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     rows = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(matches, F.length).alias("match"), F.transform(groups, F.length).alias("group"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+    width = lambda row: row["gap"] + F.coalesce(row["match"], F.lit(0))
 
     def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + row["gap"]
-        end = (start + F.coalesce(row["match"], F.lit(0))).cast("bigint")
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        start, end = (acc["at"] + row["gap"]).cast("bigint"), (acc["at"] + width(row)).cast("bigint")
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         kept = F.coalesce(row["group"] >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(kept, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["spans"])
+    def spans(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
 
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    length = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda acc, row: acc + width(row))
+    return _bound(rows, lambda rows: _in_blocks(rows, length, lambda at, n: at + n, spans))
 
 
 def _pieces(run: Column, base: Column) -> Column:
@@ -165,17 +246,28 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text", l
 
         return F.aggregate(F.sequence(F.lit(0), F.size(gains) - 1), zero, step)
 
-    def looks_random(piece: Column) -> Column:
+    def looks_random(piece: Column, part: Column, offset: Column) -> Column:
         whole = piece["end"] - piece["start"] >= LEAST_STRETCH
         low, high = F.when(whole, piece["start"]).otherwise(piece["low"]), F.when(whole, piece["end"]).otherwise(piece["high"])
-        run = text.substr((low + 1).cast("int"), (high - low).cast("int"))
+        run = part.substr((low - offset + 1).cast("int"), (high - low).cast("int"))
         gain = lambda codes, i: F.get(table, F.get(codes, i) * 128 + F.get(codes, i + 1)) - least_mean
         gains = _bound(F.transform(F.split(run, ""), F.ascii), lambda codes: F.transform(F.sequence(F.lit(0), (high - low - 2).cast("int")), lambda i: gain(codes, i)))
         return _bound(_bound(gains, best_stretch), lambda found: F.when(whole, found["best"] >= least_bits).otherwise(found["sum"] >= 0))
 
     runs = F.when(text.rlike(rf"[A-Za-z0-9+/_=-]{{{LEAST_STRETCH}}}"), _all_matches(text, CANDIDATE, len(BASE), 0, LEAST_STRETCH)).otherwise(none)
-    pieces = F.flatten(F.transform(runs, lambda run: _pieces(run, F.col("base_spans"))))
-    return docs.withColumn("added_spans", F.transform(F.filter(pieces, looks_random), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))))
+    ranges = F.transform(_blocks(F.col("base_spans")), lambda b: F.struct(b.alias("spans"), F.array_min(F.transform(b, lambda s: s["start"])).alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high")))
+    near = lambda run, r: F.flatten(F.transform(F.filter(r, lambda b: (b["low"] < run["end"]) & (run["start"] < b["high"])), lambda b: b["spans"]))
+    pieces = _bound(ranges, lambda r: F.flatten(F.transform(runs, lambda run: _pieces(run, near(run, r)))))
+
+    def random_ones(block: Column) -> Column:
+        """Those of a block of pieces that look random. A place in a text is found by counting from its start, so the stretch that
+        holds the block is cut out once."""
+        low, high = F.array_min(F.transform(block, lambda p: p["low"])), F.array_max(F.transform(block, lambda p: p["high"]))
+        stretch = F.struct(text.substr((low + 1).cast("int"), (high - low).cast("int")).alias("part"), low.alias("offset"))
+        return _bound(stretch, lambda x: F.filter(block, lambda p: looks_random(p, x["part"], x["offset"])))
+
+    random = F.flatten(F.transform(_bound(pieces, _blocks), random_ones))
+    return docs.withColumn("added_spans", F.transform(random, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))))
 
 
 def spans_text(spans: Column) -> Column:
@@ -186,14 +278,16 @@ def spans_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, or stretch of overlapping spans, replaced by ``mark``."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+    def step(acc: Column, s: Column, part: Column, offset: Column) -> Column:
+        gap = part.substr((acc["at"] - offset + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         more = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.concat(gap, F.lit(mark))))).otherwise(acc["parts"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("parts"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
+    def parts(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<string>").alias("parts"))
+        stretch = text.substr((start + 1).cast("int"), (ends(block) - start).cast("int"))
+        return _bound(stretch, lambda part: F.aggregate(block, zero, lambda acc, s: step(acc, s, part, start), lambda acc: acc["parts"]))
 
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), zero, step, finish)).otherwise(text)
+    ends = lambda some: F.array_max(F.transform(some, lambda s: s["end"]))
+    kept = F.array_join(_in_blocks(F.array_sort(spans), ends, F.greatest, parts), "")
+    return F.when(F.size(spans) > 0, F.concat(kept, text.substr((ends(spans) + 1).cast("int"), F.length(text)))).otherwise(text)
