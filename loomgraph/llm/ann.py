@@ -157,7 +157,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
 
     Vectors that are null, zero, hold a null or non-finite component, or have another dimension than the row of
     the smallest id take no part, on either side. Rows that share an id are separate candidates, and queries that share
-    one are each answered. A query gets fewer than k rows only if there are fewer candidates in the lists it probes.
+    one are each answered. Rows with the query's own id do not count towards the rows that it has to probe, so a query
+    gets fewer than k rows only if there are fewer candidates in all.
 
     ``recall``: the share of neighbours that the probed lists are to hold, by the sample of at most ``max_sample`` rows.
     Vectors without any clusters need most of the lists for 0.95; clustered ones a few.
@@ -186,6 +187,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     counts = np.zeros(len(index.centroids), np.int64)  # one number for each list, at most max_lists
     for r in listed.groupBy("_list").count().collect():
         counts[r[0]] = r[1]
+    # where rows with a query's own id stand: they are no candidates. At most one entry for each list
+    own = listed.groupBy("_id", "_list").count().groupBy("_id").agg(F.collect_list(F.struct("_list", F.col("count").alias("n"))).alias("_own"))
+    own = own.join(asked.select("_id").distinct(), "_id", "left_semi")
+    asked = materialize(asked.join(own, "_id", "left"), "queries")
     dealt = deal_lists(counts, index.probes, asked.count())
 
     def probe(first_lists: bool):
@@ -194,10 +199,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q, ids, v, limits = batch.column(0).to_numpy(), batch.column(1).to_pylist(), _matrix(batch.column(2)), batch.column(3).to_pylist()
+                q, v, own = batch.column(0).to_numpy(), _matrix(batch.column(2)), batch.column(4).to_pylist()
                 raw, rows = packed(v), []
                 for i, order in enumerate(np.argsort(-near(v), axis=1, kind="stable")):
-                    held = np.cumsum(dealt.counts[order])
+                    candidates = dealt.counts.copy()
+                    for x in own[i] or ():
+                        candidates[x["_list"]] -= x["n"]
+                    held = np.cumsum(candidates[order])
                     at_first = min(int(np.searchsorted(held, FIRST_PROBED)) + 1, len(order))
                     at_most = max(at_first, min(int(np.searchsorted(held, LEAST_PROBED)) + 1, len(order)), shared.value.probes)
                     lists = order[:at_first] if first_lists else order[at_first:at_most]
@@ -240,7 +248,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     fields = "_group bigint, _part int, _q bigint, _id bigint, _v binary, _limit double, _lists array<int>"
 
     def searched(given: DataFrame, first_lists: bool) -> DataFrame:
-        sent = given.select("_q", "_id", "_v", "_limit").mapInArrow(probe(first_lists), fields)
+        sent = given.select("_q", "_id", "_v", "_limit", "_own").mapInArrow(probe(first_lists), fields)
         return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "_q bigint, query_id bigint, _x bigint, score double")
 
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_x"))
