@@ -11,7 +11,7 @@ from loomgraph.runtime import spread
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for every row of documents, repeated ones included; a null text counts as empty. All counts are read from the
-    table of counts at every prefix."""
+    written table that holds the steps of every prefix."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.runtime import prepare
+from loomgraph.runtime import materialize, prepare, valid
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -155,7 +155,8 @@ def token_prefix_steps(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
     ``steps`` is array<short>: its running sum at i is the exact token count of the first i characters (see
     ``tokens_at`` and ``chars_within``). ``budgets`` names long columns: how many characters the longest prefix of at
-    most so many tokens has. A null text counts as empty: 0 bytes, 0 tokens, no steps, 0 characters. Repeated
+    most so many tokens has. A null text counts as empty: 0 bytes, 0 tokens, no steps, 0 characters; bytes that are not
+    UTF-8 count as U+FFFD. Repeated
     rows stay repeated; other columns are not read.
     """
     prepare(docs.sparkSession)
@@ -184,7 +185,7 @@ def token_prefix_steps(docs: DataFrame, model_path: str, id_col: str = "doc_id",
         fields = fields.add("steps", T.ArrayType(T.ShortType()))
     for name in budgets:
         fields = fields.add(name, T.LongType())
-    return docs.select(id_col, text_col).mapInArrow(run, fields)
+    return docs.select(id_col, valid(text_col)).mapInArrow(run, fields)
 
 
 def tokens_at(steps: Column, n_chars: Column | int) -> Column:
@@ -204,8 +205,15 @@ def chars_within(steps: Column, budget: int) -> Column:
     return F.aggregate(steps, zero, step, lambda a: a["best"])
 
 
+def stored_steps(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written table (id, n_bytes, n_tokens, steps, chars_within_limit) of all rows: any later question about a
+    prefix or a budget reads it (``tokens_at``, ``chars_within``) and encodes nothing."""
+    return materialize(token_prefix_steps(docs, model_path, id_col, text_col, budgets={"chars_within_limit": limit}), "steps")
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, chars_within_limit) of every whole text, all from its counts at every prefix:
-    the last one, and the longest prefix that keeps to the limit."""
-    counts = token_prefix_steps(docs, model_path, id_col, text_col, keep_steps=False, budgets={"chars_within_limit": limit})
+    the last one, and the longest prefix that keeps to the limit. The steps of all prefixes are written beside them
+    (``stored_steps``), and the columns read from there."""
+    counts = stored_steps(docs, model_path, limit, id_col, text_col)
     return counts.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "chars_within_limit")
