@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.runtime import prepare
+from loomgraph.runtime import prepare, valid
 
 #: The code points that Unicode calls White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -229,7 +229,7 @@ def pieces_of(path: str) -> Pieces:
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep_offsets: bool = True, decode: bool = False) -> DataFrame:
     """(id, ids array<int>[, offsets array<int>][, bytes]) for every row; offsets are where each token starts in the
-    text's UTF-8 bytes, bytes what the ids decode to. A null or empty text has no ids. Strings that look like special tokens are ordinary
+    text's UTF-8 bytes (of U+FFFD where they are not UTF-8), bytes what the ids decode to. A null or empty text has no ids. Strings that look like special tokens are ordinary
     text. Repeated rows stay repeated; other columns are not read."""
     prepare(docs.sparkSession)
 
@@ -254,7 +254,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
         fields.append(T.StructField("offsets", T.ArrayType(T.IntegerType())))
     if decode:
         fields.append(T.StructField("bytes", T.BinaryType()))
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, valid(text_col)).mapInArrow(run, T.StructType(fields))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

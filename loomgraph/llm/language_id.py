@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.runtime import prepare
+from loomgraph.runtime import prepare, valid
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -197,7 +197,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     What comes to the driver are the counts of distinct byte strings of at most 4 bytes in that sample."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = rows.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(lang_col).alias("_lang"), valid(text_col).alias("_text"))
     # hashes alone are ranked, first in parts of a language, then in what the parts leave; then the texts are fetched
     picked = rows.select("_h", "_id", "_th", "_lang").withColumn("_part", F.pmod("_th", F.lit(SAMPLE_PARTS)))
     for keys in (["_lang", "_part"], ["_lang"]):
@@ -240,7 +240,8 @@ def identify(docs: DataFrame, tables: PpmTables | None, id_col: str = "doc_id",
 
     lang_pred: the language whose code for the text is shortest (the first by name among equals), or "und"
     for a null text or one without a letter; then score and bits are 0. score: the share of that language when
-    each one weighs 2^-bits. Without tables every row is "und". Repeated rows stay repeated.
+    each one weighs 2^-bits. Without tables every row is "und". Repeated rows stay repeated. Bytes that are not UTF-8
+    count, and are kept, as U+FFFD.
     """
     prepare(docs.sparkSession)
     keep = list(keep or ())
@@ -259,4 +260,5 @@ def identify(docs: DataFrame, tables: PpmTables | None, id_col: str = "doc_id",
             lang, score, bits = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], schema.names)
 
-    return docs.select(*columns, F.col(text_col).alias("_scored_text")).mapInArrow(run, schema)
+    readable = [valid(c).alias(c) if isinstance(docs.schema[c].dataType, T.StringType) else c for c in columns]
+    return docs.select(*readable, valid(text_col).alias("_scored_text")).mapInArrow(run, schema)

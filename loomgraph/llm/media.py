@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.runtime import materialize, prepare, shared_dir
+from loomgraph.runtime import materialize, prepare, remember, shared_dir, valid
 
 ROW = 64
 SHARD_BYTES = 64 << 20
@@ -110,13 +110,15 @@ class Shard:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """(id, n_bytes, digest, shard, offset, length) for every row: where the padded UTF-8 bytes of its text stand.
 
-    A null text counts as empty, which is stored as 64 zero bytes. Repeated rows stay repeated, and all rows of one
+    A null text counts as empty, which is stored as 64 zero bytes; bytes that are not UTF-8 are stored as U+FFFD. Repeated rows stay repeated, and all rows of one
     payload point at one place: tasks write what is new to them, and of the places that a digest got the first one by
     shard and offset counts (a payload that several tasks met stands in their shards too, unread). Other
     columns are not read. Runs at once: the rows are a table in the shared folder.
     """
     spark = prepare(docs.sparkSession)
-    folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    if folder is None:  # a folder that the caller names is the caller's to delete
+        folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+        remember(spark, folder)
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if shard:
             yield from finish()
 
-    written = materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "media")
+    written = materialize(docs.select(id_col, valid(text_col)).mapInArrow(run, schema), "media")
     place = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_place"))
     return written.select(F.struct(id_col).alias("_id"), "n_bytes", "digest").join(place, "digest").select("_id.*", "n_bytes", "digest", "_place.*")
 

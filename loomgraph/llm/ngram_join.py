@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import discard, materialize, prepare
+from loomgraph.runtime import discard, materialize, prepare, valid
 
 DIMENSIONS = 64
 #: Buckets in which shingles are counted for their order, and the rows in which a task hands its counts on.
@@ -485,7 +485,7 @@ def link_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     A row with a null id links with nothing and has a null component. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), valid(text_col).alias("text"))
     counted = materialize(_features(rows, width, num, den), "features")
     features = counted.where("slice IS NULL").select("doc", "n", "key")
     named = counted.where("n > 0 AND doc IS NOT NULL")

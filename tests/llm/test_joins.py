@@ -357,3 +357,18 @@ def test_shared_signatures_whatever_the_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         assert rows_of(_shared(spark.createDataFrame(rows, "sig long, key long"))) == want
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def test_rows_of_a_repeated_id_do_not_fill_the_probed_lists(spark):
+    r = np.random.default_rng(3)
+    crowd = r.standard_normal(8)
+    rows = [(0, (crowd + 0.01 * r.standard_normal(8)).tolist()) for _ in range(1500)] + [(i, r.standard_normal(8).tolist()) for i in range(1, 30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:3], vectors.schema)
+    found = nearest(vectors, asked).collect()
+    assert len(found) == 15 and all(x["vec_id"] != 0 for x in found)
+    matrix = np.array([v for _, v in rows])
+    for query in range(3):
+        cosine = matrix @ matrix[query] / np.linalg.norm(matrix, axis=1) / np.linalg.norm(matrix[query])
+        want = sorted((i for i in range(1500, 1529)), key=lambda i: -cosine[i])[:5]
+        assert sum(sorted(x["vec_id"] for x in found).count(rows[i][0]) > 0 for i in want) == 5
