@@ -16,7 +16,7 @@ from loomgraph.llm.ngram_join import keep_one_of_each, link_documents
 from loomgraph.llm.q_op4 import round_trip_digests
 from loomgraph.llm.q_op7 import learned_tables
 from loomgraph.llm.secrets import find_secrets, redact, train_pair_ratios, training_samples
-from loomgraph.runtime import materialize
+from loomgraph.runtime import materialize, sweep, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The uniform code: a text that no language's model codes below it is in none of them.
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in their texts replaced by a mark."""
-    found = find_secrets(docs.select(COLUMNS), train_pair_ratios(training_samples(spark)))
+    found = find_secrets(docs.select(COLUMNS), train_pair_ratios(training_samples(spark, docs=docs)))
     text = redact(F.col("text"), F.concat("base_spans", "added_spans"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -68,7 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        sweep(spark, since=before, keep=(docs,))  # what the stage wrote on its way, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
