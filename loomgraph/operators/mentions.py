@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 #: Edges of a word: no letter, digit or underscore beyond.
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-#: Labels of mentions, in the order that settles ties, with their patterns and confidence.
+#: Labels of mentions, in the order that settles ties, with their patterns and confidence. Repeated groups are
+#: possessive (++), as Java's matcher takes stack for every round of one that may give back, and long lists of names are many
+#: rounds. An organisation is therefore a chain of capitalised words first, of which TRIMMED keeps what ends in a suffix.
 SUFFIXES = "Inc|Corp|LLC|Ltd|Company"
 MENTIONS = {
-    "ORG": rf"{LEFT}[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+(?:{SUFFIXES})(?:\.|{RIGHT})",
-    "PERSON": rf"{LEFT}[A-Z][a-z]+(?:\s+(?!{SUFFIXES})[A-Z][a-z]+)+{RIGHT}",
+    "ORG": rf"{LEFT}[A-Z][a-zA-Z]++{RIGHT}(?:\s++[A-Z][a-zA-Z]++{RIGHT})++\.?",
+    "PERSON": rf"{LEFT}[A-Z][a-z]++{RIGHT}(?:\s++(?!{SUFFIXES})[A-Z][a-z]++{RIGHT})++",
     "GPE": rf"{LEFT}[A-Z][a-z]+\s*(?:City|State|Country|Nation){RIGHT}",
     "DATE": rf"{LEFT}(?:[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|[0-9]{{4}}){RIGHT}",
 }
+TRIMMED = {"ORG": rf"(?s)^.*\s(?:{SUFFIXES})(?:\.|{RIGHT})"}
 CONFIDENCE = 0.7
 #: Pronouns with the labels that they can stand for.
 PERSON, THING, GROUP = ("PERSON",), ("ORG", "GPE", "DATE"), ("ORG", "GPE", "PERSON")
@@ -69,7 +72,11 @@ def find_mentions(df: DataFrame, keys: list[str], text: str, patterns: dict[str,
     exclusive. Matches of one label do not overlap, those of two may. Null and empty texts have none; repeated rows repeat
     theirs; columns other than ``keys`` and ``text`` are not read."""
     def labelled(label: str, pattern: str) -> Column:
-        return F.transform(match_spans(F.col(text), pattern), lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["mention"].alias("mention")))
+        spans = match_spans(F.col(text), pattern)
+        if label in TRIMMED:
+            cut = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(s["mention"], TRIMMED[label], 0).alias("mention")))
+            spans = F.transform(F.filter(cut, lambda s: s["mention"] != ""), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["mention"])).alias("end"), s["mention"].alias("mention")))
+        return F.transform(spans, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["mention"].alias("mention")))
 
     found = [labelled(label, pattern) for label, pattern in (patterns or MENTIONS).items()]
     rows = df.select(*keys, F.explode(F.concat(*found)).alias("_m"))
