@@ -34,8 +34,9 @@ def normalize_unicode(c: Column, form: str = "NFC") -> Column:
     def normal(x: pd.Series) -> pd.Series:
         return x.str.normalize(form)
 
-    # plain ASCII is normal in every form, so most texts never leave the JVM's columns changed
-    return normal(c)
+    # plain ASCII is normal in every form: such texts stay where they are, and Python gets nulls in their place
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_only, c).otherwise(normal(F.when(~ascii_only, c)))
 
 
 @F.pandas_udf(T.StringType())
@@ -116,14 +117,28 @@ def to_utc(ts: Column, zone: str) -> Column:
     return F.to_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz")
 
 
+def _singular(word: Column) -> Column:
+    """An English plural without its ending; words in ss, us and is stay."""
+    cut = lambda n, more="": F.concat(word.substr(F.lit(1), F.length(word) - n), F.lit(more))
+    return F.when(word.rlike("(?i)[^aeiou]ies$"), cut(3, "y")).when(word.rlike("(?i)(?:s|x|z|ch|sh)es$"), cut(2)).when(word.rlike("(?i)[^siu]s$"), cut(1)).otherwise(word)
+
+
+def _joined(c: Column) -> Column:
+    words = F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # a word with capitals inside has its form already
+    form = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.when(w.rlike(r"\p{Ll}\p{Lu}"), F.substring(w, 2, 1_000_000)).otherwise(F.lower(F.substring(w, 2, 1_000_000))))
+    return F.array_join(F.transform(words, form), "")
+
+
 def class_name(c: Column) -> Column:
-    """Words run together, each capitalised: the form of class names."""
-    return F.array_join(F.transform(F.filter(F.split(c, r"[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    """Words run together, each capitalised, the last one in singular: the form of class names. Letters of any language count;
+    a name without a letter or digit is empty."""
+    return _singular(_joined(c))
 
 
 def property_name(c: Column) -> Column:
-    """The same with a small first letter: the form of property names."""
-    name = class_name(c)
+    """Words run together, each but the first capitalised: the form of property names. A name that has it already stays."""
+    name = _joined(c)
     return F.concat(F.lower(F.left(name, F.lit(1))), F.substring(name, 2, 1_000_000))
 
 
@@ -133,8 +148,10 @@ def safe_filename(c: Column, longest: int = 255) -> Column:
 
 
 def table_checksum(df: DataFrame) -> DataFrame:
-    """(rows, checksum): one digest of a table, whatever the order and layout of its rows: digests of rows by their first
-    three digits, sorted and hashed in each of these 4,096 parts, then over the parts. Nulls and empty texts differ."""
+    """(rows, checksum): one digest of a table, whatever the order and layout of its rows: the number of rows and the sums of four
+    60-bit parts of each row's SHA-256, hashed. Sums commute, so they are made where the rows are, and nothing is listed.
+    Nulls and empty texts differ; a repeated row counts each time."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    parts = df.select(row.alias("_h")).groupBy(F.substring("_h", 1, 3).alias("_p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("h"))
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "h"))), lambda x: x["h"]), ""), 256).alias("checksum"))
+    part = lambda k: F.coalesce(F.sum(F.conv(F.substring("_h", k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string")
+    sums = df.select(row.alias("_h")).agg(F.count("*").alias("rows"), *[part(k).alias(f"_s{k}") for k in (1, 16, 31, 46)])
+    return sums.select("rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), "_s1", "_s16", "_s31", "_s46"), 256).alias("checksum"))

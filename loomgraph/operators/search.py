@@ -96,8 +96,12 @@ def triple_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("_sides < 3").select(F.when(F.col("_sides") == 1, "removed").otherwise("added").alias("change"), *columns)
 
 
-def pairwise_distances(vectors: DataFrame, ids: DataFrame, metric, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, distance): the distances among the rows named by ``ids``, a stated set that is compared with itself, a < b."""
-    some = vectors.join(ids.select(id_col).distinct(), id_col, "left_semi").select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), F.lit(0).alias("_one"))
-    x, y = (some.select(F.col("_id").alias(c), F.col("_v").alias(f"_{c}"), "_one") for c in "ab")
-    return x.join(y, "_one").where("a < b").select("a", "b", metric(F.col("_a"), F.col("_b")).alias("distance"))
+def pairwise_distances(vectors: DataFrame, ids: DataFrame, metric, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 500) -> DataFrame:
+    """(a, b, distance): the distances among the rows named by ``ids``, a stated set that is compared with itself, a < b.
+
+    The set is dealt into blocks of about ``block`` rows, and each pair of blocks meets under a key of its own."""
+    some = vectors.join(ids.select(id_col).distinct(), id_col, "left_semi").select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+    blocks = max(1, -(-some.count() // block))
+    some = some.withColumn("_k", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    x, y = (some.select(F.col("_id").alias(c), F.col("_v").alias(f"_{c}"), F.col("_k").alias(own), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other)) for c, own, other in (("a", "_i", "_j"), ("b", "_j", "_i")))
+    return x.join(y, ["_i", "_j"]).where("a < b").select("a", "b", metric(F.col("_a"), F.col("_b")).alias("distance"))

@@ -79,7 +79,13 @@ ORACLE_SQL = {
     "inferred_shapes": f"WITH {SQL}, {_SHAPES.format('rels')} SELECT c AS class, p AS property, lo::BIGINT AS min_count, hi AS max_count, rgs AS ranges FROM sh",
     "shacl_shapes": f"WITH {SQL}, {_SHAPES.format('places')} SELECT 'g:' || c || 'Shape a sh:NodeShape ; sh:targetClass g:' || c || ' ; sh:property [ sh:path g:' || p || ' ; sh:minCount ' || lo || ' ; sh:maxCount ' || hi || ' ; sh:class ( g:' || replace(rgs, ',', ' g:') || ' ) ] .' AS value FROM sh",
     "shape_violations": f"WITH {SQL}, {_MOVED} SELECT 's:' || s_suppkey AS id, 'located_in' AS property, 'min_count' AS issue FROM supplier WHERE s_suppkey % 9 = 0 UNION ALL SELECT 'c:' || c_custkey, 'located_in', unnest(['max_count', 'class']) FROM customer WHERE c_custkey % 10 = 0",
-    "ontology_changes": "SELECT 'located_in' AS type, 'modified' AS change, 'ranges' AS fields",
+    "ontology_changes": f"""WITH {SQL},
+  moved AS (SELECT source, target, type FROM places WHERE NOT (source LIKE 's:%' AND substr(source, 3)::INT % 9 = 0) UNION ALL SELECT source, 'r:0', type FROM places WHERE source LIKE 'c:%' AND substr(source, 3)::INT % 10 = 0),
+  u AS (SELECT 0 AS side, source, target, type FROM places UNION ALL SELECT 1, source, target, type FROM moved),
+  i AS (SELECT side, u.type, string_agg(DISTINCT a.type, ',' ORDER BY a.type) AS domains, string_agg(DISTINCT b.type, ',' ORDER BY b.type) AS ranges FROM u JOIN entities a ON a.id = source JOIN entities b ON b.id = target GROUP BY ALL)
+  SELECT coalesce(x.type, y.type) AS type, CASE WHEN x.type IS NULL THEN 'added' WHEN y.type IS NULL THEN 'removed' ELSE 'modified' END AS change,
+    concat_ws(',', CASE WHEN x.domains <> y.domains THEN 'domains' END, CASE WHEN x.ranges <> y.ranges THEN 'ranges' END) AS fields
+  FROM (FROM i WHERE side = 0) x FULL JOIN (FROM i WHERE side = 1) y ON x.type = y.type WHERE x.type IS NULL OR y.type IS NULL OR x.domains <> y.domains OR x.ranges <> y.ranges""",
     "entity_uris": f"WITH {SQL} SELECT id, 'https://graph.example/' || type || '/' || left(sha256(lower(trim(name))), 16) AS uri FROM entities",
     "evolution_metrics": """WITH e AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS m, l_suppkey AS s, l_returnflag AS f FROM lineitem), k AS (SELECT m, f, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT m, sum(n) AS edges FROM k GROUP BY 1),
       v AS (SELECT t.m, edges, -sum(n / edges::DOUBLE * log2(n / edges::DOUBLE)) AS h FROM t JOIN k USING (m) GROUP BY t.m, edges), w AS (SELECT *, lag(m) OVER (ORDER BY m) AS b, lag(edges) OVER (ORDER BY m) AS pe FROM v),

@@ -119,16 +119,23 @@ def revision_supersedes(spark, d):
 
 
 def period_expressions(spark, d):
-    texts = ["1998", "1998-6", "1998-06-15", "1998 q2", "q3 1997", "last week", "yesterday", "next year", "03/04/1998", "someday"]
-    df = spark.createDataFrame([(t,) for t in texts], "expression string")
+    """The day of each order, its month, quarter (in two forms) and year, and what is none of these."""
+    day = F.col("o_orderdate").cast("date")
+    year, quarter = F.year(day).cast("string"), F.concat(F.lit("q"), F.quarter(day).cast("string"))
+    forms = [F.date_format(day, "yyyy-MM-dd"), F.concat(year, F.lit("-"), F.month(day).cast("string")), F.concat(year, F.lit(" "), quarter), F.concat(quarter, F.lit(" "), year), year, F.date_format(day, "dd/MM/yyyy")]
+    expression = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
     p = T.normalize_period("expression", F.lit("1998-06-01").cast("date"))
-    return df.select("expression", F.date_format(p["first"], "yyyy-MM-dd").alias("first"), F.date_format(p["last"], "yyyy-MM-dd").alias("last"))
+    found = table(spark, d, "orders").select("o_orderkey", expression.alias("expression"))
+    return found.select("o_orderkey", "expression", F.date_format(p["first"], "yyyy-MM-dd").alias("first"), F.date_format(p["last"], "yyyy-MM-dd").alias("last"))
 
 
 def temporal_intents(spark, d):
-    texts = ["orders between 1997 and 1998", "parts shipped before 1998-06-01", "who supplied since 1996-03", "customers during 1999", "state as of 1998-06-01", "all nations"]
-    df = spark.createDataFrame([(t,) for t in texts], "question string")
-    return df.select("question", T.temporal_intent("question").alias("x")).select("question", "x.*")
+    """Questions about the day, month or year of each order."""
+    day = F.col("o_orderdate").cast("date")
+    year, month, date = F.date_format(day, "yyyy"), F.date_format(day, "yyyy-MM"), F.date_format(day, "yyyy-MM-dd")
+    forms = [F.concat(F.lit("orders between "), year, F.lit(" and "), date), F.concat(F.lit("parts shipped before "), date), F.concat(F.lit("who supplied since "), month), F.concat(F.lit("customers during "), year, F.lit(" alone")), F.concat(F.lit("state as of "), date), F.lit("all nations")]
+    question = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.temporal_intent(question).alias("x")).select("o_orderkey", "x.*")
 
 
 Q = active_at_time, time_range_overlap, time_range_covers, allen_relations, merge_intervals_per_user, gap_analysis_per_user, coverage_pct, timeline_of_customer, retroactive_coverage, snap_to_month, graph_at_time, range_join_orders, range_join_open, asof_last_click, sequence_pairs, evolution_by_month, temporal_issues, revision_supersedes, period_expressions, temporal_intents
@@ -139,7 +146,6 @@ S = 'WITH v AS (SELECT user_id, ts AS s, ts + INTERVAL 12 HOUR AS e FROM events)
 ISL = "r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM r), m AS (SELECT user_id, k, min(s) AS s, max(e) AS e, count(*) AS merged FROM i GROUP BY 1, 2)"
 fmt = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 ALLEN = "CASE WHEN e < s2 THEN 'before' WHEN s > e2 THEN 'after' WHEN s = s2 AND e = e2 THEN 'equals' WHEN e = s2 THEN 'meets' WHEN s = e2 THEN 'met_by' WHEN s = s2 AND e < e2 THEN 'starts' WHEN s = s2 THEN 'started_by' WHEN e = e2 AND s > s2 THEN 'finishes' WHEN e = e2 THEN 'finished_by' WHEN s > s2 AND e < e2 THEN 'during' WHEN s < s2 AND e > e2 THEN 'contains' WHEN s < s2 THEN 'overlaps' ELSE 'overlapped_by' END"
-_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
 ORACLE_SQL = {
     "active_at_time": f"{O} SELECT id, cust FROM o WHERE s <= TIMESTAMP '1998-06-01' AND TIMESTAMP '1998-06-01' < e",
     "time_range_overlap": f"{O} SELECT id FROM o WHERE s <= TIMESTAMP '1998-02-01' AND e >= TIMESTAMP '1998-01-01'",
@@ -159,6 +165,11 @@ ORACLE_SQL = {
     "evolution_by_month": f"WITH {SQL} SELECT strftime(date_trunc('month', valid_from), '%Y-%m-%d') AS period, count(*) AS edges, count(DISTINCT type) AS types, count(DISTINCT source) AS sources FROM rels WHERE valid_from IS NOT NULL GROUP BY 1",
     "temporal_issues": f"{O}, x AS (SELECT *, max(e) OVER (PARTITION BY cust ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o) SELECT issue, count(*) AS n FROM (SELECT CASE WHEN s < b THEN 'overlapping_same_edge' WHEN s > b THEN 'gap_after_restart' END AS issue FROM x) WHERE issue IS NOT NULL GROUP BY 1",
     "revision_supersedes": f"{O}, r AS (SELECT 'o' || id AS id, s, e FROM o) SELECT id, {fmt('s')} AS valid_from, {fmt('e')} AS valid_until, {fmt('s')} AS recorded_at, CASE WHEN id LIKE '%7' THEN '2002-01-01 00:00:00' END AS superseded_at FROM r UNION ALL SELECT id || '__rev__', {fmt('s')}, {fmt('e + INTERVAL 10 DAY')}, '2002-01-01 00:00:00', NULL FROM r WHERE id LIKE '%7'",
-    "period_expressions": "SELECT * FROM (VALUES " + _VALUES([("1998", "1998-01-01", "1998-12-31"), ("1998-6", "1998-06-01", "1998-06-30"), ("1998-06-15", "1998-06-15", "1998-06-15"), ("1998 q2", "1998-04-01", "1998-06-30"), ("q3 1997", "1997-07-01", "1997-09-30"), ("last week", "1998-05-25", "1998-06-01"), ("yesterday", "1998-05-31", "1998-05-31"), ("next year", "1998-06-01", "1999-06-01"), ("03/04/1998", None, None), ("someday", None, None)]) + ") t(expression, first, last)",
-    "temporal_intents": "SELECT * FROM (VALUES " + _VALUES([("orders between 1997 and 1998", "between", "1997", "1998", "orders"), ("parts shipped before 1998-06-01", "before", "1998-06-01", None, "parts shipped"), ("who supplied since 1996-03", "after", "1996-03", None, "who supplied"), ("customers during 1999", "during", "1999", None, "customers"), ("state as of 1998-06-01", "at", "1998-06-01", None, "state"), ("all nations", None, None, None, None)]) + ") t(question, intent, first, last, rest)",
+    "period_expressions": """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate::DATE AS d FROM orders),
+  x AS (SELECT *, CASE k WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' WHEN 3 THEN 'quarter' WHEN 4 THEN 'year' END AS unit FROM o)
+  SELECT o_orderkey, CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN year(d) || '-' || month(d) WHEN 2 THEN year(d) || ' q' || quarter(d) WHEN 3 THEN 'q' || quarter(d) || ' ' || year(d) WHEN 4 THEN year(d)::VARCHAR ELSE strftime(d, '%d/%m/%Y') END AS expression,
+    CASE WHEN k < 5 THEN strftime(date_trunc(coalesce(unit, 'day'), d), '%Y-%m-%d') END AS first,
+    strftime(CASE unit WHEN 'day' THEN d WHEN 'month' THEN last_day(d) WHEN 'quarter' THEN date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY WHEN 'year' THEN date_trunc('year', d) + INTERVAL 1 YEAR - INTERVAL 1 DAY END, '%Y-%m-%d') AS last FROM x""",
+    "temporal_intents": """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%Y-%m') AS m, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+  SELECT o_orderkey, ['between', 'before', 'after', 'during', 'at', NULL][k + 1] AS intent, [y, d, m, y, d, NULL][k + 1] AS first, CASE WHEN k = 0 THEN d END AS last, ['orders', 'parts shipped', 'who supplied', 'customers alone', 'state', NULL][k + 1] AS rest FROM o""",
 }

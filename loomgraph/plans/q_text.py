@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomgraph.functions import similarity as S
@@ -10,17 +11,12 @@ from loomgraph.operators import search as H
 from loomgraph.operators import text as X
 from loomgraph.plans.tables import SQL, entities, relationships, table
 
-#: Inputs of the column functions with what they give.
-NAMES = (("Dr. Jane  DOE", "Jane DOE"), ("ACME CORP.", "Acme"), ("mr. john smith", "John Smith"), ("Widget Works, Inc.", "Widget Works"), ("Prof. Dr. Ada Lovelace", "Ada Lovelace"), ("Dr.", "Dr."))
-QUANTITIES = (("5 km", 5.0, "km", "length", 5000.0), ("1,200 lb", 1200.0, "lb", "weight", 544.310844), ("250ml", 250.0, "ml", "volume", 0.25), ("3 parsecs", None, None, None, None), ("km", None, None, None, None))
-MONEY = (("$1,200.50", 1200.5, "USD"), ("EUR 3k", 3000.0, "EUR"), ("£2m", 2000000.0, "GBP"), ("99", 99.0, "USD"), ("none", None, None))
-RELATIVE = (("3 days ago", "1998-05-29 12:00:00"), ("2 weeks from now", "1998-06-15 12:00:00"), ("1 month ago", "1998-05-01 12:00:00"), ("36 hours ago", "1998-05-31 00:00:00"), ("1 year from now", "1999-06-01 12:00:00"), ("soon", None))
-FILES = (("a/b:c?.txt", "a_b_c_.txt"), (" ..hidden. ", "hidden"), ("plain", "plain"))
 SEARCHES = ("Blue Widget", "customer 000000017", "supplier", "wid sma", "nation_7", "zzz")
 
 
-def _given(spark, rows):
-    return spark.createDataFrame([(r[0],) for r in rows], "given string")
+def _cycle(key: str, *values):
+    """One of some columns or literals, by a key."""
+    return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
 
 
 def unicode_forms(spark, d):
@@ -33,7 +29,9 @@ def normalized_texts(spark, d):
 
 
 def entity_names(spark, d):
-    return _given(spark, NAMES).select("given", N.entity_name(F.col("given")).alias("name"))
+    """Part names in small letters, capitals or both, behind titles and before company forms."""
+    given = F.concat(_cycle("p_partkey", "Dr. ", "mr. ", "", "Prof. Dr. ", " "), _cycle("p_partkey", F.col("p_name"), F.upper("p_name"), F.initcap("p_name")), _cycle("p_partkey", " Inc.", " CORP.", "", ", Inc."))
+    return table(spark, d, "part").select("p_partkey", given.alias("given")).select("p_partkey", "given", N.entity_name(F.col("given")).alias("name"))
 
 
 def resolved_aliases(spark, d):
@@ -44,7 +42,8 @@ def resolved_aliases(spark, d):
 
 
 def quantities(spark, d):
-    return _given(spark, QUANTITIES).select("given", N.quantity(F.col("given")).alias("q")).select("given", "q.value", "q.unit", "q.dimension", F.round("q.base", 9).alias("base"))
+    given = F.concat(F.lit("1,"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".5"), _cycle("p_partkey", " km", " lb", "ml", " parsecs"))
+    return table(spark, d, "part").select("p_partkey", N.quantity(given).alias("q")).select("p_partkey", "q.value", "q.unit", "q.dimension", F.round("q.base", 6).alias("base"))
 
 
 def converted_sizes(spark, d):
@@ -52,25 +51,34 @@ def converted_sizes(spark, d):
 
 
 def money_amounts(spark, d):
-    return _given(spark, MONEY).select("given", N.money(F.col("given")).alias("m")).select("given", "m.amount", "m.currency")
+    price = F.round("o_totalprice", 2)
+    given = _cycle("o_orderkey", F.concat(F.lit("$"), F.format_number(price, 2)), F.concat(F.lit("EUR "), F.floor(price).cast("string"), F.lit("k")), F.concat(F.lit("£"), F.format_number(price, 2)), F.lit("none"))
+    return table(spark, d, "orders").select("o_orderkey", N.money(given).alias("m")).select("o_orderkey", F.round("m.amount", 2).alias("amount"), "m.currency")
 
 
 def relative_times(spark, d):
-    found = N.relative_time(F.col("given"), F.lit("1998-06-01 12:00:00").cast("timestamp_ntz"))
-    return _given(spark, RELATIVE).select("given", F.date_format(found, "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    unit = _cycle("p_partkey", "second", "minute", "hour", "day", "week", "month", "year", "eon")
+    given = F.concat(F.col("p_size").cast("string"), F.lit(" "), unit, F.lit("s "), _cycle("p_size", "ago", "from now"))
+    found = N.relative_time(given, F.lit("1998-06-01 12:00:00").cast("timestamp_ntz"))
+    return table(spark, d, "part").select("p_partkey", given.alias("given"), F.date_format(found, "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 def times_in_utc(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", F.date_format(N.to_utc(F.col("ts"), "America/New_York"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    """Noon of each order's day in New York, summer and winter."""
+    noon = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOUR")
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(N.to_utc(noon, "America/New_York"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
 def file_names(spark, d):
-    return _given(spark, FILES).select("given", N.safe_filename(F.col("given")).alias("name"))
+    given = F.concat(_cycle("p_partkey", " ..", ""), "p_brand", F.lit("/"), "p_name", F.lit(": "), "p_type", _cycle("p_partkey", "?.txt", "*. "))
+    return table(spark, d, "part").select("p_partkey", N.safe_filename(given).alias("name"))
 
 
 def naming_conventions(spark, d):
-    return table(spark, d, "part").select("p_partkey", N.class_name(F.col("p_name")).alias("class_name"), N.property_name(F.col("p_name")).alias("property_name"))
+    """Names of one, two or three words in plural, and of properties that have their form already."""
+    plural = F.concat("p_name", F.lit("-"), F.lower("p_type"), F.lit("s"))
+    camel = F.concat(F.element_at(F.split("p_name", " "), 1), F.initcap("p_type"))
+    return table(spark, d, "part").select("p_partkey", N.class_name(plural).alias("class_name"), N.property_name(F.col("p_name")).alias("property_name"), N.property_name(camel).alias("kept"))
 
 
 def parsed_numbers(spark, d):
@@ -79,8 +87,9 @@ def parsed_numbers(spark, d):
 
 
 def table_checksums(spark, d):
+    """One checksum of a table in two layouts."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    return N.table_checksum(p.repartition(3)).join(N.table_checksum(p.orderBy(F.desc("p_partkey"))).withColumnRenamed("checksum", "again"), "rows").select("rows", (F.col("checksum") == F.col("again")).alias("same"))
+    return N.table_checksum(p.repartition(3)).join(N.table_checksum(p.orderBy(F.desc("p_partkey"))).withColumnRenamed("checksum", "again"), "rows").select("rows", "checksum", "again")
 
 
 def chunk_tokens(spark, d):
@@ -175,25 +184,28 @@ def word_overlap(spark, d):
 Q = unicode_forms, normalized_texts, entity_names, resolved_aliases, quantities, converted_sizes, money_amounts, relative_times, times_in_utc, file_names, naming_conventions, parsed_numbers, table_checksums, chunk_tokens, chunk_recursively, chunk_sliding, chunk_structure, chunk_hierarchy, relations_in_text, triples_in_text, events_in_text, keyword_scores, indexed_search, short_term_memory, retained_events, second_page, triple_changes, vector_distances, word_overlap
 QUERIES = {f.__name__: f for f in Q}
 
-_TEXT = lambda x: "NULL" if x is None else f"{x!r}::DOUBLE" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
-_VALUES = lambda rows, names: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_TEXT, r)) + ")" for r in rows) + f") t({names})"
 _WS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[\t ]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 _SENT = "x AS (SELECT s_suppkey, s_nationkey, 'Firm' || s_suppkey AS firm, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS land FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 _WORDS = "list_filter(list_distinct(regexp_split_to_array(lower({0}), '[^a-z0-9]+')), lambda w: w <> '')"
 ORACLE_SQL = {
     "unicode_forms": "SELECT doc_id, md5(nfc_normalize(text)) AS nfc, text IS NOT NULL AS longer, md5(strip_accents(text)) AS plain FROM documents",
     "normalized_texts": "SELECT doc_id, md5(trim(lower(replace(translate(" + _WS.format("nfc_normalize(text)") + """, '‘’“”–—', '''''""--'), '…', '...')))) AS digest FROM documents""",
-    "entity_names": _VALUES(NAMES, "given, name"),
+    "entity_names": f"""SELECT p_partkey, ['Dr. ', 'mr. ', '', 'Prof. Dr. ', ' '][p_partkey % 5 + 1] || [p_name, upper(p_name), {_TITLE.format('p_name')}][p_partkey % 3 + 1] || [' Inc.', ' CORP.', '', ', Inc.'][p_partkey % 4 + 1] AS given, {_TITLE.format('p_name')} AS name FROM part""",
     "resolved_aliases": "SELECT n_name, 'n:' || n_nationkey AS canonical FROM nation UNION ALL SELECT r_name, r_name FROM region",
-    "quantities": _VALUES(QUANTITIES, "given, value, unit, dimension, base"),
+    "quantities": """WITH q AS (SELECT p_partkey, 1000.5::DOUBLE + p_size AS v, ['km', 'lb', 'ml', NULL][p_partkey % 4 + 1] AS unit FROM part) SELECT p_partkey, CASE WHEN unit IS NOT NULL THEN v END AS value, unit, CASE unit WHEN 'km' THEN 'length' WHEN 'lb' THEN 'weight' WHEN 'ml' THEN 'volume' END AS dimension, round(v * CASE unit WHEN 'km' THEN 1000::DOUBLE WHEN 'lb' THEN 0.45359237::DOUBLE WHEN 'ml' THEN 0.001::DOUBLE END, 6) AS base FROM q""",
     "converted_sizes": "SELECT p_partkey, round(p_size * 2.54::DOUBLE, 6) AS cm FROM part",
-    "money_amounts": _VALUES(MONEY, "given, amount, currency"),
-    "relative_times": _VALUES(RELATIVE, "given, moment"),
-    "times_in_utc": "SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events",
-    "file_names": _VALUES(FILES, "given, name"),
-    "naming_conventions": "WITH w AS (SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name, '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '') AS c FROM part) SELECT p_partkey, c AS class_name, lower(c[1]) || c[2:] AS property_name FROM w",
+    "money_amounts": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN floor(round(o_totalprice, 2)) * 1000 WHEN 3 THEN NULL ELSE round(o_totalprice, 2) END AS amount, ['USD', 'EUR', 'GBP', NULL][o_orderkey % 4 + 1] AS currency FROM orders",
+    "relative_times": """WITH r AS (SELECT p_partkey, p_size::INT AS n, ['second', 'minute', 'hour', 'day', 'week', 'month', 'year', 'eon'][p_partkey % 8 + 1] AS unit, CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END AS sign FROM part),
+  m AS (SELECT *, TIMESTAMP '1998-06-01 12:00:00' AS t, n * sign AS k FROM r)
+  SELECT p_partkey, n || ' ' || unit || 's ' || CASE WHEN sign < 0 THEN 'ago' ELSE 'from now' END AS given, strftime(CASE unit WHEN 'second' THEN t + to_seconds(k) WHEN 'minute' THEN t + to_minutes(k) WHEN 'hour' THEN t + to_hours(k) WHEN 'day' THEN t + to_days(k) WHEN 'week' THEN t + to_days(7 * k) WHEN 'month' THEN t + to_months(k) WHEN 'year' THEN t + to_years(k) END, '%Y-%m-%d %H:%M:%S') AS moment FROM m""",
+    "times_in_utc": """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, year(o_orderdate) AS y FROM orders),
+  s AS (SELECT *, make_date(y, 4, 1) + ((7 - dayofweek(make_date(y, 4, 1))) % 7)::INT AS spring, make_date(y, 10, 31) - dayofweek(make_date(y, 10, 31))::INT AS autumn FROM o)
+  SELECT o_orderkey, strftime(d + INTERVAL 12 HOUR + CASE WHEN d >= spring AND d < autumn THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%Y-%m-%d %H:%M:%S') AS utc FROM s""",
+    "file_names": r"""SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN ' ..' ELSE '' END || p_brand || '/' || p_name || ': ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '?.txt' ELSE '*. ' END, '[<>:"/\\|?*]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS name FROM part""",
+    "naming_conventions": f"""SELECT p_partkey, replace({_TITLE.format('p_name')}, ' ', '') || {_TITLE.format('p_type')} AS class_name, lower(p_name[1]) || replace({_TITLE.format('p_name')}, ' ', '')[2:] AS property_name, string_split(p_name, ' ')[1] || {_TITLE.format('p_type')} AS kept FROM part""",
     "parsed_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders",
-    "table_checksums": "SELECT count(*) AS rows, true AS same FROM part",
+    "table_checksums": f"""WITH h AS (SELECT sha256('{{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}}') AS h FROM part), s AS (SELECT count(*) AS n, {", ".join(f"sum(('0x' || substr(h, {k}, 15))::BIGINT) AS s{k}" for k in (1, 16, 31, 46))} FROM h), c AS (SELECT n, sha256(concat_ws(',', n, s1, s16, s31, s46)) AS c FROM s) SELECT n AS rows, c AS checksum, c AS again FROM c""",
     "chunk_tokens": r"""WITH p AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: s <> '') AS parts FROM conversations),
   k AS (SELECT conv_id, turn, parts, string_split(list_reduce(parts, lambda a, p: CASE WHEN len(list_filter(regexp_split_to_array(string_split(a, chr(31))[-1] || ' ' || p, '\s+'), lambda w: w <> '')) <= 40 THEN a || ' ' || p ELSE a || chr(31) || p END), chr(31)) AS ch FROM p WHERE len(parts) > 0)
   SELECT conv_id, turn, len(ch) AS chunks, list_sum(list_transform(parts, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))))::BIGINT AS words FROM k""",
