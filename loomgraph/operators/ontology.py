@@ -68,9 +68,11 @@ def shapes(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shacl_lines(shapes: DataFrame) -> DataFrame:
-    """(value): a SHACL property shape for each row of ``shapes``, in Turtle with the prefixes g: and sh:."""
-    kinds = F.array_join(F.transform("ranges", lambda r: F.concat(F.lit("g:"), r)), " ")
-    text = F.concat(F.lit("g:"), "class", F.lit("Shape a sh:NodeShape ; sh:targetClass g:"), "class", F.lit(" ; sh:property [ sh:path g:"), "property", F.lit(" ; sh:minCount "), F.col("min_count").cast("string"), F.lit(" ; sh:maxCount "), F.col("max_count").cast("string"), F.lit(" ; sh:class ( "), kinds, F.lit(" ) ] ."))
+    """(value): a SHACL property shape for each row of ``shapes``, in Turtle with the prefixes g: and sh:; names are percent-coded."""
+    local = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    kinds = F.array_join(F.transform("ranges", lambda r: F.concat(F.lit("g:"), local(r))), " ")
+    name = local(F.col("class"))
+    text = F.concat(F.lit("g:"), name, F.lit("Shape a sh:NodeShape ; sh:targetClass g:"), name, F.lit(" ; sh:property [ sh:path g:"), local(F.col("property")), F.lit(" ; sh:minCount "), F.col("min_count").cast("string"), F.lit(" ; sh:maxCount "), F.col("max_count").cast("string"), F.lit(" ; sh:class ( "), kinds, F.lit(" ) ] ."))
     return shapes.select(text.alias("value"))
 
 

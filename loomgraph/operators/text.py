@@ -231,7 +231,8 @@ def chunk_hierarchy(df: DataFrame, text: str, key: str, sizes: tuple[int, ...] =
 
 #: Relations with what is said between their subject and object.
 RELATIONS = {"founded_by": "was founded by|founded by", "located_in": "is located in|located in|based in", "works_for": "works for|works at|is employed by", "born_in": "was born in|born in", "acquired": "acquired|has acquired"}
-NAME = r"[A-Z][\w#&-]*(?: [A-Z][\w#&-]*)*"
+#: Possessive, as a matcher that may give back takes stack for each further word; what is said starts small, so nothing is lost.
+NAME = r"[A-Z][\w#&-]*+(?: [A-Z][\w#&-]*+)*+"
 
 
 def extract_relations(df: DataFrame, text: str) -> DataFrame:

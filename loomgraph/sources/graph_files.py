@@ -16,22 +16,44 @@ def _escaped(c: Column) -> Column:
     return c
 
 
+def _ticked(c: str) -> Column:
+    """A name as it may stand between backticks."""
+    return F.replace(F.col(c), F.lit("`"), F.lit("``"))
+
+
+#: What an address must not hold, and the sign that codes it.
+CODED = "%<>\"{}|^`\\ \n\r\t"
+
+
+def _address(c: Column) -> Column:
+    for sign in CODED:
+        c = F.replace(c, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return c
+
+
+def _from_address(c: Column) -> Column:
+    for sign in reversed(CODED):
+        c = F.replace(c, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return c
+
+
 def ntriples(edges: DataFrame) -> DataFrame:
-    """(value): a line for each edge whose source, type and target are not null."""
-    iri = lambda c: F.concat(F.lit(f"<{NAMESPACE}"), F.col(c), F.lit(">"))
+    """(value): a line for each edge whose source, type and target are not null; signs that addresses must not hold are
+    percent-coded."""
+    iri = lambda c: F.concat(F.lit(f"<{NAMESPACE}"), _address(F.col(c)), F.lit(">"))
     return edges.dropna(subset=["source", "type", "target"]).select(F.concat(iri("source"), F.lit(" "), iri("type"), F.lit(" "), iri("target"), F.lit(" .")).alias("value"))
 
 
 def cypher(entities: DataFrame) -> DataFrame:
     """(value): a CREATE statement for each entity that has an id and a type; a null name is an empty one."""
     name = _escaped(F.coalesce("name", F.lit("")))
-    return entities.dropna(subset=["id", "type"]).select(F.concat(F.lit("CREATE (:`"), F.col("type"), F.lit('` {id: "'), _escaped(F.col("id")), F.lit('", name: "'), name, F.lit('"});')).alias("value"))
+    return entities.dropna(subset=["id", "type"]).select(F.concat(F.lit("CREATE (:`"), _ticked("type"), F.lit('` {id: "'), _escaped(F.col("id")), F.lit('", name: "'), name, F.lit('"});')).alias("value"))
 
 
 def cypher_relationships(edges: DataFrame) -> DataFrame:
     """(value): a MATCH and CREATE statement for each edge with both ends and a type."""
     end = lambda v, c: F.concat(F.lit(f'({v} {{id: "'), _escaped(F.col(c)), F.lit('"})'))
-    return edges.dropna(subset=["source", "type", "target"]).select(F.concat(F.lit("MATCH "), end("a", "source"), F.lit(", "), end("b", "target"), F.lit(" CREATE (a)-[:`"), F.col("type"), F.lit("`]->(b);")).alias("value"))
+    return edges.dropna(subset=["source", "type", "target"]).select(F.concat(F.lit("MATCH "), end("a", "source"), F.lit(", "), end("b", "target"), F.lit(" CREATE (a)-[:`"), _ticked("type"), F.lit("`]->(b);")).alias("value"))
 
 
 def aql(entities: DataFrame, batch: int = 1000) -> DataFrame:
@@ -128,5 +150,5 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """(source, type, target) of lines of the form that ``ntriples`` gives; other lines are left out."""
     pattern = rf"^<{NAMESPACE}([^>]*)> <{NAMESPACE}([^>]*)> <{NAMESPACE}([^>]*)> \.$"
-    part = lambda i: F.regexp_extract("value", pattern, i)
+    part = lambda i: _from_address(F.regexp_extract("value", pattern, i))
     return spark.read.text(path).where(F.col("value").rlike(pattern)).select(part(1).alias("source"), part(2).alias("type"), part(3).alias("target"))

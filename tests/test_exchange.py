@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import ontology as O
+from loomgraph.operators import text as X
 from loomgraph.sources import graph_files as G
 from loomgraph.streaming.ingest import ingest
 
@@ -41,6 +42,24 @@ def test_text_lines_escape(spark):
     assert G.ntriples(edges).count() == 0
 
 
+def test_names_cannot_leave_their_place(spark, tmp_path):
+    odd = 'a` b>%3C"\\'
+    nodes = spark.createDataFrame([("i", "T`", "n")], "id string, type string, name string")
+    assert [r[0] for r in G.cypher(nodes).collect()] == ['CREATE (:`T``` {id: "i", name: "n"});']
+    edges = spark.createDataFrame([("x", odd, "y"), (odd, "t", odd)], "source string, type string, target string")
+    assert "[:`a`` b" in "".join(r[0] for r in G.cypher_relationships(edges).collect())
+    G.write_lines(G.ntriples(edges), str(tmp_path / "nt"))
+    assert sorted(map(tuple, G.read_ntriples(spark, str(tmp_path / "nt")).collect())) == sorted(map(tuple, edges.collect()))
+    shapes = spark.createDataFrame([("C d", "p]", 1, 2, ["R ."])], "class string, property string, min_count int, max_count int, ranges array<string>")
+    assert [r[0] for r in O.shacl_lines(shapes).collect()] == ["g:C%20dShape a sh:NodeShape ; sh:targetClass g:C%20d ; sh:property [ sh:path g:p%5D ; sh:minCount 1 ; sh:maxCount 2 ; sh:class ( g:R%20. ) ] ."]
+
+
+def test_relations_of_long_lists_of_names(spark):
+    text = "Ann Bo " * 4_000 + "is located in Big Town and Ann Bo founded by Cy."
+    found = X.extract_relations(spark.createDataFrame([(1, text)], "id int, text string"), "text").collect()
+    assert sorted((r["relation"], len(r["subject"]), r["object"]) for r in found) == [("founded_by", 6, "Cy"), ("located_in", 27_999, "Big Town")]
+
+
 def test_stream_takes_new_files_only(spark, tmp_path):
     schema = "id long, v string"
     spark.createDataFrame([(1, "a"), (2, None)], schema).write.parquet(str(tmp_path / "in"))
