@@ -67,19 +67,23 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,mention:string>>"))
 
 
-def find_mentions(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(keys, label, start, end, mention, confidence): one row for each match of each pattern, in code points, end
-    exclusive. Matches of one label do not overlap, those of two may. Null and empty texts have none; repeated rows repeat
-    theirs; columns other than ``keys`` and ``text`` are not read."""
+def all_spans(text: Column, patterns: dict[str, str] | None = None) -> Column:
+    """array<struct<label, start, end, mention>> of the matches of all patterns (MENTIONS), label by label."""
     def labelled(label: str, pattern: str) -> Column:
-        spans = match_spans(F.col(text), pattern)
+        spans = match_spans(text, pattern)
         if label in TRIMMED:
             cut = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(s["mention"], TRIMMED[label], 0).alias("mention")))
             spans = F.transform(F.filter(cut, lambda s: s["mention"] != ""), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["mention"])).alias("end"), s["mention"].alias("mention")))
         return F.transform(spans, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["mention"].alias("mention")))
 
-    found = [labelled(label, pattern) for label, pattern in (patterns or MENTIONS).items()]
-    rows = df.select(*keys, F.explode(F.concat(*found)).alias("_m"))
+    return F.concat(*[labelled(label, pattern) for label, pattern in (patterns or MENTIONS).items()])
+
+
+def find_mentions(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(keys, label, start, end, mention, confidence): one row for each match of each pattern, in code points, end
+    exclusive. Matches of one label do not overlap, those of two may. Null and empty texts have none; repeated rows repeat
+    theirs; columns other than ``keys`` and ``text`` are not read."""
+    rows = df.select(*keys, F.explode(all_spans(F.col(text), patterns)).alias("_m"))
     return rows.select(*keys, "_m.label", "_m.start", "_m.end", "_m.mention", F.lit(CONFIDENCE).alias("confidence"))
 
 
