@@ -63,6 +63,40 @@ def weighted_fusion(rankings: list[tuple[float, DataFrame]], keys: list[str]) ->
     return every.groupBy(*keys).agg(F.sum("_s").alias("fused"))
 
 
+#: Fixed values of ``rank_and_merge``: the weight of what memory finds, what each related item of a graph node adds and the most
+#: they add together, the factor for each time a node is found again, the characters that tell contents apart, and the
+#: share of the similarity in the new order.
+MEMORY_WEIGHT, RELATED_STEP, RELATED_MOST, AGAIN, CONTENT_KEY, SIMILARITY_SHARE = 0.3, 0.01, 0.2, 1.2, 100, 0.3
+
+
+def rank_and_merge(results: DataFrame, k: int, alpha: float = 0.5, least: float = 0.0) -> DataFrame:
+    """(query, origin, id, content, score, rank): the ``k`` best of what vectors, a graph and memory found for each query.
+
+    ``results`` holds (query, origin, id, content, score, related, similarity), origin one of vector, graph and memory. Scores
+    of one query and origin are brought to 0 to 1 (left as they are if all are equal), then weighted: vectors by 1 - alpha,
+    memory by MEMORY_WEIGHT, a graph by alpha, and RELATED_STEP more for each related item, up to RELATED_MOST. Graph
+    rows with one id are one result: the best score, times AGAIN for each further one. All others with the same first
+    CONTENT_KEY characters are one: the best. Where ``similarity`` (of the query and the content) is not null it makes up
+    SIMILARITY_SHARE of the final score. Results below ``least`` go; ties go to the smaller origin, id, content.
+
+    A null query is one of its own; a null score counts as 0, null content as empty, null related as none; other origins are left out.
+    Only what one query found meets in a task, so give each origin's best few of a query, as ``knn`` does."""
+    mine = W.partitionBy("query", "origin")
+    rows = results.where(F.col("origin").isin("vector", "graph", "memory")).select("query", "origin", "id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("_s"), F.coalesce("related", F.lit(0)).alias("_r"), "similarity")
+    low, high = F.min("_s").over(mine), F.max("_s").over(mine)
+    rows = rows.withColumn("_s", F.when(high > low, (F.col("_s") - low) / (high - low)).otherwise(F.col("_s")))
+    graph = F.col("_s") * alpha + F.least(F.lit(RELATED_MOST), F.col("_r") * RELATED_STEP)
+    rows = rows.withColumn("_s", F.when(F.col("origin") == "vector", F.col("_s") * (1 - alpha)).when(F.col("origin") == "memory", F.col("_s") * MEMORY_WEIGHT).otherwise(graph))
+    node = (F.col("origin") == "graph") & F.col("id").isNotNull()
+    rows = rows.withColumn("_node", F.when(node, F.col("id"))).withColumn("_key", F.when(~node, F.left("content", F.lit(CONTENT_KEY))))
+    best = F.min(F.struct(-F.col("_s"), "origin", "id", "content", "similarity"))
+    one = rows.groupBy("query", "_node", "_key").agg(best.alias("_b"), F.max("_s").alias("_s"), F.count("*").alias("_n")).select("query", "_b.*", (F.col("_s") * F.when(F.col("_node").isNull(), 1.0).otherwise(F.pow(F.lit(AGAIN), F.col("_n") - 1))).alias("score"))
+    score = F.coalesce(F.col("score") * (1 - SIMILARITY_SHARE) + F.col("similarity") * SIMILARITY_SHARE, F.col("score"))
+    kept = one.select("query", "origin", "id", "content", score.alias("score")).where(F.col("score") >= least)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "origin", "id", "content"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def mean_pool(df: DataFrame, keys: list[str], vector_col: str = "embedding", how: str = "mean") -> DataFrame:
     """(keys, pos, value): the mean or maximum of the vectors of a key by component."""
     parts = df.select(*keys, F.posexplode(vector_col).alias("pos", "_x"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of loomgraph.plans with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("q_graph", "q_temporal", "q_quality", "q_context", "q_exchange", "q_decisions", "q_text", "q_more", "q_mentions", "q_links", "q_clusters", "q_hierarchy", "q_chunks", "q_monitor")
+MODULES: tuple[str, ...] = ("q_graph", "q_temporal", "q_quality", "q_context", "q_exchange", "q_decisions", "q_text", "q_more", "q_mentions", "q_links", "q_clusters", "q_hierarchy", "q_chunks", "q_monitor", "q_hybrid")
 
 
 def _modules():
