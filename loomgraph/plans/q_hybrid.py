@@ -13,10 +13,11 @@ def hybrid_retrieval(spark, d):
     """For each nation: customers that memory holds by what they ordered last, the graph by where they live, and vectors by
     balances near the nation's mean; ten of each, the five best in all."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("query"), F.col("c_custkey").alias("id"), F.col("c_name").alias("content"), "c_acctbal")
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("latest"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("latest"))
     known = c.join(o, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    mean = c.groupBy("query").agg(F.avg("c_acctbal").alias("mean"))
-    near = -F.round(F.abs(F.col("c_acctbal") - F.col("mean")), 2)
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    mean = c.groupBy("query").agg(F.sum(cents).alias("total"), F.count("*").alias("many"))
+    near = -F.abs(cents * F.col("many") - F.col("total")).cast("double")  # in whole cents, so the same in every order of summing
     vector = known.join(mean, "query").withColumn("s", near)
     graph = known.withColumn("s", F.col("n").cast("double"))
     memory = known.where("latest IS NOT NULL").withColumn("s", F.datediff("latest", F.lit("1990-01-01").cast("date")).cast("double"))
@@ -34,8 +35,8 @@ QUERIES = {"hybrid_retrieval": hybrid_retrieval}
 
 ORACLE_SQL = {
     "hybrid_retrieval": """WITH o AS (SELECT o_custkey AS id, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY 1),
-c AS (SELECT c_nationkey::BIGINT AS query, c_custkey AS id, c_name AS content, c_acctbal, coalesce(n, 0) AS n, latest, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS mean FROM customer LEFT JOIN o ON o.id = c_custkey),
-a AS (SELECT 'vector' AS origin, query, id, content, -round(abs(c_acctbal - mean), 2) AS s, 0 AS related, NULL::DOUBLE AS similarity FROM c
+c AS (SELECT c_nationkey::BIGINT AS query, c_custkey AS id, c_name AS content, round(c_acctbal * 100)::BIGINT AS cents, coalesce(n, 0) AS n, latest, sum(round(c_acctbal * 100)::BIGINT) OVER w AS total, count(*) OVER w AS many FROM customer LEFT JOIN o ON o.id = c_custkey WINDOW w AS (PARTITION BY c_nationkey)),
+a AS (SELECT 'vector' AS origin, query, id, content, -abs(cents * many - total)::DOUBLE AS s, 0 AS related, NULL::DOUBLE AS similarity FROM c
  UNION ALL SELECT 'graph', query, id, content, n::DOUBLE, n, (id % 7) / 7.0 FROM c
  UNION ALL SELECT 'memory', query, id, content, date_diff('day', DATE '1990-01-01', latest::DATE)::DOUBLE, 0, NULL FROM c WHERE latest IS NOT NULL),
 t AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query, origin ORDER BY s DESC, id) <= 10),
