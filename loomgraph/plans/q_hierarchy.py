@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators import hierarchy as H
@@ -23,7 +24,7 @@ def class_hierarchy(spark, d):
 def _trees(spark, d):
     """Places below their regions, and the turns of conversations, each below the one before."""
     turn = lambda t: F.concat_ws(":", F.lit("t"), F.col("conv_id").cast("string"), t.cast("string"))
-    turns = table(spark, d, "conversations").withColumn("_k", F.dense_rank().over(H.W.partitionBy("conv_id").orderBy("turn")))
+    turns = table(spark, d, "conversations").withColumn("_k", F.dense_rank().over(W.partitionBy("conv_id").orderBy("turn")))
     turns = turns.select(turn(F.col("_k")).alias("id"), F.when(F.col("_k") > 1, turn(F.col("_k") - 1)).alias("parent"))
     return places(spark, d).select(F.col("source").alias("id"), F.col("target").alias("parent")).unionByName(turns)
 
