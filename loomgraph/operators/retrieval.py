@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomgraph.functions import similarity as S
-from loomgraph.runtime import materialize
+from loomgraph.runtime import materialize, prepare
 
 METRICS = {"cosine": S.cosine, "inner_product": S.dot, "l2": lambda x, y: 1 / (1 + S.euclidean(x, y)), "l1": lambda x, y: 1 / (1 + S.manhattan(x, y))}
 
@@ -24,24 +28,111 @@ def metadata_filter(conditions: list[tuple[str, str, object]]) -> Column:
     return keep
 
 
-#: Queries that are compared with all rows at a time.
-QUERY_BLOCK = 1024
+#: Rows and queries that meet in one group of a search, at most, and the rows that are compared with one query at a time.
+ROW_BLOCK, QUERY_BLOCK, STRIP = 16_384, 4_096, 1_024
+#: Components whose squares neither overflow nor vanish; vectors with others are compared by ``METRICS`` one by one.
+TINY, HUGE = 1e-90, 1e90
+
+
+def _plain_knn(rows: DataFrame, asked: DataFrame, metric: str) -> DataFrame:
+    """(query_id, _n, _x, score) of all pairs, by the columns of ``METRICS``: for the few vectors that are not plain."""
+    pairs = rows.crossJoin(F.broadcast(asked))
+    return pairs.select("query_id", "_n", "_x", METRICS[metric](F.col("_v"), F.col("_q")).alias("score"))
+
+
+def _exact(metric: str, some: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of a few vectors, with sums from left to right as in ``METRICS``: equal vectors get equal scores."""
+    total = lambda x: np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    if metric == "l2":
+        return 1 / (1 + np.sqrt(total((some - q) * (some - q))))
+    if metric == "l1":
+        return 1 / (1 + total(np.abs(some - q)))
+    dots = total(some * q)
+    if metric == "inner_product":
+        return dots
+    length = np.sqrt(total(some * some)) * np.sqrt(total((q * q)[None, :]))
+    return np.divide(dots, length, out=np.zeros(len(some)), where=length > 0)
+
+
+def _rough(metric: str, v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(losses of each query with each row, how far off they may be): a smaller loss is a better score."""
+    if metric == "l1":
+        loss, ones = np.empty((len(q), len(v))), np.ones(v.shape[1])
+        for at in range(0, len(v), STRIP):
+            strip = v[at : at + STRIP]
+            buffer = np.empty_like(strip)
+            for i in range(len(q)):
+                np.subtract(strip, q[i], out=buffer)
+                np.abs(buffer, out=buffer)
+                loss[i, at : at + STRIP] = buffer @ ones
+        return loss, 1e-12 * (np.abs(v).sum(axis=1).max() + np.abs(q).sum(axis=1))
+    squares, mine = (v * v).sum(axis=1), (q * q).sum(axis=1)
+    if metric == "l2":
+        loss = np.sqrt(np.maximum(squares[None, :] + mine[:, None] - 2 * (q @ v.T), 0))
+        # an error of e in a square is one of at most sqrt(e) in its root
+        return loss, 1e-6 * np.sqrt(squares.max() + mine)
+    if metric == "inner_product":
+        return -(q @ v.T), 1e-12 * np.sqrt(squares.max()) * np.sqrt(mine)
+    one = lambda x, n: x / np.where(n > 0, np.sqrt(n), 1.0)[:, None]
+    return -(one(q, mine) @ one(v, squares).T), np.full(len(q), 1e-12)
+
+
+def _best_of_block(metric: str, k: int, rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """The k best rows of a block for each of its queries: products of matrices leave a few candidates, which are scored
+    exactly."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("_x", "ascending")], null_placement="at_start"))
+    matrix = lambda c: np.asarray(c.combine_chunks().flatten(), dtype=np.float64).reshape(len(c), -1)
+    out_q, out_x, out_s = [], [], []
+    if len(rows) and len(asked):
+        v, q = matrix(rows["_v"]), matrix(asked["_q"])
+        step = max(1, (1 << 20) // len(rows))
+        for at in range(0, len(q), step):
+            some = q[at : at + step]
+            loss, off = _rough(metric, v, some)
+            last = min(k, len(v)) - 1
+            bound = np.partition(loss, last, axis=1)[:, last]
+            bound = bound + 2 * off + 1e-14 * (1 + np.abs(bound))
+            for i in range(len(some)):
+                near = np.flatnonzero(loss[i] <= bound[i])
+                score = _exact(metric, v[near], some[i])
+                order = np.argsort(-score, kind="stable")[:k]
+                out_q.append(np.full(len(order), at + i)), out_x.append(near[order]), out_s.append(score[order])
+    pick = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+    x, q = rows["_x"].take(pa.array(pick(out_x))), asked.take(pa.array(pick(out_q)))
+    return pa.table({"query_id": q["query_id"], "_n": q["_n"], "_x": x, "score": pa.array(pick(out_s), pa.float64())})
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): for every row of ``queries`` the k best rows of those that pass ``where``, ties to the
-    smaller id; null vectors take no part, and a query may find itself. Exact: queries are numbered, and each block of
-    ``QUERY_BLOCK`` of them is broadcast and joined with all rows on the block, one block for each place of a row; only
-    the k best of a query within a task are shuffled."""
-    rows = (vectors if where is None else vectors.where(where)).where(F.col(vector_col).isNotNull())
-    asked = materialize(queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")).withColumn("_n", F.monotonically_increasing_id()), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    best = None
-    for block in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == block).select(F.collect_list(F.struct("query_id", "_n", "_q")).alias("_all"), F.lit(0).alias("_one"))
-        pairs = rows.select(F.col(id_col).alias("_x"), F.col(vector_col).alias("_v"), F.lit(0).alias("_one")).join(F.broadcast(some), "_one").select("_x", "_v", F.explode("_all").alias("_a"))
-        scored = pairs.select(F.col("_a.query_id").alias("query_id"), F.col("_a._n").alias("_n"), "_x", METRICS[metric](F.col("_v"), F.col("_a._q")).alias("score"))
-        best = scored if best is None else best.unionByName(scored)
+    smaller id; null vectors take no part, and a query may find itself. Exact: rows are dealt into blocks, every query
+    goes to each of them, and a block gives the k best it has for each query. A block's candidates come from products of
+    matrices with a margin for their error; their scores are those of ``METRICS``. Work is rows x queries."""
+    spark = prepare(vectors.sparkSession)
+    numbers = lambda c: F.col(c).cast("array<double>")
+    rows = (vectors if where is None else vectors.where(where)).where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("_x"), numbers(vector_col).alias("_v"))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), numbers(vector_col).alias("_q")).withColumn("_n", F.monotonically_increasing_id())
+    asked = materialize(asked, "queries")
+    dim = asked.groupBy(F.size("_q").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).agg(F.max("dim")).first()[0] or 0
+    fits = lambda e: e.isNotNull() & ((e == 0) | ((F.abs(e) > TINY) & (F.abs(e) < HUGE)))
+    plain = lambda c: (F.size(c) == dim) & F.forall(c, fits)
+    n, odd = rows.agg(F.count("*"), F.count(F.when(~plain("_v"), 1))).first()
+    m, odd_asked = asked.agg(F.count("*"), F.count(F.when(~plain("_q"), 1))).first()
+    row_blocks = max(1, -(-n // ROW_BLOCK), min(-(-n // STRIP), 2 * spark.sparkContext.defaultParallelism))
+    query_blocks = max(1, -(-m // QUERY_BLOCK))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.where(plain("_v")).select("_x", "_v", F.pmod(F.xxhash64("_x"), F.lit(row_blocks)).cast("int").alias("_r"), every(query_blocks).alias("_b"))
+    right = asked.where(plain("_q")).select("query_id", "_n", "_q", every(row_blocks).alias("_r"), F.pmod(F.xxhash64("_n"), F.lit(query_blocks)).cast("int").alias("_b"))
+    left, right = (df.repartition(row_blocks * query_blocks, "_r", "_b").groupBy("_r", "_b") for df in (left, right))
+    schema = StructType([StructField(c, df.schema[c].dataType) for c, df in (("query_id", asked), ("_n", asked), ("_x", rows))] + [StructField("score", DoubleType())])
+
+    def block(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return _best_of_block(metric, k, rows, asked)
+
+    best = left.cogroup(right).applyInArrow(block, schema)
+    if odd:
+        best = best.unionByName(_plain_knn(rows.where(~plain("_v")), asked, metric))
+    if odd_asked:
+        best = best.unionByName(_plain_knn(rows.where(plain("_v")), asked.where(~plain("_q")), metric))
     rank = F.row_number().over(W.partitionBy("_n").orderBy(F.desc("score"), "_x"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("_x").alias(id_col), "score", "rank")
 
