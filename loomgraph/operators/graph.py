@@ -145,7 +145,8 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, directed: bool = True) ->
 
 def average_path_length(edges: DataFrame) -> DataFrame:
     """(pairs, mean_length): over the ordered pairs of different nodes that reach one another in the undirected graph."""
-    return _levels(undirected(edges)).where("d > 0").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_length"))
+    sums = _path_sums(materialize(undirected(edges), "edges")).agg(F.coalesce(F.sum("reached"), F.lit(0)).alias("pairs"), F.sum("total").alias("total"))
+    return sums.select("pairs", F.try_divide(F.col("total"), F.col("pairs")).alias("mean_length"))
 
 
 def all_shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -201,13 +202,65 @@ def _levels(both: DataFrame, origins: DataFrame | None = None) -> DataFrame:
     raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
 
 
+def _fold(both: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(levels, core, links): a graph (a, b) whose leaves are folded onto their neighbours in rounds until none is left.
+
+    Each level holds what a round folded, (node, parent, n, s, q): ``n`` nodes hang together at the node, itself
+    included, ``s`` is the sum of their distances to it, ``q`` that of the squared sizes of the branches that were folded onto it.
+    ``core`` (node, n, s, q) is what stays, with ``links`` (a, b) among it: of a tree one node, else what lies on
+    cycles and between them. Of two leaves linked to each other the larger one is folded."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    core = materialize(both.select(F.col("a").alias("node")).distinct().select("node", one.alias("n"), none.alias("s"), none.alias("q")), "core")
+    links, levels = both, []
+    for _ in range(MOST_ROUNDS):
+        leaves = materialize(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("deg"), F.min("b").alias("parent")).where("deg = 1").select("node", "parent"), "leaves")
+        end = leaves.select(F.col("node").alias("parent"), F.lit(True).alias("_leaf"))
+        level = materialize(leaves.join(end, "parent", "left").where("_leaf IS NULL OR node > parent").select("node", "parent").join(core, "node"), "folded")
+        discard(leaves)
+        if level.isEmpty():
+            return levels, core, links
+        levels.append(level)
+        gone = level.select("node")
+        gain = level.groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("_n"), F.sum(F.col("s") + F.col("n")).alias("_s"), F.sum(F.col("n") * F.col("n")).alias("_q"))
+        core = materialize(core.join(gone, "node", "left_anti").join(gain, "node", "left").select("node", *[(F.col(c) + F.coalesce(f"_{c}", none)).alias(c) for c in "nsq"]), "core")
+        links = materialize(links.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "edges")
+    raise RuntimeError(f"leaves did not settle in {MOST_ROUNDS} rounds")
+
+
+def _unfold(levels: list[DataFrame], top: DataFrame, **carried: Column) -> DataFrame:
+    """``top`` (node and the columns ``carried``) and what those columns become for every node folded onto it."""
+    for level in reversed(levels):
+        up = top.withColumnRenamed("node", "parent")
+        top = top.unionByName(materialize(level.join(up, "parent").select("node", *[c.alias(name) for name, c in carried.items()]), "unfolded"))
+    return top
+
+
+def _path_sums(both: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(node, total, reached): the sum of the distances to all nodes reached from a node (of ``origins``, else from every
+    one), and their number. Trees are folded, so pairs of nodes are made of the core alone."""
+    levels, core, links = _fold(both)
+    start = core
+    if origins is not None:
+        need = materialize(origins.select("node").distinct(), "need")
+        for level in levels:
+            need = materialize(need.unionByName(level.join(need, "node", "left_semi").select(F.col("parent").alias("node"))).distinct(), "need")
+        levels, start = [level.join(need, "node", "left_semi") for level in levels], core.join(need, "node", "left_semi")
+    sums = _levels(links, start).join(core, "node").groupBy(F.col("origin").alias("node")).agg(F.sum(F.col("d") * F.col("n") + F.col("s")).alias("total"), F.sum("n").alias("size"))
+    # a step down to a branch of n nodes is a step nearer to these and one away from all others
+    every = _unfold(levels, materialize(sums, "sums"), total=F.col("total") + F.col("size") - 2 * F.col("n"), size=F.col("size"))
+    if origins is not None:
+        every = every.join(origins.select("node").distinct(), "node", "left_semi")
+    return every.select("node", "total", (F.col("size") - 1).alias("reached"))
+
+
 def closeness(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
-    """(node, closeness): reachable / sum of distances, scaled by the share of nodes reachable. It needs the distances
-    from every node it is asked for: on a large graph give ``origins`` (column node), the nodes of interest."""
+    """(node, closeness): reachable / sum of distances, scaled by the share of nodes reachable. Trees cost no more than their
+    edges, but of the core (nodes on and between cycles) it needs the distances from every node it is asked for: on
+    a large graph with a large core give ``origins`` (column node), the nodes of interest."""
     both = materialize(undirected(edges), "edges")
     n = both.select("a").distinct().agg((F.count("*") - 1).alias("others"))
-    sums = _levels(both, origins).groupBy("origin").agg(F.sum("d").alias("total"), (F.count("*") - 1).alias("reached"))
-    return sums.join(F.broadcast(n), F.lit(True)).select(F.col("origin").alias("node"), F.when(F.col("total") > 0, F.col("reached") / F.col("total") * F.col("reached") / F.col("others")).otherwise(0.0).alias("closeness"))
+    sums = _path_sums(both, origins)
+    return sums.join(F.broadcast(n), F.lit(True)).select("node", F.when(F.col("total") > 0, F.col("reached") / F.col("total") * F.col("reached") / F.col("others")).otherwise(0.0).alias("closeness"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6, dangling: str = "drop") -> DataFrame:
@@ -251,29 +304,40 @@ def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(node, betweenness): over all ordered pairs, the share of shortest paths that pass the node, halved (undirected),
-    by levels of path counts outwards and of dependencies back, for all origins side by side."""
-    both = materialize(undirected(edges), "edges")
-    start = both.select(F.col("a").alias("node")).distinct().select(F.col("node").alias("origin"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
+    """(node, betweenness): over all ordered pairs, the share of shortest paths that pass the node, halved (undirected).
+
+    Trees are folded: at a node, all pairs in different branches pass it, whether these are folded or the rest of the graph.
+    Pairs beyond, which only the core has, count by levels of path counts outwards and of dependencies back, for all
+    origins in the core side by side; each of its nodes stands for all that are folded onto it."""
+    tree, core, both = _fold(materialize(undirected(edges), "edges"))
+    weight = core.select("node", "n")
+    start = core.select(F.col("node").alias("origin"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths"), "n")
     levels = [materialize(start, "levels")]
-    seen = levels[0].select("origin", "node")
+    seen = levels[0].select("origin", "node", "n")
     for depth in range(1, MOST_ROUNDS):
         new = levels[-1].join(both, F.col("node") == F.col("a")).groupBy("origin", F.col("b").alias("node")).agg(F.sum("paths").alias("paths")).join(seen, ["origin", "node"], "left_anti")
-        new = materialize(new.select("origin", "node", F.lit(depth).alias("d"), "paths"), "levels")
+        new = materialize(new.join(weight, "node").select("origin", "node", F.lit(depth).alias("d"), "paths", "n"), "levels")
         if new.isEmpty():
             break
         levels.append(new)
-        seen = seen.unionByName(new.select("origin", "node"))
+        seen = seen.unionByName(new.select("origin", "node", "n"))
     else:
         raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
     below = levels[-1].withColumn("delta", F.lit(0.0))
     total = below
     for level in reversed(levels[:-1]):
-        child = below.select("origin", F.col("node").alias("b"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+        child = below.select("origin", F.col("node").alias("b"), ((F.col("n") + F.col("delta")) / F.col("paths")).alias("share"))
         gain = child.join(both, "b").select("origin", F.col("a").alias("node"), "share").groupBy("origin", "node").agg(F.sum("share").alias("share"))
         below = materialize(level.join(gain, ["origin", "node"], "left").withColumn("delta", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share"), "delta")
         total = total.unionByName(below)
-    return total.where("d > 0").groupBy("node").agg((F.sum("delta") / 2).alias("betweenness"))
+    beyond = total.where("d > 0").select("origin", F.col("node").alias("_at"), "delta").join(weight, F.col("origin") == F.col("node")).groupBy(F.col("_at").alias("node")).agg(F.sum(F.col("n") * F.col("delta")).alias("beyond"))
+    size = _unfold(tree, materialize(seen.groupBy(F.col("origin").alias("node")).agg(F.sum("n").alias("size")), "sums"), size=F.col("size"))
+    every = core.select("node", "n", "q")
+    for level in tree:
+        every = every.unionByName(level.select("node", "n", "q"))
+    rest, others = F.col("size") - F.col("n"), F.col("size") - 1
+    between = others * others - F.col("q") - rest * rest + F.coalesce("beyond", F.lit(0.0))
+    return every.join(size, "node").join(beyond, "node", "left").select("node", (between / 2).alias("betweenness"))
 
 
 def components(edges: DataFrame) -> DataFrame:

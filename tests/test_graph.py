@@ -7,6 +7,7 @@ import random
 from collections import Counter, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import decisions as D
 from loomgraph.operators import dedup as E
@@ -218,3 +219,68 @@ def test_shapes_and_their_violations(spark):
     assert found == {("2", "likes", "min_count"), ("1", "likes", "max_count"), ("1", "likes", "class"), ("1", "knows", "class")}
     uris = [r[0] for r in entities.select(O.entity_uri("http://x")).collect()]
     assert uris[0].startswith("http://x/T/") and uris[1] is None and uris[0][-16:] == uris[2][-16:] and uris[3].startswith("http://x/entity/")
+
+
+def _distances(edges):
+    """All distances of an undirected graph, by plain search: {origin: {node: d}}."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    out = {}
+    for o in near:
+        out[o], queue = {o: 0}, [o]
+        for x in queue:
+            for y in near[x] - out[o].keys():
+                out[o][y] = out[o][x] + 1
+                queue.append(y)
+    return out
+
+
+def _tangled():
+    """Two cycles with trees on them, joined by a path, beside a tree, a pair, a star and a self-loop."""
+    draw = random.Random(11)
+    edges = [("c0", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c0"), ("c2", "m1"), ("m1", "m2"), ("m2", "d0"), ("d0", "d1"), ("d1", "d2"), ("d2", "d0"), ("d0", "c0")]
+    held = ["c1", "c2", "m1", "d1"]
+    for i in range(14):
+        edges.append((draw.choice(held), f"t{i}"))
+        held.append(f"t{i}")
+    edges += [("u0", "u1"), ("u1", "u2"), ("u2", "u3"), ("u1", "u4"), ("u4", "u5"), ("v0", "v1"), ("z", "z")] + [("w", f"w{i}") for i in range(6)]
+    return edges
+
+
+def test_sums_of_paths_fold_trees_alone(spark):
+    edges = _tangled()
+    df, want = spark.createDataFrame(edges, "source string, target string"), _distances(edges)
+    others = len(want) - 1
+    close = {o: (len(d) - 1) / sum(d.values()) * (len(d) - 1) / others for o, d in want.items()}
+    got = {r["node"]: r["closeness"] for r in G.closeness(df).collect()}
+    assert got.keys() == close.keys() and all(abs(got[o] - close[o]) < 1e-12 for o in close)
+    some = spark.createDataFrame([("t3",), ("c0",), ("w2",), ("t3",), ("none",)], "node string")
+    assert {r["node"]: round(r["closeness"], 12) for r in G.closeness(df, some).collect()} == {o: round(close[o], 12) for o in ("t3", "c0", "w2")}
+    lengths = [x for d in want.values() for x in d.values() if x]
+    pairs, mean = G.average_path_length(df).first()
+    assert pairs == len(lengths) and abs(mean - sum(lengths) / len(lengths)) < 1e-12
+    assert tuple(G.average_path_length(df.where("source = 'z'")).first()) == (0, None)
+
+
+def test_betweenness_of_trees_on_cycles(spark):
+    edges = _tangled()
+    near, dist = {}, _distances(edges)
+    paths = {}
+    for o, d in dist.items():
+        near = {x: [y for y in d if dist[x].get(y) == 1] for x in d}
+        paths[o] = {o: 1}
+        for x in sorted(d, key=d.get):
+            if x != o:
+                paths[o][x] = sum(paths[o][y] for y in near[x] if d[y] == d[x] - 1)
+    want = {v: sum(paths[s][v] * paths[v][t] / paths[s][t] for s in dist[v] for t in dist[v] if len({s, v, t}) == 3 and dist[s][v] + dist[v][t] == dist[s][t]) / 2 for v in dist}
+    got = {r["node"]: r["betweenness"] for r in G.betweenness(spark.createDataFrame(edges, "source string, target string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_pairs_of_a_tree_are_not_made(spark):
+    """A wide star: the square of its leaves is 4 million pairs, of which none is written."""
+    star = spark.range(2_000).select(F.lit("hub").alias("source"), F.concat(F.lit("leaf"), "id").alias("target"))
+    levels, core, links = G._fold(G.undirected(star))
+    assert [x.count() for x in levels] == [2_000] and [tuple(r) for r in core.collect()] == [("hub", 2_001, 2_000, 2_000)] and links.isEmpty()
