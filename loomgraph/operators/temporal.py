@@ -112,7 +112,8 @@ def at_time(entities: DataFrame, edges: DataFrame, at: Column, axis: str = "vali
                 df = df.where(active_at(low, high if high in df.columns else F.lit(None).cast("timestamp_ntz"), at))
         return df
 
-    nodes, ids = alive(entities), alive(entities).select("id").distinct()
+    # files of ids are small beside the ids in memory: their size must not lead to a broadcast
+    nodes, ids = alive(entities), alive(entities).select("id").distinct().hint("merge")
     kept = alive(edges).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return nodes, kept
 
