@@ -284,3 +284,30 @@ def test_pairs_of_a_tree_are_not_made(spark):
     star = spark.range(2_000).select(F.lit("hub").alias("source"), F.concat(F.lit("leaf"), "id").alias("target"))
     levels, core, links = G._fold(G.undirected(star))
     assert [x.count() for x in levels] == [2_000] and [tuple(r) for r in core.collect()] == [("hub", 2_001, 2_000, 2_000)] and links.isEmpty()
+
+
+def test_root_causes_come_from_the_side_with_fewer_ends(spark):
+    draw = random.Random(4)
+    edges = [(f"d{a}", f"d{b}", draw.choice(("CAUSED", "INFLUENCED", "OTHER"))) for a, b in ((draw.randrange(12), draw.randrange(12)) for _ in range(22))]
+    edges += [("r0", "d0", "CAUSED"), ("r1", "d5", "INFLUENCED"), (None, "d1", "CAUSED"), ("r2", "r2", "CAUSED"), ("r2", "d2", "CAUSED")]
+    df = spark.createDataFrame(edges, "source string, target string, type string")
+    ids = sorted({x for a, b, _ in edges for x in (a, b) if x})
+    kept = [(a, b) for a, b, t in edges if t != "OTHER"]
+    caused = {b for _, b in kept}
+    for asked in (ids, ["d3"]):
+        want = set()
+        for o in asked:
+            seen, queue = {o: 0}, [o]
+            for x in queue:
+                for y in {a for a, b in kept if b == x and a} - seen.keys():
+                    if seen[x] < 3:
+                        seen[y] = seen[x] + 1
+                        queue.append(y)
+            want |= {(o, y, n) for y, n in seen.items() if n and y not in caused}
+        assert {tuple(r) for r in D.root_causes(df, spark.createDataFrame([(x,) for x in asked], "id string"), 3).collect()} == want
+
+
+def test_ratings_of_decisions_read_no_lines(spark, sf_dir):
+    from loomgraph.plans import q_decisions
+
+    assert not [f for f in q_decisions._rated(spark, sf_dir).inputFiles() if "lineitem" in f]
