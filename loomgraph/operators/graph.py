@@ -289,12 +289,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tole
 
 def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, score): power iteration over the undirected graph with a shift by one, scaled to a largest score of 1, until
-    no score changes by more than ``tolerance``, else for ``iterations`` rounds."""
+    no score changes by more than ``tolerance``, else for ``iterations`` rounds. Scores are merge-joined: written ones are small
+    files, and a broadcast in every round would pass them all through the driver."""
     both = materialize(undirected(edges), "edges")
     x = both.select(F.col("a").alias("node")).distinct().withColumn("score", F.lit(1.0))
     for _ in range(iterations):
-        pulled = both.join(x, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum("score").alias("pull"))
-        new = materialize(x.join(pulled, "node").select("node", "score", (F.col("score") + F.col("pull")).alias("raw")), "scores")
+        pulled = both.join(x.hint("merge"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum("score").alias("pull"))
+        new = materialize(x.join(pulled.hint("merge"), "node").select("node", "score", (F.col("score") + F.col("pull")).alias("raw")), "scores")
         top = new.agg(F.max("raw")).first()[0]
         change = new.agg(F.max(F.abs(F.col("raw") / top - F.col("score")))).first()[0] if top else None
         x = new.select("node", (F.col("raw") / top).alias("score")) if top else new.select("node", "score")

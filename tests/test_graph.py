@@ -311,3 +311,16 @@ def test_ratings_of_decisions_read_no_lines(spark, sf_dir):
     from loomgraph.plans import q_decisions
 
     assert not [f for f in q_decisions._rated(spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_scores_of_eigenvector_do_not_pass_the_driver(spark, monkeypatch):
+    plans, write = [], G.materialize
+
+    def seen(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(G, "materialize", seen)
+    df = spark.createDataFrame(_tangled(), "source string, target string")
+    assert G.eigenvector(df, 3, 0).count() == len(_distances(_tangled()))
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
