@@ -101,7 +101,8 @@ def co_occurrences(mentions: DataFrame, keys: list[str], within: int = 100) -> D
     second = numbered.withColumn("_bin", bin_of("start")).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_bin")]
     distance = F.abs(F.col("a.end") - F.col("b.start"))
-    pairs = first.join(second, [*same, order("a") < order("b"), distance < within])
+    # mentions are many times the texts that their size is guessed from: no side is broadcast
+    pairs = first.join(second.hint("merge"), [*same, order("a") < order("b"), distance < within])
     return pairs.select(*[F.col(f"a.{k}") for k in keys], F.col("a.mention").alias("subject"), F.col("a.start").alias("subject_start"), F.col("b.mention").alias("object"), F.col("b.start").alias("object_start"), distance.alias("distance"), F.lit("related_to").alias("predicate"), F.lit(0.6).alias("confidence"))
 
 

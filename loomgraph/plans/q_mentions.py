@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import mentions as M
 from loomgraph.plans.tables import table
+from loomgraph.runtime import dealt
 
 
 def _docs(spark, d):
@@ -17,7 +18,8 @@ def _messages(spark, d):
     name = F.initcap("p_name")
     day = F.concat(1 + F.col("p_partkey") % 28, F.lit("/"), 1 + F.col("p_partkey") % 12, F.lit("/1997"))
     text = F.concat(name, F.lit(" Inc. sold "), F.col("p_size"), F.lit(" to Anna Berg of "), F.initcap("p_type"), F.lit(" City on "), day, F.lit(". She kept it, they "), F.repeat(F.lit("gladly "), F.col("p_size").cast("int") % 16), F.lit("agreed; his offer of "), 1900 + F.col("p_partkey") % 100, F.lit(" stands."))
-    return table(spark, d, "part").select("p_partkey", text.alias("text"))
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_type")
+    return dealt(part, "p_partkey").select("p_partkey", text.alias("text"))
 
 
 def mentions_in_documents(spark, d):

@@ -67,3 +67,11 @@ def test_pronouns_and_chains(spark):
     chains = {(r["id"], r["entity"], r["label"]): (r["mentions"], r["pronouns"], r["first_start"]) for r in M.coreference_chains(docs, ["id"], "text").collect()}
     assert chains[1, "anna berg", "PERSON"] == (1, 0, 0) and chains[1, "bonn city", "PERSON"][:2] == (1, 2) and chains[8, "anna berg", "PERSON"] == (1, 1, 2)
     assert M.coreference_chains(docs.limit(0), ["id"], "text").count() == 0
+
+
+def test_mentions_of_messages_are_dealt_out_and_not_broadcast(spark, sf_dir):
+    from loomgraph.plans import q_mentions
+
+    assert q_mentions._messages(spark, sf_dir).rdd.getNumPartitions() >= 8
+    plan = q_mentions.cooccurrences_in_messages(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
