@@ -15,8 +15,8 @@ MOST_ROUNDS = 1000
 ALWAYS, NEVER = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 
-def temporal_paths(edges: DataFrame, seeds: DataFrame, order: Literal["strict", "overlap", "loose"] = "strict", start=None, end=None, max_hops: int | None = None) -> DataFrame:
-    """(origin, node, hops, label, path): from each seed (column node) the paths that no other one beats.
+def temporal_paths(edges: DataFrame, seeds: DataFrame, order: Literal["strict", "overlap", "loose"] = "strict", start=None, end=None, max_hops: int | None = None, with_path: bool = True) -> DataFrame:
+    """(origin, node, hops, label, path; without path unless ``with_path``): from each seed (column node) the paths that no other one beats.
 
     Edges are (source, target, valid_from, valid_until); a null bound is open. With ``start`` or ``end`` (timestamp Columns) only
     edges that hold at some time between them count. What may follow an edge:
@@ -44,13 +44,16 @@ def temporal_paths(edges: DataFrame, seeds: DataFrame, order: Literal["strict",
     free = micros(first) if order != "overlap" else -micros(last)
     rank = micros(F.coalesce("s", first)) if order != "overlap" else -micros(F.coalesce("e", last))
     allowed = F.col("s").isNull() | (micros(F.col("s")) >= F.col("rank") if order != "overlap" else micros(F.col("s")) <= -F.col("rank"))
-    seen = materialize(seeds.where("node IS NOT NULL").select(F.col("node").alias("origin"), "node").distinct().select("origin", "node", F.lit(0).alias("hops"), free.alias("rank"), F.array("node").alias("path")), "labels")
+    seen = materialize(seeds.where("node IS NOT NULL").select(F.col("node").alias("origin"), "node").distinct().select("origin", "node", F.lit(0).alias("hops"), free.alias("rank"), *([F.array("node").alias("path")] if with_path else [])), "labels")
+    path = ["path"] if with_path else []
     frontier, best = seen, seen.select("origin", "node", "rank")
     for hops in range(1, (max_hops or MOST_ROUNDS) + 1):
-        step = frontier.join(e, F.col("node") == F.col("a")).where(allowed).select("origin", F.col("b").alias("node"), rank.alias("rank"), F.concat("path", F.array("b")).alias("path"))
-        step = step.groupBy("origin", "node").agg(F.min(F.struct("rank", "path")).alias("x")).select("origin", "node", "x.*")
+        step = frontier.join(e, F.col("node") == F.col("a")).where(allowed).select("origin", F.col("b").alias("node"), rank.alias("rank"), *([F.concat("path", F.array("b")).alias("path")] if with_path else []))
+        # a number is grouped by hash, a struct by sorting all steps
+        least = F.min(F.struct("rank", "path")).alias("x") if with_path else F.struct(F.min("rank").alias("rank")).alias("x")
+        step = step.groupBy("origin", "node").agg(least).select("origin", "node", "x.*")
         new = step.join(best.withColumnRenamed("rank", "_best"), ["origin", "node"], "left").where("_best IS NULL OR rank < _best")
-        frontier = materialize(new.select("origin", "node", F.lit(hops).alias("hops"), "rank", "path"), "labels")
+        frontier = materialize(new.select("origin", "node", F.lit(hops).alias("hops"), "rank", *path), "labels")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -60,13 +63,13 @@ def temporal_paths(edges: DataFrame, seeds: DataFrame, order: Literal["strict",
             raise RuntimeError(f"temporal paths did not settle in {MOST_ROUNDS} rounds")
     time = F.timestamp_micros("rank" if order != "overlap" else -F.col("rank")).cast("timestamp_ntz")
     label = F.when((F.lit(order) != "loose") & (F.col("rank") != free), time)
-    return seen.where("hops > 0").select("origin", "node", "hops", label.alias("label"), "path")
+    return seen.where("hops > 0").select("origin", "node", "hops", label.alias("label"), *path)
 
 
-def distance_history(edges: DataFrame, times: DataFrame, source: str, target: str) -> DataFrame:
+def distance_history(edges: DataFrame, times: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """(at, hops, event): the fewest edges between two nodes, either way, among the edges that hold at each of ``times`` (column
     at), null where there is no path, and what changed since the time before: appeared, vanished, closer, farther or
-    same; null at the first time.
+    same; null at the first time. With ``max_hops`` a path of more edges is none.
 
     One frontier of (time, node) serves all times. Null times are left out, repeated ones count once."""
     at = materialize(times.where("at IS NOT NULL").select(F.col("at").cast("timestamp_ntz").alias("at")).distinct(), "times")
@@ -74,7 +77,7 @@ def distance_history(edges: DataFrame, times: DataFrame, source: str, target: st
     both = e.select(F.col("source").alias("a"), F.col("target").alias("b"), "valid_from", "valid_until").unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b"), "valid_from", "valid_until"))
     both = materialize(both.where("a <> b").distinct(), "edges")
     seen = frontier = materialize(at.select("at", F.lit(source).alias("node"), F.lit(0).alias("hops")), "reached")
-    for hops in range(1, MOST_ROUNDS + 1):
+    for hops in range(1, (max_hops or MOST_ROUNDS) + 1):
         found = seen.where(F.col("node") == target).select("at")
         step = frontier.join(found, "at", "left_anti").join(both, F.col("node") == F.col("a")).where(active_at("valid_from", "valid_until", F.col("at")))
         new = step.select("at", F.col("b").alias("node")).distinct().join(seen.select("at", "node"), ["at", "node"], "left_anti")
@@ -83,7 +86,8 @@ def distance_history(edges: DataFrame, times: DataFrame, source: str, target: st
             break
         seen = seen.unionByName(frontier)
     else:
-        raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
+        if max_hops is None:
+            raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
     hops = at.join(seen.where(F.col("node") == target).select("at", "hops"), "at", "left")
     # the times of a question are few, the graph is not: one ordered pass over them
     order = W.partitionBy(F.lit(0)).orderBy("at")

@@ -180,3 +180,23 @@ def test_distance_history_equals_searches(spark):
     at = spark.createDataFrame([(t,) for t in [*times, times[0], None]], "at timestamp_ntz")
     assert [tuple(r) for r in P.distance_history(df, at, "a", "b").orderBy("at").collect()] == want
     assert len({e for _, _, e in want}) > 3 and P.distance_history(df, at.limit(0), "a", "b").count() == 0
+
+
+def test_distances_of_more_edges_than_asked_for_are_none(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(8)]
+    edges = spark.createDataFrame([(a, b, None, None) for a, b in chain], "source string, target string, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    times = spark.sql("SELECT timestamp_ntz'2020-01-01 00:00:00' AS at")
+    far = lambda target, most: P.distance_history(edges, times, "n0", target, most).first()["hops"]
+    assert (far("n8", None), far("n8", 6), far("n6", 6)) == (8, None, 6)
+
+
+def test_temporal_paths_without_paths_have_the_same_labels(spark):
+    draw = random.Random(9)
+    day = lambda k: datetime(2020, 1, 1) + timedelta(days=k)
+    rows = [(f"n{draw.randrange(9)}", f"n{draw.randrange(9)}", *([None, None] if draw.random() < 0.1 else [day(s := draw.randrange(20)), day(s + draw.randrange(9))])) for _ in range(30)]
+    edges = spark.createDataFrame(rows, "source string, target string, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    seeds = spark.createDataFrame([("n0",), ("n1",)], "node string")
+    for order in ("strict", "overlap", "loose"):
+        plain = P.temporal_paths(edges, seeds, order, with_path=False)
+        assert plain.columns == ["origin", "node", "hops", "label"]
+        assert sorted(map(str, plain.collect())) == sorted(map(str, P.temporal_paths(edges, seeds, order).drop("path").collect()))
