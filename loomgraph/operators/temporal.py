@@ -80,8 +80,9 @@ def coverage(df: DataFrame, keys: list[str], low: Column, high: Column, start: s
 
 
 def timeline(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """(key, ts, event): added and removed events of every interval; ends that another start continues are "modified"."""
-    order = W.partitionBy(key).orderBy(start)
+    """(key, ts, event): added and removed events of every interval; ends that another start continues are "modified".
+    Of intervals with one start the shorter comes first, so reruns agree."""
+    order = W.partitionBy(key).orderBy(start, end)
     marked = df.withColumn("_cont", F.lead(start).over(order) == _c(end)).withColumn("_from", F.lag(end).over(order) == _c(start))
     events = F.array(F.struct(_c(start).alias("ts"), F.when(F.col("_from"), "modified").otherwise("added").alias("event")), F.struct(_c(end).alias("ts"), F.lit("removed").alias("event")))
     return marked.withColumn("_e", F.explode(events)).where(~(F.coalesce("_cont", F.lit(False)) & (F.col("_e.event") == "removed")) & F.col("_e.ts").isNotNull()).select(key, "_e.*")

@@ -324,3 +324,11 @@ def test_scores_of_eigenvector_do_not_pass_the_driver(spark, monkeypatch):
     df = spark.createDataFrame(_tangled(), "source string, target string")
     assert G.eigenvector(df, 3, 0).count() == len(_distances(_tangled()))
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_timeline_of_equal_starts_is_the_same_in_every_order(spark):
+    rows = [("k", 1, 5), ("k", 1, 3), ("k", 5, 6)]
+    want = [(1, "added"), (1, "added"), (3, "removed"), (5, "modified"), (6, "removed")]
+    for some in itertools.permutations(rows):
+        df = spark.createDataFrame(some, "k string, start int, end int").coalesce(1)
+        assert sorted((r["ts"], r["event"]) for r in T.timeline(df, "k").collect()) == want
