@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import alignment as A
 from loomgraph.operators import communities as C
 from loomgraph.operators import graph as G
+from loomgraph.operators import partners as N
 from loomgraph.operators import temporal_paths as P
 
 
@@ -200,3 +201,16 @@ def test_temporal_paths_without_paths_have_the_same_labels(spark):
         plain = P.temporal_paths(edges, seeds, order, with_path=False)
         assert plain.columns == ["origin", "node", "hops", "label"]
         assert sorted(map(str, plain.collect())) == sorted(map(str, P.temporal_paths(edges, seeds, order).drop("path").collect()))
+
+
+@pytest.mark.parametrize("piece", [8_000_000, 40])
+def test_likely_partners_are_the_best_of_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(N, "PIECE", piece)
+    r = random.Random(4)
+    edges = [(f"h{r.randrange(3)}", f"v{i}") for i in range(30)] + [(f"v{r.randrange(30)}", f"w{r.randrange(25)}") for _ in range(80)] + [("a", "a"), ("p", "q")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    rounded = lambda s: [s["a"], s["b"], s["common"], *(round(s[c], 9) for c in ("jaccard", "adamic_adar", "resource_allocation")), s["preferential"]]
+    want = {}
+    for s in sorted(G.link_scores(df).collect(), key=lambda s: (-round(s["adamic_adar"], 6), s["b"])):
+        want.setdefault(s["a"], []).append(rounded(s))
+    assert sorted(map(rounded, N.likely_partners(df, 3).collect())) == sorted(x for rows in want.values() for x in rows[:3])
