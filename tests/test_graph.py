@@ -332,3 +332,18 @@ def test_timeline_of_equal_starts_is_the_same_in_every_order(spark):
     for some in itertools.permutations(rows):
         df = spark.createDataFrame(some, "k string, start int, end int").coalesce(1)
         assert sorted((r["ts"], r["event"]) for r in T.timeline(df, "k").collect()) == want
+
+
+@pytest.mark.parametrize("steps", [D.STEPS, (1,), ()])
+def test_precedents_against_all_pairs(spark, monkeypatch, steps):
+    monkeypatch.setattr(D, "STEPS", steps)
+    r = random.Random(9)
+    rows = [(f"d{i:03}", r.choice("xy"), " ".join(r.sample("abcdefgh", r.randrange(1, 6)))) for i in range(150)] + [(f"e{i}", "x", "a b c") for i in range(9)] + [("f1", "x", None), ("f2", None, "a b")]
+    df = spark.createDataFrame(rows, "id string, category string, scenario string")
+    words, want = {i: set((s or "").split()) for i, _, s in rows}, set()
+    for a, c, _ in rows[::5]:
+        both = [(b, len(words[a] & words[b]), len(words[a] | words[b])) for b, x, _ in rows if b != a and c and x == c and words[a] and words[b]]
+        best = sorted((-0.7 * (n / u), b) for b, n, u in both if 0.7 * (n / u) >= 0.3 - 1e-12)[:4]
+        want |= {(a, b, round(-s, 9), k + 1) for k, (s, b) in enumerate(best)}
+    got = D.precedents(df.where(F.col("id").isin([a for a, _, _ in rows[::5]])), df, 0.3, 4).collect()
+    assert {(x["query"], x["id"], round(x["similarity"], 9), x["rank"]) for x in got} == want
