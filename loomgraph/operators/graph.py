@@ -362,19 +362,57 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return labels
 
 
-def triangle_communities(edges: DataFrame) -> DataFrame:
+def triangle_communities(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(node, community): overlapping communities of triangles that share edges one with the next; a node may be in several,
-    one in no triangle is in none. A community is named by its smallest node, and communities of one name differ in nodes."""
-    one = materialize(undirected(edges).where("a < b"), "edges")
-    closed = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(one.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi")
+    one in no triangle is in none. A community is named by its smallest node, and communities of one name differ in nodes.
+    ``groups`` (node, group) holds more edges: all nodes of one group are linked, without a row for each pair.
+
+    Twins are linked nodes with the same neighbours. All edges of three twins are in one community: triangles of two twins
+    and a third node hold an edge of both twins. So the three smallest of each set of twins stand for all of them, and the
+    others join their communities. Twins are told by two hashes of their neighbours or groups, so 1 in 2^128 is wrong."""
+    plain = materialize(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct(), "edges")
+    turned = plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mark = lambda c, seed: F.bit_xor(F.xxhash64(c, F.lit(seed)))
+    twins = None
+    if groups is not None:
+        held = materialize(groups.where("node IS NOT NULL AND group IS NOT NULL").select("node", "group").distinct(), "groups")
+        circle = held.groupBy("node").agg(F.struct(mark("group", 1), mark("group", 2), F.count("*")).alias("circle"))
+        around = turned.groupBy(F.col("a").alias("node")).agg(F.struct(mark("b", 1), mark("b", 2), F.count("*")).alias("around"))
+        twins = _named_twins(circle.join(around, "node", "left").select("node", F.struct("circle", "around").alias("key")))
+        few = held.join(twins.where("_at > 3").select("node"), "node", "left_anti")
+        linked = few.join(few.withColumnRenamed("node", "other"), "group").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        plain = materialize(_without(plain, twins).unionByName(linked).distinct(), "edges")
+        turned = plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # of linked nodes: the same neighbours, themselves among them
+    ends = turned.unionByName(plain.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.col("a")))
+    closed = _named_twins(ends.groupBy(F.col("a").alias("node")).agg(F.struct(mark("b", 1), mark("b", 2), F.count("*")).alias("key")))
+    one = materialize(_without(plain, closed), "edges")
+    closing = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(one.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi")
     name = lambda x, y: F.to_json(F.array(x, y))
-    triangles = materialize(closed.select("a", "b", "c", name("a", "b").alias("ab"), name("b", "c").alias("bc"), name("a", "c").alias("ac")), "triangles")
+    triangles = materialize(closing.select("a", "b", "c", name("a", "b").alias("ab"), name("b", "c").alias("bc"), name("a", "c").alias("ac")), "triangles")
     links = triangles.select(F.col("ab").alias("x"), F.explode(F.array("bc", "ac")).alias("y"))
     part = connected_components(links, "x", "y").select(F.col("node").alias("ab"), F.col("component").alias("_part"))
     members = triangles.join(part, "ab").select("_part", F.explode(F.array("a", "b", "c")).alias("node")).distinct()
+    for same in (closed, twins):
+        if same is not None:
+            more = same.where("_at > 3").select(F.col("node").alias("_more"), F.col("first").alias("node"))
+            members = members.unionByName(members.join(more, "node").select("_part", F.col("_more").alias("node")))
     return members.join(members.groupBy("_part").agg(F.min("node").alias("community")), "_part").select("node", "community")
 
 
+def _named_twins(keyed: DataFrame) -> DataFrame:
+    """(node, _at, first): the place of each node among those of its key, and the first of them."""
+    first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 3").select("key", "first")
+    at = F.row_number().over(W.partitionBy("first").orderBy("node"))
+    return materialize(keyed.join(first, "key").select("node", "first").withColumn("_at", at), "twins")
+
+
+def _without(edges: DataFrame, twins: DataFrame) -> DataFrame:
+    """The edges among nodes that stand for their twins."""
+    gone = twins.where("_at > 3").select("node")
+    return edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """(modularity): of (node, community) on the undirected graph."""
     both = undirected(edges)

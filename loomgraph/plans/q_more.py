@@ -53,8 +53,7 @@ def evolution_metrics(spark, d):
 def triangle_communities(spark, d):
     """Suppliers of one nation know each other."""
     home = places(spark, d).where("source LIKE 's:%'").select("source", "target")
-    other = home.select(F.col("source").alias("other"), "target")
-    return G.triangle_communities(places(spark, d).select("source", "target").unionByName(home.join(other, "target").where("source < other").select("source", F.col("other").alias("target"))))
+    return G.triangle_communities(places(spark, d).select("source", "target"), home.select(F.col("source").alias("node"), F.col("target").alias("group")))
 
 
 def attention_pooled(spark, d):

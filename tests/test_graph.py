@@ -347,3 +347,32 @@ def test_precedents_against_all_pairs(spark, monkeypatch, steps):
         want |= {(a, b, round(-s, 9), k + 1) for k, (s, b) in enumerate(best)}
     got = D.precedents(df.where(F.col("id").isin([a for a, _, _ in rows[::5]])), df, 0.3, 4).collect()
     assert {(x["query"], x["id"], round(x["similarity"], 9), x["rank"]) for x in got} == want
+
+
+def test_triangle_communities_of_twins_and_groups(spark):
+    """Against the communities of all triangles, listed one by one."""
+    r = random.Random(3)
+    for n in range(3):
+        edges = [(f"v{r.randrange(12)}", f"v{r.randrange(12)}") for _ in range(10)] + [(a, b) for a, b in itertools.combinations([f"t{i}" for i in range(6)], 2)] + [(f"t{i}", "v1") for i in range(6)]
+        groups = [(f"g{i}", f"h{i % 2}") for i in range(11)] + [("g0", "h1"), ("v2", "h0"), ("v3", "alone"), (None, "h0")] + [("v4", f"h{n}"), *((f"w{i}", "h9") for i in range(7))]
+        pairs = edges + [("g1", "v5")] + [(f"g{i}", "v6") for i in range(0, 11, 2)]
+        full = pairs + [(a, b) for a, g in groups for b, h in groups if g == h and a and b and a != b]
+        nb = neighbours(full)
+        one = {frozenset((a, b)) for a in nb for b in nb[a]}
+        part = {e: e for e in one}
+
+        def top(e):
+            while part[e] != e:
+                e = part[e]
+            return e
+
+        corners = [t for t in itertools.combinations(sorted(nb), 3) if all(frozenset(e) in one for e in itertools.combinations(t, 2))]
+        for t in corners:
+            x, *rest = (top(frozenset(e)) for e in itertools.combinations(t, 2))
+            for y in rest:
+                part[top(y)] = top(x)
+        want = {}
+        for t in corners:
+            want.setdefault(top(frozenset(t[:2])), set()).update(t)
+        got = G.triangle_communities(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(groups, "node string, group string"))
+        assert sorted((x["node"], x["community"]) for x in got.collect()) == sorted((v, min(c)) for c in want.values() for v in c)
