@@ -78,6 +78,12 @@ def property_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(keys) == 0, 1.0).otherwise(F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / F.size(keys))
 
 
+def field_similarity(pairs: list[tuple[Column, Column]]) -> Column:
+    """``property_similarity`` of records whose keys are known: one pair of columns for each, a null side counts 0.5."""
+    each = [F.when(a.isNull() | b.isNull(), 0.5).when(a == b, 1.0).otherwise(levenshtein_similarity(a, b)) for a, b in pairs]
+    return sum(each[1:], each[0]) / len(each)
+
+
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 

@@ -10,6 +10,9 @@ from loomgraph.operators import conflicts as K
 from loomgraph.operators import dedup as D
 from loomgraph.plans.tables import table
 
+#: Pieces of the parts of one name and brand.
+PIECES = 4
+
 
 def _gappy(spark, d):
     """Parts with sizes and brands missing by a rule."""
@@ -206,12 +209,19 @@ def duplicate_relationships(spark, d):
 
 
 def property_similarities(spark, d):
-    """Parts of one name and brand by their other properties."""
-    p = table(spark, d, "part")
-    m = p.select("p_partkey", "p_name", "p_brand", F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("string"))).alias("m"))
-    r = m.select(F.col("p_partkey").alias("r_id"), "p_name", "p_brand", F.col("m").alias("rm"))
-    pairs = m.join(r, ["p_name", "p_brand"]).where("p_partkey < r_id")
-    return pairs.select(F.col("p_partkey").alias("l_id"), "r_id", F.round(S.property_similarity(F.col("m"), F.col("rm")), 6).alias("similarity"))
+    """Parts of one name and brand by their other properties: parts with the same ones are compared once, then their pairs
+    are made. They are held in ``PIECES`` pieces by key, which meet in tasks of their own."""
+    size = F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("string"))
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_type").alias("type"), size.alias("size"), F.pmod(F.xxhash64("p_partkey"), F.lit(PIECES)).cast("int").alias("piece"))
+    kinds = p.groupBy("p_name", "p_brand", "type", "size", "piece").agg(F.collect_list("p_partkey").alias("ids")).withColumn("kind", F.to_json(F.struct("type", "size", "piece")))
+    right = kinds.select("p_name", "p_brand", "piece", *[F.col(c).alias(f"r_{c}") for c in ("type", "size", "kind", "ids")])
+    left = kinds.drop("piece").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    keys, tasks = ["p_name", "p_brand", "piece"], 4 * spark.sparkContext.defaultParallelism
+    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys).where("kind <= r_kind")
+    similar = S.field_similarity([(F.col("type"), F.col("r_type")), (F.col("size"), F.col("r_size"))])
+    pairs = pairs.select("ids", "r_ids", (F.col("kind") == F.col("r_kind")).alias("same"), F.round(similar, 6).alias("similarity"))
+    pairs = pairs.select(F.explode("ids").alias("x"), "r_ids", "same", "similarity").select("x", F.explode("r_ids").alias("y"), "same", "similarity").where("NOT same OR x < y")
+    return pairs.select(F.least("x", "y").alias("l_id"), F.greatest("x", "y").alias("r_id"), "similarity")
 
 
 def sounds_alike(spark, d):
