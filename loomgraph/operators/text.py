@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.runtime import prepare
+
 
 def normalize_whitespace(c: Column) -> Column:
     """Tabs and runs of spaces become one space, CR LF and CR become LF, runs of blank lines one; no outer space."""
@@ -154,6 +156,7 @@ def _spans(df: DataFrame, text: str, spans_of) -> DataFrame:
     def spans(x: pd.Series) -> pd.Series:
         return x.map(lambda t: [] if not t else [{"start": a, "end": b} for a, b in spans_of(t)])
 
+    prepare(df.sparkSession)  # long texts reach Python in small batches
     rows = df.select("*", F.posexplode(spans(F.coalesce(F.col(text), F.lit("")))).alias("chunk", "_span"))
     return rows.select("*", F.col("_span.start").alias("start"), F.col("_span.end").alias("end")).withColumn("chunk_text", F.col(text).substr(F.col("start") + 1, F.col("end") - F.col("start"))).drop("_span")
 
