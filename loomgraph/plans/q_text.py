@@ -10,6 +10,7 @@ from loomgraph.operators import normalize as N
 from loomgraph.operators import search as H
 from loomgraph.operators import text as X
 from loomgraph.plans.tables import SQL, entities, relationships, table
+from loomgraph.runtime import prepare
 
 SEARCHES = ("Blue Widget", "customer 000000017", "supplier", "wid sma", "nation_7", "zzz")
 
@@ -20,12 +21,12 @@ def _cycle(key: str, *values):
 
 
 def unicode_forms(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(prepare(spark), d, "documents")
     return docs.select("doc_id", F.md5(N.normalize_unicode(F.col("text"))).alias("nfc"), (F.length(N.normalize_unicode(F.col("text"), "NFD")) >= F.length("text")).alias("longer"), F.md5(N.strip_diacritics("text")).alias("plain"))
 
 
 def normalized_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(N.normalize_text(F.col("text"), case="lower")).alias("digest"))
+    return table(prepare(spark), d, "documents").select("doc_id", F.md5(N.normalize_text(F.col("text"), case="lower")).alias("digest"))
 
 
 def entity_names(spark, d):

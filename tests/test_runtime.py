@@ -44,3 +44,12 @@ def test_ids_of_a_graph_at_a_time_are_not_broadcast(spark, sf_dir):
 
     plan = catalogue.queries()["graph_at_time"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_texts_reach_python_in_small_batches(spark, sf_dir):
+    from loomgraph.plans import q_text
+
+    for query in (q_text.unicode_forms, q_text.chunk_sliding):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        query(spark, sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
