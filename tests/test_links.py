@@ -117,6 +117,26 @@ def test_no_merging_is_left_and_value_is_near_the_greedy_one(spark):
     assert communities(spark, [(None, "a"), ("b", "b")]) == {}
 
 
+@pytest.mark.parametrize("resolution, sizes", [(1.0, {"p0": 13, "p1": 8, "p12": 10, "p14": 8, "p24": 12}), (0.7, {"p0": 19, "p13": 12, "p14": 20})])
+def test_rounds_write_each_link_once_as_numbers_and_no_node_again(spark, monkeypatch, resolution, sizes):
+    written, write = [], C.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append((name, out.count(), dict(out.dtypes)))
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    r = random.Random(9)
+    pairs = [(f"s{r.randrange(12)}", f"p{r.randrange(40)}") for _ in range(150)]
+    got = communities(spark, pairs, resolution=resolution)
+    assert Counter(got.values()) == sizes and len(got) == len({n for p in pairs for n in p})
+    links = [(rows, kinds) for name, rows, kinds in written if name == "links"]
+    assert links[0][0] == len(set(pairs)) and all("string" not in kinds.values() for _, kinds in links)
+    nodes = [rows for name, rows, _ in written if name in ("member", "turn")]
+    assert nodes[0] == len(got) and nodes[-1] < len(got) / 2 and nodes == sorted(nodes, reverse=True)
+
+
 DAY = datetime(2024, 1, 1)
 
 
