@@ -149,14 +149,14 @@ def average_path_length(edges: DataFrame) -> DataFrame:
     return sums.select("pairs", F.try_divide(F.col("total"), F.col("pairs")).alias("mean_length"))
 
 
-def all_shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(path, hops): all paths of the fewest edges, ties kept; none if there is no path. Levels from the source are
-    found first, and paths are laid only along edges from level to level, back from the target."""
+def all_shortest_paths(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
+    """(path, hops): all paths of the fewest edges, ties kept; none if there is no path. With ``max_hops`` a path of more
+    edges is none. Levels from the source are found first, and paths are laid only along edges from level to level, back from the target."""
     e = materialize(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "edges")
     seed = e.sparkSession.createDataFrame([(source,)], "node string")
     seen = frontier = materialize(seed.withColumn("d", F.lit(0)), "levels")
     hops = 0
-    while seen.where(F.col("node") == target).isEmpty() and not frontier.isEmpty():
+    while seen.where(F.col("node") == target).isEmpty() and not frontier.isEmpty() and (max_hops is None or hops < max_hops):
         hops += 1
         new = frontier.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = materialize(new.withColumn("d", F.lit(hops)), "levels")

@@ -16,6 +16,7 @@ from loomgraph.operators import ontology as O
 from loomgraph.operators import search as H
 from loomgraph.operators import temporal as T
 from loomgraph.operators import text as X
+from loomgraph.plans import q_graph as Q
 
 
 def some_graph(seed: int, n: int = 14, m: int = 17) -> list[tuple[str, str]]:
@@ -376,3 +377,16 @@ def test_triangle_communities_of_twins_and_groups(spark):
             want.setdefault(top(frozenset(t[:2])), set()).update(t)
         got = G.triangle_communities(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(groups, "node string, group string"))
         assert sorted((x["node"], x["community"]) for x in got.collect()) == sorted((v, min(c)) for c in want.values() for v in c)
+
+
+@pytest.mark.parametrize(("shipped", "paths"), [([(0, 1), (5, 1), (5, 2), (9, 2)], []), ([(0, 1), (0, 2), (9, 1), (9, 2), (5, 2)], ["s:0>p:1>s:9", "s:0>p:2>s:9"])])
+def test_ties_of_shortest_paths_are_the_parts_of_both_suppliers(spark, sf_dir, tmp_path, shipped, paths):
+    """Suppliers without a part of both have no path, as in the SQL, though one of four edges joins them."""
+    con = pytest.importorskip("duckdb").connect()
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    con.execute(f"COPY (SELECT s AS l_suppkey, p AS l_partkey, 1.0::DOUBLE AS l_quantity, TIMESTAMP '1998-01-01' AS l_shipdate FROM (VALUES {', '.join(map(str, shipped))}) v(s, p)) TO '{tmp_path}/lineitem.parquet'")
+    for name in ("region", "nation", "customer", "supplier", "part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    assert sorted(con.execute(Q.ORACLE_SQL["shortest_paths_ties"]).fetchall()) == [(p, 2) for p in paths]
+    assert sorted(map(tuple, Q.shortest_paths_ties(spark, str(tmp_path)).collect())) == [(p, 2) for p in paths]
