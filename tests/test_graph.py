@@ -390,3 +390,23 @@ def test_ties_of_shortest_paths_are_the_parts_of_both_suppliers(spark, sf_dir, t
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
     assert sorted(con.execute(Q.ORACLE_SQL["shortest_paths_ties"]).fetchall()) == [(p, 2) for p in paths]
     assert sorted(map(tuple, Q.shortest_paths_ties(spark, str(tmp_path)).collect())) == [(p, 2) for p in paths]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 63])
+def test_precedents_of_few_words_are_dealt_out(spark, monkeypatch, bits):
+    """Few words in many scenarios: no piece of a word's scenarios is larger than it may be, and words without a bit count."""
+    monkeypatch.setattr(D, "BITS", bits)
+    monkeypatch.setattr(D, "PIECE", 20)
+    joined, near = [], D._near_scenarios
+    monkeypatch.setattr(D, "_near_scenarios", lambda asked, held, *rest: joined.append(held) or near(asked, held, *rest))
+    r = random.Random(4)
+    rows = [(f"d{i:03}", "x", " ".join(r.sample("abcdefgh", r.randrange(2, 7)))) for i in range(200)]
+    words = {i: set(s.split()) for i, _, s in rows}
+    df = spark.createDataFrame(rows, "id string, category string, scenario string")
+    asked, want = [i for i, _, _ in rows[::9]], set()
+    for a in asked:
+        best = sorted((-0.7 * (len(words[a] & words[b]) / len(words[a] | words[b])), b) for b in words if b != a)[:30]
+        want |= {(a, b, round(-s, 9), k + 1) for k, (s, b) in enumerate(best) if -s >= 0.3 - 1e-12}
+    assert {(x["query"], x["id"], round(x["similarity"], 9), x["rank"]) for x in D.precedents(df.where(F.col("id").isin(asked)), df, 0.3, 30).collect()} == want
+    sizes = [x["count"] for x in joined[-1].groupBy("category", "word", "piece").count().collect()]
+    assert len(sizes) > 16 and max(sizes) < 45
