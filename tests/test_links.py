@@ -223,6 +223,24 @@ def test_temporal_paths_without_paths_have_the_same_labels(spark):
         assert sorted(map(str, plain.collect())) == sorted(map(str, P.temporal_paths(edges, seeds, order).drop("path").collect()))
 
 
+def test_an_edge_of_temporal_paths_is_moved_once_for_many_origins(spark, monkeypatch):
+    """40 origins reach a hub with 50 edges on: these are 50 rows of the step, and what has no edges on is not joined again."""
+    rows = [(f"o{i}", "hub", None, None) for i in range(40)] + [("hub", f"z{i}", DAY + timedelta(days=i % 7), None) for i in range(50)]
+    edges = spark.createDataFrame(rows, "source string, target string, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    seeds = spark.createDataFrame([(f"o{i}",) for i in range(40)], "node string")
+    want = sorted([(f"o{i}", "hub", 1, None) for i in range(40)] + [(f"o{i}", f"z{j}", 2, DAY + timedelta(days=j % 7)) for i in range(40) for j in range(50)])
+    written, write = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: written.append(name) or write(df, name))
+    for few, together in ((500_000, 64), (0, 64), (0, 7)):
+        monkeypatch.setattr(P, "FEW", few)
+        monkeypatch.setattr(P, "TOGETHER", together)
+        written.clear()
+        got = P.temporal_paths(edges, seeds, with_path=False)
+        assert sorted(map(tuple, got.collect())) == want
+        moved = written.count("labels")
+        assert moved == (3 if few == 0 else 4)
+
+
 @pytest.mark.parametrize("piece", [8_000_000, 40])
 def test_likely_partners_are_the_best_of_all_pairs(spark, monkeypatch, piece):
     monkeypatch.setattr(N, "PIECE", piece)
